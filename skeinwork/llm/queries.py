@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licences, pieces, toxicity
+from . import language, licences, media, packing, pieces, toxicity
 from .common import documents
 
 
@@ -22,6 +22,14 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(documents(spark, sf_dir), tokenizer_path("word_bpe_49k.json"))
+
+
+def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.store_media(documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -31,6 +39,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licences, op5_pieces, op8_toxicity, op10_language)
+    f.__name__: f for f in (op1_licences, op5_pieces, op6_packing, op7_media, op8_toxicity, op10_language)
 }
 ORACLE_SQL: dict[str, str] = {}
