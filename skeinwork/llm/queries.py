@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licences, media, packing, pieces, toxicity
+from . import language, licences, media, packing, pieces, sharding, toxicity
 from .common import documents
 
 
@@ -18,6 +18,10 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licences.scan_licences(documents(spark, sf_dir))
 
 
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(documents(spark, sf_dir))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
@@ -39,6 +43,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licences, op5_pieces, op6_packing, op7_media, op8_toxicity, op10_language)
+    f.__name__: f for f in (op1_licences, op2_sharding, op5_pieces, op6_packing, op7_media, op8_toxicity, op10_language)
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": sharding.ORACLE_SQL}
