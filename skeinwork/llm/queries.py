@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licences, media, neardup, packing, pieces, sharding, toxicity
+from . import language, licences, media, neardup, packing, pieces, sharding, substrings, toxicity
 from .common import documents
 
 
@@ -26,6 +26,10 @@ def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(documents(spark, sf_dir))
+
+
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_pieces(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
 
@@ -47,6 +51,6 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licences, op2_sharding, op3_neardup, op5_pieces, op6_packing, op7_media, op8_toxicity, op10_language)
+    f.__name__: f for f in (op1_licences, op2_sharding, op3_neardup, op4_substrings, op5_pieces, op6_packing, op7_media, op8_toxicity, op10_language)
 }
-ORACLE_SQL: dict[str, str] = {"op2_sharding": sharding.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": sharding.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL}
