@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language, licences, media, neardup, packing, pieces, sharding, substrings, toxicity
+from . import fingerprints, language, licences, media, neardup, packing, pieces, sharding, substrings, toxicity
 from .common import documents
 
 
@@ -46,11 +46,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(documents(spark, sf_dir))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licences, op2_sharding, op3_neardup, op4_substrings, op5_pieces, op6_packing, op7_media, op8_toxicity, op10_language)
+    f.__name__: f for f in (op1_licences, op2_sharding, op3_neardup, op4_substrings, op5_pieces, op6_packing, op7_media, op8_toxicity, op9_fingerprints, op10_language)
 }
-ORACLE_SQL: dict[str, str] = {"op2_sharding": sharding.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": sharding.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL, "op9_fingerprints": fingerprints.ORACLE_SQL}
