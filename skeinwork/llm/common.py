@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Bytes of text that one call of a text function gets at most, unless a single text is longer.
@@ -54,22 +55,25 @@ def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(start)
 
 
-def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list], list]]) -> DataFrame:
-    """One row for each row of docs: doc_id and the columns of schema. make() runs once in each task and
-    returns the function from a list of UTF-8 texts (bytes, None for null) to the list of columns."""
-    out = docs.sparkSession.createDataFrame([], f"doc_id long, {schema}").schema
-    names = out.names
-    kinds = [f.type for f in to_arrow_schema(out)]
+def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list], list]], carry: bool = False) -> DataFrame:
+    """One row for each row of docs: doc_id and the columns of schema; or with carry all columns of docs and those of schema,
+    these with an underscore before their names. make() runs once in each task and returns the function from a list of
+    UTF-8 texts (bytes, None for null) to the list of columns."""
+    spark = docs.sparkSession
+    source = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    made = spark.createDataFrame([], schema).schema
+    out = T.StructType(list(source.schema.fields) + [T.StructField("_" * carry + f.name, f.dataType) for f in made.fields])
+    kinds, at, kept_columns = to_arrow_schema(made).types, source.columns.index("text"), len(out.names) - len(made.names)
 
     def run(batches):
         f = make()
         for batch in batches:
-            for part in slices(batch, 1):
-                columns = f(part.column(1).cast(pa.binary()).to_pylist())
-                arrays = [part.column(0)] + [pa.array(c, type=k) for c, k in zip(columns, kinds[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([a.cast(k) for a, k in zip(arrays, kinds, strict=True)], names=names)
+            for part in slices(batch, at):
+                columns = f(part.column(at).cast(pa.binary()).to_pylist())
+                arrays = part.columns[:kept_columns] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, out)
+    return source.mapInArrow(run, out)
 
 
 #: ASCII letters to lower case, other ASCII than letters and digits to spaces, the bytes of other characters unchanged.

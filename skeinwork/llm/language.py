@@ -133,8 +133,8 @@ def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     return {k: v for k, v in out.items() if v}
 
 
-def identify_language(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text, lang. Returns doc_id, lang_pred, score."""
+def identify_language(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """docs: doc_id, text, lang. Returns doc_id, lang_pred, score; with carry all columns of docs, _lang_pred and _score."""
     model = learn(training_sample(docs))
     held = docs.sparkSession.sparkContext.broadcast((*model, letter_table()))
 
@@ -147,4 +147,9 @@ def identify_language(docs: DataFrame) -> DataFrame:
 
         return run
 
-    return map_texts(docs, "lang_pred string, score double", make)
+    return map_texts(docs, "lang_pred string, score double", make, carry)
+
+
+def keep_identified(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose text has a language."""
+    return identify_language(docs, carry=True).where("_lang_pred <> 'und'").select(*docs.columns)

@@ -93,3 +93,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay."""
+    named = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(named, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)

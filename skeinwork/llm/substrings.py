@@ -220,12 +220,15 @@ def judge(batches, earlier: bool):
         yield batch_of(rows[at : at + 10_000])
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_words, n_removed, kept_sha256 and, if asked for, text (the kept words)."""
+def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, n_words, n_removed, kept_sha256; with carry the columns of docs, the kept words as
+    text and their number of characters as n_chars (if there is such a column)."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * SPREAD
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in docs.columns if carry and c not in ("doc_id", "text")])
+    columns_of_slim = slim.columns
+    extra = columns_of_slim[2:]
 
     def chunks(batches):
         import pyarrow as pa
@@ -233,11 +236,11 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         known = Hashes()
         for batch in batches:
             for part in slices(batch, 1, CHUNK):
-                told = part.column(2).to_pylist() if part.num_columns > 2 else None
-                yield Chunk(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), known), told
+                told = part.column("told").to_pylist() if "told" in part.schema.names else None
+                yield Chunk(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), known), told, part.columns[2 : 2 + len(extra)]
 
     def send_anchors(batches):
-        for chunk, _ in chunks(batches):
+        for chunk, _, _ in chunks(batches):
             best = anchors(chunk.hashes, chunk.doc)
             at = np.nonzero(chunk.whole)[0]
             change = np.ones(len(at), bool)
@@ -255,14 +258,14 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
         return out & chunk.whole
 
     def send_windows(batches):
-        for chunk, told in chunks(batches):
+        for chunk, told, _ in chunks(batches):
             at = np.nonzero(marked(anchors(chunk.hashes, chunk.doc), chunk, told))[0]
             yield batch_of(settled(window_hashes(chunk.hashes)[at], chunk.ids[chunk.doc[at]], True, buckets))
 
     def finish(batches):
         import pyarrow as pa
 
-        for chunk, told in chunks(batches):
+        for chunk, told, rest in chunks(batches):
             whole = np.zeros(len(chunk.hashes), np.uint64)
             found = window_hashes(chunk.hashes)
             whole[: len(found)] = found
@@ -277,21 +280,24 @@ def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
                 n = sum(mine)
                 removed.append(n)
                 kept.append(b" ".join([w for w, g in zip(words, mine, strict=True) if not g] if n else words))
+            if carry:
+                yield pa.RecordBatch.from_arrays([pa.array(chunk.given, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *rest], names=columns_of_slim)
+                continue
             columns = [pa.array(chunk.given, pa.int64()), pa.array(chunk.counts), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
-            names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
-            if with_text:
-                columns.append(pa.array(kept, pa.binary()).cast(pa.string()))
-                names.append("text")
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
     def to_documents(sent: DataFrame, earlier: bool) -> DataFrame:
         dealt = sent.repartition(parts, "bucket").mapInArrow(lambda batches: judge(batches, earlier), COLUMNS)
         return dealt.groupBy("doc_id").agg(F.collect_list("keys").alias("told")).hint("shuffle_hash")
 
-    shared = to_documents(slim.mapInArrow(send_anchors, COLUMNS), False)
-    repeated = to_documents(slim.join(shared, "doc_id").select("doc_id", "text", "told").mapInArrow(send_windows, COLUMNS), True)
-    out = slim.join(repeated, "doc_id", "left").select("doc_id", "text", "told")
-    return out.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text)
+    # all joins take all columns of slim: so the exchange of texts is the same and runs once
+    shared = to_documents(slim.select("doc_id", "text").mapInArrow(send_anchors, COLUMNS), False)
+    repeated = to_documents(slim.join(shared, "doc_id").select(*slim.columns, "told").mapInArrow(send_windows, COLUMNS), True)
+    out = slim.join(repeated, "doc_id", "left").select(*slim.columns, "told")
+    if not carry:
+        return out.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kept = out.mapInArrow(finish, slim.schema)
+    return (kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in extra else kept).select(*docs.columns)
 
 
 ORACLE_SQL = f"""

@@ -122,8 +122,8 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray
     return [np.frombuffer(held[i], np.uint64) for i in order], (keys[order] % 2).astype(float)
 
 
-def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs: doc_id, text; labels: doc_id, toxic. Returns doc_id, held_out, score, predicted."""
+def scorer(docs: DataFrame, labels: DataFrame):
+    """Fits a machine; returns what map_texts needs to score with it."""
     held = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels)).__dict__)
 
     def make():
@@ -131,5 +131,15 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
         machine.__dict__.update(held.value)
         return lambda texts: [[machine.score(t) for t in texts]]
 
-    scored = map_texts(docs, "score double", make)
+    return make
+
+
+def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """docs: doc_id, text; labels: doc_id, toxic. Returns doc_id, held_out, score, predicted."""
+    scored = map_texts(docs, "score double", scorer(docs, labels))
     return scored.select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that aren't predicted to be toxic."""
+    return map_texts(docs, "score double", scorer(docs, labels), carry=True).where("_score < 0.5").select(*docs.columns)
