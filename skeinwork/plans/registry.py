@@ -1,4 +1,6 @@
 """All named queries and their DuckDB SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from . import event_queries, survival_queries
+
+QUERIES = event_queries.QUERIES | survival_queries.QUERIES
+ORACLE_SQL = event_queries.ORACLE_SQL | survival_queries.ORACLE_SQL
