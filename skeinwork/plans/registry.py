@@ -1,6 +1,6 @@
 """All named queries and their DuckDB SQL."""
 
-from . import event_queries, survival_queries
+from . import event_queries, survival_queries, text_queries
 
-QUERIES = event_queries.QUERIES | survival_queries.QUERIES
-ORACLE_SQL = event_queries.ORACLE_SQL | survival_queries.ORACLE_SQL
+QUERIES = event_queries.QUERIES | survival_queries.QUERIES | text_queries.QUERIES
+ORACLE_SQL = event_queries.ORACLE_SQL | survival_queries.ORACLE_SQL | text_queries.ORACLE_SQL
