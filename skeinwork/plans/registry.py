@@ -1,6 +1,7 @@
 """All named queries and their DuckDB SQL."""
 
-from . import event_queries, survival_queries, text_queries
+from . import event_queries, network_queries, survival_queries, text_queries
 
-QUERIES = event_queries.QUERIES | survival_queries.QUERIES | text_queries.QUERIES
-ORACLE_SQL = event_queries.ORACLE_SQL | survival_queries.ORACLE_SQL | text_queries.ORACLE_SQL
+_MODULES = (event_queries, survival_queries, text_queries, network_queries)
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
