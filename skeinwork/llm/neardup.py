@@ -48,8 +48,8 @@ def signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def variants(blocks: int, radius: int) -> list[tuple[int, int]]:
-    """(bits to keep, bits to flip) of each variant: one block is dropped (none if there is only one), and up to half of the
+def variants(blocks: int, radius: int) -> list[tuple[int, int, int, int]]:
+    """(bits to keep, bits to flip, lowest dropped bit, number of dropped bits) of each variant: one block is dropped (none if there is only one), and up to half of the
     differences that are left are flipped. A constant of the dropped block tells apart what different blocks leave."""
     edges = [BITS * i // blocks for i in range(blocks + 1)]
     out = []
@@ -60,26 +60,37 @@ def variants(blocks: int, radius: int) -> list[tuple[int, int]]:
         salt = (0x9E3779B97F4A7C15 * (k + 1)) % (1 << 64) if blocks > 1 else 0
         for n in range(-(-left // 2) + 1):
             for chosen in itertools.combinations(kept, n):
-                out.append((signed(sum(1 << i for i in kept)), signed(sum(1 << i for i in chosen) ^ salt)))
+                out.append((signed(sum(1 << i for i in kept)), signed(sum(1 << i for i in chosen) ^ salt), edges[k], len(dropped)))
     return out
 
 
 def emitted(prints: DataFrame, blocks: int, radius: int) -> DataFrame:
-    """key, fp: each fingerprint with all its variants."""
-    masks = F.array(*[F.struct(F.lit(k).alias("keep"), F.lit(f).alias("flip")) for k, f in variants(blocks, radius)])
-    each = prints.select("fp", F.explode(masks).alias("mask"))
-    return each.select(F.col("fp").bitwiseAND(F.col("mask.keep")).bitwiseXOR(F.col("mask.flip")).alias("key"), "fp")
+    """key, note: each fingerprint with all its variants. The note, a short number, is the variant and the dropped bits: with
+    the key it gives the fingerprint back, which so needn't be sent along."""
+    masks = variants(blocks, radius)
+    each = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("keep"), F.lit(f).alias("flip"), F.lit(low).alias("low"), F.lit((1 << n) - 1).alias("ones"), F.lit(i).alias("code")) for i, (k, f, low, n) in enumerate(masks)])).alias("m"))
+    dropped = F.expr(f"(shiftrightunsigned(fp, m.low) & cast(m.ones as bigint)) * {1 << len(masks).bit_length()}")
+    return each.select(F.col("fp").bitwiseAND(F.col("m.keep")).bitwiseXOR(F.col("m.flip")).alias("key"), (dropped + F.col("m.code")).cast("int").alias("note"))
+
+
+def given_back(met: DataFrame, blocks: int, radius: int) -> DataFrame:
+    """met with the column fp in place of the note."""
+    masks, wide = variants(blocks, radius), len(variants(blocks, radius)).bit_length()
+    of = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in masks]), (F.col("note") % (1 << wide) + 1).cast("int"))
+    met = met.withColumns({"keep": of(0), "flip": of(1), "low": of(2)})
+    dropped = F.expr(f"shiftleft(cast(note div {1 << wide} as bigint), low)")
+    return met.withColumn("fp", F.col("key").bitwiseXOR(F.col("flip")).bitwiseAND(F.col("keep")).bitwiseOR(dropped)).drop("note", "keep", "flip", "low")
 
 
 def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect just what differing in at most radius bits connects."""
     met = emitted(prints, blocks, radius).withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
-    met = written(met, "met")
+    met = written(given_back(met, blocks, radius), "met")
     few = met.where(F.col("n") <= CROWD).groupBy("key").agg(F.collect_set("fp").alias("fps"))
     pairs = few.select(F.explode("fps").alias("a"), "fps")
     close = lambda b: (b > F.col("a")) & (F.bit_count(F.col("a").bitwiseXOR(b)) <= radius)
     pairs = pairs.select("a", F.explode(F.filter("fps", close)).alias("b"))
-    crowd = emitted(met.where(F.col("n") > CROWD).select("fp").distinct(), 1, radius)
+    crowd = given_back(emitted(met.where(F.col("n") > CROWD).select("fp").distinct(), 1, radius), 1, radius)
     stars = crowd.select(F.min("fp").over(W.partitionBy("key")).alias("a"), F.col("fp").alias("b")).where("a <> b")
     return pairs.unionByName(stars).distinct()
 
