@@ -35,14 +35,16 @@ def digests(text: str) -> str:
     return f"transform({found}, d -> named_struct('n', 1, 'k', d, 'c', {check_of('d')}))"
 
 
-def inside(key: str, cell: str, wide: int) -> str:
-    """Whether a digest belongs to a cell: each row takes other bits of it."""
-    return f"pmod(shiftright({key}, 20 * int({cell} div {wide})), {wide}) = {cell} % {wide}"
+def placed(keys: str, wide: int) -> str:
+    """Keys with their cells, one in each row of cells: each row takes other bits of the digest."""
+    cell = lambda row: f"cast({row * wide} + pmod(shiftright(y.k, {20 * row}), {wide}) as int)"
+    return f"transform({keys}, y -> named_struct('n', y.n, 'k', y.k, 'c', y.c, 'p', {cell(0)}, 'q', {cell(1)}, 'r', {cell(2)}))"
 
 
 def sketch(keys: str, wide: int) -> str:
+    """Cells of placed keys."""
     add = "named_struct('n', s.n + x.n, 'k', s.k ^ x.k, 'c', s.c ^ x.c)"
-    own = f"filter({keys}, x -> {inside('x.k', 'i', wide)})"
+    own = f"filter({keys}, x -> x.p = i or x.q = i or x.r = i)"
     return f"transform(sequence(0, {3 * wide - 1}), i -> aggregate({own}, named_struct('n', 0, 'k', 0L, 'c', 0L), (s, x) -> {add}))"
 
 
@@ -52,30 +54,35 @@ def minus(keys: str) -> str:
 
 def peeled(cells: str, wide: int) -> str:
     """How many digests come out of a difference of sketches; null if some stay. Odd steps look for cells with a single
-    digest, even ones take these digests out of all their cells."""
-    pure = f"array_distinct(filter(st.cells, (x, i) -> abs(x.n) = 1 and {inside('x.k', 'i', wide)} and x.c = {check_of('x.k')}))"
+    digest, even ones take these digests out of all their cells; when a look finds none, the steps that are left do nothing."""
+    single = f"filter(st.cells, x -> abs(x.n) = 1 and x.c = {check_of('x.k')})"
+    pure = f"array_distinct({placed(single, wide)})"
     take = "named_struct('n', s.n - p.n, 'k', s.k ^ p.k, 'c', s.c ^ p.c)"
-    rest = f"transform(st.cells, (x, i) -> aggregate(filter(st.pure, p -> {inside('p.k', 'i', wide)}), x, (s, p) -> {take}))"
-    begin = f"named_struct('cells', {cells}, 'pure', slice({cells}, 1, 0), 'found', 0)"
-    look = f"named_struct('cells', st.cells, 'pure', {pure}, 'found', st.found)"
-    out = f"named_struct('cells', {rest}, 'pure', slice(st.cells, 1, 0), 'found', st.found + size(st.pure))"
-    step = f"if(t % 2 = 1, {look}, if(size(st.pure) = 0, st, {out}))"
+    rest = f"transform(st.cells, (x, i) -> aggregate(filter(st.pure, p -> p.p = i or p.q = i or p.r = i), x, (s, p) -> {take}))"
+    none = f"slice({placed(cells, wide)}, 1, 0)"
+    begin = f"named_struct('cells', {cells}, 'pure', {none}, 'found', 0, 'ended', false)"
+    look = f"named_struct('cells', st.cells, 'pure', {pure}, 'found', st.found, 'ended', false)"
+    out = f"named_struct('cells', {rest}, 'pure', slice(st.pure, 1, 0), 'found', st.found + size(st.pure), 'ended', false)"
+    stop = "named_struct('cells', st.cells, 'pure', st.pure, 'found', st.found, 'ended', true)"
+    step = f"if(st.ended, st, if(t % 2 = 1, {look}, if(size(st.pure) = 0, {stop}, {out})))"
     end = "if(exists(st.cells, x -> x.n <> 0 or x.k <> 0), cast(null as int), st.found)"
     return f"aggregate(sequence(1, {2 * ROUNDS}), {begin}, (st, t) -> {step}, st -> {end})"
 
 
 def differing(keys_a: str, keys_b: str, cells_a: str, cells_b: str) -> str:
-    """Number of digests that only one of two documents has, by ever larger sketches. Lazily: coalesce stops at the first that peels."""
+    """Number of digests that only one of two documents has, by ever larger sketches. Lazily: coalesce stops at the first that
+    peels, and the first, small one is passed over where its counts alone show more digests than it can give back."""
     subtract = f"zip_with({cells_a}, {cells_b}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'c', a.c ^ b.c))"
+    full = f"aggregate(slice({subtract}, 1, {BASE}), 0, (s, x) -> s + abs(x.n)) > {2 * BASE}"
     both = f"concat({keys_a}, {minus(keys_b)})"
     parts = f"(1 + size({keys_a}) + size({keys_b})) div {PART}"
     larger = []
     for wide in ATTEMPTS:
-        own = f"filter({both}, z -> pmod(shiftright(z.k, 30), 1 + {parts}) = g)"
+        own = placed(f"filter({both}, z -> pmod(shiftright(z.k, 30), 1 + {parts}) = g)", wide)
         counts = f"transform(sequence(0, cast({parts} as int)), g -> {peeled(sketch(own, wide), wide)})"
         larger.append(f"aggregate({counts}, 0, (s, x) -> s + x)")  # null if one part is
     exact = f"size({keys_a}) + size({keys_b}) - 2 * size(array_intersect({keys_a}, {keys_b}))"
-    return f"coalesce({peeled(subtract, BASE)}, {', '.join(larger)}, {exact})"
+    return f"coalesce(if({full}, cast(null as int), {peeled(subtract, BASE)}), {', '.join(larger)}, {exact})"
 
 
 def likeness(keys_a: str, keys_b: str, cells_a: str, cells_b: str) -> str:
@@ -122,8 +129,9 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     for name, text in (("a", "text"), ("e", "edited"), ("b", "next_text")):
         rows = rows.withColumn(f"{name}_keys", F.expr(digests(text)))
     rows = rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a_keys", "e_keys", "b_keys")
+    rows = rows.withColumns({f"{name}_placed": F.expr(placed(f"{name}_keys", BASE)) for name in "aeb"})
     for name in "aeb":
-        rows = rows.withColumn(f"{name}_cells", F.expr(sketch(f"{name}_keys", BASE)))
+        rows = rows.withColumn(f"{name}_cells", F.expr(sketch(f"{name}_placed", BASE)))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
         F.expr(shown("a_keys", "a_cells")).alias("fingerprint"), F.expr(shown("e_keys", "e_cells")).alias("edited_fingerprint"),
