@@ -9,9 +9,11 @@ padding. So no token is padded, no row is shuffled, and a task holds one block a
 Which rows share a sequence depends on how the input is split; each row's ids do not. A null or empty text is one token,
 the end id. Repeated rows and ties are packed like any others, in the order of rows."""
 
+import unicodedata
 import zlib
 
 import numpy as np
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ LENGTH, END = 4096, 2
 BLOCK = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 #: Words of each generation whose ids a task keeps.
-KEPT = 200_000
+KEPT = 600_000
+UNSPLIT, RUN, LETTERS = regex.compile(r"'|<[|]|İ"), regex.compile(r"\p{L}+|\P{L}+"), regex.compile(r"[\p{Ll}]+")
 #: A task's sequences are numbered from its own number times this.
 PER_TASK = 1 << 40
 
@@ -80,31 +83,62 @@ class Block:
 
 
 class Words(dict):
-    """Ids by word, in two generations. Spaces end every token of this vocabulary, so a text's ids are its words' ids in a row."""
+    """Ids by word, in two generations, and below it ids of runs of letters and runs of others. Spaces end every token of this
+    vocabulary, and so do the borders between letters and others: a text's ids are its words' ids in a row, and a word's
+    those of its runs, unless it has an apostrophe (which goes with letters), a special token's beginning or what normalization takes apart or joins."""
 
     def __init__(self, description: str):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.library, self.old = Tokenizer.from_str(description), {}
-
-    def learn(self, words: set[bytes]) -> None:
-        missing = []
-        for w in words:
-            if w not in self:
-                if w in self.old:
-                    self[w] = self.old[w]
-                else:
-                    missing.append(w)
-        for at in range(0, len(missing), 10_000):
-            part = missing[at : at + 10_000]
-            for w, e in zip(part, self.library.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                self[w] = np.array(e.ids, np.uint32).tobytes()
-
-    def turn(self) -> None:
+        self.library, self.old, self.runs = Tokenizer.from_str(description), {}, {}
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+
+    def look_up(self, texts: list[list[bytes]]) -> list[np.ndarray]:
+        """Ids of each text's words."""
+        found = [list(map(self.get, words)) for words in texts]
+        missing = {w for words, got in zip(texts, found, strict=True) for w, v in zip(words, got, strict=True) if v is None}
+        if missing:
+            self.learn(missing)
+            found = [[self[w] if v is None else v for w, v in zip(words, got, strict=True)] for words, got in zip(texts, found, strict=True)]
+        out = [np.frombuffer(b"".join(got), np.uint32) for got in found]
         if len(self) >= KEPT:
             self.old = dict(self)
             self.clear()
+        return out
+
+    def learn(self, missing: set[bytes]) -> None:
+        parts = {}
+        for w in missing:
+            if w in self.old:
+                self[w] = self.old[w]
+            else:
+                text = w.decode()
+                parts[w] = RUN.findall(text) if not UNSPLIT.search(text) and unicodedata.is_normalized("NFC", text) else [text]
+        if len(self.runs) >= KEPT:
+            self.runs.clear()
+        unknown = list({p for own in parts.values() for p in own if p not in self.runs})
+        self.encode([p for p in unknown if LETTERS.fullmatch(p)], [p for p in unknown if not LETTERS.fullmatch(p)])
+        for w, own in parts.items():
+            self[w] = b"".join([self.runs[p] for p in own])
+
+    def encode(self, letters: list[str], others: list[str]) -> None:
+        """Letters in one text each 10,000: every run is one token row with an end; others one by one."""
+        for at in range(0, len(letters), 10_000):
+            part = letters[at : at + 10_000]
+            ids = np.array(self.library.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            stops = (np.nonzero(self.ends[ids])[0] + 1) * 4
+            if len(stops) != len(part) or stops[-1] != 4 * len(ids):  # some run isn't one word to the library
+                others += part
+                continue
+            raw = ids.tobytes()
+            self.runs.update(zip(part, [raw[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)], strict=True))
+        for at in range(0, len(others), 10_000):
+            part = others[at : at + 10_000]
+            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.runs[p] = np.array(e.ids, np.uint32).tobytes()
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
@@ -134,14 +168,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
-                texts = [(t or b"").split() for t in part.column(1).cast(pa.binary()).to_pylist()]
-                cache.learn(set().union(*texts))
-                for doc_id, words in zip(part.column(0).to_pylist(), texts, strict=True):
-                    ids = np.frombuffer(b"".join(map(cache.__getitem__, words)), np.uint32)
+                # the tokenizer lowers letters anyway; but names of special tokens must stay what they are
+                texts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in part.column(1).cast(pa.binary()).to_pylist()]
+                for doc_id, ids in zip(part.column(0).to_pylist(), cache.look_up(texts), strict=True):
                     block.add(doc_id, np.append(ids, np.uint32(END)))
                     if block.tokens >= BLOCK:
                         yield rows(block.pack(False))
-                cache.turn()
         yield rows(block.pack(True))
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
