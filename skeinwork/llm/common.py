@@ -33,9 +33,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def kept(name: str, make: Callable):
     """What make() gives, made once in each Python worker and kept for its later tasks; name must say all that it depends on."""
+    import gc
     import sys
     import types
 
+    gc.set_threshold(500_000, 50, 100)  # such caches hold no cycles; collections would walk them again and again
     store = sys.modules.setdefault("_worker_store", types.ModuleType("_worker_store")).__dict__
     if name not in store:
         store[name] = make()
