@@ -4,7 +4,8 @@ Recompression rewrites a row of words in rounds: symbols fall into two classes b
 first-class symbol and a second-class one behind it becomes one symbol, and runs of equal symbols become one. Names are
 hashes of content, so they are the same in all documents. Equal stretches are rewritten equally but for what lies at
 their ends: with every symbol goes the hull of words that decided it, and a symbol whose hull lies within a window is in
-every equal window. The longest such symbol (of equally long ones the one with the largest name) is the window's anchor.
+every equal window. The longest such symbol, with the words that follow up to eight from its hull's first, is the window's
+anchor (of equally long ones the one with the largest name).
 
 1. Anchors: which of them occur in two documents? Only windows with a shared anchor can repeat.
 2. Verification: such windows are compared as wholes, by 64-bit hashes of their words, for their first document.
@@ -26,7 +27,11 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-WINDOW, ROUNDS = 13, 4
+WINDOW, ROUNDS = 13, 5
+#: Rounds that name runs too, beside pairs: a symbol's hull then takes in both neighbours.
+RUN_ROUNDS = (1,)
+#: Words that an anchor takes in at least, from its hull's first on: few unrelated texts share so many.
+CONTEXT = 8
 #: Buckets for each partition of a shuffle.
 SPREAD = 8
 CHUNK = 8 << 20
@@ -63,10 +68,13 @@ def compressed(names, start, end, low, high, doc, level):
     second = np.zeros(n, bool)
     second[1:] = pair[:-1]
     single = ~pair & ~second
-    # what a single symbol stays hangs on both neighbours; at a document's ends on what isn't there
+    # that a symbol stays single hangs on the neighbour it could have joined, and where runs are named on both; at a
+    # document's ends on what isn't there
     around_low, around_high = np.full(n, -FAR), np.full(n, FAR)
     around_low[1:] = np.where(same[:-1], low[:-1], -FAR)
     around_high[:-1] = np.where(same[:-1], high[1:], FAR)
+    if level not in RUN_ROUNDS:
+        around_low, around_high = np.where(side, around_low, low), np.where(side, high, around_high)
     new_names, new_end = names.copy(), end.copy()
     new_low, new_high = np.where(single, np.minimum(low, around_low), low), np.where(single, np.maximum(high, around_high), high)
     at = np.nonzero(pair)[0]
@@ -75,6 +83,8 @@ def compressed(names, start, end, low, high, doc, level):
     new_low[at], new_high[at] = np.minimum(low[at], low[at + 1]), np.maximum(high[at], high[at + 1])
     stay = ~second
     names, start, end, low, high, doc, fresh = new_names[stay], start[stay], new_end[stay], new_low[stay], new_high[stay], doc[stay], pair[stay]
+    if level not in RUN_ROUNDS:
+        return names, start, end, low, high, doc, fresh
     n = len(names)
     equal = np.zeros(n, bool)  # to the one before
     equal[1:] = (names[1:] == names[:-1]) & (doc[1:] == doc[:-1]) & ~fresh[1:] & ~fresh[:-1]
@@ -93,33 +103,35 @@ def anchors(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each word the anchor of the window that starts there (whatever for windows that leave their document):
     the length of the symbol in the highest four bits, its name in the others."""
     n = len(hashes)
-    best = np.zeros(n, np.uint64)
+    best, around = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    around[: max(0, n - CONTEXT + 1)] = window_hashes(hashes, CONTEXT)
     at = np.arange(n)
     symbols = hashes, at, at + 1, at, at + 1, doc
     for level in range(1, ROUNDS + 1):
         *symbols, fresh = compressed(*symbols, level)
         names, start, end, low, high, _ = symbols
         fit = fresh & (high - low <= WINDOW)
-        keys = np.minimum(end - start, 15).astype(np.uint64)[fit] << np.uint64(60) | names[fit] >> np.uint64(4)
-        low, width = low[fit], (high - low)[fit]
+        low, width = low[fit], np.maximum((high - low)[fit], CONTEXT)
+        inside = low >= 0  # hulls that leave their document don't fit
+        keys = np.minimum(end - start, 15).astype(np.uint64)[fit] << np.uint64(60) | mixed(names[fit] ^ around[np.where(inside, low, 0)]) >> np.uint64(4)
         for back in range(WINDOW - 1):
             may = (width + back <= WINDOW) & (low >= back)
             np.maximum.at(best, low[may] - back, keys[may])
     bare = np.nonzero(best == 0)[0]
     bare = bare[bare + WINDOW <= n]
-    if len(bare):  # single words
+    if len(bare):  # no symbol but single words
         most = np.zeros(len(bare), np.uint64)
-        for k in range(WINDOW):
-            most = np.maximum(most, hashes[bare + k] >> np.uint64(4) | np.uint64(1 << 60))
+        for k in range(WINDOW - CONTEXT + 1):
+            most = np.maximum(most, around[bare + k] >> np.uint64(4) | np.uint64(1 << 60))
         best[bare] = most
     return best
 
 
-def window_hashes(hashes: np.ndarray) -> np.ndarray:
-    """A hash of the window that starts at each word, but for the last ones."""
-    n = len(hashes) - WINDOW + 1
+def window_hashes(hashes: np.ndarray, wide: int = WINDOW) -> np.ndarray:
+    """A hash of the wide words that start at each word, but for the last ones."""
+    n = len(hashes) - wide + 1
     out, spread = np.zeros(max(n, 0), np.uint64), mixed(hashes + K1)
-    for k in range(WINDOW):
+    for k in range(wide):
         out = (out + spread[k : k + n]) * K1
     return mixed(out)
 
@@ -226,8 +238,12 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = parts * SPREAD
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *[c for c in docs.columns if carry and c not in ("doc_id", "text")])
+    # other columns go along under names of our own, so theirs can be anything
+    doc_id, others = F.col("doc_id").cast("long"), [c for c in docs.columns if carry and c not in ("doc_id", "text")]
+    slim = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(others)])
     columns_of_slim = slim.columns
+    # a key that is never null: else the inner join would filter its input, and the two exchanges of texts would differ
+    keyed = slim.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
     extra = columns_of_slim[2:]
 
     def chunks(batches):
@@ -288,16 +304,17 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
 
     def to_documents(sent: DataFrame, earlier: bool) -> DataFrame:
         dealt = sent.repartition(parts, "bucket").mapInArrow(lambda batches: judge(batches, earlier), COLUMNS)
-        return dealt.groupBy("doc_id").agg(F.collect_list("keys").alias("told")).hint("shuffle_hash")
+        return dealt.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list("keys").alias("told")).hint("shuffle_hash")
 
     # all joins take all columns of slim: so the exchange of texts is the same and runs once
     shared = to_documents(slim.select("doc_id", "text").mapInArrow(send_anchors, COLUMNS), False)
-    repeated = to_documents(slim.join(shared, "doc_id").select(*slim.columns, "told").mapInArrow(send_windows, COLUMNS), True)
-    out = slim.join(repeated, "doc_id", "left").select(*slim.columns, "told")
+    repeated = to_documents(keyed.join(shared, "_key").select(*columns_of_slim, "told").mapInArrow(send_windows, COLUMNS), True)
+    out = keyed.join(repeated, "_key", "left").select(*columns_of_slim, "told")
     if not carry:
         return out.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     kept = out.mapInArrow(finish, slim.schema)
-    return (kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in extra else kept).select(*docs.columns)
+    back_again = {c: F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"_x{i}") for i, c in enumerate(others)}
+    return kept.select(*[(back_again[c] if c in back_again else F.col(c)).alias(c) for c in docs.columns])
 
 
 ORACLE_SQL = f"""
