@@ -68,16 +68,24 @@ def emitted(prints: DataFrame, blocks: int, radius: int) -> DataFrame:
     """key, note: each fingerprint with all its variants. The note, a short number, is the variant and the dropped bits: with
     the key it gives the fingerprint back, which so needn't be sent along."""
     masks = variants(blocks, radius)
-    each = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("keep"), F.lit(f).alias("flip"), F.lit(low).alias("low"), F.lit((1 << n) - 1).alias("ones"), F.lit(i).alias("code")) for i, (k, f, low, n) in enumerate(masks)])).alias("m"))
-    dropped = F.expr(f"(shiftrightunsigned(fp, m.low) & cast(m.ones as bigint)) * {1 << len(masks).bit_length()}")
-    return each.select(F.col("fp").bitwiseAND(F.col("m.keep")).bitwiseXOR(F.col("m.flip")).alias("key"), (dropped + F.col("m.code")).cast("int").alias("note"))
+    each = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(len(masks) - 1))).alias("code"))
+    of = lambda k: one_of(masks, k, F.col("code"))
+    each = each.withColumns({"keep": of(0), "flip": of(1), "low": of(2).cast("int"), "ones": F.lit((1 << max(m[3] for m in masks)) - 1)})
+    dropped = F.expr(f"(shiftrightunsigned(fp & ~keep, low) & cast(ones as bigint)) * {1 << len(masks).bit_length()}")
+    return each.select(F.col("fp").bitwiseAND(F.col("keep")).bitwiseXOR(F.col("flip")).alias("key"), (dropped + F.col("code")).cast("int").alias("note"))
+
+
+def one_of(masks: list[tuple], k: int, code):
+    """The k-th number of the variant with that code, from one literal array (written as SQL: it is parsed at once)."""
+    numbers = ",".join(f"cast('{m[k]}' as bigint)" if m[k] == -(1 << 63) else f"{m[k]}L" for m in masks)
+    return F.element_at(F.expr(f"array({numbers})"), (code + 1).cast("int"))
 
 
 def given_back(met: DataFrame, blocks: int, radius: int) -> DataFrame:
     """met with the column fp in place of the note."""
     masks, wide = variants(blocks, radius), len(variants(blocks, radius)).bit_length()
-    of = lambda k: F.element_at(F.array(*[F.lit(m[k]) for m in masks]), (F.col("note") % (1 << wide) + 1).cast("int"))
-    met = met.withColumns({"keep": of(0), "flip": of(1), "low": of(2)})
+    of = lambda k: one_of(masks, k, F.col("note") % (1 << wide))
+    met = met.withColumns({"keep": of(0), "flip": of(1), "low": of(2).cast("int")})
     dropped = F.expr(f"shiftleft(cast(note div {1 << wide} as bigint), low)")
     return met.withColumn("fp", F.col("key").bitwiseXOR(F.col("flip")).bitwiseAND(F.col("keep")).bitwiseOR(dropped)).drop("note", "keep", "flip", "low")
 
