@@ -68,13 +68,19 @@ def compressed(names, start, end, low, high, doc, level):
     second = np.zeros(n, bool)
     second[1:] = pair[:-1]
     single = ~pair & ~second
-    # that a symbol stays single hangs on the neighbour it could have joined, and where runs are named on both; at a
-    # document's ends on what isn't there
+    # that a symbol stays single hangs on the neighbour it could have joined, and where runs are named on both, and on the
+    # one beyond an equal neighbour, which may take that away; at a document's ends on what isn't there
     around_low, around_high = np.full(n, -FAR), np.full(n, FAR)
     around_low[1:] = np.where(same[:-1], low[:-1], -FAR)
     around_high[:-1] = np.where(same[:-1], high[1:], FAR)
     if level not in RUN_ROUNDS:
         around_low, around_high = np.where(side, around_low, low), np.where(side, high, around_high)
+    else:
+        twin = same.copy()
+        twin[:-1] &= names[1:] == names[:-1]
+        beyond_low, beyond_high = np.append(-FAR, around_low[:-1]), np.append(around_high[1:], FAR)
+        around_high = np.where(twin, beyond_high, around_high)
+        around_low[1:] = np.where(twin[:-1], beyond_low[1:], around_low[1:])
     new_names, new_end = names.copy(), end.copy()
     new_low, new_high = np.where(single, np.minimum(low, around_low), low), np.where(single, np.maximum(high, around_high), high)
     at = np.nonzero(pair)[0]

@@ -144,6 +144,29 @@ def test_substrings_of_repetitive_rows(spark):
         assert {i: r.n_removed for i, r in got.items()} == {i: len((texts[i]).split()) - len(w) for i, w in want.items()}
 
 
+def test_equal_windows_have_equal_anchors():
+    rng = np.random.default_rng(3)
+    random_words = lambda n: rng.integers(0, 1 << 63, n).astype(np.uint64)
+    for _ in range(400):
+        shared = random_words(13)
+        shared[1], shared[-1] = shared[0], shared[-2]  # doubled words at both edges
+        rows = [np.concatenate([random_words(20), shared, random_words(20)]) for _ in range(4)]
+        assert len({int(substrings.anchors(row, np.zeros(len(row), np.int64))[20]) for row in rows}) == 1
+
+
+def test_substrings_with_doubled_edges(spark):
+    rng = random.Random(5)
+    word = lambda: f"w{rng.randrange(10**9)}"
+    texts = []
+    for _ in range(150):
+        inner = [word() for _ in range(11)]
+        shared = [inner[0], *inner, inner[-1]]
+        texts += [" ".join([word() for _ in range(15)] + shared + [word() for _ in range(15)]) for _ in range(2)]
+    got = rows(substrings.remove_repeats(documents(spark, texts)))
+    want = brute_repeats(texts, range(len(texts)))
+    assert {i: r.n_removed for i, r in got.items()} == {i: len(texts[i].split()) - len(w) for i, w in want.items()}
+
+
 def test_pieces_equal_the_library(spark, docs):
     import sentencepiece
 
