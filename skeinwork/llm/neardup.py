@@ -9,6 +9,12 @@ Where few meet, the pairs among them are verified. Where more than CROWD meet, p
 them emit the plain form's variants among themselves: whoever meets there is surely within 4 bits, and links to the
 smallest are enough. No pair is lost either way, and nothing is capped.
 
+Near copies with a few changed words often lie further apart than that. So near_duplicates also links texts whose sets of five
+words have a Jaccard similarity of at least 0.8 (op3's query leaves that out: its contract is the 4 bits). Candidates
+come from the prefixes of these sets: under one order of all shingles, two sets so similar share one of their first fifth.
+The order puts shingles that are common in a sample last; any order is complete. Candidates are verified on their whole
+sets. Where many meet, they are compared with the first few, and what these link isn't compared again.
+
 Null, empty and wordless texts have fingerprint zero, linked like any other. Equal texts are one fingerprint from the
 start, however many. Rows without a doc_id get a component like others, but name none."""
 
@@ -20,11 +26,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.components import components
-from .common import map_texts, written
+from .common import map_texts, slices, written
+from .substrings import Hashes, window_hashes
 
 SHINGLE, BITS, RADIUS, BLOCKS = 4, 64, 4, 3
 #: Where more meet than this, the plain form takes over: it is cheaper there.
 CROWD = 32
+#: Words of a shingle whose sets are compared, and the least Jaccard similarity of near copies, as a fraction.
+WORDS, PART, WHOLE = 5, 4, 5
+#: Distinct texts to learn common shingles from, about, and in how many of them a shingle is common.
+SAMPLE_TEXTS, COMMON = 20_000, 5
+#: With how many of a crowd all others are compared first.
+LEADERS = 4
 
 
 def simhash(text: bytes | None) -> int:
@@ -103,17 +116,139 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Data
     return pairs.unionByName(stars).distinct()
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach)."""
-    rows = written(map_texts(docs, "fp long", lambda: lambda texts: [[simhash(t) for t in texts]]), "simhash")
-    classes = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(classes.select("fp"), radius), written)
-    linked = classes.join(roots.withColumnRenamed("id", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = linked.groupBy("root").agg(F.min("least").alias("component_id"))
+def shingle_sets(texts: list, known: Hashes) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles; of the whole text if it is shorter, none of a text without words."""
+    words = [(t or b"").lower().split() for t in texts]
+    hashes = np.fromiter((known[x] for w in words for x in w), np.uint64)
+    found, at, out = window_hashes(hashes, WORDS), 0, []
+    for w in words:
+        n = len(w)
+        out.append(np.unique(found[at : at + n - WORDS + 1] if n >= WORDS else window_hashes(hashes[at : at + n], n)[: min(n, 1)]).view(np.int64))
+        at += n
+    return out
+
+
+def text_key(text: bytes | None) -> int:
+    """What xxhash64 gives for a text, a signed number."""
+    import xxhash
+
+    return signed(xxhash.xxh64_intdigest(text, 42)) if text is not None else 42
+
+
+def map_sets(texts: DataFrame, schema: str, columns) -> DataFrame:
+    """texts: sid, text. columns(sids, sets) gives the columns of schema."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        known, names = Hashes(), [c.split()[0] for c in schema.split(", ")]
+        for batch in batches:
+            for part in slices(batch, 1):
+                sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), known)
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns(part.column(0).to_numpy(), sets)], names=names)
+
+    return texts.mapInArrow(run, schema)
+
+
+def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and numbers of the shingles that are common in a sample of texts."""
+    share = int((1 << 20) * min(1.0, SAMPLE_TEXTS / max(1, texts.count())))
+    sample = texts.where(F.pmod("sid", F.lit(1 << 20)) < share).dropDuplicates(["sid"])
+    seen = map_sets(sample, "key long", lambda sids, sets: [np.concatenate([np.empty(0, np.int64), *sets])])
+    found = seen.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= COMMON).orderBy("key").toArrow()
+    return found.column("key").to_numpy(), found.column("n").to_numpy()
+
+
+def prefixes(texts: DataFrame) -> DataFrame:
+    """key, sid, n, at: the shingles of each text's prefix, the size of its set and the place in it."""
+    held = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+
+    def columns(sids, sets):
+        common, seen = held.value
+        keys, lengths = [np.empty(0, np.int64)], []
+        for own in sets:
+            size = len(own) - -(-len(own) * PART // WHOLE) + 1 if len(own) else 0
+            if len(common) and size:
+                i = np.minimum(np.searchsorted(common, own), len(common) - 1)
+                own = own[np.argsort(np.where(common[i] == own, seen[i], 0), kind="stable")]
+            keys.append(own[:size])
+            lengths.append(size)
+        lengths = np.array(lengths, np.int64)
+        at = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return np.concatenate(keys), np.repeat(sids, lengths), np.repeat(np.array([len(x) for x in sets], np.int32), lengths), at.astype(np.int32)
+
+    return map_sets(texts, "key long, sid long, n int, at int", columns)
+
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: the roots of those pairs (a, b, ra, rb; a and b are texts' sids) whose sets are similar enough."""
+    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
+    chosen = texts.join(ids, "sid", "left_semi").dropDuplicates(["sid"])
+    sets = written(map_sets(chosen, "sid long, grams binary", lambda sids, sets: [sids, [x.tobytes() for x in sets]]), "sets")
+    both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").select("ra", "rb", "ga", "gb")
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                c = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(c * WHOLE >= PART * (len(x) + len(y) - c))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """id, root: which roots of linked (fp, root) are one component by similar texts."""
+    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("sid"), F.col("text").cast("string").alias("text"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = prefixes(texts).repartition(parts, "key").distinct()
+    met = met.withColumns({"m": F.count("*").over(W.partitionBy("key")), "place": F.row_number().over(W.partitionBy("key").orderBy("sid"))}).where("m > 1")
+    roots = rows.select("sid", "fp").distinct().join(linked, "fp").select("sid", "root")
+    met = written(met.join(roots, "sid"), "near")
+
+    def pairs(rows: DataFrame, first: str) -> DataFrame:
+        a = rows.where(first).select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "at", "root")])
+        both = a.join(rows, "key").where("sid_a < sid and root_a <> root")
+        # as many as they may share from here on, and at least must
+        both = both.where(f"least(n_a - at_a, n - at) * {PART + WHOLE} >= {PART} * (n_a + n)")
+        return both.select(F.col("sid_a").alias("a"), F.col("sid").alias("b"), F.col("root_a").alias("ra"), F.col("root").alias("rb")).distinct()
+
+    near = written(verified(written(pairs(met, f"m <= {CROWD} or place <= {LEADERS}"), "pairs"), texts), "similar")
+    found = components(near, written)
+    crowd = met.where(F.col("m") > CROWD).join(found.toDF("root", "top"), "root", "left").withColumn("root", F.coalesce("top", "root"))
+    left = verified(written(pairs(crowd, f"place > {LEADERS}"), "pairs"), texts)
+    return components(near.unionByName(left).unionByName(found.toDF("a", "b")), written)
+
+
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, similar: bool = True) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, fingerprint (16 hex digits), component_id (the smallest doc_id that links reach).
+    similar: link near copies by their shingles too, not just fingerprints within the radius."""
+    rows, linked = grouped(docs, radius, similar)
+    least = rows.groupBy("fp").agg(F.min("doc_id").alias("least")).join(linked, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     named = linked.join(least, "root").select("fp", "component_id")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def grouped(docs: DataFrame, radius: int, similar: bool) -> tuple[DataFrame, DataFrame]:
+    """doc_id, fp and (if similar) sid of each row; fp, root: the component of each fingerprint."""
+    if similar:
+        rows = written(map_texts(docs, "fp long, sid long", lambda: lambda texts: [[simhash(t) for t in texts], [text_key(t) for t in texts]]), "simhash")
+    else:
+        rows = written(map_texts(docs, "fp long", lambda: lambda texts: [[simhash(t) for t in texts]]), "simhash")
+    prints = rows.select("fp").distinct()
+    roots = components(links(prints, radius), written)
+    linked = prints.join(roots.withColumnRenamed("id", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    if not similar:
+        return rows, linked
+    linked = written(linked, "linked")
+    tops = similar_roots(docs, rows, linked).toDF("root", "top")
+    return rows, linked.join(tops, "root", "left").select("fp", F.coalesce("top", "root").alias("root"))
+
+
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay."""
     named = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()

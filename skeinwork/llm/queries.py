@@ -23,7 +23,7 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(documents(spark, sf_dir))
+    return neardup.near_duplicates(documents(spark, sf_dir), similar=False)
 
 
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,6 +112,41 @@ def test_links_of_a_crowd(spark, monkeypatch):
         assert len({frozenset(v) for v in near.values()}) == 1
 
 
+def near_texts():
+    """Texts with planted copies of a few changed words, two crowds among them, and a passage that many share."""
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage, texts = " ".join(word() for _ in range(30)), []
+    for n, copies in ((60, 12), (200, 12), (8, 3), (120, 1)) * 4:
+        base = [word() for _ in range(n)]
+        for _ in range(copies):
+            new = list(base)
+            for i in rng.sample(range(n), rng.randint(0, max(1, n // 40))):
+                new[i] = word()
+            texts.append(" ".join(new))
+    texts += [f"{passage} {' '.join(word() for _ in range(rng.randint(5, 60)))}" for _ in range(30)]
+    return [*texts, None, "", "one two", "One two", texts[0], texts[0]]
+
+
+@pytest.mark.parametrize("crowd", [2, 32])
+def test_near_copies_equal_all_pairs(spark, monkeypatch, crowd):
+    monkeypatch.setattr(neardup, "CROWD", crowd)
+    texts = near_texts()
+    words = [(t or "").lower().split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints = [fingerprint_of(t) for t in texts]
+    bits = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    alike = lambda a, b: 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])
+    near = [[b for b in range(len(texts)) if bits(a, b) <= 4 or alike(a, b)] for a in range(len(texts))]
+    assert any(bits(a, b) > 4 for a in range(len(texts)) for b in near[a])
+    root = list(range(len(texts)))
+    for _ in range(len(texts)):
+        root = [min(root[b] for b in near[a]) for a in range(len(texts))]
+    got = rows(neardup.near_duplicates(documents(spark, texts).repartition(3)))
+    assert root == [got[i].component_id for i in range(len(texts))]
+    assert {r.doc_id for r in neardup.keep_one_of_each(documents(spark, texts)).collect()} == set(root)
+
+
 def brute_repeats(texts, ids):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     first = {}
