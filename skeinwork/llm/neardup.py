@@ -250,6 +250,13 @@ def grouped(docs: DataFrame, radius: int, similar: bool) -> tuple[DataFrame, Dat
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; rows without a doc_id stay."""
-    named = near_duplicates(docs, radius).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(named, "doc_id", "left_semi").unionByName(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """One row of docs for each component: the one with the smallest doc_id (rows without one come last), then by a hash of
+    the text, then by one of the whole row."""
+    rows, linked = grouped(docs, radius, True)
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")
+    best = rows.join(linked, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_best"), F.col("best.sid").alias("_sid"))
+    mine = docs.withColumn("_sid", F.xxhash64(F.col("text").cast("string")))
+    best = best.withColumnRenamed("_sid", "_best_sid")
+    found = mine.join(best, (mine["_sid"] == best["_best_sid"]) & mine["doc_id"].cast("long").eqNullSafe(best["_best"]), "left_semi")
+    place = F.row_number().over(W.partitionBy("doc_id", "_sid").orderBy(F.xxhash64(*docs.columns)))
+    return found.withColumn("_place", place).where("_place = 1").select(*docs.columns)

@@ -147,6 +147,12 @@ def test_near_copies_equal_all_pairs(spark, monkeypatch, crowd):
     assert {r.doc_id for r in neardup.keep_one_of_each(documents(spark, texts)).collect()} == set(root)
 
 
+def test_one_row_of_each_component_stays(spark):
+    one, two = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    found = neardup.keep_one_of_each(documents(spark, [one, one, None, two, two, one, one + " x", two], [3, 3, 9, None, None, None, 3, None]))
+    assert sorted((r.doc_id or 0, (r.text or "")[:1]) for r in found.collect()) == [(0, "b"), (3, "a"), (9, "")]
+
+
 def brute_repeats(texts, ids):
     words = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
     first = {}
