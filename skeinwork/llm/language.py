@@ -10,6 +10,7 @@ to the language first in the alphabet. Equal texts get equal rows."""
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import map_texts
 
@@ -17,6 +18,8 @@ from .common import map_texts
 FOLDS, HELD_OUT = 4, 2
 #: Texts of a language to learn from, and their length: the bound of the sample.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1200, 20_000
+#: Of a language without a text in that sample, so many of its shortest texts are taken whole.
+SHORTEST = 20
 #: Lengths of n-grams; bits of a slot's number; slots of an n-gram.
 ORDERS, SLOT_BITS, PROBES = (3, 5), 20, 2
 #: An n-gram is a language's if it was seen so often there, and at this part of the rate where it is most usual.
@@ -121,15 +124,21 @@ def fold(folds: int):
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     """Up to about SAMPLE_TEXTS texts of each language, by a hash of doc_id, from the rows to learn from."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold(FOLDS) != HELD_OUT))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(64).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()}
     if not counts:
         return {}
+    if len(counts) > 64:
+        raise ValueError("a slot has 64 bits: at most 64 languages")
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 20) * min(1.0, SAMPLE_TEXTS / n)))])
     taken = rows.where((part < most[F.col("lang")]) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text").orderBy("lang", "text")
     out: dict[str, list[str]] = {k: [] for k in counts}
     for lang, text in zip(*[c.to_pylist() for c in taken.toArrow().columns], strict=True):
         out[lang].append(text)
+    if none := [k for k, v in out.items() if not v]:
+        place = F.row_number().over(W.partitionBy("lang").orderBy(F.length("text"), "text"))
+        for r in rows.where(F.col("lang").isin(none) & F.col("text").isNotNull()).withColumn("place", place).where(F.col("place") <= SHORTEST).orderBy("lang", "place").collect():
+            out[r.lang].append(r.text)
     return {k: v for k, v in out.items() if v}
 
 

@@ -283,6 +283,14 @@ def test_language_of_textless_rows(spark):
     assert [got[i].lang_pred for i in range(3)] == ["und"] * 3 and got[3].lang_pred == "en"
 
 
+def test_languages_are_not_forgotten(spark):
+    many = spark.createDataFrame([(i, f"text {i}", f"l{i % 70}") for i in range(700)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="64 languages"):
+        language.training_sample(many)
+    long = spark.createDataFrame([(i, ("alpha " if i % 2 else "beta ") * (5000 if i % 2 else 5), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
+    assert set(language.training_sample(long)) == {"a", "b"}
+
+
 def test_fingerprints_of_edge_cases(spark):
     got = rows(fingerprints.fingerprint_documents(documents(spark, [None, "", "a\nb\nc\nd", "a\nb\nc\nd", "x"], [5, 1, 2, 3, None])))
     assert got[2].fingerprint == got[3].fingerprint and got[2].near_next == 1.0 and got[5].n_chars == 0
