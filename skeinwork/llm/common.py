@@ -3,7 +3,9 @@
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -46,7 +48,7 @@ def kept(name: str, make: Callable):
 
 def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in slices whose texts hold at most that many bytes; a longer text makes a slice of its own."""
-    lengths = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
     start = held = 0
     for i, n in enumerate(lengths):
         if held and held + n > most:
@@ -85,3 +87,19 @@ WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 o
 def words_of(text: bytes | None) -> list[bytes]:
     """Lower-cased words of letters, digits and characters beyond ASCII."""
     return (text or b"").translate(WORD_BYTES).split()
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of all texts in a row (what lies between ASCII whitespace), their number in each text, and two 64-bit hashes
+    of each word. A null text has none."""
+    import xxhash
+
+    lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
+    counts, words = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
+    filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+    if not filled.all():  # what lies before leading and behind trailing spaces
+        counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[filled], minlength=len(counts))
+        words = words.filter(pa.array(filled))
+    coded = words.dictionary_encode()
+    known = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.cast(pa.binary()).to_pylist()))
+    return words, counts, np.frombuffer(known, ">u8").astype(np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]

@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.components import components
-from .common import map_texts, slices, written
-from .substrings import Hashes, window_hashes
+from .common import map_texts, slices, split_words, written
+from .substrings import Names
 
 SHINGLE, BITS, RADIUS, BLOCKS = 4, 64, 4, 3
 #: Where more meet than this, the plain form takes over: it is cheaper there.
@@ -116,15 +116,16 @@ def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> Data
     return pairs.unionByName(stars).distinct()
 
 
-def shingle_sets(texts: list, known: Hashes) -> list[np.ndarray]:
+def shingle_sets(texts) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles; of the whole text if it is shorter, none of a text without words."""
-    words = [(t or b"").lower().split() for t in texts]
-    hashes = np.fromiter((known[x] for w in words for x in w), np.uint64)
-    found, at, out = window_hashes(hashes, WORDS), 0, []
-    for w in words:
-        n = len(w)
-        out.append(np.unique(found[at : at + n - WORDS + 1] if n >= WORDS else window_hashes(hashes[at : at + n], n)[: min(n, 1)]).view(np.int64))
-        at += n
+    import pyarrow.compute as pc
+
+    _, counts, known = split_words(pc.ascii_lower(texts))
+    names, out = Names(np.ascontiguousarray(known[:, 0]), 0), []
+    start = np.arange(counts.sum())
+    found = names(start, np.minimum(start + WORDS, len(start))).view(np.int64)
+    for at, n in zip((np.cumsum(counts) - counts).tolist(), counts.tolist(), strict=True):
+        out.append(np.unique(found[at : at + n - WORDS + 1]) if n >= WORDS else names(np.array([at] * (n > 0), np.int64), np.array([at + n] * (n > 0), np.int64)).view(np.int64))
     return out
 
 
@@ -141,10 +142,10 @@ def map_sets(texts: DataFrame, schema: str, columns) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        known, names = Hashes(), [c.split()[0] for c in schema.split(", ")]
+        names = [c.split()[0] for c in schema.split(", ")]
         for batch in batches:
             for part in slices(batch, 1):
-                sets = shingle_sets(part.column(1).cast(pa.binary()).to_pylist(), known)
+                sets = shingle_sets(part.column(1))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns(part.column(0).to_numpy(), sets)], names=names)
 
     return texts.mapInArrow(run, schema)

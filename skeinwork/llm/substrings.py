@@ -1,42 +1,52 @@
-"""Removal of repeated word windows, found by recompression.
+"""Removal of repeated word windows, found and verified by recompression.
 
 Recompression rewrites a row of words in rounds: symbols fall into two classes by a bit of their name, each pair of a
 first-class symbol and a second-class one behind it becomes one symbol, and runs of equal symbols become one. Names are
-hashes of content, so they are the same in all documents. Equal stretches are rewritten equally but for what lies at
-their ends: with every symbol goes the hull of words that decided it, and a symbol whose hull lies within a window is in
-every equal window. The longest such symbol, with the words that follow up to eight from its hull's first, is the window's
-anchor (of equally long ones the one with the largest name).
+hashes of content, so they are the same in all documents and naming needs no exchange. Equal stretches are rewritten equally
+but for what lies at their ends: with every symbol goes the hull of words that decided it, and a symbol whose hull lies
+within a window is in every equal window. The longest such symbol, with the words that follow up to eight from its hull's
+first, is the window's anchor (of equally long ones the one with the largest name).
 
-1. Anchors: which of them occur in two documents? Only windows with a shared anchor can repeat.
-2. Verification: such windows are compared as wholes, by 64-bit hashes of their words, for their first document.
-3. Words covered by a window that starts in an earlier document too are removed.
+The consecutive windows of one anchor are a stretch: the anchor's symbol and the words around it as far as it is theirs.
 
-Both comparisons send packed hashes by their value to buckets. A task settles what it can among its own documents first
-and sends one entry for each hash on, so a passage that a third of all documents share comes to one bucket as often as
-there are tasks' chunks, not documents. Results go back to documents by doc_id; the text is shuffled once, and that
-exchange is used again.
+1. First round: stretches meet at their anchors. Where all that meet are the same, no two windows of others can be equal:
+   all but the first document lose the stretch, and nothing is left to compare. So long repeats are settled, but for their ends.
+2. Second round: where different stretches share an anchor, windows of each one's first document meet one by one.
+3. Words covered by a stretch or window that starts in an earlier document too are removed.
+
+What is compared are names of 128 bits of all words (80 of the stretch beside 48 of its anchor, or 128 of the window), made
+of 128-bit hashes of the words: equal names are taken for equal words.
+
+A task settles what it can among the documents of one chunk first and sends one row for each name on, so a passage that a
+third of all documents share meets as often as there are chunks, not documents. Chunks are cut from rows in order, so a task
+that runs again sends the same. Results go back to documents by doc_id; the text is shuffled once, and that exchange is used
+again. Memory: a chunk's arrays in a Python worker; all meeting and sorting is Spark's.
 
 Null, empty and short texts (fewer words than a window) keep all their words, joined by spaces. Rows without a doc_id
-neither remove nor lose words. Rows that share a doc_id are one document's: none is earlier than the other."""
+neither remove nor lose words. Rows that share a doc_id are one document's: none is earlier than the other. Equal rows get
+equal results. Columns besides doc_id and text may have any names; an empty table gives no rows."""
 
 import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from .common import slices
+from .common import slices, split_words
 
 WINDOW, ROUNDS = 13, 5
 #: Rounds that name runs too, beside pairs: a symbol's hull then takes in both neighbours.
 RUN_ROUNDS = (1,)
 #: Words that an anchor takes in at least, from its hull's first on: few unrelated texts share so many.
 CONTEXT = 8
-#: Buckets for each partition of a shuffle.
-SPREAD = 8
-CHUNK = 8 << 20
+#: Bytes of text in a chunk, unless a single text is longer.
+CHUNK = 2 << 20
 K1, K2, K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 FAR = 1 << 40
+#: Rows that a task sends: the first document of a name in its chunk, the same where the chunk has another, a document settled.
+ALONE, SHARED, SETTLED = 0, 1, 2
+SENT = "key long, x long, y long, doc long, kind byte"
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -45,16 +55,34 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(30))
 
 
-class Hashes(dict):
-    """XXH64 of words; forgotten when there are too many."""
+class Powers:
+    """Powers of an odd number modulo 2**64 and of its inverse, as far as they were needed."""
+
+    def __init__(self, base: int):
+        self.base, self.inverse, self.up, self.down = np.uint64(base), np.uint64(pow(base, -1, 1 << 64)), np.ones(1, np.uint64), np.ones(1, np.uint64)
+
+    def reach(self, n: int) -> None:
+        if n > len(self.up):
+            one, n = np.ones(1, np.uint64), max(n, 1 << 20)
+            self.up = np.cumprod(np.concatenate([one, np.full(n - 1, self.base)]))
+            self.down = np.cumprod(np.concatenate([one, np.full(n - 1, self.inverse)]))
+
+
+POWERS = Powers(0x9E3779B97F4A7C13), Powers(0xD6E8FEB86659FD93)
 
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
 
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
+class Names:
+    """64-bit names of all stretches of a row of words, from sums of the words' hashes times powers of a number."""
+
+    def __init__(self, hashes: np.ndarray, family: int):
+        n = len(hashes)
+        self.powers = POWERS[family]
+        self.powers.reach(n + 1)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(mixed(hashes + K1) * self.powers.up[:n], out=self.sums[1:])
+
+    def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed((self.sums[end] - self.sums[start]) * self.powers.down[start] + (end - start).astype(np.uint64) * K3)
 
 
 def compressed(names, start, end, low, high, doc, level):
@@ -108,214 +136,195 @@ def compressed(names, start, end, low, high, doc, level):
 def anchors(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
     """For each word the anchor of the window that starts there (whatever for windows that leave their document):
     the length of the symbol in the highest four bits, its name in the others."""
-    n = len(hashes)
-    best, around = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-    around[: max(0, n - CONTEXT + 1)] = window_hashes(hashes, CONTEXT)
+    n, spare = len(hashes), WINDOW - CONTEXT + 1
+    around = np.zeros(n, np.uint64)
+    if n >= CONTEXT:
+        start = np.arange(n - CONTEXT + 1)
+        around[: len(start)] = Names(hashes, 0)(start, start + CONTEXT)
     at = np.arange(n)
     symbols = hashes, at, at + 1, at, at + 1, doc
+    # the best symbol by how many words its hull takes in beyond CONTEXT, and by where the hull starts
+    held = np.zeros((spare, n), np.uint64)
     for level in range(1, ROUNDS + 1):
         *symbols, fresh = compressed(*symbols, level)
         names, start, end, low, high, _ = symbols
-        fit = fresh & (high - low <= WINDOW)
-        low, width = low[fit], np.maximum((high - low)[fit], CONTEXT)
-        inside = low >= 0  # hulls that leave their document don't fit
-        keys = np.minimum(end - start, 15).astype(np.uint64)[fit] << np.uint64(60) | mixed(names[fit] ^ around[np.where(inside, low, 0)]) >> np.uint64(4)
-        for back in range(WINDOW - 1):
-            may = (width + back <= WINDOW) & (low >= back)
-            np.maximum.at(best, low[may] - back, keys[may])
+        fit = np.nonzero(fresh & (high - low <= WINDOW) & (low >= 0))[0]  # hulls that leave their document don't fit
+        low, wide = low[fit], np.maximum((high - low)[fit] - CONTEXT, 0)
+        keys = np.minimum(end[fit] - start[fit], 15).astype(np.uint64) << np.uint64(60) | mixed(names[fit] ^ around[low]) >> np.uint64(4)
+        np.maximum.at(held.reshape(-1), wide * n + low, keys)
+    np.maximum.accumulate(held, axis=0, out=held)
+    best = held[spare - 1].copy()
+    for back in range(1, spare):
+        np.maximum(best[: n - back], held[spare - 1 - back, back:], out=best[: n - back])
     bare = np.nonzero(best == 0)[0]
     bare = bare[bare + WINDOW <= n]
     if len(bare):  # no symbol but single words
         most = np.zeros(len(bare), np.uint64)
-        for k in range(WINDOW - CONTEXT + 1):
+        for k in range(spare):
             most = np.maximum(most, around[bare + k] >> np.uint64(4) | np.uint64(1 << 60))
         best[bare] = most
     return best
 
 
-def window_hashes(hashes: np.ndarray, wide: int = WINDOW) -> np.ndarray:
-    """A hash of the wide words that start at each word, but for the last ones."""
-    n = len(hashes) - wide + 1
-    out, spread = np.zeros(max(n, 0), np.uint64), mixed(hashes + K1)
-    for k in range(wide):
-        out = (out + spread[k : k + n]) * K1
-    return mixed(out)
-
-
 class Chunk:
-    """The words of some documents, as hashes in a row; whole: which words start a window."""
-
-    def __init__(self, ids: list, texts: list, known: Hashes):
-        words = [(t or b"").split() for t in texts]
-        counts = np.array([len(w) for w in words], np.int64)
-        self.doc = np.repeat(np.arange(len(words)), counts)
-        self.hashes = np.fromiter((known[x] for w in words for x in w), np.uint64, int(counts.sum()))
-        self.begin = np.cumsum(counts) - counts
-        left = np.repeat(self.begin + counts, counts) - np.arange(len(self.hashes))
-        named = np.array([i is not None for i in ids], bool)
-        self.whole = (left >= WINDOW) & named[self.doc]
+    """The words of some documents in a row, as Arrow values, with two hashes each; whole: which words start a window."""
+
+    def __init__(self, ids: list, texts):
+        words, counts, known = split_words(texts)
+        self.hashes, self.others = np.ascontiguousarray(known[:, 0]), np.ascontiguousarray(known[:, 1])
+        self.words, self.counts, self.begin = words, counts, np.cumsum(counts) - counts
+        self.doc = np.repeat(np.arange(len(counts)), counts)
+        left = np.repeat(self.begin + counts, counts) - np.arange(len(self.doc))
+        self.whole = (left >= WINDOW) & np.array([i is not None for i in ids], bool)[self.doc]
         self.ids = np.array([0 if i is None else i for i in ids], np.int64)
-        self.words, self.counts, self.given = words, counts, ids
 
+    def names(self) -> tuple[Names, Names]:
+        return Names(self.hashes, 0), Names(self.others, 1)
+
+    def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """First windows, ends behind last windows, and names (48 bits of the anchor and 16 of the words; 64 of the words)."""
+        best, at = anchors(self.hashes, self.doc), np.nonzero(self.whole)[0]
+        new = np.ones(len(at), bool)
+        new[1:] = (best[at[1:]] != best[at[:-1]]) | (self.doc[at[1:]] != self.doc[at[:-1]])
+        first = at[new]
+        until = at[np.append(np.nonzero(new)[0][1:], len(at)) - 1] + 1 if len(at) else first
+        one, two = self.names()
+        end = until + WINDOW - 1
+        return first, until, mixed(best[first]) >> np.uint64(16) << np.uint64(16) | two(first, end) >> np.uint64(48), one(first, end)
+
+    def windows(self, first: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and names of the windows of these stretches."""
+        length = until - first
+        at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
+        one, two = self.names()
+        return at, one(at, at + WINDOW), two(at, at + WINDOW)
+
+
+def among(doc, x, y, told_doc, told_x, told_y) -> np.ndarray:
+    """Places of (doc, x, y) among those that were told, or -1."""
+    blend = lambda d, a, b: mixed(mixed(a ^ mixed(d.astype(np.uint64) + K1)) + b)
+    if not len(told_x):
+        return np.full(len(x), -1)
+    told = blend(told_doc, told_x, told_y)
+    order = np.argsort(told, kind="stable")
+    mine = blend(doc, x, y)
+    at = order[np.minimum(np.searchsorted(told[order], mine), len(told) - 1)]
+    return np.where((told_x[at] == x) & (told_y[at] == y) & (told_doc[at] == doc), at, -1)
+
+
+def settled(x: np.ndarray, y: np.ndarray, ids: np.ndarray, key: np.ndarray):
+    """A chunk's rows by name: its first document, for the others word that an earlier one has it."""
+    import pyarrow as pa
 
-COLUMNS = "bucket int, doc_id long, docs binary, keys binary"
-#: kinds of rows by their columns: entries (docs, keys), hashes that are known to be shared (keys), and word back to a document (doc_id, keys)
+    order = np.lexsort((ids, y, x))
+    x, y, ids, key = x[order], y[order], ids[order], key[order]
+    same = np.zeros(len(x), bool)
+    same[1:] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
+    once = ~same
+    once[1:] |= ids[1:] != ids[:-1]
+    x, y, ids, key, same = x[once], y[once], ids[once], key[once], same[once]
+    kind = np.where(same, SETTLED, ALONE).astype(np.int8)
+    kind[:-1][~same[:-1] & same[1:]] = SHARED
+    # settled rows meet nobody: they go by their documents
+    key = np.where(same, ~(mixed(ids.view(np.uint64)) >> np.uint64(2)), key)
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (key, x, y)] + [pa.array(ids), pa.array(kind)], names=["key", "x", "y", "doc", "kind"])
 
 
-def batch_of(rows: list[tuple]):
-    import pyarrow as pa
+def first_round(sent: DataFrame) -> DataFrame:
+    """doc, x, y, gone: stretches that an earlier document has (gone), and those whose windows are to be compared."""
+    rows = sent.repartition("key").withColumn("first", F.min("doc").over(W.partitionBy("key", "x", "y")))
+    whole = W.partitionBy("key")
+    differ = lambda c: F.min(c).over(whole) != F.max(c).over(whole)
+    rows = rows.withColumns({"documents": differ("doc") | (F.max("kind").over(whole) == SHARED), "stretches": differ("x") | differ("y")})
+    gone = (F.col("kind") == SETTLED) | (F.col("doc") > F.col("first"))
+    return rows.select("doc", "x", "y", gone.alias("gone"), (F.col("documents") & F.col("stretches")).alias("look")).where("gone or look").drop("look")
+
+
+def second_round(sent: DataFrame) -> DataFrame:
+    """doc, x, y, gone: windows that an earlier document has."""
+    rows = sent.repartition("key").withColumn("first", F.min("doc").over(W.partitionBy("key", "x", "y")))
+    return rows.where((F.col("kind") == SETTLED) | (F.col("doc") > F.col("first"))).select("doc", "x", "y", F.lit(True).alias("gone"))
 
-    kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    columns = zip(*rows, strict=True) if rows else [[]] * 4
-    return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["bucket", "doc_id", "docs", "keys"])
-
-
-def bucketed(keys: np.ndarray, ids: np.ndarray | None, buckets: int) -> list[tuple]:
-    """Rows with these keys (and documents), by bucket."""
-    bucket = (keys % np.uint64(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    cuts = np.nonzero(np.diff(bucket[order], prepend=-1))[0].tolist() + [len(order)]
-    out = []
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        part = order[a:b]
-        out.append((int(bucket[part[0]]), None, None if ids is None else ids[part].tobytes(), keys[part].tobytes()))
-    return out
-
-
-def back(keys: np.ndarray, ids: np.ndarray, buckets: int | None) -> list[tuple]:
-    """Word back to each of these documents, by way of any bucket."""
-    order = np.argsort(ids, kind="stable")
-    keys, ids = keys[order], ids[order]
-    cuts = np.nonzero(np.diff(ids, prepend=ids[0] - 1))[0].tolist() + [len(ids)] if len(ids) else [0]
-    return [(int(ids[a]) % buckets if buckets else 0, int(ids[a]), None, keys[a:b].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
-
-
-def settled(keys: np.ndarray, ids: np.ndarray, earlier: bool, buckets: int) -> list[tuple]:
-    """What a task sends on for entries of its own documents. earlier: what matters is the first document of each hash;
-    else whether there are two."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    once = np.ones(len(keys), bool)
-    once[1:] = (keys[1:] != keys[:-1]) | (ids[1:] != ids[:-1])
-    keys, ids = keys[once], ids[once]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    if earlier:
-        return bucketed(keys[first], ids[first], buckets) + back(keys[~first], ids[~first], buckets)
-    last = np.ones(len(keys), bool)
-    last[:-1] = first[1:]
-    alone = first & last
-    return bucketed(keys[alone], ids[alone], buckets) + bucketed(keys[first & ~last], None, buckets) + back(keys[~alone], ids[~alone], buckets)
-
-
-def judge(batches, earlier: bool):
-    """Reads a partition of rows by bucket and gives word back to documents."""
-    keys, ids, passed = [], [], []
-    for batch in batches:
-        for _, doc_id, docs, held in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            if doc_id is not None:
-                passed.append((0, doc_id, None, held))
-                continue
-            k = np.frombuffer(held, np.uint64)
-            keys.append(k)
-            # entries that stand for two documents: no document has the least number
-            ids.append(np.frombuffer(docs, np.int64) if docs is not None else np.full(len(k), np.iinfo(np.int64).min))
-        if passed:
-            yield batch_of(passed)
-            passed = []
-    if not keys:
-        return
-    key, doc = np.concatenate(keys), np.concatenate(ids)
-    keys, ids = [], []
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
-    first = np.nonzero(np.diff(key, prepend=~key[0]))[0]
-    size = np.diff(np.append(first, len(key)))
-    least, most = np.repeat(doc[first], size), np.repeat(doc[first + size - 1], size)
-    told = (doc > least) if earlier else (least != most) & (doc != np.iinfo(np.int64).min)
-    rows = back(key[told], doc[told], None)
-    for at in range(0, len(rows), 10_000):
-        yield batch_of(rows[at : at + 10_000])
+
+def by_document(found: DataFrame) -> DataFrame:
+    """_key, _named, told: all that a document is told. Of a document's size at most."""
+    told = found.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("x", "y", "gone")).alias("told"))
+    return told.withColumn("_named", F.lit(True)).hint("shuffle_hash")
 
 
 def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_words, n_removed, kept_sha256; with carry the columns of docs, the kept words as
     text and their number of characters as n_chars (if there is such a column)."""
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = parts * SPREAD
     # other columns go along under names of our own, so theirs can be anything
     doc_id, others = F.col("doc_id").cast("long"), [c for c in docs.columns if carry and c not in ("doc_id", "text")]
     slim = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(others)])
-    columns_of_slim = slim.columns
-    # a key that is never null: else the inner join would filter its input, and the two exchanges of texts would differ
-    keyed = slim.withColumn("_key", F.coalesce("doc_id", F.lit(-(1 << 63)).cast("long")))
-    extra = columns_of_slim[2:]
+    names = slim.columns
+    # a key that is never null, so rows without a doc_id spread; else the inner join would filter its input, and the two
+    # exchanges of texts would differ
+    keyed = slim.withColumns({"_key": F.coalesce("doc_id", F.xxhash64("text")), "_named": F.col("doc_id").isNotNull()})
 
     def chunks(batches):
-        import pyarrow as pa
-
-        known = Hashes()
         for batch in batches:
             for part in slices(batch, 1, CHUNK):
-                told = part.column("told").to_pylist() if "told" in part.schema.names else None
-                yield Chunk(part.column(0).to_pylist(), part.column(1).cast(pa.binary()).to_pylist(), known), told, part.columns[2 : 2 + len(extra)]
-
-    def send_anchors(batches):
-        for chunk, _, _ in chunks(batches):
-            best = anchors(chunk.hashes, chunk.doc)
-            at = np.nonzero(chunk.whole)[0]
-            change = np.ones(len(at), bool)
-            change[1:] = (best[at[1:]] != best[at[:-1]]) | (chunk.doc[at[1:]] != chunk.doc[at[:-1]])
-            at = at[change]
-            yield batch_of(settled(best[at], chunk.ids[chunk.doc[at]], False, buckets))
-
-    def marked(keys: np.ndarray, chunk: Chunk, told: list) -> np.ndarray:
-        """Which of the keys at words were told to their documents."""
-        out = np.zeros(len(keys), bool)
-        for i, held in enumerate(told):
-            if held:
-                a, n = chunk.begin[i], chunk.counts[i]
-                out[a : a + n] = np.isin(keys[a : a + n], np.frombuffer(b"".join(held), np.uint64))
-        return out & chunk.whole
+                yield Chunk(part.column(0).to_pylist(), part.column(1)), part
+
+    def told_of(chunk: Chunk, part):
+        """What the chunk's documents were told: their places in it, names, and whether they are gone."""
+        import pyarrow.compute as pc
+
+        lists = part.column("told")
+        lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        held = lists.flatten()
+        x, y = (held.field(k).to_numpy(zero_copy_only=False).view(np.uint64) for k in (0, 1))
+        return np.repeat(np.arange(len(lengths)), lengths), x, y, held.field(2).to_numpy(zero_copy_only=False)
+
+    def send_stretches(batches):
+        for chunk, _ in chunks(batches):
+            first, _, x, y = chunk.stretches()
+            yield settled(x, y, chunk.ids[chunk.doc[first]], x >> np.uint64(16))
 
     def send_windows(batches):
-        for chunk, told, _ in chunks(batches):
-            at = np.nonzero(marked(anchors(chunk.hashes, chunk.doc), chunk, told))[0]
-            yield batch_of(settled(window_hashes(chunk.hashes)[at], chunk.ids[chunk.doc[at]], True, buckets))
+        for chunk, part in chunks(batches):
+            doc, told_x, told_y, gone = told_of(chunk, part)
+            first, until, x, y = chunk.stretches()
+            look = among(chunk.doc[first], x, y, doc[~gone], told_x[~gone], told_y[~gone]) >= 0
+            at, x, y = chunk.windows(first[look], until[look])
+            yield settled(x, y, chunk.ids[chunk.doc[at]], x >> np.uint64(16))
 
     def finish(batches):
         import pyarrow as pa
-
-        for chunk, told, rest in chunks(batches):
-            whole = np.zeros(len(chunk.hashes), np.uint64)
-            found = window_hashes(chunk.hashes)
-            whole[: len(found)] = found
-            hit = np.nonzero(marked(whole, chunk, told))[0]
-            edge = np.zeros(len(whole) + WINDOW + 1, np.int64)
-            np.add.at(edge, hit, 1)
-            np.add.at(edge, hit + WINDOW, -1)
-            gone = (np.cumsum(edge)[: len(whole)] > 0).tolist()
-            removed, kept = [], []
-            for words, a in zip(chunk.words, chunk.begin.tolist(), strict=True):
-                mine = gone[a : a + len(words)]
-                n = sum(mine)
-                removed.append(n)
-                kept.append(b" ".join([w for w, g in zip(words, mine, strict=True) if not g] if n else words))
+        import pyarrow.compute as pc
+
+        for chunk, part in chunks(batches):
+            doc, told_x, told_y, _ = told_of(chunk, part)
+            edge = np.zeros(len(chunk.doc) + 1, np.int64)
+            if len(doc):
+                first, until, x, y = chunk.stretches()
+                hit = among(chunk.doc[first], x, y, doc, told_x, told_y) >= 0
+                at, x, y = chunk.windows(first[~hit], until[~hit])
+                alone = at[among(chunk.doc[at], x, y, doc, told_x, told_y) >= 0]
+                np.add.at(edge, np.concatenate([first[hit], alone]), 1)
+                np.add.at(edge, np.concatenate([until[hit], alone + 1]) + WINDOW - 1, -1)
+            stay = np.cumsum(edge)[:-1] == 0
+            counts = np.bincount(chunk.doc[stay], minlength=len(chunk.counts))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
+            kept = pc.binary_join(pa.ListArray.from_arrays(offsets, chunk.words.filter(pa.array(stay))), " ")
             if carry:
-                yield pa.RecordBatch.from_arrays([pa.array(chunk.given, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *rest], names=columns_of_slim)
+                yield pa.RecordBatch.from_arrays([part.column(0), kept, *part.columns[2 : len(names)]], names=names)
                 continue
-            columns = [pa.array(chunk.given, pa.int64()), pa.array(chunk.counts), pa.array(removed, pa.int64()), pa.array([hashlib.sha256(k).hexdigest() for k in kept], pa.string())]
+            digests = [hashlib.sha256(k).hexdigest() for k in kept.cast(pa.binary()).to_pylist()]
+            columns = [part.column(0), pa.array(chunk.counts), pa.array(chunk.counts - counts), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    def to_documents(sent: DataFrame, earlier: bool) -> DataFrame:
-        dealt = sent.repartition(parts, "bucket").mapInArrow(lambda batches: judge(batches, earlier), COLUMNS)
-        return dealt.groupBy(F.col("doc_id").alias("_key")).agg(F.collect_list("keys").alias("told")).hint("shuffle_hash")
-
-    # all joins take all columns of slim: so the exchange of texts is the same and runs once
-    shared = to_documents(slim.select("doc_id", "text").mapInArrow(send_anchors, COLUMNS), False)
-    repeated = to_documents(keyed.join(shared, "_key").select(*columns_of_slim, "told").mapInArrow(send_windows, COLUMNS), True)
-    out = keyed.join(repeated, "_key", "left").select(*columns_of_slim, "told")
+    # all three take all columns of slim: so the exchange of texts is the same and runs once; in order, so that chunks are
+    # the same whenever a task runs
+    ordered = lambda df: df.sortWithinPartitions("_key", F.xxhash64("text")).drop("_key", "_named")
+    dealt = keyed.repartition("_key", "_named")
+    stretches = first_round(ordered(dealt).mapInArrow(send_stretches, SENT))
+    looking = by_document(stretches.where("not gone"))
+    windows = second_round(ordered(dealt.join(looking, ["_key", "_named"]).select(*names, "told", "_key", "_named")).mapInArrow(send_windows, SENT))
+    gone = by_document(stretches.where("gone").unionByName(windows))
+    out = dealt.join(gone, ["_key", "_named"], "left").select(*names, "told")
     if not carry:
         return out.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     kept = out.mapInArrow(finish, slim.schema)
