@@ -14,7 +14,7 @@ The consecutive windows of one anchor are a stretch: the anchor's symbol and the
 2. Second round: where different stretches share an anchor, windows of each one's first document meet one by one.
 3. Words covered by a stretch or window that starts in an earlier document too are removed.
 
-What is compared are names of 128 bits of all words (80 of the stretch beside 48 of its anchor, or 128 of the window), made
+What is compared are names of 126 bits of all words (78 of the stretch beside 48 of its anchor, or 126 of the window), made
 of 128-bit hashes of the words: equal names are taken for equal words.
 
 A task settles what it can among the documents of one chunk first and sends one row for each name on, so a passage that a
@@ -46,7 +46,8 @@ K1, K2, K3 = (np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 FAR = 1 << 40
 #: Rows that a task sends: the first document of a name in its chunk, the same where the chunk has another, a document settled.
 ALONE, SHARED, SETTLED = 0, 1, 2
-SENT = "key long, x long, y long, doc long, kind byte"
+#: Two words of 64 bits for each name, the lowest two bits of the first for the kind of row.
+SENT, KINDS = "x long, y long, doc long", 3
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -182,7 +183,7 @@ class Chunk:
         return Names(self.hashes, 0), Names(self.others, 1)
 
     def stretches(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """First windows, ends behind last windows, and names (48 bits of the anchor and 16 of the words; 64 of the words)."""
+        """First windows, ends behind last windows, and names (48 bits of the anchor and 14 of the words; 64 of the words)."""
         best, at = anchors(self.hashes, self.doc), np.nonzero(self.whole)[0]
         new = np.ones(len(at), bool)
         new[1:] = (best[at[1:]] != best[at[:-1]]) | (self.doc[at[1:]] != self.doc[at[:-1]])
@@ -190,14 +191,14 @@ class Chunk:
         until = at[np.append(np.nonzero(new)[0][1:], len(at)) - 1] + 1 if len(at) else first
         one, two = self.names()
         end = until + WINDOW - 1
-        return first, until, mixed(best[first]) >> np.uint64(16) << np.uint64(16) | two(first, end) >> np.uint64(48), one(first, end)
+        return first, until, mixed(best[first]) >> np.uint64(16) << np.uint64(16) | two(first, end) >> np.uint64(50) << np.uint64(2), one(first, end)
 
     def windows(self, first: np.ndarray, until: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and names of the windows of these stretches."""
         length = until - first
         at = np.repeat(first - np.cumsum(length) + length, length) + np.arange(length.sum())
         one, two = self.names()
-        return at, one(at, at + WINDOW), two(at, at + WINDOW)
+        return at, one(at, at + WINDOW) & ~np.uint64(KINDS), two(at, at + WINDOW)
 
 
 def among(doc, x, y, told_doc, told_x, told_y) -> np.ndarray:
@@ -212,28 +213,33 @@ def among(doc, x, y, told_doc, told_x, told_y) -> np.ndarray:
     return np.where((told_x[at] == x) & (told_y[at] == y) & (told_doc[at] == doc), at, -1)
 
 
-def settled(x: np.ndarray, y: np.ndarray, ids: np.ndarray, key: np.ndarray):
+def settled(x: np.ndarray, y: np.ndarray, ids: np.ndarray):
     """A chunk's rows by name: its first document, for the others word that an earlier one has it."""
     import pyarrow as pa
 
     order = np.lexsort((ids, y, x))
-    x, y, ids, key = x[order], y[order], ids[order], key[order]
+    x, y, ids = x[order], y[order], ids[order]
     same = np.zeros(len(x), bool)
     same[1:] = (x[1:] == x[:-1]) & (y[1:] == y[:-1])
     once = ~same
     once[1:] |= ids[1:] != ids[:-1]
-    x, y, ids, key, same = x[once], y[once], ids[once], key[once], same[once]
-    kind = np.where(same, SETTLED, ALONE).astype(np.int8)
+    x, y, ids, same = x[once], y[once], ids[once], same[once]
+    kind = np.where(same, SETTLED, ALONE).astype(np.uint64)
     kind[:-1][~same[:-1] & same[1:]] = SHARED
-    # settled rows meet nobody: they go by their documents
-    key = np.where(same, ~(mixed(ids.view(np.uint64)) >> np.uint64(2)), key)
-    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in (key, x, y)] + [pa.array(ids), pa.array(kind)], names=["key", "x", "y", "doc", "kind"])
+    return pa.RecordBatch.from_arrays([pa.array((x | kind).view(np.int64)), pa.array(y.view(np.int64)), pa.array(ids)], names=["x", "y", "doc"])
+
+
+def met(sent: DataFrame, key: str) -> DataFrame:
+    """key, x, y, doc, kind, first (the first document of the name), in order: names with an equal key are in one partition.
+    Settled rows meet nobody: they go by their documents."""
+    key = F.expr(f"if(x & {KINDS} = {SETTLED}, xxhash64(doc) | ~9223372036854775807L, {key})")
+    rows = sent.repartition(key).select(key.alias("key"), F.expr(f"x & ~{KINDS}L").alias("x"), "y", "doc", F.expr(f"x & {KINDS}").alias("kind"))
+    return rows.sortWithinPartitions("key", "x", "y").withColumn("first", F.min("doc").over(W.partitionBy("key", "x", "y")))
 
 
 def first_round(sent: DataFrame) -> DataFrame:
     """doc, x, y, gone: stretches that an earlier document has (gone), and those whose windows are to be compared."""
-    rows = sent.repartition("key").withColumn("first", F.min("doc").over(W.partitionBy("key", "x", "y")))
-    whole = W.partitionBy("key")
+    rows, whole = met(sent, "shiftrightunsigned(x, 16)"), W.partitionBy("key")
     differ = lambda c: F.min(c).over(whole) != F.max(c).over(whole)
     rows = rows.withColumns({"documents": differ("doc") | (F.max("kind").over(whole) == SHARED), "stretches": differ("x") | differ("y")})
     gone = (F.col("kind") == SETTLED) | (F.col("doc") > F.col("first"))
@@ -242,14 +248,13 @@ def first_round(sent: DataFrame) -> DataFrame:
 
 def second_round(sent: DataFrame) -> DataFrame:
     """doc, x, y, gone: windows that an earlier document has."""
-    rows = sent.repartition("key").withColumn("first", F.min("doc").over(W.partitionBy("key", "x", "y")))
-    return rows.where((F.col("kind") == SETTLED) | (F.col("doc") > F.col("first"))).select("doc", "x", "y", F.lit(True).alias("gone"))
+    rows = met(sent, "shiftrightunsigned(x, 2)").where((F.col("kind") == SETTLED) | (F.col("doc") > F.col("first")))
+    return rows.select("doc", "x", "y", F.lit(True).alias("gone"))
 
 
 def by_document(found: DataFrame) -> DataFrame:
-    """_key, _named, told: all that a document is told. Of a document's size at most."""
-    told = found.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("x", "y", "gone")).alias("told"))
-    return told.withColumn("_named", F.lit(True)).hint("shuffle_hash")
+    """_key, told: all that a document is told. Of a document's size at most."""
+    return found.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("x", "y", "gone")).alias("told")).hint("shuffle_hash")
 
 
 def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
@@ -259,9 +264,9 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     doc_id, others = F.col("doc_id").cast("long"), [c for c in docs.columns if carry and c not in ("doc_id", "text")]
     slim = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(others)])
     names = slim.columns
-    # a key that is never null, so rows without a doc_id spread; else the inner join would filter its input, and the two
-    # exchanges of texts would differ
-    keyed = slim.withColumns({"_key": F.coalesce("doc_id", F.xxhash64("text")), "_named": F.col("doc_id").isNotNull()})
+    # a key that is never null, so rows without a doc_id spread (what a row without one may be told it doesn't ask for); else
+    # the inner join would filter its input, and the two exchanges of texts would differ
+    dealt = slim.withColumn("_key", F.coalesce("doc_id", F.xxhash64("text"))).repartition("_key")
 
     def chunks(batches):
         for batch in batches:
@@ -281,7 +286,7 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     def send_stretches(batches):
         for chunk, _ in chunks(batches):
             first, _, x, y = chunk.stretches()
-            yield settled(x, y, chunk.ids[chunk.doc[first]], x >> np.uint64(16))
+            yield settled(x, y, chunk.ids[chunk.doc[first]])
 
     def send_windows(batches):
         for chunk, part in chunks(batches):
@@ -289,7 +294,7 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
             first, until, x, y = chunk.stretches()
             look = among(chunk.doc[first], x, y, doc[~gone], told_x[~gone], told_y[~gone]) >= 0
             at, x, y = chunk.windows(first[look], until[look])
-            yield settled(x, y, chunk.ids[chunk.doc[at]], x >> np.uint64(16))
+            yield settled(x, y, chunk.ids[chunk.doc[at]])
 
     def finish(batches):
         import pyarrow as pa
@@ -318,13 +323,12 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
 
     # all three take all columns of slim: so the exchange of texts is the same and runs once; in order, so that chunks are
     # the same whenever a task runs
-    ordered = lambda df: df.sortWithinPartitions("_key", F.xxhash64("text")).drop("_key", "_named")
-    dealt = keyed.repartition("_key", "_named")
+    ordered = lambda df: df.sortWithinPartitions("_key", F.xxhash64("text")).drop("_key")
     stretches = first_round(ordered(dealt).mapInArrow(send_stretches, SENT))
     looking = by_document(stretches.where("not gone"))
-    windows = second_round(ordered(dealt.join(looking, ["_key", "_named"]).select(*names, "told", "_key", "_named")).mapInArrow(send_windows, SENT))
+    windows = second_round(ordered(dealt.join(looking, "_key").select(*names, "told", "_key")).mapInArrow(send_windows, SENT))
     gone = by_document(stretches.where("gone").unionByName(windows))
-    out = dealt.join(gone, ["_key", "_named"], "left").select(*names, "told")
+    out = dealt.join(gone, "_key", "left").select(*names, "told")
     if not carry:
         return out.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     kept = out.mapInArrow(finish, slim.schema)
