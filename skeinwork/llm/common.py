@@ -20,19 +20,30 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset (as in tests) one beside the warehouse."""
-    conf = spark.sparkContext.getConf()
-    at = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests on one machine, a
+    folder of our own beside the warehouse."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: its lineage ends there."""
+    """Write df as a table in the shared folder and read it again: its lineage ends there. The table is deleted when the
+    session's driver ends."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _delete_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Hadoop's file systems delete such paths when they are closed, which the driver's JVM does as it ends."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def kept(name: str, make: Callable):
     """What make() gives, made once in each Python worker and kept for its later tasks; name must say all that it depends on."""
     import gc
@@ -59,27 +70,41 @@ def slices(batch: pa.RecordBatch, column: int, most: int = CHUNK_BYTES) -> Itera
         yield batch.slice(start)
 
 
+def added(docs: DataFrame, name: str) -> str:
+    """A name for a column beside those of docs: with as many underscores before it as make it new."""
+    there = {c.lower() for c in docs.columns}
+    name = f"_{name}"
+    while name.lower() in there:
+        name = f"_{name}"
+    return name
+
+
 def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list], list]], carry: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id and the columns of schema; or with carry all columns of docs and those of schema,
-    these with an underscore before their names. make() runs once in each task and returns the function from a list of
-    UTF-8 texts (bytes, None for null) to the list of columns."""
+    these under their added() names. make() runs once in each task and returns the function from a list of UTF-8 texts
+    (bytes, None for null) to the list of columns."""
     spark = docs.sparkSession
     source = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = spark.createDataFrame([], schema).schema
-    out = T.StructType(list(source.schema.fields) + [T.StructField("_" * carry + f.name, f.dataType) for f in made.fields])
-    kinds, at, kept_columns = to_arrow_schema(made).types, source.columns.index("text"), len(out.names) - len(made.names)
+    made, stay = spark.createDataFrame([], schema).schema, [f for f in source.schema.fields if carry or f.name == "doc_id"]
+    out = T.StructType(stay + [T.StructField(added(docs, f.name) if carry else f.name, f.dataType) for f in made.fields])
+    kinds, at, places = to_arrow_schema(made).types, source.columns.index("text"), [source.columns.index(f.name) for f in stay]
 
     def run(batches):
         f = make()
         for batch in batches:
             for part in slices(batch, at):
                 columns = f(part.column(at).cast(pa.binary()).to_pylist())
-                arrays = part.columns[:kept_columns] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
+                arrays = [part.column(i) for i in places] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
     return source.mapInArrow(run, out)
 
 
+def fold(folds: int):
+    """The remainder of CRC-32 of doc_id as text (a null doc_id counts as the empty text)."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
 #: ASCII letters to lower case, other ASCII than letters and digits to spaces, the bytes of other characters unchanged.
 WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 

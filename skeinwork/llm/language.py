@@ -5,19 +5,23 @@ per language. An n-gram's slots, combined with and, give all languages that cont
 the one with most of its n-grams, after each count is corrected for the filter's false positives.
 
 A null text, or one without a letter, is und with score 0; so is every text if there is nothing to learn from. Ties go
-to the language first in the alphabet. Equal texts get equal rows."""
+to the language first in the alphabet. Equal texts get equal rows; rows are judged one by one, so repeated or null doc_ids
+need no rule of their own. Columns besides those named may have any names; an empty table gives no rows."""
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import map_texts
+from .common import added, fold, map_texts
 
 #: Rows that language models may learn from: those whose remainder is not this one.
 FOLDS, HELD_OUT = 4, 2
 #: Texts of a language to learn from, and their length: the bound of the sample.
 SAMPLE_TEXTS, SAMPLE_CHARS = 1200, 20_000
+#: Texts of all languages together, and languages, at most: with more languages each has fewer texts (SHORTEST at least), and
+#: beyond that many a column is no language column.
+ALL_TEXTS, MOST_LANGUAGES = 10_000, 2000
 #: Of a language without a text in that sample, so many of its shortest texts are taken whole.
 SHORTEST = 20
 #: Lengths of n-grams; bits of a slot's number; slots of an n-gram.
@@ -71,11 +75,9 @@ def slots(h: np.ndarray) -> list[np.ndarray]:
     return [((h * m) >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for m in PROBE_MIX[:PROBES]]
 
 
-def learn(samples: dict[str, list[str]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Languages, the filter, and the rate of false positives of each language."""
+def learn(samples: dict[str, list[str]]) -> tuple[list[str], list[np.ndarray], np.ndarray]:
+    """Languages, filters of up to 64 languages each, and the rate of false positives of each language."""
     languages, table = sorted(samples), letter_table()
-    if len(languages) > 64:
-        raise ValueError("a slot has 64 bits: at most 64 languages")
     keys, rates, counts = [], [], []
     for x in languages:
         grams = [ngrams(letters(t, table)) for t in samples[x]]
@@ -88,70 +90,71 @@ def learn(samples: dict[str, list[str]]) -> tuple[list[str], np.ndarray, np.ndar
     for key, rate in zip(keys, rates, strict=True):
         at = np.searchsorted(every, key)
         best[at] = np.maximum(best[at], rate)
-    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= len(languages))
-    sieve = np.zeros(1 << SLOT_BITS, dtype=kind)
-    for i, (key, rate, n) in enumerate(zip(keys, rates, counts, strict=True)):
-        own = key[(n >= LEAST_SEEN) & (rate >= LEAST_RATE * best[np.searchsorted(every, key)])]
-        for at in slots(own):
-            sieve[at] |= kind(1 << i)
-    false = np.array([float(((sieve >> kind(i)) & kind(1)).mean()) ** PROBES for i in range(len(languages))])
-    return languages, sieve, false
-
-
-def decide(codes: np.ndarray, languages: list[str], sieve: np.ndarray, false: np.ndarray) -> tuple[str, float]:
+    sieves, false = [], []
+    for begin in range(0, len(languages), 64):
+        end = min(begin + 64, len(languages))
+        kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.dtype(t).itemsize * 8 >= end - begin)
+        sieve = np.zeros(1 << SLOT_BITS, dtype=kind)
+        for i in range(begin, end):
+            own = keys[i][(counts[i] >= LEAST_SEEN) & (rates[i] >= LEAST_RATE * best[np.searchsorted(every, keys[i])])]
+            for at in slots(own):
+                sieve[at] |= kind(1 << (i - begin))
+        sieves.append(sieve)
+        false += [float(((sieve >> kind(i)) & kind(1)).mean()) ** PROBES for i in range(end - begin)]
+    return languages, sieves, np.array(false)
+
+
+def decide(codes: np.ndarray, languages: list[str], sieves: list[np.ndarray], false: np.ndarray) -> tuple[str, float]:
     """The language whose corrected count of n-grams is the largest, and its part of all corrected counts."""
     if not languages or not (codes != 32).any():
         return "und", 0.0
-    found = None
-    h = ngrams(codes)
-    for at in slots(h):
-        found = sieve[at] if found is None else found & sieve[at]
-    masks = np.bincount(found, minlength=1 << min(len(languages), 8)) if found.dtype == np.uint8 else None
-    if masks is not None:
-        bits = (np.arange(len(masks))[:, None] >> np.arange(len(languages))) & 1
-        hits = masks @ bits
-    else:
-        hits = np.array([int(((found >> found.dtype.type(i)) & found.dtype.type(1)).sum()) for i in range(len(languages))])
-    right = np.clip((hits - len(h) * false) / (1 - false + 1e-9), 0, None)
+    h, hits = ngrams(codes), []
+    places = slots(h)
+    for k, sieve in enumerate(sieves):
+        found, n = sieve[places[0]], min(64, len(languages) - 64 * k)
+        for at in places[1:]:
+            found = found & sieve[at]
+        if found.dtype == np.uint8:
+            masks = np.bincount(found, minlength=1 << n)
+            hits += (masks @ ((np.arange(len(masks))[:, None] >> np.arange(n)) & 1)).tolist()
+        else:
+            hits += [int(((found >> found.dtype.type(i)) & found.dtype.type(1)).sum()) for i in range(n)]
+    right = np.clip((np.array(hits) - len(h) * false) / (1 - false + 1e-9), 0, None)
     i = int(right.argmax())
     return languages[i], float(right[i] / right.sum()) if right.sum() > 0 else 1 / len(languages)
 
 
-def fold(folds: int):
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-
-
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     """Up to about SAMPLE_TEXTS texts of each language, by a hash of doc_id, from the rows to learn from."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & (fold(FOLDS) != HELD_OUT))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(65).collect()}
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(FOLDS) != HELD_OUT))
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
         return {}
-    if len(counts) > 64:
-        raise ValueError("a slot has 64 bits: at most 64 languages")
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    each = max(SHORTEST, min(SAMPLE_TEXTS, ALL_TEXTS // len(counts)))
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 20) * min(1.0, SAMPLE_TEXTS / n)))])
-    taken = rows.where((part < most[F.col("lang")]) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text").orderBy("lang", "text")
+    most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 20) * min(1.0, each / n)))])
+    taken = rows.where((part < most[F.col("lang")]) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text")
     out: dict[str, list[str]] = {k: [] for k in counts}
-    for lang, text in zip(*[c.to_pylist() for c in taken.toArrow().columns], strict=True):
+    for lang, text in sorted(zip(*[c.to_pylist() for c in taken.toArrow().columns], strict=True)):
         out[lang].append(text)
     if none := [k for k, v in out.items() if not v]:
         place = F.row_number().over(W.partitionBy("lang").orderBy(F.length("text"), "text"))
-        for r in rows.where(F.col("lang").isin(none) & F.col("text").isNotNull()).withColumn("place", place).where(F.col("place") <= SHORTEST).orderBy("lang", "place").collect():
+        for r in rows.where(F.col("lang").isin(none)).withColumn("place", place).where(F.col("place") <= SHORTEST).collect():
             out[r.lang].append(r.text)
-    return {k: v for k, v in out.items() if v}
+    return {k: sorted(v) for k, v in out.items() if v}
 
 
-def identify_language(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """docs: doc_id, text, lang. Returns doc_id, lang_pred, score; with carry all columns of docs, _lang_pred and _score."""
-    model = learn(training_sample(docs))
-    held = docs.sparkSession.sparkContext.broadcast((*model, letter_table()))
+def predicted(docs: DataFrame, carry: bool = False) -> DataFrame:
+    """lang_pred and score beside doc_id, or with carry (under added() names) beside all columns of docs."""
+    held = docs.sparkSession.sparkContext.broadcast((*learn(training_sample(docs)), letter_table()))
 
     def make():
-        languages, sieve, false, table = held.value
+        languages, sieves, false, table = held.value
 
         def run(texts):
-            found = [decide(letters(t.decode(), table), languages, sieve, false) if t else ("und", 0.0) for t in texts]
+            found = [decide(letters(t.decode(), table), languages, sieves, false) if t else ("und", 0.0) for t in texts]
             return [[x for x, _ in found], [s for _, s in found]]
 
         return run
@@ -159,6 +162,11 @@ def identify_language(docs: DataFrame, carry: bool = False) -> DataFrame:
     return map_texts(docs, "lang_pred string, score double", make, carry)
 
 
+def identify_language(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text, lang. Returns doc_id, held_out, lang_pred, score."""
+    return predicted(docs).select("doc_id", (fold(FOLDS) == HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 def keep_identified(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose text has a language."""
-    return identify_language(docs, carry=True).where("_lang_pred <> 'und'").select(*docs.columns)
+    """The rows of docs whose text has a language, with all their columns."""
+    return predicted(docs, carry=True).where(F.col(added(docs, "lang_pred")) != "und").select(*docs.columns)

@@ -5,18 +5,23 @@ term and a short vector for each; the product of two vectors is the weight of th
 mention of a group can count for more than the two add up to.
 
 Null and empty texts have no terms: their score is that of the bias. Without rows of both classes to learn from, every
-score is the share of toxic rows among those there are (0 if none). Equal texts get equal scores."""
+score is the share of toxic rows among those there are (0 if none). Equal texts get equal scores, ties and repeated rows
+included; rows are scored one by one, so repeated or null doc_ids need no rule of their own (in learning, a doc_id's rows
+all take its label, and rows without one are left out). A label counts as toxic if it is above zero, a null label as none.
+Columns besides those named may have any names; an empty table gives no rows."""
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, words_of
+from .common import added, fold, map_texts, words_of
 
 #: Labelled rows that the machine may learn from: those whose remainder is not this one.
 FOLDS, HELD_OUT = 5, 0
 #: Rows of each class to learn from: the bound of the sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
+#: Bytes of a text to learn from at most: with the rows above, the bound of what the driver holds.
+SAMPLE_BYTES = 40_000
 #: Terms kept at most (those that tell the classes apart best), and the least chi-square of one.
 MOST_TERMS, LEAST_CHI = 8192, 12.0
 #: Length of a term's vector, passes over the sample, size of a step, decay of weights.
@@ -33,10 +38,6 @@ def terms(text: bytes | None) -> np.ndarray:
     return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words)))
 
 
-def fold(folds: int):
-    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(folds))
-
-
 class Machine:
     """Sorted term hashes, a weight and a vector for each, and a bias."""
 
@@ -105,21 +106,20 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Machine:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Term hashes and labels of up to about SAMPLE_TOXIC and SAMPLE_CLEAN texts, by a hash of doc_id. A doc_id with
-    several labels counts as toxic if one says so."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(FOLDS) != HELD_OUT))
+    """Term hashes and labels of up to about SAMPLE_TOXIC and SAMPLE_CLEAN texts of at most SAMPLE_BYTES, by a hash of doc_id.
+    A doc_id with several labels counts as toxic if one says so."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
     most = lambda k, bound: F.lit(int((1 << 20) * min(1.0, bound / max(1, n.get(k, 0)))))
     chosen = known.where(part < F.when(F.col("toxic") == 1, most(1, SAMPLE_TOXIC)).otherwise(most(0, SAMPLE_CLEAN)))
     # bounded by the two sample sizes, so it may be broadcast
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
-    keyed = texts.select((F.col("doc_id") * 2 + F.col("toxic")).alias("doc_id"), "text")
-    bags = map_texts(keyed, "terms binary", lambda: lambda ts: [[terms(t).tobytes() for t in ts]]).toArrow()
-    order = np.argsort(bags.column("doc_id").to_numpy(), kind="stable")
-    keys, held = bags.column("doc_id").to_numpy(), bags.column("terms").to_pylist()
-    return [np.frombuffer(held[i], np.uint64) for i in order], (keys[order] % 2).astype(float)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    labelled = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).select(F.col("toxic").alias("doc_id"), "text")
+    found = map_texts(labelled, "terms binary", lambda: lambda ts: [[terms(t).tobytes() for t in ts]]).toArrow()
+    rows = sorted(zip(found.column("terms").to_pylist(), found.column("doc_id").to_pylist(), strict=True))
+    return [np.frombuffer(t, np.uint64) for t, _ in rows], np.array([float(y) for _, y in rows])
 
 
 def scorer(docs: DataFrame, labels: DataFrame):
@@ -141,5 +141,5 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of docs that aren't predicted to be toxic."""
-    return map_texts(docs, "score double", scorer(docs, labels), carry=True).where("_score < 0.5").select(*docs.columns)
+    """The rows of docs that aren't predicted to be toxic, with all their columns."""
+    return map_texts(docs, "score double", scorer(docs, labels), carry=True).where(F.col(added(docs, "score")) < 0.5).select(*docs.columns)

@@ -285,8 +285,11 @@ def test_language_of_textless_rows(spark):
 
 def test_languages_are_not_forgotten(spark):
     many = spark.createDataFrame([(i, f"text {i}", f"l{i % 70}") for i in range(700)], "doc_id long, text string, lang string")
-    with pytest.raises(ValueError, match="64 languages"):
-        language.training_sample(many)
+    model = language.learn(language.training_sample(many))
+    assert len(model[0]) == 70 and len(model[1]) == 2
+    apart = {f"l{i:02d}": [" ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}{x}" for x in ("lo", "mi", "nu")) * 3] for i in range(70)}
+    model, table = language.learn(apart), language.letter_table()
+    assert [language.decide(language.letters(v[0], table), *model)[0] for v in apart.values()] == list(apart)
     long = spark.createDataFrame([(i, ("alpha " if i % 2 else "beta ") * (5000 if i % 2 else 5), "ab"[i % 2]) for i in range(40)], "doc_id long, text string, lang string")
     assert set(language.training_sample(long)) == {"a", "b"}
 
