@@ -3,25 +3,33 @@
 A sketch has three rows of cells; each distinct paragraph's digest adds to one cell of each row: one to a count, itself to
 an xor of digests, its check to an xor of checks. The difference of two sketches holds just what only one of them has.
 A cell with count one whose check fits holds one digest; peeling it out of its other cells frees more. If cells are left
-over, larger sketches are tried, in parts by digest so that each part stays small, and at last a comparison of the
-digests themselves. Likeness: one less the differing digests' part of all digests of both.
+over, larger sketches are tried, in parts by digest so that each part stays small; a part that doesn't peel is tried again
+with more cells and other places. Likeness: one less the differing digests' part of all digests of both (null if five
+sketches of a part all fail, whose odds are below 1e-15).
 
 Paragraphs are the non-empty lines; repeated ones count once. A null text is empty: no paragraphs, like any other text
 without (likeness 1). The next document is the one behind in ascending order (doc_id, then the text's MD5; null first),
-after the last the first; a lone document is its own next. Equal texts have equal fingerprints.
+after the last the first; a lone document is its own next. Equal texts have equal fingerprints. Repeated doc_ids are ordered
+by their texts; equal rows are interchangeable. Columns besides doc_id and text may have any names; an empty table gives no
+rows.
 
-Finding the next document: quantiles of doc_id (a fixed number at most) cut the rows into ranges, each row goes to its
-range, and each range's first row also to the range before. One shuffle of texts, ranges of bounded share."""
+Finding the next document: quantiles of doc_id cut the rows into ranges, and equal widths into parts of ranges; each row goes
+to its part, and each part's first row also to the part before. One shuffle of texts; each text is split and sketched once
+behind it, and goes along to the document before."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 #: Cells in each of the three rows of a fingerprint; in those of the larger attempts.
-BASE, ATTEMPTS = 8, (16, 32)
+BASE, ATTEMPTS = 8, (16, 32, 64, 128, 256)
 #: Digests that a part of a larger attempt has on average, rounds of peeling, most ranges of doc_id and parts of each.
-PART, ROUNDS, MOST_RANGES, SUBRANGES = 20, 12, 1024, 16
-NIL = "cast(0 as int) as n, cast(0 as bigint) as k, cast(0 as bigint) as c"
+PART, ROUNDS, MOST_RANGES, SUBRANGES = 20, 12, 1024, 64
+
+
+def let(value: str, name: str, body: str) -> str:
+    """body, with name for a value that is computed once."""
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
 def check_of(digest: str) -> str:
@@ -35,54 +43,51 @@ def digests(text: str) -> str:
     return f"transform({found}, d -> named_struct('n', 1, 'k', d, 'c', {check_of('d')}))"
 
 
-def placed(keys: str, wide: int) -> str:
-    """Keys with their cells, one in each row of cells: each row takes other bits of the digest."""
-    cell = lambda row: f"cast({row * wide} + pmod(shiftright(y.k, {20 * row}), {wide}) as int)"
+def placed(keys: str, wide: int, attempt: int) -> str:
+    """Keys with their cells, one in each row of cells: each row takes other bits of the digest, or in later attempts of a
+    hash of it that is the attempt's own."""
+    bits = f"xxhash64(y.k, {attempt})" if attempt else "y.k"
+    cell = lambda row: f"cast({row * wide} + pmod(shiftright({bits}, {20 * row}), {wide}) as int)"
     return f"transform({keys}, y -> named_struct('n', y.n, 'k', y.k, 'c', y.c, 'p', {cell(0)}, 'q', {cell(1)}, 'r', {cell(2)}))"
 
 
-def sketch(keys: str, wide: int) -> str:
-    """Cells of placed keys."""
+def sketch(keys: str, wide: int, attempt: int) -> str:
+    """Cells of keys."""
     add = "named_struct('n', s.n + x.n, 'k', s.k ^ x.k, 'c', s.c ^ x.c)"
-    own = f"filter({keys}, x -> x.p = i or x.q = i or x.r = i)"
-    return f"transform(sequence(0, {3 * wide - 1}), i -> aggregate({own}, named_struct('n', 0, 'k', 0L, 'c', 0L), (s, x) -> {add}))"
+    none = "named_struct('n', 0, 'k', 0L, 'c', 0L)"
+    row = lambda k, at: f"transform(sequence({k * wide}, {(k + 1) * wide - 1}), i -> aggregate(ys, {none}, (s, x) -> if(x.{at} = i, {add}, s)))"
+    return let(placed(keys, wide, attempt), "ys", f"concat({row(0, 'p')}, {row(1, 'q')}, {row(2, 'r')})")
 
 
 def minus(keys: str) -> str:
     return f"transform({keys}, y -> named_struct('n', -y.n, 'k', y.k, 'c', y.c))"
 
 
-def peeled(cells: str, wide: int) -> str:
-    """How many digests come out of a difference of sketches; null if some stay. Odd steps look for cells with a single
-    digest, even ones take these digests out of all their cells; when a look finds none, the steps that are left do nothing."""
+def peeled(cells: str, wide: int, attempt: int) -> str:
+    """How many digests come out of a difference of sketches; null if some stay. Each step takes the digests of all cells that
+    hold a single one out of all their cells; when there is none, the steps that are left do nothing."""
     single = f"filter(st.cells, x -> abs(x.n) = 1 and x.c = {check_of('x.k')})"
-    pure = f"array_distinct({placed(single, wide)})"
-    take = "named_struct('n', s.n - p.n, 'k', s.k ^ p.k, 'c', s.c ^ p.c)"
-    rest = f"transform(st.cells, (x, i) -> aggregate(filter(st.pure, p -> p.p = i or p.q = i or p.r = i), x, (s, p) -> {take}))"
-    none = f"slice({placed(cells, wide)}, 1, 0)"
-    begin = f"named_struct('cells', {cells}, 'pure', {none}, 'found', 0, 'ended', false)"
-    look = f"named_struct('cells', st.cells, 'pure', {pure}, 'found', st.found, 'ended', false)"
-    out = f"named_struct('cells', {rest}, 'pure', slice(st.pure, 1, 0), 'found', st.found + size(st.pure), 'ended', false)"
-    stop = "named_struct('cells', st.cells, 'pure', st.pure, 'found', st.found, 'ended', true)"
-    step = f"if(st.ended, st, if(t % 2 = 1, {look}, if(size(st.pure) = 0, {stop}, {out})))"
+    take = "named_struct('n', u.n - o.n, 'k', u.k ^ o.k, 'c', u.c ^ o.c)"
+    rest = f"transform(st.cells, (x, i) -> aggregate(pure, x, (u, o) -> if(o.p = i or o.q = i or o.r = i, {take}, u)))"
+    state = lambda cells, found, ended: f"named_struct('cells', {cells}, 'found', {found}, 'ended', {ended})"
+    out = f"if(size(pure) = 0, {state('st.cells', 'st.found', 'true')}, {state(rest, 'st.found + size(pure)', 'false')})"
+    step = f"if(st.ended, st, {let(f'array_distinct({placed(single, wide, attempt)})', 'pure', out)})"
     end = "if(exists(st.cells, x -> x.n <> 0 or x.k <> 0), cast(null as int), st.found)"
-    return f"aggregate(sequence(1, {2 * ROUNDS}), {begin}, (st, t) -> {step}, st -> {end})"
+    return f"aggregate(sequence(1, {ROUNDS}), {state(cells, '0', 'false')}, (st, t) -> {step}, st -> {end})"
 
 
 def differing(keys_a: str, keys_b: str, cells_a: str, cells_b: str) -> str:
     """Number of digests that only one of two documents has, by ever larger sketches. Lazily: coalesce stops at the first that
-    peels, and the first, small one is passed over where its counts alone show more digests than it can give back."""
+    peels. Parts are found in two steps, so a text of many paragraphs isn't passed over once for each part."""
     subtract = f"zip_with({cells_a}, {cells_b}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'c', a.c ^ b.c))"
-    full = f"aggregate(slice({subtract}, 1, {BASE}), 0, (s, x) -> s + abs(x.n)) > {2 * BASE}"
     both = f"concat({keys_a}, {minus(keys_b)})"
-    parts = f"(1 + size({keys_a}) + size({keys_b})) div {PART}"
-    larger = []
-    for wide in ATTEMPTS:
-        own = placed(f"filter({both}, z -> pmod(shiftright(z.k, 30), 1 + {parts}) = g)", wide)
-        counts = f"transform(sequence(0, cast({parts} as int)), g -> {peeled(sketch(own, wide), wide)})"
-        larger.append(f"aggregate({counts}, 0, (s, x) -> s + x)")  # null if one part is
-    exact = f"size({keys_a}) + size({keys_b}) - 2 * size(array_intersect({keys_a}, {keys_b}))"
-    return f"coalesce(if({full}, cast(null as int), {peeled(subtract, BASE)}), {', '.join(larger)}, {exact})"
+    side = f"cast(ceil(sqrt((1 + size(every)) / {PART}.0D)) as int)"
+    tries = ", ".join(peeled(sketch("own", wide, k), wide, k) for k, wide in enumerate(ATTEMPTS, 1))
+    part = let("filter(some, z -> pmod(shiftright(z.k, 30), side) = h)", "own", f"coalesce({tries})")
+    inner = f"aggregate(transform(sequence(0, side - 1), h -> {part}), 0, (s, x) -> s + x)"
+    outer = let("filter(every, z -> pmod(z.k, side) = g)", "some", inner)
+    parts = f"aggregate(transform(sequence(0, side - 1), g -> {outer}), 0, (s, x) -> s + x)"  # null if one part is
+    return f"coalesce({peeled(subtract, BASE, 0)}, {let(both, 'every', let(side, 'side', parts))})"
 
 
 def likeness(keys_a: str, keys_b: str, cells_a: str, cells_b: str) -> str:
@@ -96,47 +101,48 @@ def shown(keys: str, cells: str) -> str:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, next_text; texts are not null."""
+    """doc_id, text, keys, cells, next (the same of the next document, as a struct); texts are not null."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("tie", F.md5(F.col("text").cast("binary")))
     ranges = min(MOST_RANGES, max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))))
     cuts = rows.select(F.percentile_approx("doc_id", [i / ranges for i in range(ranges + 1)], 10 * ranges)).first()[0]
     cuts = sorted(set(cuts or [0]))
     # the range of a doc_id among the cuts, and its part of the range, of equal widths
     tops = F.array(*[F.lit(c).cast("long") for c in cuts])
     at = F.size(F.filter(tops, lambda c: c <= F.coalesce("doc_id", F.lit(cuts[0] - 1 if cuts[0] > -(1 << 63) else cuts[0]))))
-    low, high = F.coalesce(F.get(tops, at - 1), F.lit(cuts[0])), F.coalesce(F.get(tops, at), F.lit(cuts[-1]))
-    span = (high - low).cast("double")
-    part = F.when(F.col("doc_id").isNull() | (span <= 0), 0).otherwise(F.least(F.lit(SUBRANGES - 1), F.floor((F.col("doc_id") - low).cast("double") / span * SUBRANGES)))
+    low, high = F.coalesce(F.get(tops, at - 1), F.lit(cuts[0])).cast("double"), F.coalesce(F.get(tops, at), F.lit(cuts[-1])).cast("double")
+    span, doc_id = high - low, F.col("doc_id").cast("double")
+    part = F.when(F.col("doc_id").isNull() | (span <= 0), 0).otherwise(F.least(F.lit(SUBRANGES - 1), F.greatest(F.lit(0), F.floor((doc_id - low) / span * SUBRANGES))))
     ranged = rows.withColumn("range", (at * SUBRANGES + part).cast("int"))
     # at most one row for each part of a range: bounded, however many documents there are
-    firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id")).alias("first"))
+    firsts = ranged.groupBy("range").agg(F.min(F.struct("doc_id", "tie")).alias("first"))
     whole = W.orderBy("range")
     before = F.coalesce(F.lag("range").over(whole), F.max("range").over(W.partitionBy()))
-    firsts = firsts.select("range", F.col("first.doc_id").alias("first"), before.alias("before"))
+    firsts = firsts.select("range", "first", before.alias("before"))
     joined = ranged.join(F.broadcast(firsts), "range")
-    guest = F.when(F.col("doc_id").eqNullSafe(F.col("first")), F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("range"), F.lit(1).alias("guest")))).otherwise(F.array(F.struct(F.col("range").alias("range"), F.lit(0).alias("guest"))))
-    dealt = joined.select("doc_id", "text", F.explode(guest).alias("to")).select("doc_id", "text", "to.range", "to.guest", F.md5(F.col("text").cast("binary")).alias("tie"))
+    own, there = F.struct(F.col("range").alias("range"), F.lit(0).alias("guest")), F.struct(F.col("before").alias("range"), F.lit(1).alias("guest"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("tie") == F.col("first.tie"))
+    dealt = joined.select("doc_id", "text", "tie", F.explode(F.when(is_first, F.array(own, there)).otherwise(F.array(own))).alias("to"))
+    dealt = dealt.select("doc_id", "text", "tie", "to.range", "to.guest").repartition("range")
+    dealt = dealt.withColumn("keys", F.expr(digests("text")))
+    dealt = dealt.withColumn("cells", F.expr(sketch("keys", BASE, 0)))
     order = W.partitionBy("range").orderBy("guest", "doc_id", "tie")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
+    return dealt.withColumn("next", F.lead(F.struct("text", "keys", "cells")).over(order)).where("guest = 0").select("doc_id", "text", "keys", "cells", "next")
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     rows = with_next(docs).withColumn("n", F.length("text"))
     half = "int(n div 2)"
-    rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, n - {half}), substring(next_text, 1, {half}))"))
-    for name, text in (("a", "text"), ("e", "edited"), ("b", "next_text")):
-        rows = rows.withColumn(f"{name}_keys", F.expr(digests(text)))
-    rows = rows.select("doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a_keys", "e_keys", "b_keys")
-    rows = rows.withColumns({f"{name}_placed": F.expr(placed(f"{name}_keys", BASE)) for name in "aeb"})
-    for name in "aeb":
-        rows = rows.withColumn(f"{name}_cells", F.expr(sketch(f"{name}_placed", BASE)))
+    rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, n - {half}), substring(next.text, 1, {half}))"))
+    rows = rows.withColumn("e_keys", F.expr(digests("edited")))
+    rows = rows.withColumn("e_cells", F.expr(sketch("e_keys", BASE, 0)))
     return rows.select(
-        "doc_id", "n_chars", "edited_sha256",
-        F.expr(shown("a_keys", "a_cells")).alias("fingerprint"), F.expr(shown("e_keys", "e_cells")).alias("edited_fingerprint"),
-        F.expr(likeness("a_keys", "e_keys", "a_cells", "e_cells")).alias("near_edited"),
-        F.expr(likeness("a_keys", "b_keys", "a_cells", "b_cells")).alias("near_next"),
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        F.expr(shown("keys", "cells")).alias("fingerprint"), F.expr(shown("e_keys", "e_cells")).alias("edited_fingerprint"),
+        F.expr(likeness("keys", "e_keys", "cells", "e_cells")).alias("near_edited"),
+        F.expr(likeness("keys", "next.keys", "cells", "next.cells")).alias("near_next"),
     )
 
 

@@ -5,6 +5,7 @@ Null and empty texts have no words and no labels. Equal texts get equal rows; ro
 so ties, repeated rows, extra columns and empty tables need no rule of their own."""
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
 
@@ -49,6 +50,21 @@ BINDING = {"or": 1, "and": 2, "with": 3}
 TOKEN = re.compile(r"[()]|[a-z0-9][a-z0-9.+:-]*")
 
 
+def well_formed(tokens: Iterable[str]) -> list[str]:
+    """The longest beginning that is a well-formed expression, in one pass that ends at the first token out of place."""
+    seen: list[str] = []
+    depth, operand_next, long = 0, True, 0
+    for token in tokens:
+        if (token in BINDING or token == ")") == operand_next or token == ")" and not depth:
+            break
+        seen.append(token)
+        depth += (token == "(") - (token == ")")
+        operand_next = token in BINDING or token == "("
+        if not operand_next and not depth:
+            long = len(seen)
+    return seen[:long]
+
+
 def postfix(expression: str) -> list[str] | None:
     """The expression in postfix order; None if it is no well-formed expression."""
     out: list[str] = []
@@ -103,13 +119,14 @@ def evaluate(order: list[str]) -> tuple[set[str], float]:
 def expressions(text: str, ends: list[int]) -> list[tuple[set[str], float]]:
     """What the tags that end at those places say. Up to the line's end; where the whole is not well formed, the
     longest beginning that is."""
-    out = []
+    out, line_end = [], -1
     for end in ends:
-        tokens = TOKEN.findall(text[end + 1 :].split("\n", 1)[0])
-        for n in range(len(tokens), 0, -1):
-            if order := postfix(" ".join(tokens[:n])):
-                out.append(evaluate(order))
-                break
+        if line_end <= end:
+            line_end = text.find("\n", end + 1)
+            line_end = len(text) if line_end < 0 else line_end
+        tokens = well_formed(m[0] for m in TOKEN.finditer(text, end + 1, line_end))
+        if tokens and (order := postfix(" ".join(tokens))):
+            out.append(evaluate(order))
     return out
 
 
@@ -133,13 +150,16 @@ def scan_licences(docs: DataFrame) -> DataFrame:
             for text in texts:
                 words = words_of(text)
                 line = f" {b' '.join(words).decode('latin-1')} "
-                starts, base, found, freedom = [], set(), set(), []
+                starts, base, found, freedom, at, before = [], set(), set(), [], 0, 0
                 for end, (is_base, label, length) in phrases.iter(line):
                     found.add(label)
                     freedom.append(FREEDOM[label])
                     if is_base:
                         base.add(label)
-                        starts.append(line.count(" ", 0, end - length))
+                        here = end - length  # words before it, counted on from the hit before
+                        before += line.count(" ", at, here) if here >= at else -line.count(" ", here, at)
+                        at = here
+                        starts.append(before)
                 raw = (text or b"").decode("latin-1").lower()
                 read = expressions(raw, [end for end, _ in tags.iter(raw)])
                 for labels, free in read:

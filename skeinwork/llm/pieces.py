@@ -11,6 +11,7 @@ run of letters or of others, with the marks before it) that are encoded apart; f
 Null and empty texts have no ids and decode to the empty text. Equal texts get equal rows."""
 
 import hashlib
+import heapq
 
 import numpy as np
 import regex
@@ -20,8 +21,8 @@ from .common import kept, map_texts
 
 MARK = "▁"
 ONE_KIND = regex.compile(rf"{MARK}*(\p{{L}}*|\P{{L}}*)")
-#: Segments kept in each of two generations of a task's cache.
-KEPT = 200_000
+#: Segments kept in each of two generations of a task's cache, and the length of one that is kept.
+KEPT, SHORT = 200_000, 64
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 
 
@@ -60,18 +61,29 @@ class Vocabulary:
             self.usable[i], self.halves[i] = parts == [piece], last
 
     def merge(self, text: str) -> tuple[list[str], tuple[int, int] | None]:
-        """Merge step by step, as the definition says: the parts, and the two halves of the last merge."""
-        parts, last = list(text), None
-        while True:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                k = self.ids.get(parts[i] + parts[i + 1])
-                if k is not None and (best is None or self.rank[k] < best):
-                    best, at = self.rank[k], i
-            if best is None:
-                return parts, last
-            last = (self.ids.get(parts[at], -1), self.ids.get(parts[at + 1], -1))
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        """Merge as the definition says, the best pair first, of equal ones the leftmost: the parts, and the two halves of the
+        last merge. Pairs wait in a heap, parts are linked, so long texts take little longer than their length."""
+        parts, last, n = list(text), None, len(text)
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        waiting: list[tuple[int, int, str]] = []
+
+        def wait(i: int) -> None:
+            if i >= 0 and (j := after[i]) < n and (k := self.ids.get(parts[i] + parts[j])) is not None:
+                heapq.heappush(waiting, (self.rank[k], i, parts[i] + parts[j]))
+
+        for i in range(n):
+            wait(i)
+        while waiting:
+            _, i, whole = heapq.heappop(waiting)
+            if not parts[i] or (j := after[i]) >= n or parts[i] + parts[j] != whole:
+                continue  # one of them has merged since
+            last = (self.ids.get(parts[i], -1), self.ids.get(parts[j], -1))
+            parts[i], parts[j], after[i] = whole, "", after[j]
+            if after[j] < n:
+                before[after[j]] = i
+            wait(i)
+            wait(before[i])
+        return [p for p in parts if p], last
 
 
 class Kept(dict):
@@ -83,6 +95,8 @@ class Kept(dict):
 
     def __missing__(self, key):
         found = self.old.get(key) or self.make(key)
+        if len(key) > SHORT:
+            return found
         if len(self) >= KEPT:
             self.old = dict(self)
             self.clear()

@@ -1,15 +1,17 @@
 """Sharding by a consistent-hash ring with virtual nodes and bounded loads, in DataFrame functions alone.
 
 Each shard stands on the ring with many points; a key belongs to the first point at or after its hash. A shard's bound
-is its even part of all rows (counts at most one apart), shared out among its points in proportion to their arcs. Keys
-beyond a point's bound go on clockwise, first come first served, to the free places of the next points that have some.
-All bounds together are the number of rows, so each place is taken, and only the overflow of unlucky arcs moves.
+is its even part of all rows (counts at most one apart). Keys come in the order of the ring; those that find their shard full
+go on clockwise to the free places of shards with room, which are shared out among these shards' points in proportion to
+their arcs. All bounds together are the number of rows, so each place is taken, and only what full shards can't hold moves:
+no other assignment with these bounds moves fewer keys away from their shards.
 
 How many rows each arc has is counted first; from these counts (one row for each point, however many documents there
 are) windows compute who moves where, and the rows look it up. The one shuffle of rows carries no text.
 
 Law: rows. Keys are doc_id; a null doc_id is the key ''. A null text has size 8 and CRC-32 0. Rows of one doc_id stand
-side by side on the ring, ordered by CRC-32 and size; equal rows are interchangeable. An empty table gives no rows."""
+side by side on the ring, ordered by CRC-32 and size; equal rows are interchangeable. Columns besides doc_id and text may have
+any names; an empty table gives no rows."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,38 +45,37 @@ def cells(spark, points: DataFrame, n: int) -> DataFrame:
 
 
 def places(points: DataFrame, counts: DataFrame, shards: int) -> DataFrame:
-    """arc, shard, bound (its places), base (the first slot), beyond (how many moved on before it), moves (where those
-    that it moves on go: from, until, shard, base)."""
+    """arc, shard, kept (how many of the arc's rows find room in it), base (their first slot),
+    beyond (how many moved on before the arc's), moves (where those that it moves on go: from, until, shard, base)."""
     everything = points.join(counts, "arc", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     whole, own = W.partitionBy(), W.partitionBy("shard")
-    rows = F.sum("n").over(whole)
+    rows, along_own = F.sum("n").over(whole), own.orderBy("arc")
     goal = F.floor(rows / shards) + F.when(F.col("shard") < rows % shards, 1).otherwise(0)
-    so_far = F.sum("size").over(own.orderBy("arc"))
-    # whole-number division throughout: bounds add up to the goal
-    arcs = everything.withColumns({"goal": goal, "to": so_far, "ring": F.sum("size").over(own)})
-    arcs = arcs.withColumn("bound", F.expr("(goal * to) div ring - (goal * (to - size)) div ring"))
-    arcs = arcs.withColumn("base", F.sum("bound").over(own.orderBy("arc")) - F.col("bound"))
-    arcs = arcs.withColumn("level", F.sum(F.col("n") - F.col("bound")).over(W.orderBy("arc")))
+    arcs = everything.withColumns({"goal": goal, "load": F.sum("n").over(own), "to": F.sum("size").over(along_own), "ring": F.sum("size").over(own), "base": F.sum("n").over(along_own) - F.col("n")})
+    arcs = arcs.withColumn("kept", F.least(F.col("n"), F.greatest(F.col("goal") - F.col("base"), F.lit(0))))
+    # whole-number division throughout: what is free adds up
+    arcs = arcs.withColumns({"over": F.col("n") - F.col("kept"), "free": F.expr("(greatest(goal - load, 0) * to) div ring - (greatest(goal - load, 0) * (to - size)) div ring")})
+    arcs = arcs.withColumns({"taken": F.col("load") + F.sum("free").over(along_own) - F.col("free"), "level": F.sum(F.col("over") - F.col("free")).over(W.orderBy("arc"))})
     # start behind the arc after which the fewest rows are on their way: there are none
     start = F.min(F.struct("level", "arc")).over(whole)["arc"]
     arcs = arcs.withColumn("turn", F.pmod(F.col("arc") - start - 1, F.count("*").over(whole)))
-    arcs = arcs.withColumns({"over": F.greatest(F.col("n") - F.col("bound"), F.lit(0)), "free": F.greatest(F.col("bound") - F.col("n"), F.lit(0))})
     turn = W.orderBy("turn")
     arcs = arcs.withColumns({"beyond": F.sum("over").over(turn) - F.col("over"), "open": F.sum("free").over(turn) - F.col("free")})
     # the q-th row that moves takes the q-th free place: cut both sequences where either changes
     source = arcs.where("over > 0").select(F.col("beyond").alias("at"), F.col("arc").alias("source"), F.lit(None).cast("struct<shard:bigint,base:bigint>").alias("goal"))
-    goals = arcs.where("free > 0").select(F.col("open").alias("at"), F.lit(None).cast("int").alias("source"), F.struct("shard", (F.col("base") + F.col("n") - F.col("open")).alias("base")).alias("goal"))
+    goals = arcs.where("free > 0").select(F.col("open").alias("at"), F.lit(None).cast("int").alias("source"), F.struct("shard", (F.col("taken") - F.col("open")).alias("base")).alias("goal"))
     cuts = source.unionByName(goals)
     along = W.orderBy("at")
     until = F.coalesce(F.lead("at").over(along), F.lit((1 << 62)))
     seen = along.rowsBetween(W.unboundedPreceding, 0)
     parts = cuts.select("at", until.alias("until"), F.last("source", True).over(seen).alias("arc"), F.last("goal", True).over(seen).alias("goal")).where("until > at and goal is not null and arc is not null")
     moves = parts.groupBy("arc").agg(F.collect_list(F.struct("at", "until", "goal")).alias("moves"))
-    return arcs.join(moves, "arc", "left").select("arc", "shard", "bound", "base", "beyond", "moves")
+    return arcs.join(moves, "arc", "left").select("arc", "shard", "kept", "base", "beyond", "moves")
 
 
 def shard_documents(docs: DataFrame, shards: int = SHARDS, points: int = POINTS) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law)."""
+    """docs: doc_id, text. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard (null under this law), home_shard
+    (whose point is next on the ring: what differs from it has moved)."""
     spark = docs.sparkSession
     ring = ring_points(spark, shards, points)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -85,14 +86,14 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, points: int = POINTS)
     counts = found.groupBy("arc").agg(F.count("*").alias("n"))
     plan = F.broadcast(places(ring, counts, shards))  # a broadcast of one row for each point
     ranked = found.select("doc_id", "size", "text_crc32", "arc", (F.row_number().over(W.partitionBy("arc").orderBy("at", "doc_id", "text_crc32", "size")) - 1).alias("rank"))
-    to = ranked.join(plan, "arc").withColumn("q", F.col("beyond") + F.col("rank") - F.col("bound"))
+    to = ranked.join(plan, "arc").withColumn("q", F.col("beyond") + F.col("rank") - F.col("kept"))
     move = F.get(F.filter("moves", lambda m: (m["at"] <= F.col("q")) & (F.col("q") < m["until"])), F.lit(0))["goal"]
-    to = to.withColumn("move", F.when(F.col("rank") >= F.col("bound"), move))
+    to = to.withColumn("move", F.when(F.col("rank") >= F.col("kept"), move))
     return to.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"),
         F.coalesce(F.col("move.shard"), F.col("shard")).cast("int").alias("shard"),
         F.coalesce(F.col("move.base") + F.col("q"), F.col("base") + F.col("rank")).cast("long").alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
+        F.lit(None).cast("int").alias("grown_shard"), F.col("shard").cast("int").alias("home_shard"),
     )
 
 
@@ -121,29 +122,27 @@ WITH crc_table AS (
 ), counted AS (
   SELECT r.*, coalesce(c.n, 0) AS n FROM ring r LEFT JOIN (SELECT arc, count(*) AS n FROM found GROUP BY arc) c ON c.arc = r.arc
 ), goals AS (
-  SELECT *, (sum(n) OVER ()) // {SHARDS} + CASE WHEN shard < (sum(n) OVER ()) % {SHARDS} THEN 1 ELSE 0 END AS goal,
-    sum(size) OVER (PARTITION BY shard ORDER BY arc) AS upto, sum(size) OVER (PARTITION BY shard) AS whole
+  SELECT *, (sum(n) OVER ()) // {SHARDS} + CASE WHEN shard < (sum(n) OVER ()) % {SHARDS} THEN 1 ELSE 0 END AS goal, sum(n) OVER (PARTITION BY shard) AS load,
+    sum(size) OVER (PARTITION BY shard ORDER BY arc) AS upto, sum(size) OVER (PARTITION BY shard) AS whole, sum(n) OVER (PARTITION BY shard ORDER BY arc) - n AS base
   FROM counted
-), bounds AS (
-  SELECT arc, shard, n, (goal * upto) // whole - (goal * (upto - size)) // whole AS bound FROM goals
+), room AS (
+  SELECT *, least(n, greatest(goal - base, 0)) AS kept, (greatest(goal - load, 0) * upto) // whole - (greatest(goal - load, 0) * (upto - size)) // whole AS free_ FROM goals
 ), levels AS (
-  SELECT *, sum(bound) OVER (PARTITION BY shard ORDER BY arc) - bound AS base, sum(n - bound) OVER (ORDER BY arc) AS level FROM bounds
+  SELECT *, n - kept AS over_, load + sum(free_) OVER (PARTITION BY shard ORDER BY arc) - free_ AS taken, sum(n - kept - free_) OVER (ORDER BY arc) AS level FROM room
 ), turned AS (
-  SELECT *, (arc - first_value(arc) OVER (ORDER BY level, arc) - 1 + {SHARDS * POINTS}) % {SHARDS * POINTS} AS turn,
-    greatest(n - bound, 0) AS over_, greatest(bound - n, 0) AS free_
-  FROM levels
+  SELECT *, (arc - first_value(arc) OVER (ORDER BY level, arc) - 1 + {SHARDS * POINTS}) % {SHARDS * POINTS} AS turn FROM levels
 ), arcs AS (
   SELECT *, sum(over_) OVER (ORDER BY turn) - over_ AS beyond, sum(free_) OVER (ORDER BY turn) - free_ AS open_ FROM turned
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY arc ORDER BY pos, doc_id NULLS FIRST, text_crc32, size) - 1 AS rank FROM found
 ), walked AS (
-  SELECT r.doc_id, r.size, r.text_crc32, r.rank, a.shard, a.base, CASE WHEN r.rank >= a.bound THEN a.beyond + r.rank - a.bound END AS q
+  SELECT r.doc_id, r.size, r.text_crc32, r.rank, a.shard, a.base, CASE WHEN r.rank >= a.kept THEN a.beyond + r.rank - a.kept END AS q
   FROM ranked r JOIN arcs a ON a.arc = r.arc
 ), opens AS (
-  SELECT open_ AS pos, shard, base + n - open_ AS base FROM arcs WHERE free_ > 0
+  SELECT open_ AS pos, shard, taken - open_ AS base FROM arcs WHERE free_ > 0
 )
 SELECT w.doc_id, w.size::BIGINT AS size, w.text_crc32::BIGINT AS text_crc32, 'rows' AS law,
   (CASE WHEN w.q IS NULL THEN w.shard ELSE o.shard END)::INTEGER AS shard,
-  (CASE WHEN w.q IS NULL THEN w.base + w.rank ELSE o.base + w.q END)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+  (CASE WHEN w.q IS NULL THEN w.base + w.rank ELSE o.base + w.q END)::BIGINT AS slot, NULL::INTEGER AS grown_shard, w.shard::INTEGER AS home_shard
 FROM walked w ASOF LEFT JOIN opens o ON w.q >= o.pos
 """
