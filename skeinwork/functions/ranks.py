@@ -13,19 +13,39 @@ def average_rank(value: str, *by: str) -> Column:
     return F.rank().over(group.orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2
 
 
-def mann_whitney(df: DataFrame, value: str, first: str) -> DataFrame:
+def prefix_sums(counts: DataFrame, value: str, *sums: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """counts with below_<c>: the sum of c over the rows with a smaller value (values are distinct, within by if given). Without
+    by the rows are dealt by ranges of the value; a table of one row for each range carries the sums over, so no task has
+    them all."""
+    if by:
+        along = W.partitionBy(*by).orderBy(value)
+        return counts.withColumns({f"below_{c}": F.sum(c).over(along) - F.col(c) for c in sums})
+    ranged = counts.repartitionByRange(F.col(value)).withColumn("_range", F.spark_partition_id())
+    totals = ranged.groupBy("_range").agg(*[F.sum(c).alias(f"_{c}") for c in sums])
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_{c}").over(before), F.lit(0)).alias(f"_{c}") for c in sums])
+    inner = W.partitionBy("_range").orderBy(value)
+    found = ranged.withColumns({f"_in_{c}": F.sum(c).over(inner) - F.col(c) for c in sums}).join(F.broadcast(totals), "_range")  # a row for each range
+    return found.select(*counts.columns, *[(F.col(f"_{c}") + F.col(f"_in_{c}")).alias(f"below_{c}") for c in sums])
+
+
+def rank_sums(df: DataFrame, value: str, first: str, *by: str) -> DataFrame:
+    """For each group: n1, n2, u (of the rows where first holds; null without rows on either side), ties (sum of t**3 - t).
+    Equal values share a rank, so ranks are computed once for each distinct value, from counts."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("t"), F.count_if(first).alias("n1"))
+    ranked = prefix_sums(counts, "v", "t", by=by).withColumn("r", F.col("below_t") + (F.col("t") + 1) / 2)
+    t = F.col("t").cast("double")
+    sums = ranked.groupBy(*by).agg(F.coalesce(F.sum("n1"), F.lit(0)).alias("n1"), F.coalesce(F.sum(F.col("t") - F.col("n1")), F.lit(0)).alias("n2"), F.sum(F.col("n1") * F.col("r")).alias("r1"), F.sum(t * t * t - t).alias("ties"))
+    u = F.when((F.col("n1") > 0) & (F.col("n2") > 0), F.round(F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, 4))
+    return sums.select(*by, "n1", "n2", u.alias("u"), "ties")
+
+
+def mann_whitney(df: DataFrame, value: str, first: str, *by: str) -> DataFrame:
     """first: a boolean column. Returns n1, n2, u (of the rows where first holds), z by the normal approximation with
-    corrections for ties and continuity."""
-    ranked = df.where(F.col(value).isNotNull()).select(F.col(value).alias("v"), F.col(first).alias("g"))
-    ties = ranked.groupBy("v").agg(F.count("*").alias("t")).agg(F.sum(F.col("t") * F.col("t") * F.col("t") - F.col("t")).alias("ties"))
-    # equal values share a rank, so ranks are computed once for each distinct value, from counts
-    counts = ranked.groupBy("v").agg(F.count("*").alias("t"), F.count_if("g").alias("n1"))
-    below = F.sum("t").over(W.orderBy("v")) - F.col("t")
-    sums = counts.withColumn("r", below + (F.col("t") + 1) / 2).agg(F.sum("n1").alias("n1"), F.sum(F.col("t") - F.col("n1")).alias("n2"), F.sum(F.col("n1") * F.col("r")).alias("r1"))
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
+    corrections for ties and continuity; z is null where all values are equal or a side is empty."""
     n = F.col("n1") + F.col("n2")
-    sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    return sums.crossJoin(ties).select("n1", "n2", F.round(u, 4).alias("u"), F.round((u - F.col("n1") * F.col("n2") / 2 - 0.5) / sd, 4).alias("z"))  # one row each
+    sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
+    return rank_sums(df, value, first, *by).select(*by, "n1", "n2", "u", F.round(F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2 - 0.5, sd), 4).alias("z"))
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -37,9 +57,32 @@ def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 
 def wilcoxon(df: DataFrame, difference: str) -> DataFrame:
-    """n (of differences that aren't zero), w_plus, w_minus."""
-    d = df.select(F.col(difference).alias("d")).where("d is not null and d <> 0").withColumn("size", F.abs("d"))
-    return d.withColumn("r", average_rank("size")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.when(F.col("d") > 0, F.col("r"))), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("r"))), F.lit(0.0)).alias("w_minus"))
+    """n (of differences that aren't zero), w_plus, w_minus. Ranks come from counts of the distinct sizes."""
+    d = df.select(F.col(difference).alias("d")).where("d is not null and d <> 0")
+    counts = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
+    ranked = prefix_sums(counts, "size", "t").withColumn("r", F.col("below_t") + (F.col("t") + 1) / 2)
+    return ranked.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("r")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum((F.col("t") - F.col("up")) * F.col("r")), F.lit(0.0)).alias("w_minus"))
+
+
+def p_values(found: DataFrame, kind: str) -> DataFrame:
+    """found, a table of few rows, with p_value: of mann_whitney (one-sided, greater, from z), wilcoxon (one-sided, greater,
+    exact up to 25 differences, else by the normal approximation) or spearman (two-sided, from n and rho)."""
+    import pandas as pd
+
+    def one(row) -> float | None:
+        if kind == "mann_whitney":
+            return None if row.z is None or math.isnan(row.z) else normal_tail(row.z)
+        if kind == "wilcoxon":
+            n = int(row.n)
+            if n <= 25:
+                return wilcoxon_exact_tail(n, row.w_plus)
+            return normal_tail((row.w_plus - n * (n + 1) / 4 - 0.5) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+        if row.rho is None or math.isnan(row.rho) or row.n < 3:
+            return None
+        return 0.0 if abs(row.rho) >= 1 else t_tail(row.rho * math.sqrt((row.n - 2) / (1 - row.rho**2)), int(row.n) - 2)
+
+    run = lambda parts: (part.assign(p_value=pd.Series([one(r) for r in part.itertuples(index=False)], dtype=float)) for part in parts)
+    return found.mapInPandas(run, ", ".join(f"{c} {t}" for c, t in found.dtypes) + ", p_value double")
 
 
 def normal_tail(z: float) -> float:

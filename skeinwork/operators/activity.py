@@ -70,6 +70,20 @@ def gaps(events: DataFrame, by: str) -> DataFrame:
     return events.withColumn("gap", (F.unix_micros("ts") - F.unix_micros(F.lag("ts").over(order))) / F.lit(1e6))
 
 
+def log_gaps(events: DataFrame) -> DataFrame:
+    """One row for the whole log: n (gaps), mean and s (standard deviation) of seconds between successive events, span_s. Ranges of
+    time are summed up where they lie; one row for each range carries its ends to the next."""
+    ranged = events.select("ts", "id").repartitionByRange("ts", "id").withColumn("_range", F.spark_partition_id())
+    us = F.unix_micros("ts")
+    inner = ranged.withColumn("gap", (us - F.unix_micros(F.lag("ts").over(W.partitionBy("_range").orderBy("ts", "id")))) / F.lit(1e6))
+    parts = inner.groupBy("_range").agg(F.count("gap").alias("n"), F.coalesce(F.sum("gap"), F.lit(0.0)).alias("x"), F.coalesce(F.sum(F.col("gap") * F.col("gap")), F.lit(0.0)).alias("xx"), F.min(us).alias("first"), F.max(us).alias("last"))
+    border = (F.col("first") - F.lag("last").over(W.orderBy("_range"))) / F.lit(1e6)
+    parts = parts.withColumn("border", border)  # a row for each range
+    total = parts.agg((F.sum("n") + F.count("border")).alias("n"), (F.sum("x") + F.coalesce(F.sum("border"), F.lit(0.0))).alias("x"), (F.sum("xx") + F.coalesce(F.sum(F.col("border") * F.col("border")), F.lit(0.0))).alias("xx"), ((F.max("last") - F.min("first")) / F.lit(1e6)).alias("span_s"))
+    mean = F.try_divide("x", "n")
+    return total.select("n", mean.alias("mean"), F.sqrt(F.try_divide(F.greatest(F.lit(0.0), F.col("xx") - F.col("x") * mean), F.col("n") - 1)).alias("s"), "span_s")
+
+
 def burstiness(events: DataFrame, by: str, least: int = 5) -> DataFrame:
     """n, burstiness (s - m) / (s + m) of gaps, span in hours, median gap: for keys with enough events."""
     rows = gaps(events, by).groupBy(by).agg(F.count("*").alias("n"), F.stddev_samp("gap").alias("s"), F.avg("gap").alias("m"), ((F.max(F.unix_micros("ts")) - F.min(F.unix_micros("ts"))) / 3.6e9).alias("h"), F.median(F.round(F.col("gap") * 1e6)).alias("median"))

@@ -4,6 +4,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.ranks import compare_to_null
+from . import replicates
+
 
 def first_use(uses: DataFrame, item: str, actor: str) -> DataFrame:
     """uses: item, actor, ts. The first time of each pair, as us."""
@@ -28,9 +31,12 @@ def half_life(curve: DataFrame, item: str) -> DataFrame:
 
 
 def token_diffusion(uses: DataFrame, top: int = 25) -> DataFrame:
-    """uses: token, actor, at (a number). Distinct actors, first and last first use, for the most widely used tokens."""
+    """uses: token, actor, at (a number of hours). Distinct actors, first and last first use, the span between, and actors a day of
+    it (of a millionth of an hour at least), for the most widely used tokens."""
     firsts = uses.groupBy("token", "actor").agg(F.min("at").alias("at"))
     each = firsts.groupBy("token").agg(F.count("*").alias("n_actors"), F.min("at").alias("first_at"), F.max("at").alias("last_at"))
+    each = each.withColumn("span_h", F.col("last_at") - F.col("first_at"))
+    each = each.withColumn("per_day", F.round(F.col("n_actors") * 24 / F.greatest(F.col("span_h").cast("double"), F.lit(1e-6)), 4))
     return each.orderBy(F.desc("n_actors"), "token").limit(top)
 
 
@@ -43,3 +49,24 @@ def exposed_share(firsts: DataFrame, edges: DataFrame, item: str, least: int = 1
     each = met.groupBy(item, "actor").agg(F.max((F.col("other_us") < F.col("first_us")).cast("int")).alias("exposed"), F.count("*").alias("ends"))
     rows = firsts.join(each, [item, "actor"], "left").groupBy(item).agg(F.count("*").alias("adopters"), F.coalesce(F.sum("exposed"), F.lit(0)).alias("exposed"), (F.coalesce(F.sum("ends"), F.lit(0)) / 2).cast("long").alias("internal_edges"))
     return rows.where(F.col("adopters") >= least).withColumn("exposed_share", F.round(F.col("exposed") / F.col("adopters"), 6))
+
+
+def exposure_test(firsts: DataFrame, edges: DataFrame, n: int = 200, least: int = 10) -> DataFrame:
+    """firsts: actor, first_us of one item's adopters; edges: a < b. One row: adopters in the network, and of exposed adoptions, of
+    rank against hops from the first and of edges inside the observed value, z and p against n shuffles; and a verdict, which
+    is 'insufficient_adopters' below least."""
+    found = replicates.exposure_null(firsts, edges, n)
+    ends = edges.select(F.explode(F.array("a", "b")).alias("actor")).distinct()
+    adopters = firsts.join(ends, "actor", "left_semi").count()
+    seen, null, row = found.where("replicate < 0").first(), found.where("replicate >= 0"), firsts.sparkSession.range(1).select(F.lit(adopters).cast("long").alias("adopters"))
+    for k in ("exposed", "rho", "inside"):
+        if seen[k] is None or adopters < least:
+            row = row.withColumns({c: F.lit(None).cast("double") for c in (k, f"{k}_z", f"{k}_p")})
+        else:
+            row = row.crossJoin(compare_to_null(null.where(F.col(k).isNotNull()), k, seen[k]).select(F.col("observed").alias(k), F.col("z_score").alias(f"{k}_z"), F.col("p_value").alias(f"{k}_p")))  # one row
+    high = lambda k: F.coalesce((F.col(f"{k}_z") > 2) & (F.col(f"{k}_p") < 0.05), F.lit(False))
+    verdict = (
+        F.when(F.col("adopters") < least, "insufficient_adopters").when(high("exposed") & high("rho"), "spread along network ties").when(high("exposed"), "partial: exposure elevated, ordering not")
+        .when(high("rho"), "outward from source, exposure not elevated").otherwise("no transmission signal")
+    )
+    return row.withColumn("verdict", verdict)

@@ -26,6 +26,13 @@ def bipartite(events: DataFrame, left: str, right: str) -> DataFrame:
     return events.groupBy(F.concat(F.lit(f"{left}:"), F.col(left).cast("string")).alias("src"), F.concat(F.lit(f"{right}:"), F.col(right).cast("string")).alias("dst")).agg(F.count("*").alias("weight"), F.min(F.unix_micros("ts")).alias("first_us"), F.max(F.unix_micros("ts")).alias("last_us"))
 
 
+def bipartite_nodes(events: DataFrame, left: str, right: str) -> DataFrame:
+    """node, kind, bipartite (0 or 1), n_events, first_us, last_us of both kinds; a node counts once for each event."""
+    at = F.unix_micros("ts").alias("us")
+    side = lambda k, i: events.select(F.concat(F.lit(f"{k}:"), F.col(k).cast("string")).alias("node"), F.lit(k).alias("kind"), F.lit(i).alias("bipartite"), at)
+    return side(left, 0).unionByName(side(right, 1)).groupBy("node", "kind", "bipartite").agg(F.count("*").alias("n_events"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
+
+
 def newman_projection(members: DataFrame, group: str, member: str, most: int | None = None) -> DataFrame:
     """members: distinct group, member. a < b, w: each shared group adds 1 / (k - 1), k its members; shared. most: groups with
     more members are left out when asked for, as their pairs grow with the square."""
@@ -114,53 +121,88 @@ def power_law(edges: DataFrame, xmin: int = 1) -> DataFrame:
     return both.groupBy(F.col("all").alias("n"), F.round("alpha", 6).alias("alpha")).agg(F.round(F.max(F.abs(F.col("cum") / F.col("all") - model)), 6).alias("ks"))
 
 
+def power_law_or_lognormal(edges: DataFrame, xmin: int = 1, least: int = 10) -> DataFrame:
+    """One row: n, alpha, log-likelihoods of the degrees under the power law and a lognormal, their difference, its z (Vuong) and
+    p_value, mean and largest degree, and which is preferred; below least degrees all but n are null: insufficient_data."""
+    import math
+
+    import pandas as pd
+
+    base = xmin - 0.5
+    counts = degree(edges).where(F.col("degree") >= xmin).groupBy("degree").agg(F.count("*").alias("k"))
+    x, k = F.log("degree"), F.col("k")
+    fit = counts.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), (1 + F.try_divide(F.sum("k"), F.sum(k * (x - math.log(base))))).alias("alpha"), F.try_divide(F.sum(k * x), F.sum("k")).alias("mu"), F.sum(k * x * x).alias("xx"), F.try_divide(F.sum(k * F.col("degree")), F.sum("k")).alias("mean"), F.max("degree").alias("most"))
+    fit = fit.withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("xx") - F.col("n") * F.col("mu") * F.col("mu"), F.col("n") - 1))))
+    both = counts.crossJoin(F.broadcast(fit))  # one row
+    p = F.log((F.col("alpha") - 1) / base) - F.col("alpha") * (x - math.log(base))
+    z = F.try_divide(x - F.col("mu"), F.col("sd"))
+    q = F.when(F.col("sd") > 0, -x - F.log("sd") - 0.5 * math.log(2 * math.pi) - z * z / 2)
+    each = both.select("k", p.alias("p"), q.alias("q")).withColumn("d", F.col("p") - F.col("q"))
+    sums = each.agg(*[F.sum(k * F.col(c)).alias(c) for c in "pqd"], F.sum(k * F.col("d") * F.col("d")).alias("dd"))
+    one = fit.crossJoin(sums)  # one row each
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.try_divide(F.col("dd") - F.try_divide(F.col("d") * F.col("d"), "n"), F.col("n") - 1)) * F.col("n"))
+    enough = F.col("n") >= least
+    kept = lambda c, digits, name: F.when(enough, F.round(c, digits)).alias(name)
+    row = one.select("n", kept("alpha", 6, "alpha"), kept("p", 4, "loglik_power_law"), kept("q", 4, "loglik_lognormal"), kept("d", 4, "likelihood_ratio"), kept(F.try_divide("d", spread), 4, "z"), kept("mean", 6, "mean"), F.when(enough, F.col("most")).alias("most"))
+
+    def verdict(parts):
+        for part in parts:
+            chance = [None if pd.isna(z) else math.erfc(abs(z) / math.sqrt(2)) for z in part.z]
+            said = ["insufficient_data" if n < least else "indistinguishable" if c is None or c >= 0.05 else "power_law" if z > 0 else "lognormal" for n, z, c in zip(part.n, part.z, chance, strict=True)]
+            yield part.assign(p_value=pd.Series(chance, dtype=float), preferred=said)
+
+    return row.mapInPandas(verdict, ", ".join(f"{c} {t}" for c, t in row.dtypes) + ", p_value double, preferred string")
+
+
 Keep = Callable[[DataFrame, str], DataFrame]
 
 
 def bfs(edges: DataFrame, source: Column | str, keep: Keep, most: int = 1000) -> DataFrame:
-    """node, hops from the source, over undirected edges."""
+    """node, hops from the source, over undirected edges. Each step writes its new nodes only; what is a step away from them was
+    seen in it, in the one before, or never."""
     links = both_ways(edges).select("node", "other")
-    seen = keep(links.where(F.col("node") == source).select("node").distinct().select("node", F.lit(0).alias("hops")), "bfs")
+    front = keep(links.where(F.col("node") == source).select("node").distinct().select("node", F.lit(0).alias("hops")), "bfs")
+    seen, last = front, front
     for step in range(1, most):
-        edge = seen.where(F.col("hops") == step - 1).join(links, "node").select(F.col("other").alias("node")).distinct().join(seen, "node", "left_anti")
-        new = keep(edge.select("node", F.lit(step).alias("hops")), "bfs")
-        if new.isEmpty():
+        near = front.join(links, "node").select(F.col("other").alias("node")).distinct()
+        new = near.join(front, "node", "left_anti").join(last, "node", "left_anti")
+        last, front = front, keep(new.select("node", F.lit(step).alias("hops")), "bfs")
+        if front.isEmpty():
             break
-        seen = keep(seen.unionByName(new), "bfs")
+        seen = seen.unionByName(front)
     return seen
 
 
-def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85) -> DataFrame:
-    """edges: src, dst, weight. node, rank after a fixed number of rounds; what ends in dead ends is spread evenly."""
+def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, keep: Keep | None = None, every: int = 5) -> DataFrame:
+    """edges: src, dst, weight. node, rank after a fixed number of rounds; what ends in dead ends is spread evenly. keep, if
+    given, cuts the lineage every so many rounds."""
     nodes = edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
     total = nodes.count()
     out = edges.groupBy("src").agg(F.sum("weight").alias("out"))
     share = edges.join(out, "src").select("src", "dst", (F.col("weight") / F.col("out")).alias("p"))
     rank = nodes.select("node", F.lit(1.0 / max(total, 1)).alias("rank"))
-    for _ in range(iterations):
+    if keep is not None:
+        nodes, share = keep(nodes, "nodes"), keep(share, "share")
+    for step in range(iterations):
+        if keep is not None and step and step % every == 0:
+            rank = keep(rank, "rank")
         flow = share.join(rank.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.sum(F.col("rank") * F.col("p")).alias("x"))
         held = flow.agg((1 - F.coalesce(F.sum("x"), F.lit(0.0))).alias("lost"))
         rank = nodes.join(flow, "node", "left").crossJoin(F.broadcast(held)).select("node", ((1 - damping) / total + damping * (F.coalesce("x", F.lit(0.0)) + F.col("lost") / total)).alias("rank"))  # held: one row
     return rank
 
 
-def k_core(edges: DataFrame, keep: Keep) -> DataFrame:
-    """node, core: peel what has fewer than k neighbours left, for rising k."""
-    left, out, k = keep(edges.select("a", "b", "w"), "core"), None, 1
-    cores = []
-    while not left.isEmpty():
-        while True:
-            weak = degree(left).where(F.col("degree") <= k).select("node")
-            weak = keep(weak.withColumn("core", F.lit(k)), "core")
-            if weak.isEmpty():
-                break
-            cores.append(weak)
-            rest = left.join(weak.select(F.col("node").alias("a")), "a", "left_anti").join(weak.select(F.col("node").alias("b")), "b", "left_anti")
-            bare = degree(left).select("node").join(degree(rest).select("node"), "node", "left_anti").join(weak, "node", "left_anti")
-            cores.append(keep(bare.withColumn("core", F.lit(k)), "core"))
-            left = keep(rest, "core")
-        k += 1
-    out = cores[0] if cores else edges.select(F.col("a").alias("node"), F.lit(0).alias("core")).limit(0)
-    for c in cores[1:]:
-        out = out.unionByName(c)
-    return out
+def k_core(edges: DataFrame, keep: Keep, most: int = 10_000) -> DataFrame:
+    """node, core. Every node's number starts as its degree and becomes the largest h such that h neighbours have h or more,
+    until nothing changes: few rounds, where peeling would take one for each layer."""
+    links = keep(both_ways(edges.where("a <> b")).select("node", "other").distinct(), "links")
+    cores = keep(links.groupBy("node").agg(F.count("*").cast("long").alias("core")), "core")
+    place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("core")))
+    for _ in range(most):
+        near = links.join(cores.withColumnRenamed("node", "other"), "other").select("node", "core", place.alias("place"))
+        new = near.groupBy("node").agg(F.max(F.least("core", F.col("place").cast("long"))).alias("new"))
+        found = keep(cores.join(new, "node").select("node", F.col("new").alias("core"), (F.col("new") < F.col("core")).alias("moved")), "core")
+        cores = found.select("node", "core")
+        if found.where("moved").isEmpty():
+            break
+    return cores

@@ -83,31 +83,245 @@ def rewired_null(edges: DataFrame, n: int, seed: int = 1) -> DataFrame:
     return over_rows(edges.sparkSession, n, "replicate long, transitivity double, assortativity double", one)
 
 
-def permuted_difference(values: np.ndarray, first: np.ndarray, spark, n: int, seed: int = 1) -> DataFrame:
-    """replicate, difference of means between two groups after shuffling who belongs to which."""
-    held = spark.sparkContext.broadcast((values, int(first.sum())))
+def permuted_difference(values: np.ndarray, counts: np.ndarray, n_first: int, spark, n: int, seed: int = 1) -> DataFrame:
+    """replicate, difference of means between two groups after shuffling who belongs to which: n_first of sum(counts) rows are
+    first, counts[i] rows have values[i]. How many of each value fall to the first is drawn at once, so nothing grows with
+    the rows."""
+    values, counts = np.asarray(values, float), np.asarray(counts, np.int64)
+    n_other = int(counts.sum()) - n_first
 
     def one(i):
-        v, k = held.value
-        order = np.random.default_rng(seed * 1_000_003 + i).permutation(len(v))
-        return i, float(v[order[:k]].mean() - v[order[k:]].mean())
+        drawn = np.random.default_rng(seed * 1_000_003 + i).multivariate_hypergeometric(counts, n_first, method="marginals")
+        return i, float((values * drawn).sum() / n_first - (values * (counts - drawn)).sum() / n_other)
 
+    if not n_first or not n_other:
+        return spark.createDataFrame([], "replicate long, difference double")
     return over_rows(spark, n, "replicate long, difference double", one)
 
 
-def poisson_null(spark, events: int, span_s: float, n: int, seed: int = 1) -> DataFrame:
-    """replicate, burstiness of events spread evenly at random."""
+def poisson_null(spark, events: int, n: int, seed: int = 1, block: int = 1 << 20) -> DataFrame:
+    """replicate, burstiness of so many events spread evenly at random over any span. Gaps between such events are exponential
+    numbers over their sum, and burstiness has no scale: so gaps are drawn block by block, and only their sums are held."""
 
     def one(i):
-        gaps = np.diff(np.sort(np.random.default_rng(seed * 1_000_003 + i).uniform(0, span_s, events)))
-        return i, float((gaps.std(ddof=1) - gaps.mean()) / (gaps.std(ddof=1) + gaps.mean())) if len(gaps) > 1 else None
+        rng, left, total, squares = np.random.default_rng(seed * 1_000_003 + i), events - 1, 0.0, 0.0
+        while left > 0:
+            gaps = rng.exponential(size=min(block, left))
+            total, squares, left = total + float(gaps.sum()), squares + float((gaps**2).sum()), left - len(gaps)
+        n = events - 1
+        mean = total / n if n > 0 else 0.0
+        s = (max(0.0, squares - n * mean**2) / (n - 1)) ** 0.5 if n > 1 else 0.0
+        return i, (s - mean) / (s + mean) if n > 1 else None
 
     return over_rows(spark, n, "replicate long, burstiness double", one)
 
 
-def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 1) -> DataFrame:
-    """node, betweenness (normalized, undirected, exact if sources covers all nodes): Brandes from each source; the sums
-    of a task are sent on, not each source's."""
+def drawn_share(inside: int, total: int, n_first: int, spark, n: int, seed: int = 1) -> DataFrame:
+    """replicate, difference: the share of inside rows among n_first rows drawn from total, less that among the others."""
+    if not 0 < n_first < total:
+        return spark.createDataFrame([], "replicate long, difference double")
+
+    def one(i):
+        k = int(np.random.default_rng(seed * 1_000_003 + i).hypergeometric(inside, total - inside, n_first))
+        return i, k / n_first - (inside - k) / (total - n_first)
+
+    return over_rows(spark, n, "replicate long, difference double", one)
+
+
+def directed_swaps(a: np.ndarray, b: np.ndarray, seed: int, most_swaps: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of directed edges exchanged: all in- and out-degrees stay, no loops or repeated edges come about."""
+    rng, m, y = np.random.default_rng(seed), len(a), b.copy()
+    there, goal, done = set(zip(a.tolist(), y.tolist(), strict=True)), min(m, most_swaps) if m > 1 else 0, 0
+    for _ in range(20 * goal):
+        if done == goal:
+            break
+        i, j = rng.integers(0, m, 2)
+        u, v, s, t = int(a[i]), int(y[i]), int(a[j]), int(y[j])
+        if u == t or s == v or (u, t) in there or (s, v) in there:
+            continue
+        there ^= {(u, v), (s, t), (u, t), (s, v)}
+        y[i], y[j] = t, v
+        done += 1
+    return a, y
+
+
+def coded(edges: DataFrame, *columns: str):
+    """Edge ends as numbers, further columns, and the nodes that the numbers stand for."""
+    a, b, *more = edge_arrays(edges, *columns)
+    names, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
+    return codes[: len(a)], codes[len(a) :], names, *more
+
+
+def reciprocity_null(edges: DataFrame, n: int, seed: int = 2) -> DataFrame:
+    """replicate, reciprocity of n copies of src, dst whose ends are exchanged."""
+    a, b, _ = coded(edges.where("src <> dst").select("src", "dst").distinct(), "src", "dst")
+    held = edges.sparkSession.sparkContext.broadcast((a, b))
+
+    def one(i):
+        x, y = directed_swaps(*held.value, seed * 1_000_003 + i)
+        there = set(zip(x.tolist(), y.tolist(), strict=True))
+        return i, sum((v, u) in there for u, v in there) / len(there) if there else 0.0
+
+    return over_rows(edges.sparkSession, n, "replicate long, reciprocity double", one)
+
+
+def small_modularity(a: np.ndarray, b: np.ndarray, w: np.ndarray, label: np.ndarray) -> float:
+    total = float(w.sum())
+    if not total:
+        return 0.0
+    strength = np.bincount(label[a], weights=w, minlength=label.max() + 1) + np.bincount(label[b], weights=w, minlength=label.max() + 1)
+    return float(w[label[a] == label[b]].sum() / total - ((strength / (2 * total)) ** 2).sum())
+
+
+def modularity_null(edges: DataFrame, n: int, seed: int = 3) -> DataFrame:
+    """replicate, modularity of the communities found in n rewired copies of a < b (every edge weighs one there)."""
+    a, b, _ = coded(edges, "a", "b")
+    held = edges.sparkSession.sparkContext.broadcast((a, b))
+
+    def one(i):
+        x, y = rewired(*held.value, seed * 1_000_003 + i)
+        w = np.ones(len(x))
+        return i, small_modularity(x, y, w, louvain(x, y, w)) if len(x) else 0.0
+
+    return over_rows(edges.sparkSession, n, "replicate long, modularity double", one)
+
+
+def community_evolution(meetings: DataFrame, unit_us: int = 86_400_000_000, least: int = 5) -> DataFrame:
+    """meetings: a < b, us, one row for each pair that meets. For each bucket of time with one: nodes, edges, n_communities,
+    modularity and largest of the network of all that met until a bucket after it began, if there are least meetings."""
+    a, b, names, us = coded(meetings, "a", "b", "us")
+    cuts = np.unique(us - us % unit_us)
+    held, spark = meetings.sparkSession.sparkContext.broadcast((a, b, us, cuts)), meetings.sparkSession
+
+    def one(i):
+        a, b, us, cuts = held.value
+        own = us <= cuts[i] + unit_us
+        if own.sum() < least:
+            return int(cuts[i]), None, None, None, None, None
+        pairs, w = np.unique(a[own] * (1 << 32) + b[own], return_counts=True)
+        x, y = pairs >> 32, pairs & ((1 << 32) - 1)
+        seen, codes = np.unique(np.concatenate((x, y)), return_inverse=True)
+        x, y, w = codes[: len(x)], codes[len(x) :], w.astype(float)
+        label = louvain(x, y, w)
+        return int(cuts[i]), len(seen), len(x), int(label.max()) + 1, small_modularity(x, y, w, label), int(np.bincount(label).max())
+
+    return over_rows(spark, len(cuts), "bucket_us long, nodes long, edges long, n_communities long, modularity double, largest long", one).where("nodes is not null")
+
+
+def contingency_scores(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Adjusted Rand index and normalized mutual information of two labellings by numbers."""
+    n, choose = len(x), lambda c: float((c * (c - 1) / 2).sum())
+    wide = int(y.max()) + 1
+    cells, p, q = (np.bincount(k).astype(float) for k in (x * wide + y, x, y))
+    both, cx, cy = choose(cells), choose(p), choose(q)
+    entropy = lambda c: float(-(c[c > 0] / n * np.log(c[c > 0] / n)).sum())
+    hx, hy, hxy = entropy(p), entropy(q), entropy(cells)
+    expected = cx * cy / (n * (n - 1) / 2)
+    top = (cx + cy) / 2 - expected
+    return (both - expected) / top if top else 1.0, (hx + hy - hxy) / ((hx + hy) / 2) if hx + hy else 1.0
+
+
+def partition_null(pairs: DataFrame, x: str, y: str, n: int, seed: int = 4) -> DataFrame:
+    """replicate, ari, nmi after shuffling the labels of x."""
+    found = edge_arrays(pairs, x, y)
+    held = pairs.sparkSession.sparkContext.broadcast(tuple(np.unique(v, return_inverse=True)[1] for v in found))
+
+    def one(i):
+        p, q = held.value
+        return i, *contingency_scores(np.random.default_rng(seed * 1_000_003 + i).permutation(p), q)
+
+    return over_rows(pairs.sparkSession, n, "replicate long, ari double, nmi double", one)
+
+
+def exposure_null(firsts: DataFrame, edges: DataFrame, n: int, seed: int = 5) -> DataFrame:
+    """firsts: actor, first_us of one item's adopters; edges: a < b. A row for replicate -1, the observed order, and one for
+    each of n shuffles of who adopted when: exposed (share with a neighbour before them), rho (of rank and hops from the
+    first adopter in the largest component, null below ten or where all are as far), and inside (edges among the adopters,
+    or among as many nodes drawn at random)."""
+    a, b, names = coded(edges, "a", "b")
+    near: list[list[int]] = [[] for _ in names]
+    for u, v in zip(a.tolist(), b.tolist(), strict=True):
+        near[u].append(v)
+        near[v].append(u)
+    actors, at = edge_arrays(firsts, "actor", "first_us")
+    place = {k: i for i, k in enumerate(names.tolist())}
+    order = np.array([place[actors[i]] for i in np.lexsort((actors, at)) if actors[i] in place], np.int64)
+
+    def hops_from(s):
+        far, queue = np.full(len(near), -1), [s]
+        far[s] = 0
+        for u in queue:
+            for v in near[u]:
+                if far[v] < 0:
+                    far[v] = far[u] + 1
+                    queue.append(v)
+        return far
+
+    reach, component = np.zeros(len(near), np.int64), np.full(len(near), -1)
+    for u in range(len(near)):
+        if component[u] < 0:
+            own = hops_from(u) >= 0
+            component[own], reach[own] = u, own.sum()
+    source = next((u for u in order.tolist() if reach[u] == reach.max()), None)
+    far = hops_from(source) if source is not None else np.full(len(near), -1)
+    spark = edges.sparkSession
+    held = spark.sparkContext.broadcast((near, order, far, source))
+
+    def ranked(x):
+        _, code, size = np.unique(x, return_inverse=True, return_counts=True)
+        return (np.cumsum(size) - (size - 1) / 2)[code]
+
+    def measure(order, members, far, source, near):
+        when = {u: i for i, u in enumerate(order.tolist())}
+        exposed = sum(any(when.get(v, len(order)) < i for v in near[u]) for u, i in when.items())
+        reached = [u for u in order.tolist() if far[u] > 0]
+        x, y = np.array([when[u] for u in sorted(reached)], float), far[sorted(reached)].astype(float)
+        rho = float(np.corrcoef(ranked(x), ranked(y))[0, 1]) if len(x) >= 10 and (y != y[0]).any() else None
+        members = set(members.tolist())
+        return exposed / max(1, len(order)), rho, float(sum(v in members for u in members for v in near[u]) // 2)
+
+    def one(i):
+        near, order, far, source = held.value
+        if not i:
+            return (-1, *measure(order, order, far, source, near))
+        rng = np.random.default_rng(seed * 1_000_003 + i)
+        return (i - 1, *measure(rng.permutation(order), rng.choice(len(near), len(order), replace=False), far, source, near))
+
+    return over_rows(spark, n + 1, "replicate long, exposed double, rho double, inside double", one)
+
+
+def eigenvector(edges: DataFrame, rounds: int = 1000, close: float = 1e-12) -> DataFrame:
+    """node, eigenvector: of a < b, w in its largest component, by power iteration; of length one."""
+    import pandas as pd
+
+    a, b, names, w = coded(edges, "a", "b", "w")
+    w, n = np.asarray(w, float), len(names)
+    label = np.arange(n)
+    while True:  # smallest number of a component, by passing it along edges
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    kind = dict(edges.dtypes)["a"]
+    if not n:
+        return edges.sparkSession.createDataFrame([], f"node {kind}, eigenvector double")
+    giant = label == np.bincount(label).argmax()
+    x = giant / np.sqrt(giant.sum())
+    for _ in range(rounds):
+        y = x + np.bincount(a, weights=w * x[b], minlength=n) * giant + np.bincount(b, weights=w * x[a], minlength=n) * giant
+        y /= np.linalg.norm(y)
+        x, moved = y, np.abs(y - x).sum()
+        if moved < n * close:
+            break
+    return edges.sparkSession.createDataFrame(pd.DataFrame({"node": names[giant], "eigenvector": np.round(x[giant], 8)}), f"node {kind}, eigenvector double")
+
+
+def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 1, directed: bool = False) -> DataFrame:
+    """node, betweenness (normalized, exact if sources covers all nodes; edges a to b, both ways unless directed): Brandes from
+    each source; the sums of a task are sent on, not each source's."""
     import pandas as pd
 
     a, b = edge_arrays(edges, "a", "b")
@@ -116,7 +330,8 @@ def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 1) ->
     near = [[] for _ in range(n)]
     for u, v in zip(codes[: len(a)].tolist(), codes[len(a) :].tolist(), strict=True):
         near[u].append(v)
-        near[v].append(u)
+        if not directed:
+            near[v].append(u)
     chosen = np.arange(n) if sources is None or sources >= n else np.sort(np.random.default_rng(seed).choice(n, sources, replace=False))
     spark = edges.sparkSession
     held = spark.sparkContext.broadcast((near, chosen))
@@ -224,14 +439,14 @@ def communities(edges: DataFrame, resolutions: tuple[float, ...] = (1.0,), seed:
 
 
 def fit_logistic(curves: DataFrame, item: str) -> DataFrame:
-    """curves: item, hour_us, adopters. item, top, rate, mid_hours, r2 by Gauss-Newton with damping; null where there are fewer
-    than 8 points or one adopter."""
+    """curves: item, hour_us, adopters. item, fit ('logistic', or 'insufficient_data' where there are fewer than 8 points or one
+    adopter), top, rate, mid_hours, r2 and doubling_hours (null without a fit), by Gauss-Newton with damping."""
     import pandas as pd
 
     def fit(pdf):
         pdf = pdf.sort_values("hour_us")
         t, y = (pdf.hour_us.values - pdf.hour_us.values[0]) / 3.6e9, pdf.adopters.values.astype(float)
-        out = {item: pdf[item].iloc[0], "top": None, "rate": None, "mid_hours": None, "r2": None}
+        out = {item: pdf[item].iloc[0], "fit": "insufficient_data", "top": None, "rate": None, "mid_hours": None, "r2": None, "doubling_hours": None}
         if len(t) >= 8 and y.max() > 1:
             p, damping = np.array([y.max(), 4 / (t[-1] + 1), t[-1] / 2]), 1e-2
             value = lambda p: p[0] / (1 + np.exp(-np.clip(p[1] * (t - p[2]), -50, 50)))
@@ -249,7 +464,7 @@ def fit_logistic(curves: DataFrame, item: str) -> DataFrame:
                 if damping > 1e8:
                     break
             spread = ((y - y.mean()) ** 2).sum()
-            out |= {"top": p[0], "rate": p[1], "mid_hours": p[2], "r2": 1 - error / spread if spread else 1.0}
+            out |= {"fit": "logistic", "top": p[0], "rate": p[1], "mid_hours": p[2], "r2": 1 - error / spread if spread else 1.0, "doubling_hours": np.log(2) / p[1]}
         return pd.DataFrame([out])
 
-    return curves.groupBy(item).applyInPandas(fit, f"{item} {dict(curves.dtypes)[item]}, top double, rate double, mid_hours double, r2 double")
+    return curves.groupBy(item).applyInPandas(fit, f"{item} {dict(curves.dtypes)[item]}, fit string, top double, rate double, mid_hours double, r2 double, doubling_hours double")

@@ -1,9 +1,11 @@
 """What happens to places after saves and removals: rewrites, repeated removals, survival, exposure."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.ranks import rank_sums
+
 
 def rewrites(events: DataFrame) -> DataFrame:
     """Each removal with the first save of its place strictly after it: place, removal (id), deleted_us, saved_us,
@@ -28,20 +30,34 @@ def multi_delete(events: DataFrame) -> DataFrame:
     return gone.groupBy("place").agg(F.count("*").alias("n_deletes"), F.min("gap").alias("fastest_us"), F.max("gap").alias("slowest_us")).where("n_deletes > 1")
 
 
+def removal_totals(events: DataFrame) -> DataFrame:
+    """One row: places removed once, places removed repeatedly, removals, the most of one place, distinct (time, place) groups."""
+    gone = events.where("kind = 'delete'")
+    each = gone.groupBy("place").agg(F.count("*").alias("n"))
+    totals = each.agg(F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") > 1).alias("repeatedly"), F.coalesce(F.sum("n"), F.lit(0)).alias("removals"), F.coalesce(F.max("n"), F.lit(0)).alias("most"))
+    return totals.crossJoin(gone.agg(F.countDistinct("ts", "place").alias("groups")))  # one row each
+
+
+def iso_week(ts: Column) -> Column:
+    """ISO year and week, as 2024-05: the year is that of the week's Thursday."""
+    thursday = F.date_add(F.date_trunc("week", ts).cast("date"), 3)
+    return F.concat(F.year(thursday).cast("string"), F.lit("-"), F.lpad(F.weekofyear(ts).cast("string"), 2, "0"))
+
+
 def survival(events: DataFrame, keys: tuple[str, ...] = ("place",)) -> DataFrame:
-    """Subjects by their first save: born_us, died_us (first removal of the place after it, or null), lifetime_h (to the
-    log's end where there is none), n_saves, week (ISO year and week of birth). Keys other than place split the saves."""
+    """Subjects by their first save: born_us, died_us (first removal of the place not before it, or null), lifetime_h (to the
+    log's end where there is none), n_saves, week (ISO year and week of birth). Keys other than place split the saves.
+    Births and removals pass through one window by place, latest first, so no place's removals are held together."""
     end = events.agg(F.max(F.unix_micros("ts")).alias("end_us"))
     born = events.where("kind = 'save'").groupBy(*keys).agg(F.min("ts").alias("born"), F.count("*").alias("n_saves"), F.countDistinct("actor").alias("n_actors"))
-    gone = events.where("kind = 'delete'").select("place", F.unix_micros("ts").alias("gone_us"))
-    # removals of a place, sorted, in one array: its length is bounded by the place's own removals
-    removals = gone.groupBy("place").agg(F.sort_array(F.collect_list("gone_us")).alias("removals"))
-    rows = born.join(removals, "place", "left").crossJoin(F.broadcast(end)).withColumn("born_us", F.unix_micros("born"))  # end: one row
-    died = F.get(F.filter("removals", lambda u: u >= F.col("born_us")), F.lit(0))
-    rows = rows.withColumn("died_us", died)
+    gone = events.where("kind = 'delete'").select("place", F.col("ts").alias("born"), F.lit(True).alias("removal"))
+    both = born.withColumn("removal", F.lit(False)).unionByName(gone, allowMissingColumns=True)
+    # at equal times the removal comes first on the way back
+    order = W.partitionBy("place").orderBy(F.desc("born"), F.desc("removal")).rowsBetween(W.unboundedPreceding, 0)
+    rows = both.withColumn("died_us", F.last(F.when(F.col("removal"), F.unix_micros("born")), True).over(order)).where(~F.col("removal"))
+    rows = rows.crossJoin(F.broadcast(end)).withColumn("born_us", F.unix_micros("born"))  # end: one row
     life = (F.coalesce("died_us", "end_us") - F.col("born_us")) / 3.6e9
-    week = F.concat(F.date_format("born", "yyyy").cast("string"), F.lit("-"), F.lpad(F.weekofyear("born").cast("string"), 2, "0"))
-    return rows.select(*keys, "born_us", "died_us", F.round(life, 6).alias("lifetime_h"), "n_saves", "n_actors", week.alias("week"))
+    return rows.select(*keys, "born_us", "died_us", F.round(life, 6).alias("lifetime_h"), "n_saves", "n_actors", iso_week(F.col("born")).alias("week"))
 
 
 def by_flags(rows: DataFrame, flags: dict) -> DataFrame:
@@ -70,14 +86,16 @@ def kaplan_meier(rows: DataFrame, group, horizon: int = 600, step: int = 24) ->
 
 
 def matched_weeks(rows: DataFrame, marked, least: int = 5) -> DataFrame:
-    """For weeks with enough marked and other subjects: counts, shares dead, median lifetimes of the dead."""
+    """For weeks with enough marked and other subjects: counts, shares dead, median lifetimes of the dead, and the Mann-Whitney
+    U of the marked dead's lifetimes against the other dead's (null where either has none)."""
     dead = F.col("died_us").isNotNull()
     m = F.col("m")
     agg = rows.withColumn("m", marked).groupBy("week").agg(
         F.count_if(m).alias("n_marked"), F.count_if(~m).alias("n_other"), F.round(F.avg(F.when(m, dead.cast("int"))), 6).alias("dead_marked"), F.round(F.avg(F.when(~m, dead.cast("int"))), 6).alias("dead_other"),
         F.round(F.median(F.when(m & dead, F.col("lifetime_h"))), 4).alias("median_marked"), F.round(F.median(F.when(~m & dead, F.col("lifetime_h"))), 4).alias("median_other"),
     )
-    return agg.where((F.col("n_marked") >= least) & (F.col("n_other") >= least))
+    u = rank_sums(rows.withColumn("g", marked).where(dead), "lifetime_h", "g", "week").select("week", "u")
+    return agg.where((F.col("n_marked") >= least) & (F.col("n_other") >= least)).join(u, "week", "left")
 
 
 def hourly_risk(events: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ SELECT place, count(*) AS n_deletes, min(gap) AS fastest_us, max(gap) AS slowest
 SURVIVAL = E + """, born AS (SELECT place, actor, min(ts) AS born, count(*) AS n_saves, count(DISTINCT actor) AS n_actors FROM ev WHERE kind = 'save' GROUP BY ALL
 ), died AS (SELECT b.place, b.actor, min(e.ts) AS died FROM born b JOIN ev e ON e.place = b.place AND e.kind = 'delete' AND e.ts >= b.born GROUP BY ALL
 ), sv AS (SELECT b.place, b.actor, epoch_us(born) AS born_us, epoch_us(died) AS died_us, round((epoch_us(coalesce(died, (SELECT max(ts) FROM ev))) - epoch_us(born)) / 3.6e9, 6) AS lifetime_h, n_saves, n_actors,
-  strftime(born, '%Y') || '-' || lpad(weekofyear(born)::VARCHAR, 2, '0') AS week FROM born b LEFT JOIN died x ON x.place = b.place AND x.actor = b.actor)"""
+  strftime(born, '%G-%V') AS week FROM born b LEFT JOIN died x ON x.place = b.place AND x.actor = b.actor)"""
 subjects = lambda s, d: survival.survival(event_log(s, d), ("place", "actor"))
 query("page_survival", SURVIVAL + " SELECT * FROM sv", subjects)
 FLAGS = lambda: {"many_saves": F.col("n_saves") > 1, "even_place": F.col("place").cast("int") % 2 == 0, "first_actors": F.col("actor") < 50}
@@ -43,10 +43,13 @@ query("kaplan_meier", SURVIVAL + """, x AS (SELECT CASE WHEN actor < 50 THEN 'fi
 SELECT group_name, h::BIGINT AS hours, r AS at_risk, d AS deaths, round(CASE WHEN min(CASE WHEN r = 0 THEN 1.0 ELSE 1 - d / r END) OVER o <= 0 THEN 0 ELSE exp(sum(CASE WHEN r = 0 OR d = r THEN 0 ELSE ln(1 - d / r) END) OVER o) END, 6) AS survival
 FROM c WINDOW o AS (PARTITION BY group_name ORDER BY h)""",
   lambda s, d: survival.kaplan_meier(subjects(s, d), F.when(F.col("actor") < 50, "first").otherwise("rest")))
-query("matched_week", SURVIVAL + """, x AS (SELECT *, actor < 50 AS m FROM sv) SELECT week, count(*) FILTER (m) AS n_marked, count(*) FILTER (NOT m) AS n_other,
+query("matched_week", SURVIVAL + """, x AS (SELECT *, actor < 50 AS m FROM sv), k AS (SELECT week, count(*) FILTER (m) AS n_marked, count(*) FILTER (NOT m) AS n_other,
   round(avg((died_us IS NOT NULL)::INTEGER) FILTER (m), 6) AS dead_marked, round(avg((died_us IS NOT NULL)::INTEGER) FILTER (NOT m), 6) AS dead_other,
   round(median(lifetime_h) FILTER (m AND died_us IS NOT NULL), 4) AS median_marked, round(median(lifetime_h) FILTER (NOT m AND died_us IS NOT NULL), 4) AS median_other
-FROM x GROUP BY week HAVING count(*) FILTER (m) >= 5 AND count(*) FILTER (NOT m) >= 5""", lambda s, d: survival.matched_weeks(subjects(s, d), F.col("actor") < 50))
+FROM x GROUP BY week HAVING count(*) FILTER (m) >= 5 AND count(*) FILTER (NOT m) >= 5
+), r AS (SELECT week, m, rank() OVER (PARTITION BY week ORDER BY lifetime_h) + (count(*) OVER (PARTITION BY week, lifetime_h) - 1) / 2 AS r FROM x WHERE died_us IS NOT NULL
+), u AS (SELECT week, CASE WHEN count(*) FILTER (m) > 0 AND count(*) FILTER (NOT m) > 0 THEN round(sum(r) FILTER (m) - count(*) FILTER (m) * (count(*) FILTER (m) + 1) / 2, 4) END AS u FROM r GROUP BY week)
+SELECT k.*, u FROM k LEFT JOIN u ON u.week = k.week""", lambda s, d: survival.matched_weeks(subjects(s, d), F.col("actor") < 50))
 query("survival_totals", SURVIVAL + " SELECT count(*) AS n, count(died_us) AS dead, round(count(died_us) / count(*), 6) AS dead_share, count(DISTINCT place) AS places FROM sv",
   lambda s, d: subjects(s, d).agg(F.count("*").alias("n"), F.count("died_us").alias("dead"), F.round(F.count("died_us") / F.count("*"), 6).alias("dead_share"), F.countDistinct("place").alias("places")))
 EXPOSURE = E + f""", risk AS (SELECT hour(ts) AS h, count(*) / (SELECT count(*) FROM ev WHERE kind = 'delete') AS risk FROM ev WHERE kind = 'delete' GROUP BY 1
@@ -57,12 +60,14 @@ PAIRED = EXPOSURE + """, each AS (SELECT actor, era, count(*) AS n, round(avg(ri
 paired = lambda s, d: survival.paired_exposure(event_log(s, d), activity.era_of(BOUNDARY))
 query("era_exposure", EXPOSURE + " SELECT era, count(*) AS n, round(avg(risk), 6) AS exposure FROM sx GROUP BY era", lambda s, d: survival.exposure(event_log(s, d), activity.era_of(BOUNDARY).alias("era")).withColumn("exposure", F.round("exposure", 6)))
 query("paired_exposure", PAIRED + " SELECT actor, n_before, n_after, round(exposure_before, 6) AS exposure_before, round(exposure_after, 6) AS exposure_after, round(difference, 6) AS difference FROM paired", lambda s, d: paired(s, d).select("actor", "n_before", "n_after", *[F.round(c, 6).alias(c) for c in ("exposure_before", "exposure_after", "difference")]))
-query("wilcoxon_w", E + f""", c AS (SELECT actor, count(*) FILTER (ts >= TIMESTAMP '{BOUNDARY}') - count(*) FILTER (ts < TIMESTAMP '{BOUNDARY}') AS d FROM ev GROUP BY actor
-), r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2 AS r FROM c WHERE d <> 0) SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM r""",
-  lambda s, d: ranks.wilcoxon(event_log(s, d).groupBy("actor").agg((F.count_if(activity.era_of(BOUNDARY) == "after") - F.count_if(activity.era_of(BOUNDARY) == "before")).alias("d")), "d"))
+query("wilcoxon_w", PAIRED + """, r AS (SELECT difference AS d, rank() OVER (ORDER BY abs(difference)) + (count(*) OVER (PARTITION BY abs(difference)) - 1) / 2 AS r FROM paired WHERE difference <> 0)
+SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM r""", lambda s, d: ranks.wilcoxon(paired(s, d), "difference"))
+query("removal_totals", E + """, c AS (SELECT place, count(*) AS n FROM ev WHERE kind = 'delete' GROUP BY place) SELECT count(*) FILTER (n = 1) AS once, count(*) FILTER (n > 1) AS repeatedly, coalesce(sum(n), 0)::BIGINT AS removals, coalesce(max(n), 0) AS most,
+  (SELECT count(*) FROM (SELECT DISTINCT ts, place FROM ev WHERE kind = 'delete')) AS "groups" FROM c""", lambda s, d: survival.removal_totals(event_log(s, d)))
 query("mannwhitney_u", SURVIVAL + """, x AS (SELECT lifetime_h AS v, actor < 50 AS g FROM sv WHERE died_us IS NOT NULL), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM x
 ), t AS (SELECT sum(c * c * c - c) AS ties FROM (SELECT count(*)::DOUBLE AS c FROM x GROUP BY v)), a AS (SELECT count(*) FILTER (g)::DOUBLE AS n1, count(*) FILTER (NOT g)::DOUBLE AS n2, sum(r) FILTER (g) AS r1 FROM r)
-SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, round(r1 - n1 * (n1 + 1) / 2, 4) AS u, round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))), 4) AS z FROM a, t""",
+SELECT n1::BIGINT AS n1, n2::BIGINT AS n2, CASE WHEN n1 > 0 AND n2 > 0 THEN round(r1 - n1 * (n1 + 1) / 2, 4) END AS u,
+  CASE WHEN n1 > 0 AND n2 > 0 THEN round((r1 - n1 * (n1 + 1) / 2 - n1 * n2 / 2 - 0.5) / nullif(sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / nullif((n1 + n2) * (n1 + n2 - 1), 0))), 0), 4) END AS z FROM a, t""",
   lambda s, d: ranks.mann_whitney(subjects(s, d).where("died_us is not null").withColumn("g", F.col("actor") < 50), "lifetime_h", "g"))
 query("session_alpha_spearman", E + """, g AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY actor ORDER BY ts, id))) / 1e6 AS gap FROM ev
 ), s AS (SELECT *, sum(CASE WHEN gap > 28800 THEN 1 ELSE 0 END) OVER (PARTITION BY actor ORDER BY ts, id ROWS UNBOUNDED PRECEDING) AS session FROM g

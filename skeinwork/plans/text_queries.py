@@ -16,7 +16,7 @@ def query(name: str, sql: str | None, f) -> None:
 
 
 HOST = "regexp_replace(regexp_replace(regexp_replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), ':[0-9]*$', ''), '^$', '')"
-PLAIN = f"regexp_replace(regexp_replace(regexp_replace(lower({HOST}), '^[. ]+|[. ]+$', '', 'g'), '_[0-9]+$', ''), '^www\\.', '')"
+PLAIN = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim({HOST})), '[.,;:!?]+$', ''), '^[.]+|[.]+$', '', 'g'), '_[0-9]{{3,}}$', ''), '^www\\.', '')"
 CLASS = "CASE WHEN regexp_matches(host, '^(localhost|127\\.)') THEN 'local' WHEN regexp_matches(host, '\\.example\\.(com|org|net)$') THEN 'example' WHEN regexp_matches(host, '^[0-9]+(\\.[0-9]+){3}$') THEN 'address' WHEN regexp_matches(host, '^xn--|\\.xn--') THEN 'punycode' WHEN regexp_matches(host, '[0-9]') THEN 'numbered' ELSE 'other' END"
 
 
@@ -26,7 +26,7 @@ def hosts(s, d):
 
 query("url_hosts", f"SELECT {PLAIN} AS host, count(*) AS n FROM pages GROUP BY 1", lambda s, d: hosts(s, d).groupBy("host").agg(F.count("*").alias("n")))
 query("host_class", f"SELECT {CLASS} AS host_class, count(*) AS n_pages, count(DISTINCT host) AS n_hosts FROM (SELECT {PLAIN} AS host FROM pages) GROUP BY 1",
-  lambda s, d: hosts(s, d).groupBy(T.host_class(F.col("host")).alias("host_class")).agg(F.count("*").alias("n_pages"), F.countDistinct("host").alias("n_hosts")))
+  lambda s, d: hosts(s, d).groupBy(T.host_class(F.col("host"), T.TEST_RULES).alias("host_class")).agg(F.count("*").alias("n_pages"), F.countDistinct("host").alias("n_hosts")))
 query("decoded_hosts", f"SELECT DISTINCT lower({HOST}) AS raw, {PLAIN} AS host FROM pages", lambda s, d: decoded(table(s, d, "pages")))
 query("query_params", "SELECT p AS parameter, count(*) AS n FROM (SELECT unnest(regexp_extract_all(lower(url), '[?&]([a-z0-9_]{2,14})=', 1)) AS p FROM pages) WHERE p NOT IN ('ref') GROUP BY 1",
   lambda s, d: table(s, d, "pages").select(F.explode(T.query_parameters(F.col("url"))).alias("parameter")).where(~F.col("parameter").isin("ref")).groupBy("parameter").agg(F.count("*").alias("n")))
@@ -41,21 +41,23 @@ query("motif_diffusion", f"""WITH p AS (SELECT page_id, {PLAIN} AS host, url FRO
 SELECT motif, count(*) AS n_actors, sum(n)::BIGINT AS n_uses, min(first) AS first_use, median(first) AS median_adoption, max(first) AS last_use FROM f GROUP BY motif""", lambda s, d: motif_diffusion(s, d))
 TOKENS = "SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS token FROM conversations"
 query("summary_tokens", f"SELECT token, count(*) AS n FROM ({TOKENS}) GROUP BY token", lambda s, d: uses(s, d).groupBy("token").agg(F.count("*").alias("n")))
-query("token_diffusion", f"WITH u AS ({TOKENS}), f AS (SELECT token, conv_id, min(turn) AS a FROM u GROUP BY ALL) SELECT token, count(*) AS n_actors, min(a) AS first_at, max(a) AS last_at FROM f GROUP BY token ORDER BY n_actors DESC, token LIMIT 25",
+query("token_diffusion", f"WITH u AS ({TOKENS}), f AS (SELECT token, conv_id, min(turn) AS a FROM u GROUP BY ALL) SELECT token, count(*) AS n_actors, min(a) AS first_at, max(a) AS last_at, max(a) - min(a) AS span_h, round(count(*) * 24 / greatest((max(a) - min(a))::DOUBLE, 1e-6), 4) AS per_day FROM f GROUP BY token ORDER BY n_actors DESC, token LIMIT 25",
   lambda s, d: diffusion.token_diffusion(uses(s, d)))
-query("exact_copy_chain", "WITH g AS (SELECT doc_id AS dst, lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS src, count(*) OVER (PARTITION BY text) AS n FROM documents) SELECT src, dst, n FROM g WHERE src IS NOT NULL AND n BETWEEN 2 AND 400",
-  lambda s, d: copies.exact_chain(table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digest", "doc_id"))
+query("exact_copy_chain", "WITH g AS (SELECT doc_id AS dst, lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS src, count(*) OVER (PARTITION BY text) AS n FROM documents) SELECT src, dst, n FROM g WHERE src IS NOT NULL",
+  lambda s, d: copies.exact_chain(table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digest", "doc_id", None))
 GRAMS = r"""w AS (SELECT doc_id, lang, source, text, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents
 ), g AS (SELECT doc_id, lang, source, md5(text) AS digest, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' '))) END AS grams FROM w)"""
 query("near_copy_pairs", f"""WITH {GRAMS}, b AS (SELECT *, count(*) OVER (PARTITION BY lang, source) AS size FROM g
-), e AS (SELECT doc_id, lang, source, digest, len(grams) AS n, unnest(grams) AS gram FROM b WHERE size BETWEEN 2 AND 400
+), e AS (SELECT doc_id, lang, source, digest, len(grams) AS n, unnest(grams) AS gram FROM b WHERE size >= 2
 ), p AS (SELECT x.doc_id AS src, y.doc_id AS dst, any_value(x.n) AS m, any_value(y.n) AS n, count(*) AS c FROM e x JOIN e y ON x.lang = y.lang AND x.source = y.source AND x.gram = y.gram AND x.doc_id < y.doc_id AND x.digest <> y.digest GROUP BY ALL)
-SELECT src, dst, round(c / (m + n - c), 6) AS score FROM p WHERE round(c / (m + n - c), 6) >= 0.5""", lambda s, d: copies.near_copies(table(s, d, "documents"), F.concat_ws("~", "lang", "source"), 0.5))
+SELECT src, dst, round(c / (m + n - c), 6) AS score FROM p WHERE round(c / (m + n - c), 6) >= 0.5""", lambda s, d: copies.near_copies(table(s, d, "documents"), F.concat_ws("~", "lang", "source"), 0.5, most=None))
 query("ngram_jaccard", f"""WITH {GRAMS}, n AS (SELECT doc_id, grams, lead(doc_id) OVER o AS other, lead(grams) OVER o AS og FROM g WINDOW o AS (PARTITION BY source ORDER BY doc_id))
 SELECT doc_id, other, round(CASE WHEN len(grams) = 0 AND len(og) = 0 THEN 1 ELSE len(list_intersect(grams, og)) / len(list_distinct(list_concat(grams, og))) END, 6) AS jaccard FROM n WHERE other IS NOT NULL""", lambda s, d: neighbours(s, d))
 query("sha256_text", "SELECT doc_id, sha256(text) AS digest FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))
-query("oriented_copies", f"""WITH g AS (SELECT doc_id AS b, lag(doc_id) OVER (PARTITION BY text ORDER BY doc_id) AS a, n_chars AS nb, lag(n_chars) OVER (PARTITION BY text ORDER BY doc_id) AS na FROM documents)
-SELECT a AS src, b AS dst, (b - a)::DOUBLE AS gap_seconds, (b - a) > 10 AS orderable FROM g WHERE a IS NOT NULL""", lambda s, d: oriented(s, d))
+query("oriented_copies", """WITH t AS (SELECT doc_id, text, 1000 * (doc_id % 7) + doc_id % 3 AS t0, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE doc_id % 900 END AS slack, doc_id % 5 <> 0 AS firm FROM documents
+), g AS (SELECT t.*, lag(doc_id) OVER o AS a, lag(t0) OVER o AS t1, lag(slack) OVER o AS slack_a, lag(firm) OVER o AS firm_a FROM t WINDOW o AS (PARTITION BY text ORDER BY doc_id))
+SELECT CASE WHEN t1 <= t0 THEN a ELSE doc_id END AS src, CASE WHEN t1 <= t0 THEN doc_id ELSE a END AS dst, abs(t0 - t1)::DOUBLE AS gap_seconds,
+  coalesce(abs(t0 - t1) > slack + slack_a, false) AND firm AND firm_a AS orderable FROM g WHERE a IS NOT NULL""", lambda s, d: oriented(s, d))
 query("dominant_category", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, lang AS category, n FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1",
   lambda s, d: table(s, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).groupBy("source").agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("category"), F.max("n").alias("n")))
 FIRST = f"WITH {EVENT_LOG_SQL}, f AS (SELECT place, actor, min(epoch_us(ts)) AS first_us FROM ev WHERE kind = 'save' GROUP BY ALL)"
@@ -71,7 +73,7 @@ query("adoption_half_life", CURVE + ", t AS (SELECT *, max(adopters) OVER (PARTI
 def decoded(pages):
     """Distinct raw hosts, then their decoded and plain forms: the UDF sees each host once."""
     raw = pages.select(F.lower(T.raw_host(F.col("url"))).alias("raw")).distinct()
-    return raw.select("raw", T.plain_host(T.decode_host(F.col("raw"))).alias("host"))
+    return raw.select("raw", T.plain_host(T.unescaped(F.col("raw"), True)).alias("host"))
 
 
 def refs(s, d):
@@ -97,15 +99,21 @@ def uses(s, d):
 
 
 def neighbours(s, d):
+    """Only ids go through the window; the sets join them behind it."""
     from pyspark.sql import Window as W
 
-    sets = table(s, d, "documents").select("doc_id", "source", T.shingles(F.col("text")).alias("grams"))
-    order = W.partitionBy("source").orderBy("doc_id")
-    rows = sets.select("doc_id", "grams", F.lead("doc_id").over(order).alias("other"), F.lead("grams").over(order).alias("og")).where("other is not null")
-    return rows.select("doc_id", "other", F.round(T.jaccard(F.col("grams"), F.col("og")), 6).alias("jaccard"))
+    docs = table(s, d, "documents")
+    sets = docs.select("doc_id", T.shingles(F.col("text")).alias("grams"))
+    pairs = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("other")).where("other is not null")
+    both = pairs.join(sets, "doc_id").join(sets.toDF("other", "og"), "other")
+    return both.select("doc_id", "other", F.round(T.jaccard(F.col("grams"), F.col("og")), 6).alias("jaccard"))
 
 
 def oriented(s, d):
-    chain = copies.exact_chain(table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digest", "doc_id", 1 << 40)
-    at = lambda c: F.timestamp_seconds(c)
-    return copies.oriented(chain.select(F.col("src").alias("a"), F.col("dst").alias("b"), at("src").alias("time_a"), at("dst").alias("time_b"), F.lit(5.0).alias("slack_a"), F.lit(5.0).alias("slack_b"), F.lit(True).alias("firm_a"), F.lit(True).alias("firm_b")))
+    """Copies with made-up times, uncertainties (some unknown) and grades, so that all cases come up."""
+    docs = table(s, d, "documents")
+    chain = copies.exact_chain(docs.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")), "digest", "doc_id", 1 << 40)
+    at = lambda c: F.timestamp_seconds(1000 * (F.col(c) % 7) + F.col(c) % 3)
+    slack = lambda c: F.when(F.col(c) % 11 != 0, F.col(c) % 900).cast("double")
+    pairs = chain.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    return copies.oriented(pairs.select("a", "b", at("a").alias("time_a"), at("b").alias("time_b"), slack("a").alias("slack_a"), slack("b").alias("slack_b"), (F.col("a") % 5 != 0).alias("firm_a"), (F.col("b") % 5 != 0).alias("firm_b")))

@@ -1,5 +1,7 @@
 """Files with declared schemas, checksums, count reconciliation, and sinks."""
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,6 +24,47 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in doubles else F.col(c) for c in rows.columns])
 
 
+def revisions(spark: SparkSession, path: str, with_body: bool = False) -> DataFrame:
+    """Saves, without their bodies and hunks unless asked for (what isn't read isn't parsed)."""
+    rows = jsonl(spark, path, REVISIONS)
+    return rows if with_body else rows.drop("body", "hunks")
+
+
+def pages(spark: SparkSession, path: str) -> DataFrame:
+    return jsonl(spark, path, PAGES)
+
+
+def labels(spark: SparkSession, path: str) -> DataFrame:
+    return jsonl(spark, path, LABELS)
+
+
+def events(spark: SparkSession, path: str) -> DataFrame:
+    return jsonl(spark, path, EVENTS)
+
+
+def parse_time(text):
+    """An ISO 8601 time, with Z or an offset, as a timestamp; null where it is none."""
+    return F.try_to_timestamp(text)
+
+
+def there(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at path; it is built and written first if it isn't there (whole)."""
+    if not there(spark, path):
+        write_parquet(build(), path)
+    return spark.read.parquet(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame | None:
+    """What write_json left at path; None if there is nothing."""
+    return spark.read.json(path) if there(spark, path) else None
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(MANIFEST).option("multiLine", True).json(path)
 
@@ -44,6 +87,27 @@ def reconcile(rows: DataFrame, by: str, declared: DataFrame) -> DataFrame:
     return both.select("key", F.col("value").alias("declared"), F.coalesce("loaded", F.lit(0)).alias("loaded"), F.coalesce(F.col("value") == F.coalesce("loaded", F.lit(0)), F.lit(False)).alias("ok"))
 
 
+class VerificationError(Exception):
+    """Files or counts aren't what was declared; report has the rows that say so."""
+
+    def __init__(self, what: str, report: DataFrame):
+        super().__init__(f"{what}: {', '.join(str(r[0]) for r in report.limit(20).collect())}")
+        self.report = report
+
+
+def verify(found: DataFrame, declared: DataFrame, counts: Callable[[], DataFrame], write: Callable[[DataFrame], None]) -> DataFrame:
+    """First the checksums (raises on a bad one, before anything is counted), then counts(), of reconcile: its report is written,
+    then a bad count raises. Returns the report."""
+    bad = verify_checksums(found, declared).where("not ok")
+    if not bad.isEmpty():
+        raise VerificationError("checksums differ", bad)
+    report = counts()
+    write(report)
+    if not (off := report.where("not ok")).isEmpty():
+        raise VerificationError("counts differ", off)
+    return report
+
+
 def failed_checks(doc: DataFrame) -> DataFrame:
     """The exporter's own checks that didn't hold."""
     return doc.select(F.explode("checks").alias("c")).where(~F.col("c.ok")).select("c.*")
@@ -59,16 +123,50 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.select(*flat).write.mode("overwrite").csv(path, header=True)
 
 
+def plain(c, kind: T.DataType):
+    """A value as JSON has it: numbers that aren't finite become null, timestamps ISO 8601 in UTC, arrays and structs the same of
+    what they hold (arrays that stand for sets should be sorted before)."""
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)
+    if isinstance(kind, T.TimestampType):
+        return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: plain(x, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(*[plain(c[f.name], f.dataType).alias(f.name) for f in kind]))
+    return c
+
+
 def write_json(df: DataFrame, path: str) -> None:
-    """One object a line; numbers that aren't finite become null."""
-    finite = lambda c: F.when(~F.isnan(c) & (F.abs(c) != float("inf")), F.col(c)).alias(c)
-    df.select(*[finite(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else F.col(f.name) for f in df.schema]).write.mode("overwrite").json(path)
+    """One object a line, of plain values; nulls are kept."""
+    df.select(*[plain(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def scalars(df: DataFrame) -> DataFrame:
+    """Values as graph files hold them: null is the empty text, arrays are sorted and joined by |; numbers stay."""
+
+    def flat(f):
+        c = F.col(f.name)
+        if isinstance(f.dataType, T.ArrayType):
+            c = F.array_join(F.array_sort(c), "|")
+        elif not isinstance(f.dataType, (T.NumericType, T.StringType)):
+            c = c.cast("string")
+        return (F.coalesce(c, F.lit("")) if not isinstance(f.dataType, T.NumericType) else c).alias(f.name)
+
+    return df.select(*[flat(f) for f in df.schema])
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """A graph is two tables, nodes and edges."""
-    write_parquet(nodes, f"{path}/nodes")
-    write_parquet(edges, f"{path}/edges")
+    """A graph is two tables, nodes and edges, of scalars: as parquet, and as CSV for other tools."""
+    for name, df in (("nodes", scalars(nodes)), ("edges", scalars(edges))):
+        write_parquet(df, f"{path}/{name}")
+        write_csv(df, f"{path}/{name}_csv")
+
+
+def write_payload(sections: dict[str, DataFrame], path: str) -> None:
+    """The sections of a page's data, each a folder of JSON lines."""
+    for name, df in sections.items():
+        write_json(df, f"{path}/{name}")
 
 
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
