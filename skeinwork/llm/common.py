@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-#: Bytes of text that one call of a text function gets at most, unless a single text is longer.
-CHUNK_BYTES = 8 << 20
+#: Bytes of text that one call of a text function gets at most, unless a single text is longer; bytes of an Arrow batch between
+#: Spark and Python, of which each task holds some on both sides.
+CHUNK_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +45,15 @@ def _delete_at_end(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; its session's bound on the bytes of an Arrow batch is lowered to BATCH_BYTES, so a Python worker's memory doesn't
+    follow the length of texts."""
+    spark, name = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def kept(name: str, make: Callable):
     """What make() gives, made once in each Python worker and kept for its later tasks; name must say all that it depends on."""
     import gc
@@ -97,7 +107,7 @@ def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list],
                 arrays = [part.column(i) for i in places] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return source.mapInArrow(run, out)
+    return small_batches(source).mapInArrow(run, out)
 
 
 def fold(folds: int):

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.components import components
-from .common import map_texts, slices, split_words, written
+from .common import map_texts, slices, small_batches, split_words, written
 from .substrings import Names
 
 SHINGLE, BITS, RADIUS, BLOCKS = 4, 64, 4, 3
@@ -148,7 +148,7 @@ def map_sets(texts: DataFrame, schema: str, columns) -> DataFrame:
                 sets = shingle_sets(part.column(1))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns(part.column(0).to_numpy(), sets)], names=names)
 
-    return texts.mapInArrow(run, schema)
+    return small_batches(texts).mapInArrow(run, schema)
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -199,7 +199,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(c * WHOLE >= PART * (len(x) + len(y) - c))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a long, b long")
+    return small_batches(both).mapInArrow(run, "a long, b long")
 
 
 def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import slices, split_words
+from .common import slices, small_batches, split_words
 
 WINDOW, ROUNDS = 13, 5
 #: Rounds that name runs too, beside pairs: a symbol's hull then takes in both neighbours.
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     text and their number of characters as n_chars (if there is such a column)."""
     # other columns go along under names of our own, so theirs can be anything
     doc_id, others = F.col("doc_id").cast("long"), [c for c in docs.columns if carry and c not in ("doc_id", "text")]
-    slim = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(others)])
+    slim = small_batches(docs).select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(others)])
     names = slim.columns
     # a key that is never null, so rows without a doc_id spread (what a row without one may be told it doesn't ask for); else
     # the inner join would filter its input, and the two exchanges of texts would differ
