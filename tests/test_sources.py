@@ -27,7 +27,7 @@ def test_sinks(spark, tmp_path):
     files.write_csv(df, str(tmp_path / "c"))
     files.write_json(df, str(tmp_path / "j"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).first().c == "a|b"
-    assert "b" not in spark.read.json(str(tmp_path / "j")).columns
+    assert spark.read.json(str(tmp_path / "j")).first().b is None
 
 
 def test_streams_equal_batches(spark, tmp_path):
