@@ -2,13 +2,24 @@
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset, as in tests on one machine, a folder of our own beside the warehouse. On a cluster
+    it must be set."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not at and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df into the shared folder (spark.checkpoint.dir, else beside the warehouse) and read it again: its lineage ends there."""
+    """Write df as a table in the shared folder and read it again: its lineage ends there. The table is deleted as the driver
+    ends: Hadoop's file systems do so for paths that they are told when they are closed."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-    path = f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
