@@ -1,6 +1,5 @@
 """What the training-data operators share: reading documents, running over whole texts in Arrow batches, tables in the shared folder."""
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import written as written
+
 #: Bytes of text that one call of a text function gets at most, unless a single text is longer; bytes of an Arrow batch between
 #: Spark and Python, of which each task holds some on both sides.
 CHUNK_BYTES, BATCH_BYTES = 2 << 20, 4 << 20
@@ -20,31 +21,6 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, as in tests on one machine, a
-    folder of our own beside the warehouse."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: its lineage ends there. The table is deleted when the
-    session's driver ends."""
-    path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _delete_at_end(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def _delete_at_end(spark: SparkSession, path: str) -> None:
-    """Hadoop's file systems delete such paths when they are closed, which the driver's JVM does as it ends."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-
-
 def small_batches(df: DataFrame) -> DataFrame:
     """df; its session's bound on the bytes of an Arrow batch is lowered to BATCH_BYTES, so a Python worker's memory doesn't
     follow the length of texts."""

@@ -2,7 +2,7 @@
 a shunting-yard parser turns the expression behind a tag into postfix order, which is then evaluated.
 
 Null and empty texts have no words and no labels. Equal texts get equal rows; rows are judged one by one,
-so ties, repeated rows, extra columns and empty tables need no rule of their own."""
+so ties, repeated rows, repeated or null doc_ids, columns of any other names and empty tables need no rule of their own."""
 
 import re
 from collections.abc import Iterable

@@ -6,7 +6,9 @@ units of 16 by 16 points. Scans select bands of the spectrum and approximate the
 without the lowest bit, then one that refines it. Reading accumulates all scans into arrays of coefficients,
 transforms them back in numpy, upsamples chroma and gives a full-resolution RGB tensor.
 
-Null and empty texts have a payload of 576 bytes of 255. Equal texts get equal rows: the transform is exact in integers."""
+Null and empty texts have a payload of 576 bytes of 255. Equal texts get equal rows: the transform is exact in integers. Rows
+are stored one by one, so ties, repeated rows, repeated or null doc_ids, columns of any other names and empty tables need no
+rule of their own."""
 
 import hashlib
 import re

@@ -16,7 +16,8 @@ The order puts shingles that are common in a sample last; any order is complete.
 sets. Where many meet, they are compared with the first few, and what these link isn't compared again.
 
 Null, empty and wordless texts have fingerprint zero, linked like any other. Equal texts are one fingerprint from the
-start, however many. Rows without a doc_id get a component like others, but name none."""
+start, however many. Rows without a doc_id get a component like others, but name none. Rows of a repeated doc_id each have a
+row in the result. Columns besides doc_id and text may have any names; an empty table gives no rows."""
 
 import itertools
 
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.components import components
-from .common import map_texts, slices, small_batches, split_words, written
+from .common import added, map_texts, slices, small_batches, split_words, written
 from .substrings import Names
 
 SHINGLE, BITS, RADIUS, BLOCKS = 4, 64, 4, 3
@@ -252,12 +253,12 @@ def grouped(docs: DataFrame, radius: int, similar: bool) -> tuple[DataFrame, Dat
 
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of docs for each component: the one with the smallest doc_id (rows without one come last), then by a hash of
-    the text, then by one of the whole row."""
+    the text, then by one of the whole row. Rows are judged one by one: of a repeated doc_id those rows stay that lead."""
     rows, linked = grouped(docs, radius, True)
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")
-    best = rows.join(linked, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias("_best"), F.col("best.sid").alias("_sid"))
-    mine = docs.withColumn("_sid", F.xxhash64(F.col("text").cast("string")))
-    best = best.withColumnRenamed("_sid", "_best_sid")
-    found = mine.join(best, (mine["_sid"] == best["_best_sid"]) & mine["doc_id"].cast("long").eqNullSafe(best["_best"]), "left_semi")
-    place = F.row_number().over(W.partitionBy("doc_id", "_sid").orderBy(F.xxhash64(*docs.columns)))
-    return found.withColumn("_place", place).where("_place = 1").select(*docs.columns)
+    sid, best_id, best_sid, place = (added(docs, c) for c in ("sid", "best", "best_sid", "place"))
+    best = rows.join(linked, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias(best_id), F.col("best.sid").alias(best_sid))
+    mine = docs.withColumn(sid, F.xxhash64(F.col("text").cast("string")))
+    found = mine.join(best, (mine[sid] == best[best_sid]) & mine["doc_id"].cast("long").eqNullSafe(best[best_id]), "left_semi")
+    first = F.row_number().over(W.partitionBy("doc_id", sid).orderBy(F.xxhash64(*docs.columns)))
+    return found.withColumn(place, first).where(F.col(place) == 1).select(*docs.columns)

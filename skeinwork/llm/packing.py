@@ -7,7 +7,8 @@ is left goes into the next block, and at a task's end into sequences whose lengt
 padding. So no token is padded, no row is shuffled, and a task holds one block at a time.
 
 Which rows share a sequence depends on how the input is split; each row's ids do not. A null or empty text is one token,
-the end id. Repeated rows and ties are packed like any others, in the order of rows."""
+the end id. Repeated rows, ties and rows without a doc_id are packed like any others, in the order of rows. Columns besides doc_id and
+text may have any names; an empty table gives no rows."""
 
 import unicodedata
 import zlib

@@ -8,7 +8,9 @@ with the last token of the prefix before it. From the end, the table gives the i
 No piece has a space mark behind another character, or letters beside other characters, so a text falls into segments (a
 run of letters or of others, with the marks before it) that are encoded apart; frequent segments are kept.
 
-Null and empty texts have no ids and decode to the empty text. Equal texts get equal rows."""
+Null and empty texts have no ids and decode to the empty text. Equal texts get equal rows; rows are encoded one by one, so
+ties, repeated rows, repeated or null doc_ids, columns of any other names and empty tables need no rule of their own. Texts
+that begin a segment with several marks are merged pair by pair from a heap: their pieces share one score."""
 
 import hashlib
 import heapq

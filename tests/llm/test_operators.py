@@ -56,7 +56,9 @@ def test_licences_equal_a_word_search(spark, docs):
     for r in spark.read.parquet(f"{SF}/documents.parquet").collect():
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r.text))
         at = [i for k in licences.BASE_PHRASES for i in range(len(words)) if words[i : i + len(k.split())] == k.split()]
-        assert (got[r.doc_id].n_words, got[r.doc_id].n_base, got[r.doc_id].first_word) == (len(words), len(at), min(at, default=None))
+        assert (got[r.doc_id].n_words, got[r.doc_id].n_base, got[r.doc_id].first_word, got[r.doc_id].last_word) == (len(words), len(at), min(at, default=None), max(at, default=None))
+        named = {label for k, label in licences.BASE_PHRASES.items() if any(words[i : i + len(k.split())] == k.split() for i in range(len(words)))}
+        assert got[r.doc_id].base_labels == ",".join(sorted(named)) and named <= set(got[r.doc_id].labels.split(",")) and 0 <= got[r.doc_id].score <= 1
 
 
 @pytest.mark.parametrize("text, order", [("mit or apache-2.0 and bsd", ["mit", "apache-2.0", "bsd", "and", "or"]), ("(mit or x) and y", ["mit", "x", "or", "y", "and"]), ("gpl with e or m", ["gpl", "e", "with", "m", "or"]), ("mit or", None), ("(mit", None), ("mit)", None), ("", None)])
@@ -260,13 +262,126 @@ def test_media_slow_scans_equal_fast_ones():
     assert all((a == b).all() for a, b in zip(Slow(data).coefficients, media.Image(data).coefficients, strict=True))
 
 
+CONTRACTS = {
+    "op1_licences": "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double",
+    "op2_sharding": "doc_id bigint, size bigint, text_crc32 bigint, law string, shard int, slot bigint, grown_shard int",
+    "op3_neardup": "doc_id bigint, fingerprint string, component_id bigint",
+    "op4_substrings": "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string",
+    "op5_pieces": "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+    "op6_packing": "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint",
+    "op7_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op8_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op9_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
+    "op10_language": "doc_id bigint, held_out boolean, lang_pred string, score double",
+}
+
+
+@pytest.mark.parametrize("name", sorted(CONTRACTS))
+def test_first_columns_are_the_contract(spark, name):
+    got = queries.QUERIES[name](spark, SF)
+    want = CONTRACTS[name].split(", ")
+    assert [f"{c} {t}" for c, t in got.dtypes][: len(want)] == want and "text" not in got.columns
+
+
+def test_keys_leave_full_shards_only(spark):
+    got = spark.read.parquet(f"{SF}/documents.parquet").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+    got = sharding.shard_documents(got.dropDuplicates(["doc_id"])).toPandas()
+    loads, bound = got.groupby("home_shard").size(), len(got) / sharding.SHARDS
+    least = sum(max(0, n - int(bound) - 1) for n in loads), sum(max(0, n - int(bound)) for n in loads)
+    assert least[0] <= (got.home_shard != got.shard).sum() <= least[1]
+
+
+def test_long_lines_and_runs_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 200_000):
+        texts = ["SPDX-License-Identifier: " + "mit or " * n, "under the mit license " * n, "a" + " " * n + "b", "spdx-license-identifier: " * n]
+        begun = time.time()
+        rows(licences.scan_licences(documents(spark, texts)))
+        rows(pieces.encode_pieces(documents(spark, texts[2:3]), queries.tokenizer_path("piece_bpe_32k.model")))
+        took.append(time.time() - begun)
+    assert took[1] < 30 * max(1.0, took[0])
+
+
+def test_runs_of_spaces_equal_the_library(spark):
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    texts = [" " * k + "x" + " " * (2 * k) + "yz" + " " * k for k in (1, 2, 3, 5, 17, 64, 1000)]
+    got = rows(pieces.encode_pieces(documents(spark, texts), path, with_ids=True))
+    assert all(np.frombuffer(got[i].ids, "<u4").tolist() == library.encode(t) for i, t in enumerate(texts))
+
+
+def test_tensor_equals_the_formulas():
+    """The coefficients, transformed by the definition's double sum and coloured point by point."""
+    image = media.Image(media.encode(random.Random(3).randbytes(576 * 2)))
+    scan = sorted(((x + y, (y if (x + y) % 2 else x), y, x) for y in range(8) for x in range(8)))
+    norm = lambda k: np.sqrt(0.5) if k == 0 else 1.0
+    planes = []
+    for own, (high, wide) in zip(image.coefficients, image.grid, strict=True):
+        plane = np.zeros((high * 8, wide * 8))
+        for b, block in enumerate(own):
+            for y in range(8):
+                for x in range(8):
+                    total = sum(c * norm(u) * norm(v) * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * v * np.pi / 16) / 4 for (_, _, u, v), c in zip(scan, block.tolist(), strict=True) if c)
+                    plane[b // wide * 8 + y, b % wide * 8 + x] = np.clip(np.rint(total) + 128, 0, 255)
+        planes.append(plane)
+    y, cb, cr = planes[0], planes[1].repeat(2, 0).repeat(2, 1) - 128, planes[2].repeat(2, 0).repeat(2, 1) - 128
+    want = np.stack([y + 1.402 * cr, y - 0.344136 * cb - 0.714136 * cr, y + 1.772 * cb], 2).clip(0, 255)
+    far = np.abs(image.rgb(media.inverse_transform()).astype(float) - want)
+    assert far.max() <= 4 and (far <= 1).mean() > 0.9  # the transform is rounded to 1/1024, so that sums are exact
+
+
+def test_many_paragraphs_take_seconds(spark):
+    import time
+
+    texts = ["\n".join(f"line {i} of {k}" for i in range(2000)) for k in range(2)]
+    begun = time.time()
+    got = rows(fingerprints.fingerprint_documents(documents(spark, texts)))
+    assert time.time() - begun < 60 and got[0].near_next == 0.0
+
+
+def test_repeated_and_null_ids(spark):
+    """No operator drops or merges rows over their ids; removal of windows follows the ids."""
+    passage = " ".join(f"w{i}" for i in range(20))
+    texts = [passage, f"{passage} end", passage, "other words", None, passage, passage]
+    docs = documents(spark, texts, [5, 5, 7, 7, 7, None, None])
+    labels = spark.createDataFrame([(5, 0), (7, 1)], "doc_id long, toxic int")
+    for run in (licences.scan_licences, sharding.shard_documents, lambda d: neardup.near_duplicates(d, similar=False), substrings.remove_repeats, media.store_media, fingerprints.fingerprint_documents, language.identify_language, lambda d: toxicity.score_toxicity(d, labels)):
+        assert run(docs).count() == len(texts)
+    packed = packing.pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json")).toPandas()
+    assert len(packed[packed.start == 0]) == len(texts)
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substrings.remove_repeats(docs).collect())
+    assert got == [(0, 20, 0), (0, 20, 0), (5, 20, 0), (5, 21, 0), (7, 0, 0), (7, 2, 0), (7, 20, 20)]
+
+
+def test_clashing_names_of_carried_columns(spark):
+    docs = documents(spark, sample()[-8:] + [None]).selectExpr("*", "1 as _score", "'z' as _lang_pred", "2 as __score", "3 as _sid", "4 as _key", "5 as _place", "6 as x", "7 as gone")
+    labels = spark.createDataFrame([(0, 0), (1, 1)], "doc_id long, toxic int")
+    for run in (language.keep_identified, lambda d: toxicity.keep_clean(d, labels), neardup.keep_one_of_each, lambda d: substrings.remove_repeats(d, carry=True)):
+        found = run(docs)
+        assert found.columns == docs.columns and found.select("_score", "gone", "x").distinct().count() <= 1
+
+
+def test_labels_and_ids_of_any_size(spark):
+    big = (1 << 63) - 1
+    docs = documents(spark, [f"good words {i}" if i % 2 else f"bad words {i}" for i in range(60)] + ["", None], [big - i for i in range(62)])
+    labels = spark.createDataFrame([(big - i, (i + 1) % 2 * 7 if i < 50 else None) for i in range(60)], "doc_id long, toxic int")
+    got = toxicity.score_toxicity(docs, labels).toPandas()
+    assert got.score.between(0, 1).all() and got.score.notna().all()
+
+
 def test_models_on_held_out_rows(spark):
     sf = "/root/testdata/sf0.01"
     known = spark.read.parquet(f"{sf}/documents.parquet")
     found = queries.op10_language(spark, sf).join(known.select("doc_id", "lang"), "doc_id").where(language.fold(4) == 2).toPandas()
     assert (found.lang == found.lang_pred).mean() > 0.95
     scored = queries.op8_toxicity(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").toPandas()
-    assert ((scored.predicted == scored.toxic).mean() > 0.9) and scored.score.between(0, 1).all()
+    assert scored.score.between(0, 1).all()
+    hit = ((scored.predicted == 1) & (scored.toxic == 1)).sum()
+    assert hit >= 0.6 * (scored.toxic == 1).sum() and hit >= 0.6 * (scored.predicted == 1).sum()
 
 
 def test_machine_learns_a_pair():
