@@ -27,7 +27,7 @@ BANDS = (((1, 16, True), (17, 48, False)), ((1, 48, False),), ((1, 48, False),))
 SAMPLING = ((2, 2), (1, 1), (1, 1))
 #: Most units of 16 points along a side (sides have at most 65535 points), and most blocks that one end-of-band run spans.
 MOST_SIDE, MOST_RUN = 4095, 32767
-SCALE = 1024
+SCALE = 4096
 
 
 def zigzag() -> np.ndarray:
