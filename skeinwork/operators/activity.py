@@ -11,12 +11,14 @@ def dense_grid(events: DataFrame, unit: str) -> DataFrame:
     return span.select(F.explode(F.sequence("a", "b", F.expr(f"interval 1 {unit}"))).alias("bucket"))
 
 
-def series(events: DataFrame, unit: str) -> DataFrame:
-    """bucket_us, saves, actors, places, value_sum, deletes, probes: dense, zeros where nothing happened."""
+def series(events: DataFrame, unit: str, distinct: tuple[str, ...] = ()) -> DataFrame:
+    """bucket_us, saves, actors, places, cents, deletes, probes, and for each further column of saves how many values it has: dense,
+    zeros where nothing happened."""
     save = F.col("kind") == "save"
     counted = events.groupBy(F.date_trunc(unit, "ts").alias("bucket")).agg(
         F.count_if(save).alias("saves"), F.countDistinct(F.when(save, F.col("actor"))).alias("actors"), F.countDistinct(F.when(save, F.col("place"))).alias("places"),
         F.sum(F.when(save, F.round(F.col("value") * 100).cast("long"))).alias("cents"), F.count_if(F.col("kind") == "delete").alias("deletes"), F.count_if(F.col("kind") == "probe").alias("probes"),
+        *[F.countDistinct(F.when(save, F.col(c))).alias(f"{c}_values") for c in distinct],
     )
     names = [c for c in counted.columns if c != "bucket"]
     return dense_grid(events, unit).join(counted, "bucket", "left").select(F.unix_micros("bucket").alias("bucket_us"), *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in names])

@@ -43,6 +43,14 @@ def newman_projection(members: DataFrame, group: str, member: str, most: int | N
     return pairs.groupBy(F.col(f"x.{member}").alias("a"), F.col(f"y.{member}").alias("b")).agg(F.round(F.sum(1 / (F.col("x.k") - 1)), 6).alias("w"), F.count("*").alias("shared"))
 
 
+def projection_nodes(members: DataFrame, group: str, member: str, most: int | None = None) -> DataFrame:
+    """Nodes of the Newman projection, without its pairs: node, touches (pairs that it is in, once for each shared group) and
+    strength (its groups with another member: each adds (k - 1) times 1 / (k - 1))."""
+    sized = members.withColumn("k", F.count("*").over(W.partitionBy(group))).where("k >= 2")
+    sized = sized if most is None else sized.where(F.col("k") <= most)
+    return sized.groupBy(F.col(member).alias("node")).agg(F.sum(F.col("k") - 1).alias("touches"), F.count("*").alias("strength"))
+
+
 def triangles(edges: DataFrame) -> DataFrame:
     """x, y, z of each triangle once. Edges point from the end of lower degree to the higher, so a hub's pairs aren't formed."""
     d = degree(edges).select("node", "degree")

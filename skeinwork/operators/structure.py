@@ -142,6 +142,25 @@ def graph_payload(edges: DataFrame, nodes: DataFrame, most: int) -> tuple[DataFr
     return nodes.join(nodes_of(links), "node", "left_semi").join(handoff.degrees(edges), "node", "left"), links
 
 
+def layer_report(layers: dict[str, tuple[DataFrame, bool, bool]], keep: Keep, nulls: int = 200) -> DataFrame:
+    """layers: (edges, directed, of two kinds or projected) by name. A row for each: layer, nodes, edges, density, reciprocity (null
+    where undirected), transitivity, components, giant_share, max_core and how many null copies it is worth."""
+    out = None
+    for name, (edges, directed, doubled) in layers.items():
+        edges = keep(edges.select("src", "dst", "weight"), "layer")
+        g = keep(network.undirected(edges, "weight"), "layer")
+        weak = components.components(g.select("a", "b"), keep).groupBy("root").agg(F.count("*").alias("k"))
+        weak = weak.agg(F.count("*").alias("components"), F.coalesce(F.max("k"), F.lit(0)).alias("giant"))
+        cores = network.k_core(g, keep).agg(F.coalesce(F.max("core"), F.lit(0)).alias("max_core"))
+        row = handoff.describe(edges, directed).crossJoin(handoff.reciprocity(edges).select("reciprocity")).crossJoin(network.transitivity(g).select("transitivity")).crossJoin(weak).crossJoin(cores)  # one row each
+        row = row.select(
+            F.lit(name).alias("layer"), F.col("n_nodes").alias("nodes"), F.col("n_edges").alias("edges"), "density", (F.col("reciprocity") if directed else F.lit(None).cast("double")).alias("reciprocity"), "transitivity",
+            "components", F.round(F.coalesce(F.try_divide("giant", "n_nodes"), F.lit(0.0)), 6).alias("giant_share"), "max_core", F.lit(replicates.null_budget(g.count(), doubled, nulls)).alias("null_copies"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def structural_break(pairs: DataFrame, marks: DataFrame, era, keep: Keep, names: tuple[str, ...] = ("before", "after")) -> DataFrame:
     """pairs: source, target, place, ts, gap_seconds; marks: ts and boolean columns. A row for each era: events, nodes, edges,
     density, reciprocity, transitivity, giant_share, mean_out_degree, max_core, modularity of the network of its pairs, and of

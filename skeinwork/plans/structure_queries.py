@@ -92,6 +92,14 @@ query("bipartite_nodes", E + """, f AS (SELECT 'actor:' || actor AS node, 'actor
 SELECT node, kind, bipartite, count(*) AS n_events, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM f GROUP BY ALL""", lambda s, d: network.bipartite_nodes(event_log(s, d).where("kind = 'save'"), "actor", "place"))
 query("label_prefix_edges", E + " SELECT 'label:' || actor AS src, 'prefix:' || left(place, 1) AS dst, count(*) AS weight, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM ev WHERE kind = 'save' AND actor NOT IN (0, 1, 2) GROUP BY 1, 2",
       lambda s, d: network.bipartite(populations.agent_rows(event_log(s, d).where("kind = 'save'"), "actor", [0, 1, 2]).select(F.col("actor").alias("label"), F.substring("place", 1, 1).alias("prefix"), "ts"), "label", "prefix"))
+query("projection_nodes", "WITH m AS (SELECT DISTINCT l_partkey AS g, l_suppkey AS m FROM lineitem), k AS (SELECT *, count(*) OVER (PARTITION BY g) AS k FROM m) SELECT m AS node, sum(k - 1)::BIGINT AS touches, count(*) AS strength FROM k WHERE k >= 2 GROUP BY m",
+      lambda s, d: network.projection_nodes(table(s, d, "lineitem").select(F.col("l_partkey").alias("g"), F.col("l_suppkey").alias("m")).distinct(), "g", "m"))
+query("kind_counts", E + " SELECT 'actor' AS kind, count(DISTINCT actor) AS n FROM ev WHERE kind = 'save' UNION ALL SELECT 'place', count(DISTINCT place) FROM ev WHERE kind = 'save'", lambda s, d: network.bipartite_nodes(event_log(s, d).where("kind = 'save'"), "actor", "place").groupBy("kind").agg(F.count("*").alias("n")))
+query("layer_report", None, lambda s, d: layer_report(s, d))
+query("activity_prefixes", E + ", g AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 day)) AS b FROM ev) SELECT epoch_us(b) AS bucket_us, count(DISTINCT left(place, 1)) FILTER (kind = 'save') AS prefix_values FROM g LEFT JOIN ev ON date_trunc('day', ts) = b GROUP BY b",
+      lambda s, d: activity.series(event_log(s, d).withColumn("prefix", F.substring("place", 1, 1)), "day", ("prefix",)).select("bucket_us", "prefix_values"))
+query("orders_of_large_customers", "SELECT o_orderpriority AS priority, count(*) AS n, count(DISTINCT c_custkey) AS customers FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal > 5000 GROUP BY 1",
+      lambda s, d: table(s, d, "orders").join(table(s, d, "customer").where("c_acctbal > 5000"), F.col("c_custkey") == F.col("o_custkey")).groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), F.countDistinct("c_custkey").alias("customers")))
 page_rows = lambda s, d: table(s, d, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 17).alias("label"), F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("page"), F.timestamp_seconds(F.col("page_id") * 1000).alias("ts"), F.col("url").alias("body"))
 PAGEROWS = f"WITH p AS (SELECT page_id, page_id % 17 AS label, 'p' || page_id AS page, page_id * 1000000000 AS us, {PLAIN} AS host FROM pages)"
 layer = lambda s, d, left: network.bipartite(references.host_mentions(page_rows(s, d), T.TEST_RULES).select(left, "host", "ts"), left, "host")
@@ -152,6 +160,11 @@ def undirected(s, d):
     return network.undirected(edges(s, d), "weight")
 
 
+def layer_report(s, d):
+    saves = event_log(s, d).where("kind = 'save'")
+    return structure.layer_report({"handoff": (edges(s, d), True, False), "two kinds": (network.bipartite(saves, "actor", "place"), False, True)}, written)
+
+
 def eras(s, d):
     marks = event_log(s, d).where("kind = 'save'").select("ts", (F.col("place").cast("int") % 7 == 0).alias("crowded"), (F.col("place").cast("int") < 10).alias("low"))
     return structure.structural_break(pairs(s, d), marks, activity.era_of(BOUNDARY), written)

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import copies, diffusion
+from ..operators import copies, diffusion, references
 from ..sources.tables import EVENT_LOG_SQL, event_log, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -36,9 +36,9 @@ query("hyperlink_edges", f"""WITH p AS (SELECT page_id, url, {PLAIN} AS host, ht
 SELECT src, dst, count(*) AS weight, min(page_id) AS first_page, max(page_id) AS last_page, dst IN (SELECT '/' || n_name FROM nation) AS in_corpus FROM r WHERE src <> dst GROUP BY src, dst""", lambda s, d: hyperlinks(s, d))
 query("name_motifs", "SELECT motif, count(*) AS n FROM (SELECT unnest(list_filter(['has_number', 'long_number', 'has_dash', 'has_page', 'has_home', 'has_news'], lambda m: CASE m WHEN 'has_number' THEN regexp_matches(url, '[0-9]') WHEN 'long_number' THEN regexp_matches(url, '[0-9]{9,}') WHEN 'has_dash' THEN contains(url, '-') WHEN 'has_page' THEN regexp_matches(lower(url), 'page|item') WHEN 'has_home' THEN regexp_matches(lower(url), 'home|index|main') ELSE regexp_matches(lower(url), 'news|blog|post') END)) AS motif FROM pages) GROUP BY motif",
   lambda s, d: table(s, d, "pages").select(F.explode(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in T.motif_flags(F.col("url")).items()]))).alias("motif")).groupBy("motif").agg(F.count("*").alias("n")))
-query("motif_diffusion", f"""WITH p AS (SELECT page_id, {PLAIN} AS host, url FROM pages), m AS (SELECT 'has_number' AS motif, page_id, host FROM p WHERE regexp_matches(url, '[0-9]') UNION ALL SELECT 'has_page', page_id, host FROM p WHERE regexp_matches(lower(url), 'page|item') UNION ALL SELECT 'has_news', page_id, host FROM p WHERE regexp_matches(lower(url), 'news|blog|post')
+query("motif_diffusion", f"""WITH p AS (SELECT page_id, {PLAIN} AS host, url FROM pages), m AS (SELECT 'has_number' AS motif, page_id, host, url FROM p WHERE regexp_matches(url, '[0-9]') UNION ALL SELECT 'has_page', page_id, host, url FROM p WHERE regexp_matches(lower(url), 'page|item') UNION ALL SELECT 'has_news', page_id, host, url FROM p WHERE regexp_matches(lower(url), 'news|blog|post')
 ), f AS (SELECT motif, host, min(page_id) AS first, count(*) AS n FROM m GROUP BY ALL)
-SELECT motif, count(*) AS n_actors, sum(n)::BIGINT AS n_uses, min(first) AS first_use, median(first) AS median_adoption, max(first) AS last_use FROM f GROUP BY motif""", lambda s, d: motif_diffusion(s, d))
+SELECT motif, count(*) AS n_actors, any_value((SELECT count(DISTINCT url) FROM m x WHERE x.motif = f.motif)) AS n_names, sum(n)::BIGINT AS n_uses, min(first) AS first_use, median(first) AS median_adoption, max(first) AS last_use FROM f GROUP BY motif""", lambda s, d: motif_diffusion(s, d))
 TOKENS = "SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}')) AS token FROM conversations"
 query("summary_tokens", f"SELECT token, count(*) AS n FROM ({TOKENS}) GROUP BY token", lambda s, d: uses(s, d).groupBy("token").agg(F.count("*").alias("n")))
 query("token_diffusion", f"WITH u AS ({TOKENS}), f AS (SELECT token, conv_id, min(turn) AS a FROM u GROUP BY ALL) SELECT token, count(*) AS n_actors, min(a) AS first_at, max(a) AS last_at, max(a) - min(a) AS span_h, round(count(*) * 24 / greatest((max(a) - min(a))::DOUBLE, 1e-6), 4) AS per_day FROM f GROUP BY token ORDER BY n_actors DESC, token LIMIT 25",
@@ -59,7 +59,7 @@ query("oriented_copies", """WITH t AS (SELECT doc_id, text, 1000 * (doc_id % 7)
 SELECT CASE WHEN t1 <= t0 THEN a ELSE doc_id END AS src, CASE WHEN t1 <= t0 THEN doc_id ELSE a END AS dst, abs(t0 - t1)::DOUBLE AS gap_seconds,
   coalesce(abs(t0 - t1) > slack + slack_a, false) AND firm AND firm_a AS orderable FROM g WHERE a IS NOT NULL""", lambda s, d: oriented(s, d))
 query("dominant_category", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents GROUP BY ALL) SELECT source, lang AS category, n FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1",
-  lambda s, d: table(s, d, "documents").groupBy("source", "lang").agg(F.count("*").alias("n")).groupBy("source").agg(F.min_by("lang", F.struct(-F.col("n"), F.col("lang"))).alias("category"), F.max("n").alias("n")))
+  lambda s, d: references.dominant_category(table(s, d, "documents"), "source", "lang"))
 FIRST = f"WITH {EVENT_LOG_SQL}, f AS (SELECT place, actor, min(epoch_us(ts)) AS first_us FROM ev WHERE kind = 'save' GROUP BY ALL)"
 firsts = lambda s, d: diffusion.first_use(event_log(s, d).where("kind = 'save'"), "place", "actor")
 query("first_use", FIRST + " SELECT * FROM f", firsts)
@@ -88,10 +88,8 @@ def hyperlinks(s, d):
 
 
 def motif_diffusion(s, d):
-    flags = {k: v for k, v in T.motif_flags(F.col("url")).items() if k in ("has_number", "has_page", "has_news")}
-    each = hosts(s, d).select("page_id", "host", F.explode(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in flags.items()]))).alias("motif"))
-    firsts_ = each.groupBy("motif", "host").agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
-    return firsts_.groupBy("motif").agg(F.count("*").alias("n_actors"), F.sum("n").alias("n_uses"), F.min("first").alias("first_use"), F.median("first").alias("median_adoption"), F.max("first").alias("last_use"))
+    motifs = {k: T.MOTIFS[k] for k in ("has_number", "has_page", "has_news")}
+    return references.motif_diffusion(hosts(s, d).select(F.col("host").alias("actor"), F.col("url").alias("name"), F.col("page_id").alias("at")), motifs)
 
 
 def uses(s, d):

@@ -73,6 +73,13 @@ def test_break_of_cores_and_verdicts(spark):
     assert {r.test for r in registry.QUERIES["test_p_values"](spark, SF).collect()} == {"mann_whitney", "wilcoxon", "spearman"}
 
 
+def test_layers_agree_with_their_parts(spark):
+    rows = {r.layer: r for r in registry.QUERIES["layer_report"](spark, SF).collect()}
+    one, three = registry.QUERIES["graph_describe"](spark, SF).first(), registry.QUERIES["triangles_transitivity"](spark, SF).first()
+    assert (rows["handoff"].nodes, rows["handoff"].edges, rows["handoff"].transitivity) == (one.n_nodes, one.n_edges, three.transitivity)
+    assert rows["two kinds"].transitivity == 0 and rows["two kinds"].reciprocity is None and (rows["two kinds"].null_copies, rows["handoff"].null_copies) == (10, 200)
+
+
 def test_every_place_has_a_fit_or_says_why(spark):
     rows = registry.QUERIES["logistic_fit"](spark, SF).collect()
     assert {r.fit for r in rows} <= {"logistic", "insufficient_data"} and len(rows) == 99
