@@ -30,6 +30,26 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(rows: Iterator) -> Iterator:
+    """rows; when they end, the worker gives memory that it no longer uses back to the system, as it waits for its next task with
+    what the last one took."""
+    import ctypes
+
+    try:
+        yield from rows
+    finally:
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # not every C library has it
+            pass
+
+
+def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """df.mapInArrow, in small batches and with memory released at the end of each task."""
+    return small_batches(df).mapInArrow(lambda batches: released(run(batches)), schema)
+
+
 def kept(name: str, make: Callable):
     """What make() gives, made once in each Python worker and kept for its later tasks; name must say all that it depends on."""
     import gc
@@ -83,7 +103,7 @@ def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list],
                 arrays = [part.column(i) for i in places] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return small_batches(source).mapInArrow(run, out)
+    return in_arrow(source, run, out)
 
 
 def fold(folds: int):

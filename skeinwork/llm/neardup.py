@@ -13,7 +13,7 @@ Near copies with a few changed words often lie further apart than that. So near_
 words have a Jaccard similarity of at least 0.8 (op3's query leaves that out: its contract is the 4 bits). Candidates
 come from the prefixes of these sets: under one order of all shingles, two sets so similar share one of their first fifth.
 The order puts shingles that are common in a sample last; any order is complete. Candidates are verified on their whole
-sets. Where many meet, they are compared with the first few, and what these link isn't compared again.
+sets. At each meeting place all are compared with the first, and only those that this leaves apart with each other.
 
 Null, empty and wordless texts have fingerprint zero, linked like any other. Equal texts are one fingerprint from the
 start, however many. Rows without a doc_id get a component like others, but name none. Rows of a repeated doc_id each have a
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.components import components
-from .common import added, map_texts, slices, small_batches, split_words, written
+from .common import added, in_arrow, map_texts, slices, split_words, written
 from .substrings import Names
 
 SHINGLE, BITS, RADIUS, BLOCKS = 4, 64, 4, 3
@@ -37,8 +37,8 @@ CROWD = 32
 WORDS, PART, WHOLE = 5, 4, 5
 #: Distinct texts to learn common shingles from, about, and in how many of them a shingle is common.
 SAMPLE_TEXTS, COMMON = 20_000, 5
-#: With how many of a crowd all others are compared first.
-LEADERS = 4
+#: Rows of two numbers at most that are broadcast, some tens of MB.
+BROADCAST = 1_000_000
 
 
 def simhash(text: bytes | None) -> int:
@@ -149,7 +149,7 @@ def map_sets(texts: DataFrame, schema: str, columns) -> DataFrame:
                 sets = shingle_sets(part.column(1))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns(part.column(0).to_numpy(), sets)], names=names)
 
-    return small_batches(texts).mapInArrow(run, schema)
+    return in_arrow(texts, run, schema)
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -182,11 +182,20 @@ def prefixes(texts: DataFrame) -> DataFrame:
     return map_sets(texts, "key long, sid long, n int, at int", columns)
 
 
+def sized(df: DataFrame) -> DataFrame:
+    """df (a written table of few narrow columns), for broadcasting if it has at most BROADCAST rows; else joins shuffle."""
+    return F.broadcast(df) if df.count() <= BROADCAST else df
+
+
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """a, b: the roots of those pairs (a, b, ra, rb; a and b are texts' sids) whose sets are similar enough."""
-    ids = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    chosen = texts.join(ids, "sid", "left_semi").dropDuplicates(["sid"])
-    sets = written(map_sets(chosen, "sid long, grams binary", lambda sids, sets: [sids, [x.tobytes() for x in sets]]), "sets")
+    ids = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "candidates")
+    # one row of each text: the least of its row keys (equal rows have equal ones)
+    chosen = texts.join(sized(ids), "sid", "left_semi")
+    least = sized(written(chosen.groupBy("sid").agg(F.min("row").alias("row")), "rows"))
+    chosen = chosen.join(least, ["sid", "row"], "left_semi").select("sid", "text")
+    sets = map_sets(chosen, "sid long, grams binary", lambda sids, sets: [sids, [x.tobytes() for x in sets]])
+    sets = sets.repartition("sid").dropDuplicates(["sid"])
     both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").select("ra", "rb", "ga", "gb")
 
     def run(batches):
@@ -200,15 +209,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 keep.append(c * WHOLE >= PART * (len(x) + len(y) - c))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    return small_batches(both).mapInArrow(run, "a long, b long")
+    return in_arrow(both, run, "a long, b long")
 
 
 def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFrame:
     """id, root: which roots of linked (fp, root) are one component by similar texts."""
-    texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("sid"), F.col("text").cast("string").alias("text"))
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = prefixes(texts).repartition(parts, "key").distinct()
-    met = met.withColumns({"m": F.count("*").over(W.partitionBy("key")), "place": F.row_number().over(W.partitionBy("key").orderBy("sid"))}).where("m > 1")
+    text = F.col("text").cast("string")
+    texts = docs.select(F.xxhash64(text).alias("sid"), text.alias("text"), F.xxhash64(*docs.columns).alias("row"))
+    met = prefixes(texts.select("sid", "text")).repartition("key").distinct()
+    met = met.withColumns({"m": F.count("*").over(W.partitionBy("key")), "place": F.row_number().over(W.partitionBy("key").orderBy("sid"))}).where("m > 1").drop("m")
     roots = rows.select("sid", "fp").distinct().join(linked, "fp").select("sid", "root")
     met = written(met.join(roots, "sid"), "near")
 
@@ -219,10 +228,11 @@ def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFr
         both = both.where(f"least(n_a - at_a, n - at) * {PART + WHOLE} >= {PART} * (n_a + n)")
         return both.select(F.col("sid_a").alias("a"), F.col("sid").alias("b"), F.col("root_a").alias("ra"), F.col("root").alias("rb")).distinct()
 
-    near = written(verified(written(pairs(met, f"m <= {CROWD} or place <= {LEADERS}"), "pairs"), texts), "similar")
-    found = components(near, written)
-    crowd = met.where(F.col("m") > CROWD).join(found.toDF("root", "top"), "root", "left").withColumn("root", F.coalesce("top", "root"))
-    left = verified(written(pairs(crowd, f"place > {LEADERS}"), "pairs"), texts)
+    # all are compared with the first of each meeting place; then those that are not yet one with each other
+    near = written(verified(written(pairs(met, "place = 1"), "pairs"), texts), "similar")
+    found = written(components(near, written), "found")
+    rest = met.where("place > 1").join(found.toDF("root", "top"), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
+    left = verified(written(pairs(rest, "true"), "pairs"), texts)
     return components(near.unionByName(left).unionByName(found.toDF("a", "b")), written)
 
 
@@ -258,7 +268,9 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sid")
     sid, best_id, best_sid, place = (added(docs, c) for c in ("sid", "best", "best_sid", "place"))
     best = rows.join(linked, "fp").groupBy("root").agg(F.min(order).alias("best")).select(F.col("best.doc_id").alias(best_id), F.col("best.sid").alias(best_sid))
-    mine = docs.withColumn(sid, F.xxhash64(F.col("text").cast("string")))
+    mine, best = docs.withColumn(sid, F.xxhash64(F.col("text").cast("string"))), sized(written(best, "best"))
     found = mine.join(best, (mine[sid] == best[best_sid]) & mine["doc_id"].cast("long").eqNullSafe(best[best_id]), "left_semi")
+    if rows.groupBy("doc_id", "sid").count().where("count > 1").isEmpty():  # else equal texts of one doc_id are told apart
+        return found.select(*docs.columns)
     first = F.row_number().over(W.partitionBy("doc_id", sid).orderBy(F.xxhash64(*docs.columns)))
     return found.withColumn(place, first).where(F.col(place) == 1).select(*docs.columns)

@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept, slices, small_batches
+from .common import in_arrow, kept, slices
 
 LENGTH, END = 4096, 2
 #: Tokens that a block holds at least, unless the input ends.
@@ -177,4 +177,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                         yield rows(block.pack(False))
         yield rows(block.pack(True))
 
-    return small_batches(docs).select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

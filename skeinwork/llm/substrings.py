@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import slices, small_batches, split_words
+from .common import in_arrow, slices, split_words
 
 WINDOW, ROUNDS = 13, 5
 #: Rounds that name runs too, beside pairs: a symbol's hull then takes in both neighbours.
@@ -262,7 +262,7 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     text and their number of characters as n_chars (if there is such a column)."""
     # other columns go along under names of our own, so theirs can be anything
     doc_id, others = F.col("doc_id").cast("long"), [c for c in docs.columns if carry and c not in ("doc_id", "text")]
-    slim = small_batches(docs).select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(others)])
+    slim = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(others)])
     names = slim.columns
     # a key that is never null, so rows without a doc_id spread (what a row without one may be told it doesn't ask for); else
     # the inner join would filter its input, and the two exchanges of texts would differ
@@ -324,14 +324,14 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
     # all three take all columns of slim: so the exchange of texts is the same and runs once; in order, so that chunks are
     # the same whenever a task runs
     ordered = lambda df: df.sortWithinPartitions("_key", F.xxhash64("text")).drop("_key")
-    stretches = first_round(ordered(dealt).mapInArrow(send_stretches, SENT))
+    stretches = first_round(in_arrow(ordered(dealt), send_stretches, SENT))
     looking = by_document(stretches.where("not gone"))
-    windows = second_round(ordered(dealt.join(looking, "_key").select(*names, "told", "_key")).mapInArrow(send_windows, SENT))
+    windows = second_round(in_arrow(ordered(dealt.join(looking, "_key").select(*names, "told", "_key")), send_windows, SENT))
     gone = by_document(stretches.where("gone").unionByName(windows))
     out = dealt.join(gone, "_key", "left").select(*names, "told")
     if not carry:
-        return out.mapInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
-    kept = out.mapInArrow(finish, slim.schema)
+        return in_arrow(out, finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    kept = in_arrow(out, finish, slim.schema)
     back_again = {c: F.length("text").cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"_x{i}") for i, c in enumerate(others)}
     return kept.select(*[(back_again[c] if c in back_again else F.col(c)).alias(c) for c in docs.columns])
 
