@@ -37,6 +37,8 @@ CROWD = 32
 WORDS, PART, WHOLE = 5, 4, 5
 #: Distinct texts to learn common shingles from, about, and in how many of them a shingle is common.
 SAMPLE_TEXTS, COMMON = 20_000, 5
+#: Words of 64 bits in a mark.
+MARK_WORDS = 8
 #: Rows of two numbers at most that are broadcast, some tens of MB.
 BROADCAST = 1_000_000
 
@@ -212,6 +214,21 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return in_arrow(both, run, "a long, b long")
 
 
+def marks(texts: DataFrame) -> DataFrame:
+    """sid, p0 to p7: for each text, of 512 bits those that an odd number of its shingles hashes to. Two sets' marks differ in at
+    most as many bits as there are shingles that only one of them has."""
+
+    def columns(sids, sets):
+        bits = np.zeros((len(sets), 64 * MARK_WORDS), np.uint8)
+        for row, own in zip(bits, sets, strict=True):
+            row[:] = np.bincount((own.view(np.uint64) >> np.uint64(32)).astype(np.int64) % len(row), minlength=len(row)) & 1
+        words = np.packbits(bits, axis=1).view(np.int64).reshape(len(sets), MARK_WORDS)
+        return [sids, *[np.ascontiguousarray(words[:, i]) for i in range(MARK_WORDS)]]
+
+    found = map_sets(texts, "sid long, " + ", ".join(f"p{i} long" for i in range(MARK_WORDS)), columns)
+    return found.dropDuplicates(["sid"])
+
+
 def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFrame:
     """id, root: which roots of linked (fp, root) are one component by similar texts."""
     text = F.col("text").cast("string")
@@ -221,9 +238,9 @@ def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFr
     roots = rows.select("sid", "fp").distinct().join(linked, "fp").select("sid", "root")
     met = written(met.join(roots, "sid"), "near")
 
-    def pairs(rows: DataFrame, first: str) -> DataFrame:
-        a = rows.where(first).select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "at", "root")])
-        both = a.join(rows, "key").where("sid_a < sid and root_a <> root")
+    def pairs(rows: DataFrame, first: str, further: str = "true", more: tuple[str, ...] = ()) -> DataFrame:
+        a = rows.where(first).select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "at", "root", *more)])
+        both = a.join(rows, "key").where("sid_a < sid and root_a <> root").where(further)
         # as many as they may share from here on, and at least must
         both = both.where(f"least(n_a - at_a, n - at) * {PART + WHOLE} >= {PART} * (n_a + n)")
         return both.select(F.col("sid_a").alias("a"), F.col("sid").alias("b"), F.col("root_a").alias("ra"), F.col("root").alias("rb")).distinct()
@@ -231,8 +248,15 @@ def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFr
     # all are compared with the first of each meeting place; then those that are not yet one with each other
     near = written(verified(written(pairs(met, "place = 1"), "pairs"), texts), "similar")
     found = written(components(near, written), "found")
-    rest = met.where("place > 1").join(found.toDF("root", "top"), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top")
-    left = verified(written(pairs(rest, "true"), "pairs"), texts)
+    rest = met.where("place > 1").join(found.toDF("root", "top"), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top", "place")
+    whole = W.partitionBy("key")
+    rest = written(rest.withColumn("_apart", F.min("root").over(whole) != F.max("root").over(whole)).where("_apart").drop("_apart"), "rest")
+    ids = sized(written(rest.select("sid").distinct(), "apart"))
+    marked = rest.join(written(marks(texts.join(ids, "sid", "left_semi").select("sid", "text")), "marks"), "sid")
+    # two sets so similar have at most a ninth of their sizes' sum that isn't shared
+    differ = " + ".join(f"bit_count(p{i}_a ^ p{i})" for i in range(MARK_WORDS))
+    near_marks = f"({differ}) * {PART + WHOLE} <= {WHOLE - PART} * (n_a + n)"
+    left = verified(written(pairs(marked, "true", near_marks, tuple(f"p{i}" for i in range(MARK_WORDS))), "pairs"), texts)
     return components(near.unionByName(left).unionByName(found.toDF("a", "b")), written)
 
 
