@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from ..sources.shared import swept as swept
 from ..sources.shared import written as written
 
 #: Bytes of text that one call of a text function gets at most, unless a single text is longer; bytes of an Arrow batch between

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.components import components
-from .common import added, in_arrow, map_texts, slices, split_words, written
+from .common import added, in_arrow, map_texts, slices, split_words, swept, written
 from .substrings import Names
 
 SHINGLE, BITS, RADIUS, BLOCKS = 4, 64, 4, 3
@@ -109,7 +109,7 @@ def given_back(met: DataFrame, blocks: int, radius: int) -> DataFrame:
 def links(prints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:
     """a, b: links between distinct fingerprints (column fp) that connect just what differing in at most radius bits connects."""
     met = emitted(prints, blocks, radius).withColumn("n", F.count("*").over(W.partitionBy("key"))).where("n > 1")
-    met = written(given_back(met, blocks, radius), "met")
+    met = swept(written(given_back(met, blocks, radius), "met"))
     few = met.where(F.col("n") <= CROWD).groupBy("key").agg(F.collect_set("fp").alias("fps"))
     pairs = few.select(F.explode("fps").alias("a"), "fps")
     close = lambda b: (b > F.col("a")) & (F.bit_count(F.col("a").bitwiseXOR(b)) <= radius)
@@ -189,29 +189,62 @@ def sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST else df
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """a, b: the roots of those pairs (a, b, ra, rb; a and b are texts' sids) whose sets are similar enough."""
-    ids = written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "candidates")
-    # one row of each text: the least of its row keys (equal rows have equal ones)
-    chosen = texts.join(sized(ids), "sid", "left_semi")
-    least = sized(written(chosen.groupBy("sid").agg(F.min("row").alias("row")), "rows"))
-    chosen = chosen.join(least, ["sid", "row"], "left_semi").select("sid", "text")
-    sets = map_sets(chosen, "sid long, grams binary", lambda sids, sets: [sids, [x.tobytes() for x in sets]])
-    sets = sets.repartition("sid").dropDuplicates(["sid"])
-    both = pairs.join(sets.toDF("a", "ga"), "a").join(sets.toDF("b", "gb"), "b").select("ra", "rb", "ga", "gb")
+def parity(own: np.ndarray) -> bytes:
+    """The size of a set, in eight bytes, and a mark of at least as many bits (a power of two): those that an odd number of its
+    shingles hashes to."""
+    bits = 1 << max(6, (len(own) - 1).bit_length())
+    odd = np.bincount((own.view(np.uint64) >> np.uint64(32)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return len(own).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_be_similar(x: bytes, y: bytes) -> bool:
+    """Whether two sets with these parities can be similar enough. Their marks, the longer one folded to the other's length, differ
+    in at most as many bits as there are shingles that only one has: at most a ninth of their sizes' sum."""
+    x, y = sorted((np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)), key=len)
+    size, x, y = int(x[0]) + int(y[0]), x[1:], y[1:]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (PART + WHOLE) <= (WHOLE - PART) * size
+
+
+def similar(x: bytes, y: bytes) -> bool:
+    """Whether two sets, as sorted numbers, are similar enough."""
+    x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+    c = len(np.intersect1d(x, y, assume_unique=True))
+    return c * WHOLE >= PART * (len(x) + len(y) - c)
+
+
+def passing(pairs: DataFrame, texts: DataFrame, note, test) -> DataFrame:
+    """Those pairs (a, b, ra, rb) for which test says yes of the notes (bytes made of a set) of both."""
+    names = pairs.columns
+    notes = map_sets(texts, "sid long, note binary", lambda sids, sets: [sids, [note(x) for x in sets]])
+    notes = notes.repartition("sid").dropDuplicates(["sid"])
+    both = pairs.join(notes.toDF("a", "ga"), "a").join(notes.toDF("b", "gb"), "b").select(*names, "ga", "gb")
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                c = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(c * WHOLE >= PART * (len(x) + len(y) - c))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            keep = [test(x, y) for x, y in zip(batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[: len(names)], names=names).filter(pa.array(keep, pa.bool_()))
+
+    return in_arrow(both, run, pairs.schema)
+
+
+def both_ends(pairs: DataFrame) -> DataFrame:
+    return written(pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct(), "candidates")
 
-    return in_arrow(both, run, "a long, b long")
+
+def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """a, b: the roots of those pairs (a, b, ra, rb; a and b are texts' sids) whose sets are similar enough. Whole sets are sent
+    for the pairs only that their parities, a 64th as long or twice that, leave: at meeting places most others aren't alike."""
+    # one row of each text: the least of its row keys (equal rows have equal ones)
+    least = texts.join(sized(both_ends(pairs)), "sid", "left_semi").groupBy("sid").agg(F.min("row").alias("row"))
+    least = swept(written(least, "rows"))
+    of = lambda rows: texts.join(sized(rows), ["sid", "row"], "left_semi").select("sid", "text")
+    left = swept(written(passing(pairs, of(least), parity, may_be_similar), "left"))
+    chosen = written(least.join(both_ends(left), "sid", "left_semi"), "rows")
+    return passing(left, of(chosen), np.ndarray.tobytes, similar).select(F.col("ra").alias("a"), F.col("rb").alias("b"))
 
 
 def marks(texts: DataFrame) -> DataFrame:
@@ -236,7 +269,7 @@ def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFr
     met = prefixes(texts.select("sid", "text")).repartition("key").distinct()
     met = met.withColumns({"m": F.count("*").over(W.partitionBy("key")), "place": F.row_number().over(W.partitionBy("key").orderBy("sid"))}).where("m > 1").drop("m")
     roots = rows.select("sid", "fp").distinct().join(linked, "fp").select("sid", "root")
-    met = written(met.join(roots, "sid"), "near")
+    met = swept(written(met.join(roots, "sid"), "near"))
 
     def pairs(rows: DataFrame, first: str, further: str = "true", more: tuple[str, ...] = ()) -> DataFrame:
         a = rows.where(first).select("key", *[F.col(c).alias(f"{c}_a") for c in ("sid", "n", "at", "root", *more)])
@@ -246,7 +279,7 @@ def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFr
         return both.select(F.col("sid_a").alias("a"), F.col("sid").alias("b"), F.col("root_a").alias("ra"), F.col("root").alias("rb")).distinct()
 
     # all are compared with the first of each meeting place; then those that are not yet one with each other
-    near = written(verified(written(pairs(met, "place = 1"), "pairs"), texts), "similar")
+    near = swept(written(verified(swept(written(pairs(met, "place = 1"), "pairs")), texts), "similar"))
     found = written(components(near, written), "found")
     rest = met.where("place > 1").join(found.toDF("root", "top"), "root", "left").withColumn("root", F.coalesce("top", "root")).drop("top", "place")
     whole = W.partitionBy("key")
@@ -256,7 +289,8 @@ def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFr
     # two sets so similar have at most a ninth of their sizes' sum that isn't shared
     differ = " + ".join(f"bit_count(p{i}_a ^ p{i})" for i in range(MARK_WORDS))
     near_marks = f"({differ}) * {PART + WHOLE} <= {WHOLE - PART} * (n_a + n)"
-    left = verified(written(pairs(marked, "true", near_marks, tuple(f"p{i}" for i in range(MARK_WORDS))), "pairs"), texts)
+    left = verified(swept(written(pairs(marked, "true", near_marks, tuple(f"p{i}" for i in range(MARK_WORDS))), "pairs")), texts)
+    left = swept(written(left, "similar"))
     return components(near.unionByName(left).unionByName(found.toDF("a", "b")), written)
 
 

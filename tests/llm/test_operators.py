@@ -419,3 +419,18 @@ def test_fingerprints_of_edge_cases(spark):
 @pytest.mark.parametrize("run", [licences.scan_licences, sharding.shard_documents, neardup.near_duplicates, substrings.remove_repeats, media.store_media, fingerprints.fingerprint_documents, language.identify_language, lambda d: toxicity.score_toxicity(d, d.selectExpr("doc_id", "1 as toxic")), lambda d: packing.pack_documents(d, queries.tokenizer_path("word_bpe_49k.json")), lambda d: pieces.encode_pieces(d, queries.tokenizer_path("piece_bpe_32k.model"))])
 def test_empty_tables(spark, run):
     assert run(documents(spark, [])).count() == 0
+
+
+def test_parities_leave_similar_sets_and_tell_others():
+    rng = np.random.default_rng(5)
+    for n in (1, 5, 63, 64, 65, 300, 2_000, 20_000):
+        base, other = (np.unique(rng.integers(-(1 << 63), (1 << 63) - 1, n)) for _ in range(2))
+        for lost in (0, n // 18, n // 9, n // 5):  # sets of other sizes, and marks of other lengths
+            near = np.unique(np.concatenate([base[lost:], other[: n // 20]]))
+            if neardup.similar(base.tobytes(), near.tobytes()):
+                assert neardup.may_be_similar(neardup.parity(base), neardup.parity(near))
+        # long texts that share a few shingles: their whole sets needn't be sent
+        if n >= 2_000:
+            other = np.unique(np.concatenate([base[:20], other]))
+            assert not neardup.may_be_similar(neardup.parity(base), neardup.parity(other))
+            assert len(neardup.parity(base)) * 20 < base.nbytes
