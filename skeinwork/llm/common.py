@@ -46,9 +46,28 @@ def released(rows: Iterator) -> Iterator:
             pass
 
 
-def in_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
-    """df.mapInArrow, in small batches and with memory released at the end of each task."""
-    return small_batches(df).mapInArrow(lambda batches: released(run(batches)), schema)
+def in_arrow(df: DataFrame, run: Callable, schema, keeps: str | None = None) -> DataFrame:
+    """df.mapInArrow, in small batches and with memory released at the end of each task. keeps: the name of what run has kept();
+    all else that the worker's earlier tasks kept goes before it starts, so workers of a later stage don't hold it."""
+
+    def task(batches):
+        forget(keeps)
+        return released(run(batches))
+
+    return small_batches(df).mapInArrow(task, schema)
+
+
+def forget(but: str | None = None) -> None:
+    """Drop all that was kept() in this worker under other names."""
+    import gc
+    import sys
+
+    store = sys.modules["_worker_store"].__dict__ if "_worker_store" in sys.modules else {}
+    gone = [k for k in store if not k.startswith("__") and k != but]
+    for k in gone:
+        del store[k]
+    if gone:
+        gc.collect()  # caches may refer to themselves
 
 
 def kept(name: str, make: Callable):
@@ -86,10 +105,10 @@ def added(docs: DataFrame, name: str) -> str:
     return name
 
 
-def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list], list]], carry: bool = False) -> DataFrame:
+def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list], list]], carry: bool = False, keeps: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id and the columns of schema; or with carry all columns of docs and those of schema,
     these under their added() names. make() runs once in each task and returns the function from a list of UTF-8 texts
-    (bytes, None for null) to the list of columns."""
+    (bytes, None for null) to the list of columns; keeps is as for in_arrow."""
     spark = docs.sparkSession
     source = docs if carry else docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     made, stay = spark.createDataFrame([], schema).schema, [f for f in source.schema.fields if carry or f.name == "doc_id"]
@@ -104,7 +123,7 @@ def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list],
                 arrays = [part.column(i) for i in places] + [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, names=out.names)
 
-    return in_arrow(source, run, out)
+    return in_arrow(source, run, out, keeps)
 
 
 def fold(folds: int):

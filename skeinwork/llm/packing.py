@@ -177,4 +177,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                         yield rows(block.pack(False))
         yield rows(block.pack(True))
 
-    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long", name)

@@ -249,4 +249,4 @@ def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False) -> D
 
         return run
 
-    return map_texts(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids, make)
+    return map_texts(docs, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids, make, keeps=name)

@@ -6,11 +6,13 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 import __spark_entry__ as entry
 from skeinwork.llm import fingerprints, language, licences, media, neardup, packing, pieces, queries, sharding, substrings, toxicity
+from skeinwork.llm.common import in_arrow
 
 from ..oracle import SF, assert_same
 
@@ -434,3 +436,17 @@ def test_parities_leave_similar_sets_and_tell_others():
             other = np.unique(np.concatenate([base[:20], other]))
             assert not neardup.may_be_similar(neardup.parity(base), neardup.parity(other))
             assert len(neardup.parity(base)) * 20 < base.nbytes
+
+
+def test_workers_forget_what_other_operators_kept(spark, docs):
+    packing.pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json")).count()
+
+    def held(batches):
+        import sys
+
+        store = sys.modules.get("_worker_store")
+        names = [k for k in (vars(store) if store else ()) if not k.startswith("__")]
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"kept": names})
+
+    assert in_arrow(spark.range(0, 40, 1, 4), held, "kept string").count() == 0
