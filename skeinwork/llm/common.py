@@ -140,17 +140,22 @@ def words_of(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(WORD_BYTES).split()
 
 
-def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The words of all texts in a row (what lies between ASCII whitespace), their number in each text, and two 64-bit hashes
-    of each word. A null text has none."""
-    import xxhash
-
+def bare_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts in a row (what lies between ASCII whitespace), and their number in each text. A null text has none."""
     lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.string()), ""))
     counts, words = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten()
     filled = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
     if not filled.all():  # what lies before leading and behind trailing spaces
         counts = np.bincount(np.repeat(np.arange(len(counts)), counts)[filled], minlength=len(counts))
         words = words.filter(pa.array(filled))
+    return words, counts
+
+
+def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """bare_words, and two 64-bit hashes of each word."""
+    import xxhash
+
+    words, counts = bare_words(texts)
     coded = words.dictionary_encode()
     known = b"".join(map(xxhash.xxh3_128_digest, coded.dictionary.cast(pa.binary()).to_pylist()))
     return words, counts, np.frombuffer(known, ">u8").astype(np.uint64).reshape(-1, 2)[coded.indices.to_numpy()]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import in_arrow, slices, split_words
+from .common import bare_words, in_arrow, slices, split_words
 
 WINDOW, ROUNDS = 13, 5
 #: Rounds that name runs too, beside pairs: a symbol's hull then takes in both neighbours.
@@ -296,11 +296,33 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
             at, x, y = chunk.windows(first[look], until[look])
             yield settled(x, y, chunk.ids[chunk.doc[at]])
 
+    def rows(part, words, counts, left):
+        """Rows of the result: the words that are kept in a row, the number that each document had and has left."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        offsets = pa.array(np.concatenate([[0], np.cumsum(left)]), pa.int32())
+        kept = pc.binary_join(pa.ListArray.from_arrays(offsets, words), " ")
+        if carry:
+            return pa.RecordBatch.from_arrays([part.column(0), kept, *part.columns[2 : len(names)]], names=names)
+        digests = [hashlib.sha256(k).hexdigest() for k in kept.cast(pa.binary()).to_pylist()]
+        columns = [part.column(0), pa.array(counts), pa.array(counts - left), pa.array(digests, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+
     def finish(batches):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for chunk, part in chunks(batches):
+        for part in (part for batch in batches for part in slices(batch, 1, CHUNK)):
+            told = pc.greater(pc.fill_null(pc.list_value_length(part.column("told")), 0), 0)
+            # a document that was told nothing keeps its words: where its stretches lie isn't asked
+            quiet, part = part.filter(pc.invert(told)), part.filter(told)
+            if quiet.num_rows:
+                words, counts = bare_words(quiet.column(1))
+                yield rows(quiet, words, counts, counts)
+            if not part.num_rows:
+                continue
+            chunk = Chunk(part.column(0).to_pylist(), part.column(1))
             doc, told_x, told_y, _ = told_of(chunk, part)
             edge = np.zeros(len(chunk.doc) + 1, np.int64)
             if len(doc):
@@ -312,14 +334,7 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
                 np.add.at(edge, np.concatenate([until[hit], alone + 1]) + WINDOW - 1, -1)
             stay = np.cumsum(edge)[:-1] == 0
             counts = np.bincount(chunk.doc[stay], minlength=len(chunk.counts))
-            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            kept = pc.binary_join(pa.ListArray.from_arrays(offsets, chunk.words.filter(pa.array(stay))), " ")
-            if carry:
-                yield pa.RecordBatch.from_arrays([part.column(0), kept, *part.columns[2 : len(names)]], names=names)
-                continue
-            digests = [hashlib.sha256(k).hexdigest() for k in kept.cast(pa.binary()).to_pylist()]
-            columns = [part.column(0), pa.array(chunk.counts), pa.array(chunk.counts - counts), pa.array(digests, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield rows(part, chunk.words.filter(pa.array(stay)), chunk.counts, counts)
 
     # all three take all columns of slim: so the exchange of texts is the same and runs once; in order, so that chunks are
     # the same whenever a task runs

@@ -450,3 +450,12 @@ def test_workers_forget_what_other_operators_kept(spark, docs):
             yield pa.RecordBatch.from_pydict({"kept": names})
 
     assert in_arrow(spark.range(0, 40, 1, 4), held, "kept string").count() == 0
+
+
+def test_substrings_of_documents_with_and_without_repeats_in_one_chunk(spark):
+    passage = " ".join(f"p{i}" for i in range(20))
+    texts = [f"a b {passage} c", None, "  lone\twords \n here ", f"{passage}  d", "", " ".join(f"q{i}" for i in range(30)), f" x {passage}"]
+    got = {r.doc_id: r for r in substrings.remove_repeats(documents(spark, texts).coalesce(1), carry=True).collect()}
+    assert [got[i].text for i in range(7)] == [texts[0], "", "lone words here", "d", "", texts[5], "x"]
+    got = rows(substrings.remove_repeats(documents(spark, texts).coalesce(1)))
+    assert [(got[i].n_words, got[i].n_removed) for i in range(7)] == [(23, 0), (0, 0), (3, 0), (21, 20), (0, 0), (30, 0), (21, 20)]
