@@ -10,6 +10,8 @@ Which rows share a sequence depends on how the input is split; each row's ids do
 the end id. Repeated rows, ties and rows without a doc_id are packed like any others, in the order of rows. Columns besides doc_id and
 text may have any names; an empty table gives no rows."""
 
+import itertools
+import re
 import unicodedata
 import zlib
 
@@ -18,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, kept, slices
+from .common import BATCH_BYTES, bare_words, in_arrow, kept, slices
 
 LENGTH, END = 4096, 2
 #: Tokens that a block holds at least, unless the input ends.
@@ -27,6 +29,7 @@ LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
 #: Words of each generation whose ids a task keeps.
 KEPT = 600_000
 UNSPLIT, RUN, LETTERS = regex.compile(r"'|<[|]|İ"), regex.compile(r"\p{L}+|\P{L}+"), regex.compile(r"[\p{Ll}]+")
+ASCII_RUN = re.compile(r"[A-Za-z]+|[^A-Za-z]+")
 #: A task's sequences are numbered from its own number times this.
 PER_TASK = 1 << 40
 
@@ -97,14 +100,26 @@ class Words(dict):
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def look_up(self, texts: list[list[bytes]]) -> list[np.ndarray]:
-        """Ids of each text's words."""
-        found = [list(map(self.get, words)) for words in texts]
-        missing = {w for words, got in zip(texts, found, strict=True) for w, v in zip(words, got, strict=True) if v is None}
+    def look_up(self, texts) -> list[np.ndarray]:
+        """Ids of each text of an Arrow array: each distinct word is looked up once, and its ids go to all its places."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # the tokenizer lowers letters anyway; but names of special tokens must stay what they are
+        words, counts = bare_words(pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts)))
+        coded = words.dictionary_encode()
+        distinct, at = coded.dictionary.cast(pa.binary()).to_pylist(), coded.indices.to_numpy()
+        found = list(map(self.get, distinct))
+        missing = {w for w, v in zip(distinct, found, strict=True) if v is None}
         if missing:
             self.learn(missing)
-            found = [[self[w] if v is None else v for w, v in zip(words, got, strict=True)] for words, got in zip(texts, found, strict=True)]
-        out = [np.frombuffer(b"".join(got), np.uint32) for got in found]
+            found = [self[w] if v is None else v for w, v in zip(distinct, found, strict=True)]
+        known, sizes = np.frombuffer(b"".join(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        lengths = sizes[at]
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        ids = known[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], lengths) + np.arange(ends[-1])]
+        edges = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
+        out = [ids[a:b] for a, b in itertools.pairwise(edges)]
         if len(self) >= KEPT:
             self.old = dict(self)
             self.clear()
@@ -113,17 +128,24 @@ class Words(dict):
     def learn(self, missing: set[bytes]) -> None:
         parts = {}
         for w in missing:
-            if w in self.old:
-                self[w] = self.old[w]
+            if (ids := self.old.get(w)) is not None:
+                self[w] = ids
+            elif w.isalpha():  # ASCII letters alone
+                parts[w] = (w.decode(),)
+            elif w.isascii():  # normalized as it is
+                parts[w] = (w.decode(),) if b"'" in w or b"<|" in w else ASCII_RUN.findall(w.decode())
             else:
                 text = w.decode()
                 parts[w] = RUN.findall(text) if not UNSPLIT.search(text) and unicodedata.is_normalized("NFC", text) else [text]
         if len(self.runs) >= KEPT:
             self.runs.clear()
-        unknown = list({p for own in parts.values() for p in own if p not in self.runs})
-        self.encode([p for p in unknown if LETTERS.fullmatch(p)], [p for p in unknown if not LETTERS.fullmatch(p)])
+        letters, others = [], []
+        for p in set().union(*parts.values()).difference(self.runs):
+            (letters if LETTERS.fullmatch(p) else others).append(p)
+        self.encode(letters, others)
+        runs = self.runs
         for w, own in parts.items():
-            self[w] = b"".join([self.runs[p] for p in own])
+            self[w] = runs[own[0]] if len(own) == 1 else b"".join([runs[p] for p in own])
 
     def encode(self, letters: list[str], others: list[str]) -> None:
         """Letters in one text each 10,000: every run is one token row with an end; others one by one."""
@@ -168,10 +190,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
             return pa.RecordBatch.from_arrays(arrays, names=columns)
 
         for batch in batches:
-            for part in slices(batch, 1, 1 << 20):
-                # the tokenizer lowers letters anyway; but names of special tokens must stay what they are
-                texts = [(t if b"<|" in t else t.lower()).split() if t else [] for t in part.column(1).cast(pa.binary()).to_pylist()]
-                for doc_id, ids in zip(part.column(0).to_pylist(), cache.look_up(texts), strict=True):
+            for part in slices(batch, 1, BATCH_BYTES):
+                for doc_id, ids in zip(part.column(0).to_pylist(), cache.look_up(part.column(1).cast(pa.string())), strict=True):
                     block.add(doc_id, np.append(ids, np.uint32(END)))
                     if block.tokens >= BLOCK:
                         yield rows(block.pack(False))

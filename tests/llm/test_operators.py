@@ -459,3 +459,19 @@ def test_substrings_of_documents_with_and_without_repeats_in_one_chunk(spark):
     assert [got[i].text for i in range(7)] == [texts[0], "", "lone words here", "d", "", texts[5], "x"]
     got = rows(substrings.remove_repeats(documents(spark, texts).coalesce(1)))
     assert [(got[i].n_words, got[i].n_removed) for i in range(7)] == [(23, 0), (0, 0), (3, 0), (21, 20), (0, 0), (30, 0), (21, 20)]
+
+
+def test_packing_looks_at_words_of_ascii_letters_once(monkeypatch):
+    with open(queries.tokenizer_path("word_bpe_49k.json")) as file:
+        words = packing.Words(file.read())
+
+    class Looked:
+        def search(self, text):
+            assert not (text.isascii() and text.isalpha())
+            return original.search(text)
+
+    original = packing.UNSPLIT
+    monkeypatch.setattr(packing, "UNSPLIT", Looked())
+    texts = ["thoninea, ofanth it's 12ab", "ofanth <|endoftext|> \u00fcber na\u00efve I\u0307", "", "Ofanth <|x"]
+    for text, ids in zip(texts, words.look_up(pa.array(texts)), strict=True):
+        assert ids.tolist() == words.library.encode(text, add_special_tokens=False).ids
