@@ -106,12 +106,24 @@ class Kept(dict):
         return found
 
 
+class Followers(dict):
+    """Of a token: whether others may follow it, found as they are asked for."""
+
+    def __init__(self, token: int, compatible):
+        super().__init__()
+        self.token, self.compatible = token, compatible
+
+    def __missing__(self, token: int) -> bool:
+        fits = self[token] = self.compatible(self.token, token)
+        return fits
+
+
 class Encoder:
     def __init__(self, vocabulary: Vocabulary):
         import ahocorasick
 
         self.v = vocabulary
-        self.pairs: list[dict[int, bool]] = [{} for _ in vocabulary.surface]
+        self.pairs = [Followers(i, self.compatible) for i in range(len(vocabulary.surface))]
         self.automaton = ahocorasick.Automaton()
         for piece, i in vocabulary.ids.items():
             if vocabulary.usable[i]:
@@ -153,28 +165,23 @@ class Encoder:
             for part in v.merge(segment)[0]:
                 out += [v.ids[part]] if part in v.ids else [v.byte[b] for b in part.encode()]
             return out
-        last, size = [-1] * (len(segment) + 1), [0] * (len(segment) + 1)
+        n = len(segment)
+        last, size = [-1] * (n + 1), [0] * n  # by a prefix's last place; the empty prefix is the last, at -1
         pairs = self.pairs
         for end, (length, token) in self.automaton.iter(segment):
-            end += 1
-            if size[end]:
+            if last[end] >= 0:
                 continue
             before = last[end - length]
-            if before >= 0:
-                fits = pairs[before].get(token)
-                if fits is None:
-                    fits = pairs[before][token] = self.compatible(before, token)
-                if not fits:
-                    continue
-            last[end], size[end] = token, length
+            if before < 0 or pairs[before][token]:
+                last[end], size[end] = token, length
         out: list[int] = []
-        n = len(segment)
-        while n:
+        n -= 1
+        while n >= 0:
             if size[n]:
                 out.append(last[n])
                 n -= size[n]
             else:  # a character without a piece
-                out += [v.byte[b] for b in reversed(segment[n - 1].encode())]
+                out += [v.byte[b] for b in reversed(segment[n].encode())]
                 n -= 1
         return out[::-1]
 
@@ -188,13 +195,23 @@ class Encoder:
         parts = [self.segments[x] for x in self.segment.findall(MARK + word)]
         return parts[0] if len(parts) == 1 else (",".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts]))
 
-    def encode(self, text: str) -> list[tuple[str, int, bytes]]:
-        """The entries that make up a text, in a row."""
-        if not text:
-            return []
-        if "  " in text or MARK in text or text[0] == " ":  # several marks in a row
-            return list(map(self.segments.__getitem__, self.segment.findall(MARK + text.replace(" ", MARK))))
-        return list(map(self.words.__getitem__, text.split(" ")))
+    def encode(self, texts: list[str]) -> tuple[list[str], list[bytes]]:
+        """Of each text its ids in decimal, joined by commas, and the bytes that they decode to. Each distinct word of these texts
+        is looked up once, and its entry goes to all its places."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        several = ["  " in t or MARK in t or t[:1] == " " for t in texts]  # marks in a row
+        lists = pc.split_pattern(pa.array(["" if s else t for s, t in zip(several, texts, strict=True)], pa.string()), " ")
+        coded = lists.flatten().dictionary_encode()
+        entries = list(map(self.words.__getitem__, coded.dictionary.to_pylist()))
+        place = lambda k, kind: pa.ListArray.from_arrays(lists.offsets, pa.array([e[k] for e in entries], kind).take(coded.indices))
+        lines, raws = pc.binary_join(place(0, pa.string()), ",").to_pylist(), pc.binary_join(place(2, pa.binary()), b"").to_pylist()
+        for i, (s, t) in enumerate(zip(several, texts, strict=True)):
+            if s or not t:
+                parts = list(map(self.segments.__getitem__, self.segment.findall(MARK + t.replace(" ", MARK)))) if t else []
+                lines[i], raws[i] = ",".join([p[0] for p in parts]), b"".join([p[2] for p in parts])
+        return lines, raws
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes: the first mark is dropped, bytes that are no text become one U+FFFD each."""
@@ -237,12 +254,10 @@ def encode_pieces(docs: DataFrame, model_path: str, with_ids: bool = False) -> D
 
         def run(texts):
             counts, ids, plain, raw = [], [], [], []
-            for t in texts:
-                parts = encoder.encode((t or b"").decode())
-                line = ",".join([p[0] for p in parts])
-                counts.append(sum([p[1] for p in parts]))
+            for line, held in zip(*encoder.encode([(t or b"").decode() for t in texts]), strict=True):
+                counts.append(line.count(",") + 1 if line else 0)
                 ids.append(hashlib.sha256(line.encode()).hexdigest())
-                plain.append(hashlib.sha256(decoded(b"".join([p[2] for p in parts])).encode()).hexdigest())
+                plain.append(hashlib.sha256(decoded(held).encode()).hexdigest())
                 if with_ids:
                     raw.append(np.array(line.split(",") if line else [], dtype="<u4").tobytes())
             return [counts, ids, plain] + [raw] * with_ids

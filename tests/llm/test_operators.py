@@ -475,3 +475,17 @@ def test_packing_looks_at_words_of_ascii_letters_once(monkeypatch):
     texts = ["thoninea, ofanth it's 12ab", "ofanth <|endoftext|> \u00fcber na\u00efve I\u0307", "", "Ofanth <|x"]
     for text, ids in zip(texts, words.look_up(pa.array(texts)), strict=True):
         assert ids.tolist() == words.library.encode(text, add_special_tokens=False).ids
+
+
+def test_pieces_of_words_that_several_texts_share():
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    library, encoder = sentencepiece.SentencePieceProcessor(model_file=path), pieces.Encoder(pieces.Vocabulary(path))
+    made, make = [], encoder.words.make
+    encoder.words.make = lambda w: made.append(w) or make(w)
+    texts = ["one two, one", "", "two, one ", " one", "a  b", "\u2581one", "\u00e9t\u00e9\nx \U0001f600", " ", "w" * 100 + " one", "w" * 100]
+    for text, line, raw in zip(texts, *encoder.encode(texts), strict=True):
+        ids = library.encode(text)
+        assert line == ",".join(map(str, ids)) and pieces.decoded(raw) == library.decode(ids)
+    assert len(made) == len(set(made))  # also of words too long to be kept
