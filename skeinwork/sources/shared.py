@@ -15,12 +15,12 @@ def shared_dir(spark: SparkSession) -> str:
     return at or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df as a table in the shared folder and read it again: its lineage ends there. The table is deleted as the driver
-    ends: Hadoop's file systems do so for paths that they are told when they are closed."""
+def written(df: DataFrame, name: str, **options) -> DataFrame:
+    """Write df as a table in the shared folder and read it again: its lineage ends there. options: of the writer. The table is deleted
+    as the driver ends: Hadoop's file systems do so for paths that they are told when they are closed."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
