@@ -4,7 +4,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language, licences, media, neardup, packing, pieces, sharding, substrings, toxicity
+from . import extraction, fingerprints, language, licences, media, neardup, packing, pieces, runs, search, sharding, substrings, toxicity
 from .common import documents
 
 
@@ -54,7 +54,19 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify_language(documents(spark, sf_dir))
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(runs.find_runs(runs.with_planted_tails(documents(spark, sf_dir))))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_licences, op2_sharding, op3_neardup, op4_substrings, op5_pieces, op6_packing, op7_media, op8_toxicity, op9_fingerprints, op10_language)
+    f.__name__: f for f in (op1_licences, op2_sharding, op3_neardup, op4_substrings, op5_pieces, op6_packing, op7_media, op8_toxicity, op9_fingerprints, op10_language, op11_search, op12_extraction, op13_runs)
 }
-ORACLE_SQL: dict[str, str] = {"op2_sharding": sharding.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL, "op9_fingerprints": fingerprints.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op2_sharding": sharding.ORACLE_SQL, "op4_substrings": substrings.ORACLE_SQL, "op9_fingerprints": fingerprints.ORACLE_SQL, "op11_search": search.ORACLE_SQL, "op13_runs": runs.ORACLE_SQL}
