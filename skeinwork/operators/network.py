@@ -167,16 +167,18 @@ Keep = Callable[[DataFrame, str], DataFrame]
 
 def bfs(edges: DataFrame, source: Column | str, keep: Keep, most: int = 1000) -> DataFrame:
     """node, hops from the source, over undirected edges. Each step writes its new nodes only; what is a step away from them was
-    seen in it, in the one before, or never."""
+    seen in it, in the one before, or never. Nodes more than most steps away raise an error."""
     links = both_ways(edges).select("node", "other")
     front = keep(links.where(F.col("node") == source).select("node").distinct().select("node", F.lit(0).alias("hops")), "bfs")
     seen, last = front, front
-    for step in range(1, most):
+    for step in range(1, most + 2):
         near = front.join(links, "node").select(F.col("other").alias("node")).distinct()
         new = near.join(front, "node", "left_anti").join(last, "node", "left_anti")
         last, front = front, keep(new.select("node", F.lit(step).alias("hops")), "bfs")
         if front.isEmpty():
             break
+        if step > most:
+            raise RuntimeError(f"nodes more than {most} steps from the source")
         seen = seen.unionByName(front)
     return seen
 
@@ -202,7 +204,7 @@ def pagerank(edges: DataFrame, iterations: int = 20, damping: float = 0.85, keep
 
 def k_core(edges: DataFrame, keep: Keep, most: int = 10_000) -> DataFrame:
     """node, core. Every node's number starts as its degree and becomes the largest h such that h neighbours have h or more,
-    until nothing changes: few rounds, where peeling would take one for each layer."""
+    until nothing changes: few rounds, where peeling would take one for each layer. More than most rounds raise an error."""
     links = keep(both_ways(edges.where("a <> b")).select("node", "other").distinct(), "links")
     cores = keep(links.groupBy("node").agg(F.count("*").cast("long").alias("core")), "core")
     place = F.row_number().over(W.partitionBy("node").orderBy(F.desc("core")))
@@ -212,5 +214,5 @@ def k_core(edges: DataFrame, keep: Keep, most: int = 10_000) -> DataFrame:
         found = keep(cores.join(new, "node").select("node", F.col("new").alias("core"), (F.col("new") < F.col("core")).alias("moved")), "core")
         cores = found.select("node", "core")
         if found.where("moved").isEmpty():
-            break
-    return cores
+            return cores
+    raise RuntimeError(f"core numbers not settled after {most} rounds")

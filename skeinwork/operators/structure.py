@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.ranks import average_rank
 from . import components, handoff, network, replicates
+from .strong import strong_components
 
 Keep = Callable[[DataFrame, str], DataFrame]
 #: Networks with more nodes have no triad census: its triples grow with the cube.
@@ -18,43 +19,6 @@ def nodes_of(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
-def strong_components(edges: DataFrame, keep: Keep, most: int = 1000) -> DataFrame:
-    """node, root (the smallest node of its strong component) for all nodes. In each round every node takes the smallest node
-    that reaches it as colour; what reaches a colour's own node within the colour is one component, and goes."""
-    left, found = keep(edges.select("src", "dst").where("src <> dst").distinct(), "strong"), []
-    for _ in range(most):
-        if left.isEmpty():
-            break
-        colour = keep(nodes_of(left).withColumn("c", F.col("node")), "strong")
-        while True:
-            around = left.join(colour.withColumnRenamed("node", "src"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("c").alias("m"))
-            colour = keep(colour.join(around, "node", "left").select("node", F.least("c", F.coalesce("m", "c")).alias("c"), (F.coalesce("m", "c") < F.col("c")).alias("moved")), "strong")
-            if not colour.where("moved").limit(1).count():
-                break
-            colour = colour.drop("moved")
-        colour = colour.select("node", "c")
-        inner = left.join(colour.toDF("src", "c"), "src").join(colour.toDF("dst", "d"), "dst").where("c = d").select("src", "dst")
-        inner, reached = keep(inner, "strong"), keep(colour.where("node = c"), "strong")
-        fresh = reached
-        for _ in range(most):
-            new = inner.join(fresh.toDF("dst", "c"), "dst").select(F.col("src").alias("node"), "c").distinct().join(reached, "node", "left_anti")
-            fresh = keep(new, "strong")
-            if fresh.isEmpty():
-                break
-            reached = reached.unionByName(fresh)
-        reached = keep(reached, "strong")
-        found.append(reached)
-        rest = left.join(reached.select(F.col("node").alias("src")), "src", "left_anti").join(reached.select(F.col("node").alias("dst")), "dst", "left_anti")
-        left = keep(rest, "strong")
-    every = nodes_of(edges)
-    if not found:
-        return every.select("node", F.col("node").alias("root"))
-    roots = found[0]
-    for more in found[1:]:
-        roots = roots.unionByName(more)
-    return every.join(roots, "node", "left").select("node", F.coalesce("c", "node").alias("root"))
-
-
 def component_profile(edges: DataFrame, keep: Keep) -> DataFrame:
     """One row: nodes, and number, largest and its share of weak and of strong components."""
     weak = components.components(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), keep)
