@@ -105,6 +105,11 @@ def added(docs: DataFrame, name: str) -> str:
     return name
 
 
+def row_hash(docs: DataFrame):
+    """A hash of all columns; those with maps in them, which have no hash, by their JSON."""
+    return F.xxhash64(*[F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in docs.dtypes])
+
+
 def map_texts(docs: DataFrame, schema: str, make: Callable[[], Callable[[list], list]], carry: bool = False, keeps: str | None = None) -> DataFrame:
     """One row for each row of docs: doc_id and the columns of schema; or with carry all columns of docs and those of schema,
     these under their added() names. make() runs once in each task and returns the function from a list of UTF-8 texts

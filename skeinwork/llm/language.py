@@ -22,7 +22,7 @@ SAMPLE_TEXTS, SAMPLE_CHARS = 1200, 20_000
 #: Texts of all languages together, and languages, at most: with more languages each has fewer texts (SHORTEST at least), and
 #: beyond that many a column is no language column.
 ALL_TEXTS, MOST_LANGUAGES = 10_000, 2000
-#: Of a language without a text in that sample, so many of its shortest texts are taken whole.
+#: Of a language without a text in that sample, the beginnings of so many of its shortest texts are taken.
 SHORTEST = 20
 #: Lengths of n-grams; bits of a slot's number; slots of an n-gram.
 ORDERS, SLOT_BITS, PROBES = (3, 5), 20, 2
@@ -125,7 +125,8 @@ def decide(codes: np.ndarray, languages: list[str], sieves: list[np.ndarray], fa
 
 
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
-    """Up to about SAMPLE_TEXTS texts of each language, by a hash of doc_id, from the rows to learn from."""
+    """Up to about SAMPLE_TEXTS texts of each language, by a hash of doc_id and text, from the rows to learn from. Equal texts of
+    one doc_id (or none) count once; beyond twice ALL_TEXTS and SHORTEST a language, those of the highest hashes are left out."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(FOLDS) != HELD_OUT))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
@@ -133,15 +134,18 @@ def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     if len(counts) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
     each = max(SHORTEST, min(SAMPLE_TEXTS, ALL_TEXTS // len(counts)))
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    key = F.xxhash64(F.coalesce("doc_id", F.lit(-1)), "text")
     most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 20) * min(1.0, each / n)))])
-    taken = rows.where((part < most[F.col("lang")]) & (F.length("text") <= SAMPLE_CHARS)).select("lang", "text")
+    short = rows.where(F.length("text") <= SAMPLE_CHARS).withColumn("key", key)
+    taken = short.where(F.pmod("key", F.lit(1 << 20)) < most[F.col("lang")]).dropDuplicates(["lang", "key"])
+    taken = taken.orderBy("key", "lang").limit(2 * ALL_TEXTS + SHORTEST * len(counts)).select("lang", "text")
     out: dict[str, list[str]] = {k: [] for k in counts}
     for lang, text in sorted(zip(*[c.to_pylist() for c in taken.toArrow().columns], strict=True)):
         out[lang].append(text)
     if none := [k for k, v in out.items() if not v]:
-        place = F.row_number().over(W.partitionBy("lang").orderBy(F.length("text"), "text"))
-        for r in rows.where(F.col("lang").isin(none)).withColumn("place", place).where(F.col("place") <= SHORTEST).collect():
+        place = F.row_number().over(W.partitionBy("lang").orderBy("n", "key"))
+        keys = rows.where(F.col("lang").isin(none)).select("lang", F.length("text").alias("n"), key.alias("key"), F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+        for r in keys.withColumn("place", place).where(F.col("place") <= SHORTEST).collect():
             out[r.lang].append(r.text)
     return {k: sorted(v) for k, v in out.items() if v}
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators.components import components
-from .common import added, in_arrow, map_texts, slices, split_words, swept, written
+from .common import added, in_arrow, map_texts, row_hash, slices, split_words, swept, written
 from .substrings import Names
 
 SHINGLE, BITS, RADIUS, BLOCKS = 4, 64, 4, 3
@@ -265,7 +265,7 @@ def marks(texts: DataFrame) -> DataFrame:
 def similar_roots(docs: DataFrame, rows: DataFrame, linked: DataFrame) -> DataFrame:
     """id, root: which roots of linked (fp, root) are one component by similar texts."""
     text = F.col("text").cast("string")
-    texts = docs.select(F.xxhash64(text).alias("sid"), text.alias("text"), F.xxhash64(*docs.columns).alias("row"))
+    texts = docs.select(F.xxhash64(text).alias("sid"), text.alias("text"), row_hash(docs).alias("row"))
     met = prefixes(texts.select("sid", "text")).repartition("key").distinct()
     met = met.withColumns({"m": F.count("*").over(W.partitionBy("key")), "place": F.row_number().over(W.partitionBy("key").orderBy("sid"))}).where("m > 1").drop("m")
     roots = rows.select("sid", "fp").distinct().join(linked, "fp").select("sid", "root")
@@ -330,5 +330,5 @@ def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     found = mine.join(best, (mine[sid] == best[best_sid]) & mine["doc_id"].cast("long").eqNullSafe(best[best_id]), "left_semi")
     if rows.groupBy("doc_id", "sid").count().where("count > 1").isEmpty():  # else equal texts of one doc_id are told apart
         return found.select(*docs.columns)
-    first = F.row_number().over(W.partitionBy("doc_id", sid).orderBy(F.xxhash64(*docs.columns)))
+    first = F.row_number().over(W.partitionBy("doc_id", sid).orderBy(row_hash(docs)))
     return found.withColumn(place, first).where(F.col(place) == 1).select(*docs.columns)

@@ -20,8 +20,8 @@ from .common import added, fold, map_texts, words_of
 FOLDS, HELD_OUT = 5, 0
 #: Rows of each class to learn from: the bound of the sample.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 4000, 8000
-#: Bytes of a text to learn from at most: with the rows above, the bound of what the driver holds.
-SAMPLE_BYTES = 40_000
+#: Bytes of a text to learn from at most, and of all texts of a class: with the rows above, the bound of what the driver holds.
+SAMPLE_BYTES, CLASS_BYTES = 40_000, 48 << 20
 #: Terms kept at most (those that tell the classes apart best), and the least chi-square of one.
 MOST_TERMS, LEAST_CHI = 8192, 12.0
 #: Length of a term's vector, passes over the sample, size of a step, decay of weights.
@@ -106,17 +106,24 @@ def fit(bags: list[np.ndarray], labels: np.ndarray) -> Machine:
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
-    """Term hashes and labels of up to about SAMPLE_TOXIC and SAMPLE_CLEAN texts of at most SAMPLE_BYTES, by a hash of doc_id.
+    """Term hashes and labels of up to about SAMPLE_TOXIC and SAMPLE_CLEAN texts of at most SAMPLE_BYTES, by a hash of doc_id; where
+    these ids have more rows or bytes than a class may have, by a hash of doc_id and text. Equal texts of one doc_id count once.
     A doc_id with several labels counts as toxic if one says so."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & (fold(FOLDS) != HELD_OUT))
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    n, bound = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}, {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
     part = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    most = lambda k, bound: F.lit(int((1 << 20) * min(1.0, bound / max(1, n.get(k, 0)))))
-    chosen = known.where(part < F.when(F.col("toxic") == 1, most(1, SAMPLE_TOXIC)).otherwise(most(0, SAMPLE_CLEAN)))
+    by_class = lambda x: F.when(F.col("toxic") == 1, F.lit(x[1])).otherwise(F.lit(x[0]))
+    chosen = known.where(part < by_class({k: int((1 << 20) * min(1.0, b / max(1, n.get(k, 0)))) for k, b in bound.items()}))
     # bounded by the two sample sizes, so it may be broadcast
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
-    labelled = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= SAMPLE_BYTES).select(F.col("toxic").alias("doc_id"), "text")
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
+    labelled = texts.where(size <= SAMPLE_BYTES).withColumn("key", F.xxhash64("doc_id", "text"))
+    there = {r.toxic: r for r in labelled.select("toxic", "key", size.alias("size")).distinct().groupBy("toxic").agg(F.count("*").alias("n"), F.sum("size").alias("size")).collect()}
+    # chance alone gives a class a few rows more than its bound
+    share = {k: min(1.0, b / r.n if r.n > 1.2 * b else 1.0, CLASS_BYTES / max(1, r["size"])) for k, b in bound.items() if (r := there.get(k))}
+    labelled = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < by_class({k: int((1 << 20) * share.get(k, 1.0)) for k in bound})).dropDuplicates(["key", "toxic"])
+    labelled = labelled.orderBy("key").limit(2 * sum(bound.values())).select(F.col("toxic").alias("doc_id"), "text")
     found = map_texts(labelled, "terms binary", lambda: lambda ts: [[terms(t).tobytes() for t in ts]]).toArrow()
     rows = sorted(zip(found.column("terms").to_pylist(), found.column("doc_id").to_pylist(), strict=True))
     return [np.frombuffer(t, np.uint64) for t, _ in rows], np.array([float(y) for _, y in rows])

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from skeinwork.llm import fingerprints, language, licences, media, neardup, packing, pieces, queries, sharding, substrings, toxicity
@@ -489,3 +490,80 @@ def test_pieces_of_words_that_several_texts_share():
         ids = library.encode(text)
         assert line == ",".join(map(str, ids)) and pieces.decoded(raw) == library.decode(ids)
     assert len(made) == len(set(made))  # also of words too long to be kept
+
+
+def test_samples_stay_bounded_without_ids(spark):
+    ids = spark.range(30_000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id").cast("string")).alias("text"), F.lit("en").alias("lang"))
+    assert len(language.training_sample(ids)["en"]) < 1.2 * language.SAMPLE_TEXTS
+    assert len(language.training_sample(ids.withColumn("text", F.lit("the same text")))["en"]) <= language.SHORTEST
+    long = spark.range(60).select("id", F.repeat(F.lit("word "), 9000).alias("text"), F.lit("xx").alias("lang")).withColumnRenamed("id", "doc_id")
+    assert [len(t) for t in language.training_sample(long)["xx"]] == [language.SAMPLE_CHARS] * language.SHORTEST
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    many = ids.drop("doc_id").withColumn("doc_id", F.lit(1).cast("long")).unionByName(spark.createDataFrame([("fine words", "en", 2)], "text string, lang string, doc_id long"))
+    bags, toxic = toxicity.training_sample(many, labels)
+    assert len(bags) < 1.2 * toxicity.SAMPLE_TOXIC and toxic.sum() == len(bags) - 1
+    assert len(toxicity.training_sample(many.withColumn("text", F.col("lang")), labels)[0]) == 2
+
+
+def test_margin_is_a_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    machine = toxicity.Machine(np.sort(rng.integers(1, 1 << 60, 40).astype(np.uint64)), -0.7)
+    machine.weights, machine.vectors = rng.normal(size=40), rng.normal(size=(40, toxicity.RANK))
+    for n in (0, 1, 2, 9):
+        at = np.sort(rng.choice(40, n, replace=False))
+        pairs = sum(float(machine.vectors[i] @ machine.vectors[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        assert machine.margin(at) == pytest.approx(machine.bias + machine.weights[at].sum() + pairs)
+    assert machine.active(np.array([0, int(machine.keys[3]), 1 << 61], np.uint64)).tolist() == [3]
+
+
+def test_fit_learns_a_pair_that_no_weight_tells():
+    """Of two terms each alone is clean and both together toxic: the pair's weight tells."""
+    import xxhash
+
+    bag = lambda *words: np.unique(np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64))
+    rng = random.Random(1)
+    rows = [(bag(*w, *(str(rng.randrange(30)) for _ in range(4))), float(len(w) == 2)) for w in [("a",), ("b",), ("a", "b"), ()] * 150]
+    machine = toxicity.fit([b for b, _ in rows], np.array([y for _, y in rows]))
+    said = [float(machine.margin(machine.active(b)) > 0) for b, _ in rows]
+    assert said == [y for _, y in rows]
+
+
+def test_language_decision_equals_plain_sets():
+    """Filters give what sets of n-grams give, but for false positives, whose rate is taken off."""
+    rng, table = random.Random(5), language.letter_table()
+    syllables = {x: ["".join(rng.choices("abcdefghij", k=3)) for _ in range(12)] for x in "pqrs"}
+    texts = {x: [" ".join("".join(rng.choices(s, k=2)) for _ in range(30)) for _ in range(30)] for x, s in syllables.items()}
+    model, grams = language.learn(texts), lambda t: language.ngrams(language.letters(t, table))
+    counts = {x: dict(zip(*np.unique(np.concatenate([grams(t) for t in v]), return_counts=True), strict=True)) for x, v in texts.items()}
+    rate = {x: {g: n / sum(c.values()) for g, n in c.items()} for x, c in counts.items()}
+    own = {x: {g for g, n in c.items() if n >= language.LEAST_SEEN and rate[x][g] >= language.LEAST_RATE * max(r.get(g, 0) for r in rate.values())} for x, c in counts.items()}
+    for x, s in syllables.items():
+        for _ in range(20):
+            t = " ".join("".join(rng.choices(s if rng.random() < 0.7 else syllables["p"], k=2)) for _ in range(12))
+            hits = {y: sum(g in own[y] for g in grams(t).tolist()) for y in own}
+            said, score = language.decide(language.letters(t, table), *model)
+            best = max(hits.values())
+            assert hits[said] >= best - 2 and abs(score - hits[said] / sum(hits.values())) < 0.05
+    tied = language.learn({"b": ["same words here now"] * 5, "a": ["same words here now"] * 5})
+    assert language.decide(language.letters("same words", table), *tied)[0] == "a"
+
+
+def test_rows_with_maps_are_told_apart(spark):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, {"a": 1}, [1]), (1, text, {"a": 2}, [2]), (2, text, None, None), (3, "other", {}, [])]
+    kept = neardup.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string, more map<string,int>, list array<int>")).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3] and len(kept) == 2
+
+
+def test_word_cache_stays_in_its_bounds(monkeypatch):
+    from pathlib import Path
+
+    monkeypatch.setattr(packing, "KEPT_BYTES", 30_000)
+    cache = packing.Words(Path(queries.tokenizer_path("word_bpe_49k.json")).read_text())
+    fresh = lambda: packing.Words(Path(queries.tokenizer_path("word_bpe_49k.json")).read_text())
+    rng = random.Random(9)
+    for _ in range(30):
+        text = " ".join("".join(rng.choices("abcdeé1'", k=rng.randint(1, 9))) for _ in range(60))
+        assert (cache.look_up(pa.array([text]))[0] == fresh().look_up(pa.array([text]))[0]).all()
+        size = lambda d: sum(packing.ENTRY + len(k) + len(v) for k, v in d.items())
+        assert cache.held == size(cache) and size(cache.old) < 60_000 and size(cache.runs) < 60_000
