@@ -57,26 +57,34 @@ def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 
 def wilcoxon(df: DataFrame, difference: str) -> DataFrame:
-    """n (of differences that aren't zero), w_plus, w_minus. Ranks come from counts of the distinct sizes."""
-    d = df.select(F.col(difference).alias("d")).where("d is not null and d <> 0")
+    """n (of differences that aren't zero), w_plus, w_minus, ties (sum of t**3 - t over sizes) and zeros. Ranks come from counts of the
+    distinct sizes."""
+    d = df.select(F.col(difference).alias("d")).where("d is not null")
     counts = d.groupBy(F.abs("d").alias("size")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("up"))
-    ranked = prefix_sums(counts, "size", "t").withColumn("r", F.col("below_t") + (F.col("t") + 1) / 2)
-    return ranked.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("r")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum((F.col("t") - F.col("up")) * F.col("r")), F.lit(0.0)).alias("w_minus"))
+    zeros = counts.where("size = 0").agg(F.coalesce(F.sum("t"), F.lit(0)).alias("zeros"))
+    ranked = prefix_sums(counts.where("size > 0"), "size", "t").withColumn("r", F.col("below_t") + (F.col("t") + 1) / 2)
+    t = F.col("t").cast("double")
+    sums = ranked.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("up") * F.col("r")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum((F.col("t") - F.col("up")) * F.col("r")), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum(t * t * t - t), F.lit(0.0)).alias("ties"))
+    return sums.crossJoin(zeros)  # one row each
 
 
 def p_values(found: DataFrame, kind: str) -> DataFrame:
-    """found, a table of few rows, with p_value: of mann_whitney (one-sided, greater, from z), wilcoxon (one-sided, greater,
-    exact up to 25 differences, else by the normal approximation) or spearman (two-sided, from n and rho)."""
+    """found, a table of few rows, with p_value: of mann_whitney (one-sided, greater, from z), wilcoxon (two-sided, exact up to 50
+    differences without ties or zeros, else by the normal approximation, corrected for ties; null without differences) or
+    spearman (two-sided, from n and rho)."""
     import pandas as pd
 
     def one(row) -> float | None:
         if kind == "mann_whitney":
             return None if row.z is None or math.isnan(row.z) else normal_tail(row.z)
         if kind == "wilcoxon":
-            n = int(row.n)
-            if n <= 25:
-                return wilcoxon_exact_tail(n, row.w_plus)
-            return normal_tail((row.w_plus - n * (n + 1) / 4 - 0.5) / math.sqrt(n * (n + 1) * (2 * n + 1) / 24))
+            n, low = int(row.n), min(row.w_plus, row.w_minus)
+            if not n:
+                return None
+            if n <= 50 and not row.ties and not row.zeros:
+                return min(1.0, 2 * wilcoxon_exact_tail(n, n * (n + 1) // 2 - low))
+            spread = n * (n + 1) * (2 * n + 1) / 24 - row.ties / 48
+            return min(1.0, 2 * normal_tail((n * (n + 1) / 4 - low) / math.sqrt(spread)))
         if row.rho is None or math.isnan(row.rho) or row.n < 3:
             return None
         return 0.0 if abs(row.rho) >= 1 else t_tail(row.rho * math.sqrt((row.n - 2) / (1 - row.rho**2)), int(row.n) - 2)

@@ -1,6 +1,6 @@
 """Activity in time: dense series, hours of the day, sessions, burstiness, dispersion."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -33,6 +33,42 @@ def conserved(events: DataFrame, dense: DataFrame) -> DataFrame:
     return both.select("*", *checks).select(*names, *[f"raw_{n}" for n in names])
 
 
+class Conservation:
+    """Counts saves, deletes and probes of a log and of the series made from it while an action runs over the series, so that neither is
+    read a second time: series = check.made(check.raw(events)); then, after the action, check.hold() raises where they differ."""
+
+    NAMES = {"saves": "save", "deletes": "delete", "probes": "probe"}
+
+    def __init__(self):
+        self._raw, self._made = Observation(), Observation()
+
+    def raw(self, events: DataFrame) -> DataFrame:
+        return events.observe(self._raw, *[F.count_if(F.col("kind") == k).alias(n) for n, k in self.NAMES.items()])
+
+    def made(self, dense: DataFrame) -> DataFrame:
+        return dense.observe(self._made, *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in self.NAMES])
+
+    def hold(self) -> dict[str, int]:
+        """The counts, when the action is over."""
+        raw, made = self._raw.get, self._made.get
+        if off := [n for n in self.NAMES if raw[n] != made[n]]:
+            raise ValueError(", ".join(f"{made[n]} of {raw[n]} {n}" for n in off) + " conserved")
+        return raw
+
+
+def conserved_series(events: DataFrame, unit: str, write) -> dict[str, int]:
+    """The series of a log through write(df), which is the only action, and its conserved totals."""
+    check = Conservation()
+    save = F.col("kind") == "save"
+    counted = check.raw(events).groupBy(F.date_trunc(unit, "ts").alias("bucket")).agg(F.count_if(save).alias("saves"), F.count_if(F.col("kind") == "delete").alias("deletes"), F.count_if(F.col("kind") == "probe").alias("probes"))
+    # empty buckets come from the buckets that are there, not from another look at the log
+    after = F.lead("bucket").over(W.orderBy("bucket"))
+    steps = counted.withColumn("until", F.coalesce(after - F.expr(f"interval 1 {unit}"), "bucket")).withColumn("at", F.explode(F.sequence("bucket", "until", F.expr(f"interval 1 {unit}"))))
+    own = F.col("at") == F.col("bucket")
+    write(check.made(steps.select(F.unix_micros("at").alias("bucket_us"), *[F.when(own, F.col(n)).otherwise(0).cast("long").alias(n) for n in check.NAMES])))
+    return check.hold()
+
+
 def hour_share(events: DataFrame) -> DataFrame:
     """hour 0 to 23, n, share."""
     hours = events.sparkSession.range(24).select(F.col("id").cast("int").alias("hour"))

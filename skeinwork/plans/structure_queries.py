@@ -113,9 +113,9 @@ query("obfuscated_hosts", f"""WITH p AS (SELECT page_id AS id, page_id % 17 AS a
 ), o AS (SELECT * FROM p WHERE obfuscated AND raw LIKE '%\\%%' ESCAPE '\\') SELECT host, count(*) AS mentions, count(DISTINCT id) AS texts, count(DISTINCT actor) AS actors, count(DISTINCT raw) AS forms, min(us) AS first_us, max(us) AS last_us, count(DISTINCT us // 86400000000) AS days FROM o GROUP BY host""",
       lambda s, d: references.obfuscated_hosts(references.host_mentions(escaped(s, d), T.TEST_RULES)).drop("examples"))
 
-# page references: bodies made of a page's URL, its links in brackets, and a bare word
+# page references: bodies made of a page's URL (of every third page with an escaped host), its links in brackets, and a bare word
 BODY = "url || ' ' || array_to_string(list_transform(regexp_extract_all(html, 'href=\"/([^\"]*)\"', 1), lambda h: '[[' || h || '|see]]'), ' ') || ' Nation' || (page_id % 30) || 'Word NationWord'"
-bodies = lambda s, d: table(s, d, "pages").select(F.col("page_id").alias("id"), F.lit("w").alias("wiki"), F.concat("url", F.lit(" "), F.array_join(F.transform(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)), lambda h: F.concat(F.lit("[["), h, F.lit("|see]]"))), " "), F.lit(" Nation"), (F.col("page_id") % 30).cast("string"), F.lit("Word NationWord")).alias("body"))
+bodies = lambda s, d: table(s, d, "pages").select(F.col("page_id").alias("id"), F.lit("w").alias("wiki"), F.concat(F.when(F.col("page_id") % 3 == 0, F.regexp_replace("url", r"\.example\.", "%2eexample%252e")).otherwise(F.col("url")), F.lit(" "), F.array_join(F.transform(F.regexp_extract_all("html", F.lit('href="/([^"]*)"'), F.lit(1)), lambda h: F.concat(F.lit("[["), h, F.lit("|see]]"))), " "), F.lit(" Nation"), (F.col("page_id") % 30).cast("string"), F.lit("Word NationWord")).alias("body"))
 nations = lambda s, d: table(s, d, "nation").select(F.lit("w").alias("wiki"), F.concat(F.lit("Nation"), F.col("n_nationkey").cast("string"), F.lit("Word")).alias("name"))
 refs = lambda s, d: references.page_refs(bodies(s, d), nations(s, d), r"\.example\.(com|org|net)$", r"/([a-z]{2})/[0-9]", r"[?&](?:page|ref)=([^&#\s]+)")
 REFS = f"""WITH p AS (SELECT page_id AS id, url, {BODY} AS body, {PLAIN} AS host FROM pages

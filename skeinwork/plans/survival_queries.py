@@ -61,7 +61,7 @@ paired = lambda s, d: survival.paired_exposure(event_log(s, d), activity.era_of(
 query("era_exposure", EXPOSURE + " SELECT era, count(*) AS n, round(avg(risk), 6) AS exposure FROM sx GROUP BY era", lambda s, d: survival.exposure(event_log(s, d), activity.era_of(BOUNDARY).alias("era")).withColumn("exposure", F.round("exposure", 6)))
 query("paired_exposure", PAIRED + " SELECT actor, n_before, n_after, round(exposure_before, 6) AS exposure_before, round(exposure_after, 6) AS exposure_after, round(difference, 6) AS difference FROM paired", lambda s, d: paired(s, d).select("actor", "n_before", "n_after", *[F.round(c, 6).alias(c) for c in ("exposure_before", "exposure_after", "difference")]))
 query("wilcoxon_w", PAIRED + """, r AS (SELECT difference AS d, rank() OVER (ORDER BY abs(difference)) + (count(*) OVER (PARTITION BY abs(difference)) - 1) / 2 AS r FROM paired WHERE difference <> 0)
-SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM r""", lambda s, d: ranks.wilcoxon(paired(s, d), "difference"))
+SELECT count(*) AS n, coalesce(sum(r) FILTER (d > 0), 0) AS w_plus, coalesce(sum(r) FILTER (d < 0), 0) AS w_minus FROM r""", lambda s, d: ranks.wilcoxon(paired(s, d), "difference").drop("ties", "zeros"))
 query("removal_totals", E + """, c AS (SELECT place, count(*) AS n FROM ev WHERE kind = 'delete' GROUP BY place) SELECT count(*) FILTER (n = 1) AS once, count(*) FILTER (n > 1) AS repeatedly, coalesce(sum(n), 0)::BIGINT AS removals, coalesce(max(n), 0) AS most,
   (SELECT count(*) FROM (SELECT DISTINCT ts, place FROM ev WHERE kind = 'delete')) AS "groups" FROM c""", lambda s, d: survival.removal_totals(event_log(s, d)))
 query("mannwhitney_u", SURVIVAL + """, x AS (SELECT lifetime_h AS v, actor < 50 AS g FROM sv WHERE died_us IS NOT NULL), r AS (SELECT *, rank() OVER (ORDER BY v) + (count(*) OVER (PARTITION BY v) - 1) / 2 AS r FROM x

@@ -17,15 +17,37 @@ MANIFEST = (
 )
 
 
-def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON object a line under a declared schema; blank lines are skipped, NaN becomes null."""
-    rows = spark.read.schema(schema).json(path).na.drop("all")
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line (the text), row (a struct of schema) and broken of each line that isn't blank: broken where it is no JSON object. A
+    value of another kind than declared is null, and breaks no line."""
+    fields = spark.createDataFrame([], schema).schema.add("_corrupt", "string")
+    lines = spark.read.text(path).where("trim(value) <> ''").select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("line"))
+    rows = lines.withColumn("row", F.from_json("line", fields, {"columnNameOfCorruptRecord": "_corrupt"}))
+    unread = F.col("row").isNull() | F.col("row._corrupt").isNotNull()
+    # what couldn't be read in full is looked at again, to tell a value from a line
+    broken = F.when(unread, ~F.ltrim("line").startswith("{") | F.try_parse_json("line").isNull()).otherwise(False)
+    return rows.select("file", "line", F.struct(*[F.col(f"row.{f.name}").alias(f.name) for f in fields if f.name != "_corrupt"]).alias("row"), broken.alias("broken"))
+
+
+def broken_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line of what jsonl raises on or, if told to, leaves out: for a table of its own."""
+    return json_lines(spark, path, schema).where("broken").select("file", "line")
+
+
+def jsonl(spark: SparkSession, path: str, schema: str, broken: str = "raise") -> DataFrame:
+    """One JSON object a line under a declared schema; blank lines are skipped, NaN becomes null. A line that is no JSON object
+    raises an error with its text as soon as it is read, or is left out if broken is "leave"."""
+    if broken not in ("raise", "leave"):
+        raise ValueError(broken)
+    lines = json_lines(spark, path, schema)
+    whole = F.assert_true(~F.col("broken"), F.concat(F.lit("no JSON object in "), "file", F.lit(": "), "line")).isNull() if broken == "raise" else ~F.col("broken")
+    rows = lines.where(whole).select("row.*")
     doubles = {f.name for f in rows.schema if isinstance(f.dataType, T.DoubleType)}
     return rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in doubles else F.col(c) for c in rows.columns])
 
 
 def revisions(spark: SparkSession, path: str, with_body: bool = False) -> DataFrame:
-    """Saves, without their bodies and hunks unless asked for (what isn't read isn't parsed)."""
+    """Saves, without their bodies and hunks unless asked for."""
     rows = jsonl(spark, path, REVISIONS)
     return rows if with_body else rows.drop("body", "hunks")
 

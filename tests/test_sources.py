@@ -2,6 +2,7 @@ import hashlib
 import json
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.operators import activity
@@ -22,6 +23,31 @@ def test_jsonl_and_manifest(spark, tmp_path):
     assert {r.name: r.ok for r in files.verify_checksums(files.checksums(spark, [str(tmp_path / "events.jsonl")]), sums).collect()} == {"events.jsonl": True, "gone": False}
 
 
+def test_broken_lines_are_told(spark, tmp_path):
+    lines = ['{"event_type": "delete", "page_key": "w~a"}', "", "   ", '{"event_type": "pro', '{"event_type": "probe", "time": "no time"}', "[1]", "{}"]
+    (tmp_path / "x.jsonl").write_text("\n".join(lines))
+    path = str(tmp_path / "x.jsonl")
+    with pytest.raises(Exception, match='"event_type": "pro'):
+        files.jsonl(spark, path, files.EVENTS).count()
+    rows = files.jsonl(spark, path, files.EVENTS, broken="leave")
+    assert sorted((r.event_type or "", r.time) for r in rows.collect()) == [("", None), ("delete", None), ("probe", None)]
+    assert {r.line for r in files.broken_lines(spark, path, files.EVENTS).collect()} == {lines[3], "[1]"}
+    (tmp_path / "good.jsonl").write_text('{"uncertainty_seconds": NaN, "rev_id": "a"}\n')
+    assert [(r.rev_id, r.uncertainty_seconds) for r in files.revisions(spark, str(tmp_path / "good.jsonl")).collect()] == [("a", None)]
+
+
+def test_conservation_in_one_pass(spark, tmp_path):
+    t0 = datetime(2024, 1, 1)
+    events = spark.createDataFrame([(t0 + timedelta(days=d), k) for d, k in ((0, "save"), (0, "save"), (3, "delete"), (5, "probe"))], "ts timestamp, kind string")
+    totals = activity.conserved_series(events, "day", lambda df: df.write.parquet(str(tmp_path / "s")))
+    assert totals == {"saves": 2, "deletes": 1, "probes": 1}
+    assert [(r.saves, r.deletes, r.probes) for r in spark.read.parquet(str(tmp_path / "s")).orderBy("bucket_us").collect()] == [(2, 0, 0), (0, 0, 0), (0, 0, 0), (0, 1, 0), (0, 0, 0), (0, 0, 1)]
+    check = activity.Conservation()
+    check.made(check.raw(events).groupBy("ts").agg(F.count_if(F.col("kind") == "save").alias("saves"), F.lit(0).alias("deletes"), F.count_if(F.col("kind") == "probe").alias("probes"))).collect()
+    with pytest.raises(ValueError, match="0 of 1 deletes"):
+        check.hold()
+
+
 def test_sinks(spark, tmp_path):
     df = spark.createDataFrame([(1, float("nan"), ["b", "a"])], "a long, b double, c array<string>")
     files.write_csv(df, str(tmp_path / "c"))
