@@ -107,8 +107,8 @@ def agreement(pairs: DataFrame, x: str, y: str) -> DataFrame:
     both = cells.agg(F.sum("n").alias("n"), F.sum(choose(F.col("n"))).alias("both"), F.sum(F.col("n") * F.log("n")).alias("hxy"))
     side = lambda k, name: cells.groupBy(k).agg(F.sum("n").alias("n")).agg(F.sum(choose(F.col("n"))).alias(f"c{name}"), F.sum(F.col("n") * F.log("n")).alias(f"h{name}"))
     one = both.crossJoin(side(x, "x")).crossJoin(side(y, "y"))  # one row each
-    expected, n = F.col("cx") * F.col("cy") / choose(F.col("n")), F.col("n")
-    hx, hy, hxy = (F.log(n) - F.col(h) / n for h in ("hx", "hy", "hxy"))
+    expected, n = F.coalesce(F.try_divide(F.col("cx") * F.col("cy"), choose(F.col("n"))), F.lit(0.0)), F.col("n")
+    hx, hy, hxy = (F.log(n) - F.try_divide(F.col(h), n) for h in ("hx", "hy", "hxy"))
     ari = F.try_divide(F.col("both") - expected, (F.col("cx") + F.col("cy")) / 2 - expected)
     return one.select("n", F.round(F.coalesce(ari, F.lit(1.0)), 6).alias("ari"), F.round(F.coalesce(F.try_divide(hx + hy - hxy, (hx + hy) / 2), F.lit(1.0)), 6).alias("nmi"))
 

@@ -208,29 +208,64 @@ def community_evolution(meetings: DataFrame, unit_us: int = 86_400_000_000, leas
     return over_rows(spark, len(cuts), "bucket_us long, nodes long, edges long, n_communities long, modularity double, largest long", one).where("nodes is not null")
 
 
-def contingency_scores(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Adjusted Rand index and normalized mutual information of two labellings by numbers."""
-    n, choose = len(x), lambda c: float((c * (c - 1) / 2).sum())
-    wide = int(y.max()) + 1
-    cells, p, q = (np.bincount(k).astype(float) for k in (x * wide + y, x, y))
-    both, cx, cy = choose(cells), choose(p), choose(q)
-    entropy = lambda c: float(-(c[c > 0] / n * np.log(c[c > 0] / n)).sum())
-    hx, hy, hxy = entropy(p), entropy(q), entropy(cells)
-    expected = cx * cy / (n * (n - 1) / 2)
+#: Labels that a shuffle may have on either side, and rows: numpy draws from fewer than a thousand million.
+MOST_LABELS, MOST_ROWS = 1_000_000, 999_999_999
+
+
+def shuffled_scores(x: np.ndarray, y: np.ndarray, rng: np.random.Generator) -> tuple[float, float]:
+    """Adjusted Rand index and normalized mutual information of labellings with x[i] and y[j] rows of each label, shuffled against each
+    other. The table of a shuffle is drawn row by row: how many of a label's rows meet each label of the other side that is still
+    left. So a shuffle takes as long as there are cells, however many rows."""
+    n, left, both, h = int(x.sum()), y.astype(np.int64).copy(), 0.0, 0.0
+    for rows in x.tolist():
+        cells = rng.multivariate_hypergeometric(left, rows, method="marginals")
+        left -= cells
+        c = cells[cells > 0].astype(float)
+        both += float((c * (c - 1) / 2).sum())
+        h += float((c * np.log(c)).sum())
+    return scores(n, both, h, x.astype(float), y.astype(float))
+
+
+def scores(n: int, both: float, h: float, x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The same from both, the pairs of rows that share both labels, and h, the sum of c * log(c) over cells."""
+    choose, log = lambda c: float((c * (c - 1) / 2).sum()), lambda c: float((c[c > 0] * np.log(c[c > 0])).sum())
+    cx, cy = choose(x), choose(y)
+    hx, hy, hxy = (np.log(n) - v / n for v in (log(x), log(y), h))
+    expected = cx * cy / (n * (n - 1) / 2) if n > 1 else 0.0
     top = (cx + cy) / 2 - expected
-    return (both - expected) / top if top else 1.0, (hx + hy - hxy) / ((hx + hy) / 2) if hx + hy else 1.0
+    return (both - expected) / top if abs(top) > 1e-12 else 1.0, (hx + hy - hxy) / ((hx + hy) / 2) if hx + hy > 1e-12 else 1.0
 
 
 def partition_null(pairs: DataFrame, x: str, y: str, n: int, seed: int = 4) -> DataFrame:
-    """replicate, ari, nmi after shuffling the labels of x."""
-    found = edge_arrays(pairs, x, y)
-    held = pairs.sparkSession.sparkContext.broadcast(tuple(np.unique(v, return_inverse=True)[1] for v in found))
-
-    def one(i):
-        p, q = held.value
-        return i, *contingency_scores(np.random.default_rng(seed * 1_000_003 + i).permutation(p), q)
-
-    return over_rows(pairs.sparkSession, n, "replicate long, ari double, nmi double", one)
+    """replicate, ari, nmi after shuffling the labels of x. Only the numbers of rows of each label reach the driver and the tasks."""
+    margins = []
+    for c in (x, y):
+        counts = pairs.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(c).agg(F.count("*").alias("n")).orderBy("n", c)
+        if (found := counts.limit(MOST_LABELS + 1).select("n").toArrow().column("n").to_numpy().astype(np.int64)).size > MOST_LABELS:
+            raise ValueError(f"more than {MOST_LABELS} labels of {c}")
+        margins.append(found)
+    if not margins[0].sum():
+        return pairs.sparkSession.createDataFrame([], "replicate long, ari double, nmi double")
+    if margins[0].sum() > MOST_ROWS:
+        raise ValueError(f"more than {MOST_ROWS} rows")
+    held = pairs.sparkSession.sparkContext.broadcast(tuple(margins))  # MOST_LABELS numbers at most each
+    return over_rows(pairs.sparkSession, n, "replicate long, ari double, nmi double", lambda i: (i, *shuffled_scores(*held.value, np.random.default_rng(seed * 1_000_003 + i))))
+
+
+def partition_test(pairs: DataFrame, x: str, y: str, n: int = 200, least: int = 10) -> DataFrame:
+    """pairs: labels x and y of the same rows. For ari and nmi: statistic, rows, status, and observed, null_mean, null_std, z_score, p_value,
+    n_samples against n shuffles; below least rows only 'insufficient_overlap'."""
+    from ..functions.ranks import compare_to_null
+    from .network import agreement
+
+    known = pairs.select(x, y).where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    seen, null = agreement(known, x, y).first(), partition_null(known, x, y, n)
+    rows = seen.n or 0
+    if rows < least:
+        out = pairs.sparkSession.createDataFrame([(k, rows, "insufficient_overlap") for k in ("ari", "nmi")], "statistic string, rows long, status string")
+        return out.select("*", *[F.lit(None).cast("double").alias(c) for c in ("observed", "null_mean", "null_std", "z_score", "p_value")], F.lit(None).cast("long").alias("n_samples"))
+    each = [compare_to_null(null, k, seen[k]).select(F.lit(k).alias("statistic"), F.lit(rows).cast("long").alias("rows"), F.lit("tested").alias("status"), "*") for k in ("ari", "nmi")]
+    return each[0].unionByName(each[1])
 
 
 def exposure_null(firsts: DataFrame, edges: DataFrame, n: int, seed: int = 5) -> DataFrame:

@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.ranks import average_rank
-from . import components, handoff, network, replicates
+from ..functions.ranks import prefix_sums
+from . import components, handoff, network, paths, replicates, spectral
 from .strong import strong_components
 
 Keep = Callable[[DataFrame, str], DataFrame]
-#: Networks with more nodes have no triad census: its triples grow with the cube.
-MOST_TRIAD_NODES = 4000
+#: Edges up to which each task may hold a network for betweenness; beyond, paths are counted by joins.
+IN_A_TASK = 200_000
 
 
 def nodes_of(edges: DataFrame) -> DataFrame:
@@ -32,59 +32,87 @@ def component_profile(edges: DataFrame, keep: Keep) -> DataFrame:
     return one.select(F.col("weak_nodes").alias("nodes"), "weak_components", "giant_weak", share("weak"), "strong_components", "giant_strong", share("strong"))
 
 
-#: Class of a triple from its numbers of mutual (m) and one-way (w) pairs and its nodes' out- and in-degrees.
-TRIAD = """CASE WHEN m = 3 THEN '300' WHEN m = 2 AND w = 1 THEN '210' WHEN m = 2 THEN '201'
-  WHEN m = 1 AND w = 2 THEN CASE WHEN least(ix, iy, iz) = 0 THEN '120D' WHEN least(ox, oy, oz) = 0 THEN '120U' ELSE '120C' END
-  WHEN m = 1 AND w = 1 THEN CASE WHEN greatest(ix, iy, iz) = 2 THEN '111D' ELSE '111U' END
-  WHEN w = 3 THEN CASE WHEN greatest(ox, oy, oz) = 1 THEN '030C' ELSE '030T' END
-  WHEN w = 2 THEN CASE WHEN greatest(ox, oy, oz) = 2 THEN '021D' WHEN greatest(ix, iy, iz) = 2 THEN '021U' ELSE '021C' END
-  WHEN m = 1 THEN '102' WHEN w = 1 THEN '012' ELSE '003' END"""
+#: Class of three nodes that are all linked, from the number of mutual pairs m and their out- and in-degrees among themselves.
+CLOSED = """CASE m WHEN 3 THEN '300' WHEN 2 THEN '210'
+  WHEN 1 THEN CASE WHEN least(ix, iy, iz) = 0 THEN '120D' WHEN least(ox, oy, oz) = 0 THEN '120U' ELSE '120C' END
+  ELSE CASE WHEN greatest(ox, oy, oz) = 1 THEN '030C' ELSE '030T' END END"""
+#: Class of a node and two others that aren't linked, from its links to them: mutual (m), out (o), in (i).
+OPEN = {"mm": "201", "mo": "111U", "im": "111D", "oo": "021D", "ii": "021U", "io": "021C"}
 TRIADS = ("003", "012", "102", "021D", "021U", "021C", "111D", "111U", "030T", "030C", "201", "120D", "120U", "120C", "210", "300")
+#: Mutual and one-way pairs of each class with two pairs linked or three.
+PAIRS_IN = {"201": (2, 0), "111U": (1, 1), "111D": (1, 1), "021D": (0, 2), "021U": (0, 2), "021C": (0, 2), "300": (3, 0), "210": (2, 1), "120D": (1, 2), "120U": (1, 2), "120C": (1, 2), "030C": (0, 3), "030T": (0, 3)}
 
 
-def triad_census(edges: DataFrame) -> DataFrame:
-    """triad, n for all 16 classes. Triples with two or three linked pairs come from wedges; those with one, and without
-    any, from counts."""
+def linked_pairs(edges: DataFrame) -> DataFrame:
+    """x, y, kind of each linked pair once: x is the end with fewer links (ties by node); kind is how x is linked to y: m, o or i."""
     arcs = edges.select("src", "dst").where("src <> dst").distinct()
+    up = F.col("src") < F.col("dst")
+    pairs = arcs.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max(up.cast("int")).alias("up"), F.max((~up).cast("int")).alias("down"))
+    links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("d"))
+    both = pairs.join(links.toDF("a", "da"), "a").join(links.toDF("b", "db"), "b")
+    first = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    turned = lambda out, back: F.when((F.col("up") + F.col("down")) == 2, "m").when(F.col("up") == 1, out).otherwise(back)
+    return both.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("y"), F.when(first, turned("o", "i")).otherwise(turned("i", "o")).alias("kind"))
+
+
+def triad_census(edges: DataFrame, keep: Keep) -> DataFrame:
+    """triad, n for all 16 classes. Linked triples are listed once, from their node with the fewest links, so a hub's links aren't paired;
+    triples with two linked pairs are what a node's links of two kinds make less those that are linked triples; those with one and
+    without any come from counts of pairs and nodes."""
+    pairs = keep(linked_pairs(edges), "pairs")
     n = nodes_of(edges).count()
-    if n > MOST_TRIAD_NODES:
-        raise ValueError(f"{n} nodes; the census is for {MOST_TRIAD_NODES} at most")
-    pairs = arcs.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.max((F.col("src") < F.col("dst")).cast("int")).alias("up"), F.max((F.col("src") > F.col("dst")).cast("int")).alias("down"))
-    both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    wedge = both.alias("l").join(both.alias("r"), F.col("l.a") == F.col("r.a")).where(F.col("l.b") < F.col("r.b"))
-    triple = wedge.select(F.array_sort(F.array("l.a", "l.b", "r.b")).alias("t")).distinct().select(F.col("t")[0].alias("x"), F.col("t")[1].alias("y"), F.col("t")[2].alias("z"))
-    for p, q in ("xy", "xz", "yz"):
-        triple = triple.join(pairs.toDF(p, q, f"{p}{q}", f"{q}{p}"), [p, q], "left").na.fill(0, [f"{p}{q}", f"{q}{p}"])
-    seen = triple.selectExpr("xy * yx + xz * zx + yz * zy AS m", "(xy + yx) % 2 + (xz + zx) % 2 + (yz + zy) % 2 AS w", "xy + xz AS ox", "yx + yz AS oy", "zx + zy AS oz", "yx + zx AS ix", "xy + zy AS iy", "xz + yz AS iz")
-    large = seen.select(F.expr(TRIAD).alias("triad"), "m", "w")
-    held = large.agg(F.count("*").alias("k"), F.coalesce(F.sum("m"), F.lit(0)).alias("m"), F.coalesce(F.sum("w"), F.lit(0)).alias("w")).first()
-    kinds = pairs.agg(F.count_if(F.col("up") + F.col("down") == 2).alias("m"), F.count_if(F.col("up") + F.col("down") == 1).alias("w")).first()
-    one_way, mutual = kinds.w * (n - 2) - held.w, kinds.m * (n - 2) - held.m
-    rest = {"012": one_way, "102": mutual, "003": n * (n - 1) * (n - 2) // 6 - held.k - one_way - mutual} if n >= 3 else {}
-    every = edges.sparkSession.createDataFrame([(t, max(0, rest.get(t, 0))) for t in TRIADS], "triad string, base long")
-    return every.join(large.groupBy("triad").agg(F.count("*").alias("k")), "triad", "left").select("triad", (F.col("base") + F.coalesce("k", F.lit(0))).alias("n"))
+    f, s, t = pairs.alias("f"), pairs.alias("s"), pairs.alias("t")
+    triple = f.join(s, F.col("f.x") == F.col("s.x")).join(t, (F.col("t.x") == F.col("f.y")) & (F.col("t.y") == F.col("s.y")))
+    triple = keep(triple.groupBy(F.col("f.kind").alias("xy"), F.col("s.kind").alias("xz"), F.col("t.kind").alias("yz")).agg(F.count("*").alias("k")), "triples")  # 27 rows at most
+    out, back = lambda c: f"int({c} in ('m', 'o'))", lambda c: f"int({c} in ('m', 'i'))"
+    degrees = {"ox": (out("xy"), out("xz")), "oy": (back("xy"), out("yz")), "oz": (back("xz"), back("yz")), "ix": (back("xy"), back("xz")), "iy": (out("xy"), back("yz")), "iz": (out("xz"), out("yz"))}
+    found = triple.selectExpr("k", "xy", "xz", "yz", "int(xy = 'm') + int(xz = 'm') + int(yz = 'm') AS m", *[f"{a} + {b} AS {c}" for c, (a, b) in degrees.items()]).withColumn("triad", F.expr(CLOSED))
+    count, flip = dict.fromkeys(TRIADS, 0), {"m": "m", "o": "i", "i": "o"}
+    corners = dict.fromkeys(OPEN, 0)
+    for r in found.collect():
+        count[r.triad] += r.k
+        for two in ((r.xy, r.xz), (flip[r.xy], r.yz), (flip[r.xz], flip[r.yz])):
+            corners["".join(sorted(two))] += r.k
+    ends = pairs.select(F.col("x").alias("node"), "kind").unionByName(pairs.select(F.col("y").alias("node"), F.translate("kind", "oi", "io").alias("kind")))
+    own = ends.groupBy("node").agg(*[F.count_if(F.col("kind") == k).cast("decimal(38,0)").alias(k) for k in "moi"])
+    wedges = own.agg(*[F.coalesce(F.sum(F.expr(f"{a} * ({a} - 1) / 2" if a == b else f"{a} * {b}")), F.lit(0)).cast("decimal(38,0)").alias(a + b) for a, b in OPEN]).first()
+    for two, triad in OPEN.items():
+        count[triad] = int(wedges[two]) - corners[two]
+    kinds = pairs.agg(F.count_if(F.col("kind") == "m").alias("m"), F.count_if(F.col("kind") != "m").alias("w")).first()
+    mutual, one_way = (total * (n - 2) - sum(count[k] * v[i] for k, v in PAIRS_IN.items()) if n > 2 else 0 for i, total in enumerate((kinds.m, kinds.w)))
+    count |= {"102": mutual, "012": one_way}
+    count["003"] = n * (n - 1) * (n - 2) // 6 - sum(count.values())
+    return edges.sparkSession.createDataFrame(list(count.items()), "triad string, n long")
 
 
 def brokerage(rows: DataFrame) -> DataFrame:
     """rows: degree, betweenness. Adds brokerage: how much higher the node's share of ranks by betweenness is than by degree;
-    null for two nodes or fewer, or where all degrees are equal."""
-    n, whole = F.count("*").over(W.partitionBy()), W.partitionBy()
-    differ = (n > 2) & (F.min("degree").over(whole) < F.max("degree").over(whole))
-    ranked = rows.withColumns({"_b": average_rank("betweenness"), "_d": average_rank("degree"), "_ok": differ, "_n": n})
-    return ranked.withColumn("brokerage", F.when(F.col("_ok"), F.round((F.col("_b") - F.col("_d")) / F.col("_n"), 6))).drop("_b", "_d", "_ok", "_n")
+    null for two nodes or fewer, or where all degrees are equal. Ranks come from counts of the distinct values, dealt by ranges."""
+    whole = rows.agg(F.count("*").alias("_n"), F.min("degree").alias("_low"), F.max("degree").alias("_high"))
+    out = rows
+    for c, name in (("betweenness", "_b"), ("degree", "_d")):
+        counts = rows.groupBy(F.col(c).alias(f"_{c}")).agg(F.count("*").alias("t"))
+        ranks = prefix_sums(counts, f"_{c}", "t").select(f"_{c}", (F.col("below_t") + (F.col("t") + 1) / 2).alias(name))
+        out = out.join(ranks, out[c].eqNullSafe(ranks[f"_{c}"]), "left").drop(f"_{c}")
+    out = out.crossJoin(F.broadcast(whole))  # one row
+    differ = (F.col("_n") > 2) & (F.col("_low") < F.col("_high"))
+    return out.withColumn("brokerage", F.when(differ, F.round((F.col("_b") - F.col("_d")) / F.col("_n"), 6))).drop("_b", "_d", "_n", "_low", "_high")
 
 
 def centrality_table(edges: DataFrame, keep: Keep, most_sources: int = 500) -> DataFrame:
     """node, in_degree, out_degree, degree, weighted_degree, betweenness (of the directed network, from most_sources nodes
     where there are more), betweenness_exact, pagerank, eigenvector (of the largest weak component, else null), core, brokerage."""
     g = keep(network.undirected(edges, "weight"), "undirected")
-    rows = handoff.degrees(edges)
-    between = replicates.betweenness(edges.select(F.col("src").alias("a"), F.col("dst").alias("b")), most_sources, directed=True)
+    rows, ends = handoff.degrees(edges), edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
+    if g.count() <= IN_A_TASK:
+        between = replicates.betweenness(ends, most_sources, directed=True)
+    else:
+        between = paths.betweenness(ends, keep, most_sources, directed=True)
     rows = rows.join(between, "node", "left").withColumn("betweenness", F.coalesce("betweenness", F.lit(0.0)))
     exact = nodes_of(edges).count() <= most_sources
-    ranks = network.pagerank(edges, 40, keep=keep).select("node", F.round("rank", 8).alias("pagerank"))
+    ranks = spectral.pagerank(edges, keep).select("node", F.round("rank", 8).alias("pagerank"))
     rows = rows.withColumn("betweenness_exact", F.lit(exact)).join(keep(ranks, "pagerank"), "node", "left")
-    rows = rows.join(replicates.eigenvector(g), "node", "left").join(network.k_core(g, keep), "node", "left").withColumn("core", F.coalesce("core", F.lit(0)))
+    rows = rows.join(spectral.eigenvector(g, keep), "node", "left").join(network.k_core(g, keep), "node", "left").withColumn("core", F.coalesce("core", F.lit(0)))
     return brokerage(rows)
 
 

@@ -43,7 +43,7 @@ query("triad_census", SPARSE + """, p AS (SELECT src AS a, dst AS b FROM edges),
   WHEN m = 1 AND w = 2 THEN CASE WHEN i = [0, 2, 2] THEN '120D' WHEN o = [0, 2, 2] THEN '120U' ELSE '120C' END WHEN m = 1 AND w = 1 THEN CASE WHEN i = [0, 1, 2] THEN '111D' ELSE '111U' END WHEN m = 1 THEN '102'
   WHEN w = 3 THEN CASE WHEN o = [1, 1, 1] THEN '030C' ELSE '030T' END WHEN w = 2 THEN CASE WHEN o = [0, 0, 2] THEN '021D' WHEN i = [0, 0, 2] THEN '021U' ELSE '021C' END WHEN w = 1 THEN '012' ELSE '003' END AS triad FROM d
 ), names AS (SELECT unnest(['003', '012', '102', '021D', '021U', '021C', '111D', '111U', '030T', '030C', '201', '120D', '120U', '120C', '210', '300']) AS triad)
-SELECT names.triad, count(k.triad) AS n FROM names LEFT JOIN k ON k.triad = names.triad GROUP BY names.triad""", lambda s, d: structure.triad_census(sparse_log(s, d)))
+SELECT names.triad, count(k.triad) AS n FROM names LEFT JOIN k ON k.triad = names.triad GROUP BY names.triad""", lambda s, d: structure.triad_census(sparse_log(s, d), written))
 MARKS = ", mk AS (SELECT era, round(avg(a::INT), 6) AS crowded_share, round(avg(b::INT), 6) AS low_share, round(avg((a OR b)::INT), 6) AS any_share FROM (SELECT " + ERA + " AS era, place::INTEGER % 7 = 0 AS a, place::INTEGER < 10 AS b FROM ev WHERE kind = 'save') GROUP BY era)"
 query("structural_break", PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", x AS (SELECT {ERA} AS era, source AS src, target AS dst, count(*) AS w FROM pairs GROUP BY ALL
 ), n AS (SELECT era, src AS v FROM x UNION SELECT era, dst FROM x), nn AS (SELECT era, count(*) AS n FROM n GROUP BY era
@@ -149,7 +149,7 @@ query("split_names", "SELECT c_custkey AS id, split_part(c_name, '#', 1) AS wiki
 # nulls and verdicts
 query("share_null", None, lambda s, d: share_null(s, d))
 query("reciprocity_null", None, lambda s, d: ranks.compare_to_null(replicates.reciprocity_null(edges(s, d), 50), "reciprocity", handoff.reciprocity(edges(s, d)).first()["reciprocity"]))
-query("partition_null", None, lambda s, d: partition_null(s, d))
+query("partition_null", None, lambda s, d: replicates.partition_test(table(s, d, "documents"), "lang", "source"))
 query("community_profile", None, lambda s, d: community_profile(s, d))
 query("community_evolution", None, lambda s, d: replicates.community_evolution(pairs(s, d).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.unix_micros("ts").alias("us"))))
 query("exposure_tests", None, lambda s, d: exposure_tests(s, d))
@@ -191,14 +191,6 @@ def share_null(s, d, n: int = 2000):
     return ranks.compare_to_null(replicates.drawn_share(r.inside, r.n, r["first"], s, n), "difference", seen, "zero")
 
 
-def partition_null(s, d, n: int = 200):
-    """Languages against sources: agreement, and that of shuffled labels."""
-    docs = table(s, d, "documents").select("lang", "source").where("lang is not null and source is not null")
-    seen, null = network.agreement(docs, "lang", "source").first(), replicates.partition_null(docs, "lang", "source", n)
-    each = [ranks.compare_to_null(null, k, seen[k]).withColumn("statistic", F.lit(k)) for k in ("ari", "nmi")]
-    return each[0].unionByName(each[1])
-
-
 def community_profile(s, d, resolutions=(0.5, 0.75, 1.0, 1.25, 1.5, 2.0), n: int = 20):
     """resolution, n_communities, largest, singletons, modularity; at resolution one also z and p against rewired copies."""
     g = undirected(s, d)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skeinwork.functions import ranks
 from skeinwork.functions import text as T
-from skeinwork.operators import diffusion, network, populations, references, replicates, structure, survival
+from skeinwork.operators import diffusion, network, paths, populations, references, replicates, spectral, structure, survival
 from skeinwork.sources import files
 from skeinwork.sources.shared import written
 
@@ -43,8 +43,9 @@ def test_strong_components_and_profile(spark):
     assert (one.nodes, one.strong_components) == (len(nodes), len(set(root.values())))
 
 
-def test_triads_equal_enumeration(spark):
-    arcs = digraph(5, 8, 0.3)
+@pytest.mark.parametrize("seed, share", [(5, 0.3), (6, 0.15), (7, 0.6)])
+def test_triads_equal_enumeration(spark, seed, share):
+    arcs = digraph(seed, 8, share)
     shapes = {}
     for name, text in TRIADS.items():
         for p in itertools.permutations("abc"):
@@ -52,25 +53,38 @@ def test_triads_equal_enumeration(spark):
     count = dict.fromkeys(TRIADS, 0)
     for t in itertools.combinations(sorted({x for a in arcs for x in a}), 3):
         count[shapes[frozenset((t.index(u), t.index(v)) for u, v in arcs if u in t and v in t)]] += 1
-    assert {r.triad: r.n for r in structure.triad_census(frame(spark, arcs)).collect()} == count
+    assert {r.triad: r.n for r in structure.triad_census(frame(spark, arcs), written).collect()} == count
     assert len(shapes) == 64
 
 
+def test_triads_of_a_large_star(spark):
+    n = 100_000
+    star = spark.range(1, n + 1).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    got = {r.triad: r.n for r in structure.triad_census(star, written).collect()}
+    assert got.pop("021D") == n * (n - 1) // 2 and got.pop("003") == n * (n - 1) * (n - 2) // 6 and not any(got.values())
+    assert sum(r.n for r in structure.triad_census(star.limit(0), written).collect()) == 0 and {r.n for r in structure.triad_census(star.limit(1), written).collect()} == {0}
+
+
 def test_directed_betweenness_equals_paths(spark):
     arcs = digraph(7, 7, 0.3)
     nodes = sorted({x for a in arcs for x in a})
     total = dict.fromkeys(nodes, 0.0)
     for s, t in itertools.permutations(nodes, 2):
-        paths, found = [[s]], []
-        while paths and not found:
-            paths = [p + [v] for p in paths for u, v in arcs if u == p[-1] and v not in p]
-            found = [p for p in paths if p[-1] == t]
+        walks, found = [[s]], []
+        while walks and not found:
+            walks = [p + [v] for p in walks for u, v in arcs if u == p[-1] and v not in p]
+            found = [p for p in walks if p[-1] == t]
         for p in found:
             for x in p[1:-1]:
                 total[x] += 1 / len(found)
     scale = (len(nodes) - 1) * (len(nodes) - 2)
-    got = replicates.betweenness(spark.createDataFrame(sorted(arcs), "a long, b long"), directed=True)
-    assert {r.node: r.betweenness for r in got.collect()} == {k: pytest.approx(v / scale, abs=1e-8) for k, v in total.items()}
+    edges = spark.createDataFrame(sorted(arcs), "a long, b long")
+    for got in (replicates.betweenness(edges, directed=True), paths.betweenness(edges, written, directed=True, block=3)):
+        assert {r.node: r.betweenness for r in got.collect()} == {k: pytest.approx(v / scale, abs=1e-8) for k, v in total.items()}
+    simple = spark.createDataFrame(sorted({tuple(sorted(a)) for a in arcs}), "a long, b long")
+    assert {tuple(r) for r in paths.betweenness(simple, written).collect()} == {tuple(r) for r in replicates.betweenness(simple).collect()}
+    some = paths.betweenness(edges, written, sources=3).collect()
+    assert len(some) == len(nodes) and any(r.betweenness for r in some)
 
 
 def test_eigenvector_equals_numpy(spark):
@@ -78,8 +92,26 @@ def test_eigenvector_equals_numpy(spark):
     m = np.triu(rng.integers(0, 4, (n, n)), 1)
     edges = spark.createDataFrame([(i, j, int(m[i, j])) for i in range(n) for j in range(n) if m[i, j]] + [(50, 51, 9)], "a long, b long, w long")
     want = np.abs(np.linalg.eigh(m + m.T)[1][:, -1])
-    got = {r.node: r.eigenvector for r in replicates.eigenvector(edges).collect()}
-    assert got == {i: pytest.approx(want[i], abs=1e-5) for i in range(n)}
+    for found in (replicates.eigenvector(edges), spectral.eigenvector(edges, written)):
+        assert {r.node: r.eigenvector for r in found.collect()} == {i: pytest.approx(want[i], abs=1e-5) for i in range(n)}
+    star = spark.createDataFrame([(0, i, 2) for i in range(1, 5)], "a long, b long, w long")  # bipartite
+    assert {r.node: r.eigenvector for r in spectral.eigenvector(star, written).collect()} == {i: pytest.approx(2**-0.5 if not i else 8**-0.5, abs=1e-6) for i in range(5)}
+    assert {r.eigenvector for r in spectral.eigenvector(edges, written, rounds=1, loose=1e-12).collect()} == {None} and spectral.eigenvector(edges.limit(0), written).count() == 0
+
+
+def test_pagerank_to_a_tolerance(spark):
+    arcs = sorted(digraph(4, 9, 0.25) | {(0, 20), (20, 21)})  # 21 is a dead end
+    nodes = sorted({x for a in arcs for x in a})
+    m = np.array([[((u, v) in arcs) for u in nodes] for v in nodes], float)
+    out = m.sum(0)
+    m = np.where(out > 0, m / np.where(out > 0, out, 1), 1 / len(nodes))
+    x = np.linalg.solve(np.eye(len(nodes)) - 0.85 * m, np.full(len(nodes), 0.15 / len(nodes)))
+    got = {r.node: r["rank"] for r in spectral.pagerank(frame(spark, arcs), written, attempts=((100, 1e-9),)).collect()}
+    assert got == {k: pytest.approx(v, abs=1e-7) for k, v in zip(nodes, x, strict=True)}
+    loose = spectral.pagerank(frame(spark, arcs), written, attempts=((2, 1e-12), (60, 1e-4)))
+    assert sum(r["rank"] for r in loose.collect()) == pytest.approx(1)
+    with pytest.raises(RuntimeError):
+        spectral.pagerank(frame(spark, arcs), written, attempts=((1, 1e-12), (2, 1e-12)))
 
 
 def test_swaps_keep_degrees():
@@ -111,9 +143,27 @@ def test_agreement_of_shuffles(spark):
     rng = np.random.default_rng(2)
     x, y = rng.integers(0, 3, 60), rng.integers(0, 4, 60)
     both = spark.createDataFrame([(int(a), int(b)) for a, b in zip(x, y, strict=True)], "x long, y long")
-    one, (ari, nmi) = network.agreement(both, "x", "y").first(), replicates.contingency_scores(x, y)
-    assert (one.ari, one.nmi) == (pytest.approx(ari, abs=1e-6), pytest.approx(nmi, abs=1e-6))
-    assert replicates.contingency_scores(x, x) == (pytest.approx(1), pytest.approx(1))
+
+    def plain(x, y):
+        """By counting pairs of rows, and by probabilities."""
+        same = lambda v: v[:, None] == v[None, :]
+        off = np.triu(np.ones((len(x), len(x)), bool), 1)
+        a, b, c, n = (same(x) & same(y))[off].sum(), same(x)[off].sum(), same(y)[off].sum(), off.sum()
+        p = np.array([[np.mean((x == i) & (y == j)) for j in set(y)] for i in set(x)])
+        h = lambda q: -(q[q > 0] * np.log(q[q > 0])).sum()
+        return (a - b * c / n) / ((b + c) / 2 - b * c / n), (h(p.sum(0)) + h(p.sum(1)) - h(p)) / ((h(p.sum(0)) + h(p.sum(1))) / 2)
+
+    one = network.agreement(both, "x", "y").first()
+    assert (one.ari, one.nmi) == tuple(pytest.approx(v, abs=1e-6) for v in plain(x, y))
+    want = np.array([plain(rng.permutation(x), y) for _ in range(1500)])
+    got = replicates.partition_null(both, "x", "y", 1500).toPandas()
+    for k, column in enumerate(("ari", "nmi")):
+        assert abs(got[column].mean() - want[:, k].mean()) < 0.15 * want[:, k].std() and abs(got[column].std() / want[:, k].std() - 1) < 0.15
+    wide = spark.range(300_000).selectExpr("id % 7 as x", "id % 5 as y", "'a' as z")
+    assert {r.statistic: r.status for r in replicates.partition_test(wide, "x", "y", 20).collect()} == {"ari": "tested", "nmi": "tested"}
+    assert [(r.rows, r.status, r.p_value) for r in replicates.partition_test(both.limit(1), "x", "y", 20).collect()] == [(1, "insufficient_overlap", None)] * 2
+    assert replicates.partition_test(both.limit(0), "x", "y", 20).first().rows == 0
+    assert replicates.partition_test(wide, "x", "z", 20).count() == 2 and replicates.shuffled_scores(np.array([60]), np.array([60]), rng) == (1.0, 1.0)
 
 
 def test_exposure_along_a_path(spark):
