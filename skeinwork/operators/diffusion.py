@@ -4,7 +4,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.ranks import compare_to_null
 from . import replicates
 
 
@@ -51,22 +50,26 @@ def exposed_share(firsts: DataFrame, edges: DataFrame, item: str, least: int = 1
     return rows.where(F.col("adopters") >= least).withColumn("exposed_share", F.round(F.col("exposed") / F.col("adopters"), 6))
 
 
-def exposure_test(firsts: DataFrame, edges: DataFrame, n: int = 200, least: int = 10) -> DataFrame:
-    """firsts: actor, first_us of one item's adopters; edges: a < b. One row: adopters in the network, and of exposed adoptions, of
-    rank against hops from the first and of edges inside the observed value, z and p against n shuffles; and a verdict, which
-    is 'insufficient_adopters' below least."""
-    found = replicates.exposure_null(firsts, edges, n)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("actor")).distinct()
-    adopters = firsts.join(ends, "actor", "left_semi").count()
-    seen, null, row = found.where("replicate < 0").first(), found.where("replicate >= 0"), firsts.sparkSession.range(1).select(F.lit(adopters).cast("long").alias("adopters"))
-    for k in ("exposed", "rho", "inside"):
-        if seen[k] is None or adopters < least:
-            row = row.withColumns({c: F.lit(None).cast("double") for c in (k, f"{k}_z", f"{k}_p")})
-        else:
-            row = row.crossJoin(compare_to_null(null.where(F.col(k).isNotNull()), k, seen[k]).select(F.col("observed").alias(k), F.col("z_score").alias(f"{k}_z"), F.col("p_value").alias(f"{k}_p")))  # one row
+# What the tests of an item's exposure are taken to say.
+VERDICTS = {
+    "few": "insufficient_adopters",
+    "both": "spread along network ties",
+    "exposure": "partial: exposure elevated, ordering not",
+    "order": "outward from source, exposure not elevated",
+    "neither": "no transmission signal",
+}
+
+
+def exposure_tests(firsts: DataFrame, item: str, edges: DataFrame, n: int = 200, least: int = 10) -> DataFrame:
+    """firsts: item, actor, first_us; edges: a < b. For every item: adopters in the network, and of exposed adoptions, of rank against hops from
+    the first and of edges inside the observed value, z and p against n shuffles; and a verdict ('insufficient_adopters' below least,
+    where the values are null). One job for all items."""
+    found = replicates.exposure_scores(firsts, item, edges, n, least)
     high = lambda k: F.coalesce((F.col(f"{k}_z") > 2) & (F.col(f"{k}_p") < 0.05), F.lit(False))
-    verdict = (
-        F.when(F.col("adopters") < least, "insufficient_adopters").when(high("exposed") & high("rho"), "spread along network ties").when(high("exposed"), "partial: exposure elevated, ordering not")
-        .when(high("rho"), "outward from source, exposure not elevated").otherwise("no transmission signal")
-    )
-    return row.withColumn("verdict", verdict)
+    said = F.when(F.col("adopters") < least, VERDICTS["few"]).when(high("exposed") & high("rho"), VERDICTS["both"]).when(high("exposed"), VERDICTS["exposure"])
+    return found.withColumn("verdict", said.when(high("rho"), VERDICTS["order"]).otherwise(VERDICTS["neither"]))
+
+
+def exposure_test(firsts: DataFrame, edges: DataFrame, n: int = 200, least: int = 10) -> DataFrame:
+    """The same for one item: firsts: actor, first_us. No rows where there are no adopters."""
+    return exposure_tests(firsts.withColumn("item", F.lit("item")), "item", edges, n, least).drop("item")

@@ -173,17 +173,20 @@ def small_modularity(a: np.ndarray, b: np.ndarray, w: np.ndarray, label: np.ndar
     return float(w[label[a] == label[b]].sum() / total - ((strength / (2 * total)) ** 2).sum())
 
 
-def modularity_null(edges: DataFrame, n: int, seed: int = 3) -> DataFrame:
-    """replicate, modularity of the communities found in n rewired copies of a < b (every edge weighs one there)."""
+def modularity_null(edges: DataFrame, n: int, seed: int = 3) -> tuple[float, DataFrame]:
+    """Modularity of the communities that louvain finds in a < b, and replicate, modularity of those in n rewired copies (every edge
+    weighs one there)."""
     a, b, _ = coded(edges, "a", "b")
     held = edges.sparkSession.sparkContext.broadcast((a, b))
 
     def one(i):
-        x, y = rewired(*held.value, seed * 1_000_003 + i)
+        x, y = rewired(*held.value, seed * 1_000_003 + i) if i else held.value
         w = np.ones(len(x))
         return i, small_modularity(x, y, w, louvain(x, y, w)) if len(x) else 0.0
 
-    return over_rows(edges.sparkSession, n, "replicate long, modularity double", one)
+    rows = over_rows(edges.sparkSession, n + 1, "replicate long, modularity double", one).toPandas()  # n + 1 numbers
+    null = [(int(i), float(q)) for i, q in zip(rows.replicate, rows.modularity, strict=True) if i]
+    return float(rows.modularity[rows.replicate == 0].iloc[0]), edges.sparkSession.createDataFrame(null, "replicate long, modularity double")
 
 
 def community_evolution(meetings: DataFrame, unit_us: int = 86_400_000_000, least: int = 5) -> DataFrame:
@@ -268,90 +271,111 @@ def partition_test(pairs: DataFrame, x: str, y: str, n: int = 200, least: int =
     return each[0].unionByName(each[1])
 
 
-def exposure_null(firsts: DataFrame, edges: DataFrame, n: int, seed: int = 5) -> DataFrame:
-    """firsts: actor, first_us of one item's adopters; edges: a < b. A row for replicate -1, the observed order, and one for
-    each of n shuffles of who adopted when: exposed (share with a neighbour before them), rho (of rank and hops from the
-    first adopter in the largest component, null below ten or where all are as far), and inside (edges among the adopters,
-    or among as many nodes drawn at random)."""
-    a, b, names = coded(edges, "a", "b")
-    near: list[list[int]] = [[] for _ in names]
-    for u, v in zip(a.tolist(), b.tolist(), strict=True):
-        near[u].append(v)
-        near[v].append(u)
-    actors, at = edge_arrays(firsts, "actor", "first_us")
-    place = {k: i for i, k in enumerate(names.tolist())}
-    order = np.array([place[actors[i]] for i in np.lexsort((actors, at)) if actors[i] in place], np.int64)
-
-    def hops_from(s):
-        far, queue = np.full(len(near), -1), [s]
-        far[s] = 0
-        for u in queue:
-            for v in near[u]:
-                if far[v] < 0:
-                    far[v] = far[u] + 1
-                    queue.append(v)
+class Neighbours:
+    """An undirected network of numbered nodes in CSR form: its neighbours by node, and the nodes of its largest component."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, n: int):
+        ends, self.others = np.concatenate((a, b)), np.concatenate((b, a))
+        order = np.argsort(ends, kind="stable")
+        self.others, self.starts, self.n = self.others[order], np.searchsorted(ends[order], np.arange(n + 1)), n
+        label, self.a, self.b = np.arange(n), a, b
+        while True:  # the smallest number of a component, along edges and then by its own label
+            new = label.copy()
+            np.minimum.at(new, a, label[b])
+            np.minimum.at(new, b, label[a])
+            new = new[new]
+            if (new == label).all():
+                break
+            label = new
+        self.giant = label == np.bincount(label).argmax() if n else np.zeros(0, bool)
+
+    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All pairs of a place in nodes and a neighbour of the node there."""
+        counts = self.starts[nodes + 1] - self.starts[nodes]
+        at = np.repeat(np.arange(len(nodes)), counts)
+        return at, self.others[np.repeat(self.starts[nodes], counts) + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)]
+
+    def hops_from(self, source: int) -> np.ndarray:
+        """Steps from a node, -1 where there is no path."""
+        far, front, step = np.full(self.n, -1), np.array([source]), 0
+        far[source] = 0
+        while len(front):
+            step += 1
+            front = np.unique(self.of(front)[1])
+            front = front[far[front] < 0]
+            far[front] = step
         return far
 
-    reach, component = np.zeros(len(near), np.int64), np.full(len(near), -1)
-    for u in range(len(near)):
-        if component[u] < 0:
-            own = hops_from(u) >= 0
-            component[own], reach[own] = u, own.sum()
-    source = next((u for u in order.tolist() if reach[u] == reach.max()), None)
-    far = hops_from(source) if source is not None else np.full(len(near), -1)
-    spark = edges.sparkSession
-    held = spark.sparkContext.broadcast((near, order, far, source))
+
+def against(observed: float | None, null: list[float]) -> tuple[float | None, float | None, float | None]:
+    """observed, z and p (two-sided, add-one, around the mean) against draws; all None without an observed value."""
+    if observed is None:
+        return None, None, None
+    x = np.array(null, float)
+    sd = float(x.std(ddof=1)) if len(x) > 1 else 0.0
+    mean = float(x.mean()) if len(x) else 0.0
+    return float(observed), (observed - mean) / sd if sd > 0 else 0.0, float((np.abs(x - mean) >= abs(observed - mean)).sum() + 1) / (len(x) + 1)
+
+
+def exposure_of(order: np.ndarray, near: Neighbours, n: int, rng: np.random.Generator) -> tuple:
+    """order: the adopters of an item in the network, by when they adopted. Observed value, z and p of: the share that adopted after a neighbour
+    had; the rank correlation of when and how far from the first adopter in the largest component (None for fewer than ten, or
+    where all are as far); and the edges among adopters. The first two against shuffles of who adopted when, the last against
+    as many nodes drawn at random."""
+    k, place = len(order), np.full(near.n, -1)
+    place[order] = np.arange(k)
+    at, other = near.of(order)
+    at, other = at[place[other] >= 0], place[other[place[other] >= 0]]
+    first = next((u for u in order.tolist() if near.giant[u]), None)
+    far = near.hops_from(first)[order] if first is not None else np.full(k, -1)
+    reached = np.flatnonzero(far > 0)
 
     def ranked(x):
         _, code, size = np.unique(x, return_inverse=True, return_counts=True)
         return (np.cumsum(size) - (size - 1) / 2)[code]
 
-    def measure(order, members, far, source, near):
-        when = {u: i for i, u in enumerate(order.tolist())}
-        exposed = sum(any(when.get(v, len(order)) < i for v in near[u]) for u, i in when.items())
-        reached = [u for u in order.tolist() if far[u] > 0]
-        x, y = np.array([when[u] for u in sorted(reached)], float), far[sorted(reached)].astype(float)
-        rho = float(np.corrcoef(ranked(x), ranked(y))[0, 1]) if len(x) >= 10 and (y != y[0]).any() else None
-        members = set(members.tolist())
-        return exposed / max(1, len(order)), rho, float(sum(v in members for u in members for v in near[u]) // 2)
+    hops = ranked(far[reached])
+    spread = len(reached) >= 10 and (hops != hops[0]).any()
 
-    def one(i):
-        near, order, far, source = held.value
-        if not i:
-            return (-1, *measure(order, order, far, source, near))
-        rng = np.random.default_rng(seed * 1_000_003 + i)
-        return (i - 1, *measure(rng.permutation(order), rng.choice(len(near), len(order), replace=False), far, source, near))
+    def measure(when):
+        exposed = len(np.unique(at[when[other] < when[at]])) / max(1, k)
+        return exposed, float(np.corrcoef(ranked(when[reached]), hops)[0, 1]) if spread else None
 
-    return over_rows(spark, n + 1, "replicate long, exposed double, rho double, inside double", one)
+    seen, inside, null = measure(np.arange(k)), float(len(at) // 2), []
+    for _ in range(n):
+        drawn = np.zeros(near.n, bool)
+        drawn[rng.choice(near.n, k, replace=False)] = True
+        null.append((*measure(rng.permutation(k)), float((drawn[near.a] & drawn[near.b]).sum())))
+    return tuple(x for i, v in enumerate((*seen, inside)) for x in against(v, [r[i] for r in null if r[i] is not None]))
 
 
-def eigenvector(edges: DataFrame, rounds: int = 1000, close: float = 1e-12) -> DataFrame:
-    """node, eigenvector: of a < b, w in its largest component, by power iteration; of length one."""
+def exposure_scores(firsts: DataFrame, item: str, edges: DataFrame, n: int, least: int = 10, seed: int = 5) -> DataFrame:
+    """firsts: item, actor, first_us; edges: a < b. For each item: item, adopters (in the network), and exposed, rho and inside with their z and p
+    (see exposure_of); null below least adopters. Items are dealt to tasks, each of which holds the network; an item's adopters are
+    no more than its nodes."""
     import pandas as pd
 
-    a, b, names, w = coded(edges, "a", "b", "w")
-    w, n = np.asarray(w, float), len(names)
-    label = np.arange(n)
-    while True:  # smallest number of a component, by passing it along edges
-        new = label.copy()
-        np.minimum.at(new, a, label[b])
-        np.minimum.at(new, b, label[a])
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    kind = dict(edges.dtypes)["a"]
-    if not n:
-        return edges.sparkSession.createDataFrame([], f"node {kind}, eigenvector double")
-    giant = label == np.bincount(label).argmax()
-    x = giant / np.sqrt(giant.sum())
-    for _ in range(rounds):
-        y = x + np.bincount(a, weights=w * x[b], minlength=n) * giant + np.bincount(b, weights=w * x[a], minlength=n) * giant
-        y /= np.linalg.norm(y)
-        x, moved = y, np.abs(y - x).sum()
-        if moved < n * close:
-            break
-    return edges.sparkSession.createDataFrame(pd.DataFrame({"node": names[giant], "eigenvector": np.round(x[giant], 8)}), f"node {kind}, eigenvector double")
+    a, b, names = coded(edges, "a", "b")
+    spark = edges.sparkSession
+    held = spark.sparkContext.broadcast((a, b, names))  # MOST_EDGES at most
+    columns = [f"{k}{x}" for k in ("exposed", "rho", "inside") for x in ("", "_z", "_p")]
+    made: dict = {}  # of a task: the network is built for its first item
+
+    def one(pdf):
+        import zlib
+
+        a, b, names = held.value
+        if "near" not in made:
+            made["near"] = Neighbours(a, b, len(names))
+        near, rows = made["near"], pdf.sort_values(["first_us", "actor"])
+        at = np.minimum(np.searchsorted(names, rows.actor.to_numpy()), max(0, len(names) - 1)) if len(names) else np.zeros(0, np.int64)
+        order = at[names[at] == rows.actor.to_numpy()] if len(names) else at
+        out = {item: rows[item].iloc[0], "adopters": len(order)} | dict.fromkeys(columns)
+        if len(order) >= least:
+            out |= dict(zip(columns, exposure_of(order, near, n, np.random.default_rng([seed, zlib.crc32(str(out[item]).encode())])), strict=True))
+        return pd.DataFrame([out]).astype(dict.fromkeys(columns, float))
+
+    return firsts.select(item, "actor", "first_us").groupBy(item).applyInPandas(one, f"{item} {dict(firsts.dtypes)[item]}, adopters long, " + ", ".join(f"{c} double" for c in columns))
 
 
 def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 1, directed: bool = False) -> DataFrame:
@@ -453,26 +477,6 @@ def louvain(a: np.ndarray, b: np.ndarray, w: np.ndarray, resolution: float = 1.0
     return label
 
 
-def communities(edges: DataFrame, resolutions: tuple[float, ...] = (1.0,), seed: int = 1) -> DataFrame:
-    """resolution, node, c: one task for each resolution."""
-    import pandas as pd
-
-    a, b, w = edge_arrays(edges, "a", "b", "w")
-    names, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
-    spark = edges.sparkSession
-    held = spark.sparkContext.broadcast((codes[: len(a)], codes[len(a) :], np.asarray(w, float), names))
-
-    def run(batches):
-        x, y, w, names = held.value
-        for batch in batches:
-            for i in batch["id"]:
-                r = resolutions[int(i)]
-                yield pd.DataFrame({"resolution": r, "node": names, "c": louvain(x, y, w, r, seed)})
-
-    kind = dict(edges.dtypes)["a"]
-    return spark.range(0, len(resolutions), 1, len(resolutions)).mapInPandas(run, f"resolution double, node {kind}, c long")
-
-
 def fit_logistic(curves: DataFrame, item: str) -> DataFrame:
     """curves: item, hour_us, adopters. item, fit ('logistic', or 'insufficient_data' where there are fewer than 8 points or one
     adopter), top, rate, mid_hours, r2 and doubling_hours (null without a fit), by Gauss-Newton with damping."""

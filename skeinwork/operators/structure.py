@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.ranks import prefix_sums
-from . import components, handoff, network, paths, replicates, spectral
+from ..functions.ranks import compare_to_null, prefix_sums
+from . import components, handoff, leiden, network, paths, replicates, spectral
 from .strong import strong_components
 
 Keep = Callable[[DataFrame, str], DataFrame]
@@ -153,10 +153,29 @@ def layer_report(layers: dict[str, tuple[DataFrame, bool, bool]], keep: Keep, nu
     return out
 
 
-def structural_break(pairs: DataFrame, marks: DataFrame, era, keep: Keep, names: tuple[str, ...] = ("before", "after")) -> DataFrame:
+def community_sizes(found: DataFrame) -> DataFrame:
+    """found: resolution, node, c. A row for each resolution: n_communities, largest, singletons."""
+    sizes = found.groupBy("resolution", "c").agg(F.count("*").alias("n"))
+    return sizes.groupBy("resolution").agg(F.count("*").alias("n_communities"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"))
+
+
+def community_profile(edges: DataFrame, keep: Keep, resolutions: tuple[float, ...] = (0.5, 0.75, 1.0, 1.25, 1.5, 2.0), copies: int = 25, at: float = 1.0) -> DataFrame:
+    """edges: a < b, w. resolution, n_communities, largest, singletons, modularity; at one resolution also what rewired copies have: there the
+    network and its copies are parted by one method inside a task (in_task is what that finds in the network itself), null_mean,
+    z_score and p_value say how it compares."""
+    found = keep(leiden.communities(edges, keep, resolutions), "communities")
+    scores = {r: network.modularity(edges, found.where(F.col("resolution") == float(r)).select("node", "c"), r).first()["modularity"] for r in resolutions}
+    q = F.create_map(*[F.lit(x) for r, v in scores.items() for x in (float(r), v)])
+    rows = community_sizes(found).withColumn("modularity", q[F.col("resolution")])
+    seen, null = replicates.modularity_null(edges, replicates.null_budget(edges.count(), False, copies))
+    far = compare_to_null(null, "modularity", seen).select(F.lit(float(at)).alias("resolution"), F.col("observed").alias("in_task"), "null_mean", "z_score", "p_value")
+    return rows.join(far, "resolution", "left")
+
+
+def structural_break(pairs: DataFrame, marks: DataFrame, era, keep: Keep, names: tuple[str, ...] = ("before", "after"), parts: bool = True) -> DataFrame:
     """pairs: source, target, place, ts, gap_seconds; marks: ts and boolean columns. A row for each era: events, nodes, edges,
     density, reciprocity, transitivity, giant_share, mean_out_degree, max_core, modularity of the network of its pairs, and of
-    its marks the share of each, and any_share."""
+    its marks the share of each, and any_share. parts: whether communities are looked for; else modularity is null."""
     flags = [f for f, t in marks.dtypes if t == "boolean"]
     anyone = F.greatest(*[F.coalesce(F.col(f), F.lit(False)) for f in flags]) if len(flags) > 1 else F.col(flags[0])
     shares = marks.groupBy(era.alias("era")).agg(*[F.round(F.avg(F.col(f).cast("int")), 6).alias(f"{f}_share") for f in flags], F.round(F.avg(anyone.cast("int")), 6).alias("any_share"))
@@ -164,11 +183,10 @@ def structural_break(pairs: DataFrame, marks: DataFrame, era, keep: Keep, names:
     for name in names:
         own = keep(pairs.where(era == name).groupBy(F.col("source").alias("src"), F.col("target").alias("dst")).agg(F.count("*").alias("weight")), "era")
         g = keep(network.undirected(own, "weight"), "era")
-        n = nodes_of(own).count()
         roots = components.components(g.select("a", "b"), keep).groupBy("root").agg(F.count("*").alias("k")).agg(F.coalesce(F.max("k"), F.lit(0)).alias("giant"))
         cores = network.k_core(g, keep).agg(F.coalesce(F.max("core"), F.lit(0)).alias("max_core"))
-        parts = replicates.communities(g).select("node", "c") if n else own.select(F.col("src").alias("node"), F.lit(0).alias("c"))
-        row = handoff.describe(own).crossJoin(handoff.reciprocity(own).select("reciprocity")).crossJoin(network.transitivity(g).select("transitivity")).crossJoin(roots).crossJoin(cores).crossJoin(network.modularity(g, parts).select("modularity"))  # one row each
+        quality = network.modularity(g, leiden.communities(g, keep).select("node", "c")) if parts else own.sparkSession.range(1).select(F.lit(None).cast("double").alias("modularity"))
+        row = handoff.describe(own).crossJoin(handoff.reciprocity(own).select("reciprocity")).crossJoin(network.transitivity(g).select("transitivity")).crossJoin(roots).crossJoin(cores).crossJoin(quality.select("modularity"))  # one row each
         row = row.select(
             F.lit(name).alias("era"), F.col("total_weight").alias("events"), F.col("n_nodes").alias("nodes"), F.col("n_edges").alias("edges"), "density", F.coalesce("reciprocity", F.lit(0.0)).alias("reciprocity"), "transitivity",
             F.round(F.coalesce(F.try_divide("giant", "n_nodes"), F.lit(0.0)), 6).alias("giant_share"), F.round(F.coalesce(F.try_divide("n_edges", "n_nodes"), F.lit(0.0)), 6).alias("mean_out_degree"), "max_core", "modularity",

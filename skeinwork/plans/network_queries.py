@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import ranks
-from ..operators import activity, components, diffusion, network, replicates, structure, survival
+from ..operators import activity, components, diffusion, leiden, network, replicates, structure, survival
 from ..sources import files
 from ..sources.shared import written
 from ..sources.tables import BOUNDARY, EVENT_LOG_SQL, event_log, table
@@ -73,8 +73,8 @@ query("percolation_threshold", RECURSIVE + """, e AS (SELECT * FROM pc WHERE nod
 SELECT (SELECT bucket_us FROM r ORDER BY rise DESC, bucket_us LIMIT 1) AS steepest_us, min(bucket_us) FILTER (giant_share >= 0.5) AS half_us, min(bucket_us) FILTER (mean_degree >= 1) AS degree_one_us FROM r""", lambda s, d: structure.percolation_threshold(percolation(s, d)))
 query("k_core", None, lambda s, d: network.k_core(graph(s, d), written))
 query("betweenness_sampled", None, lambda s, d: replicates.betweenness(graph(s, d), 500))
-query("communities", None, lambda s, d: replicates.communities(graph(s, d)))
-query("community_sweep", None, lambda s, d: replicates.communities(graph(s, d), (0.5, 1.0, 1.5, 2.0)).groupBy("resolution", "c").agg(F.count("*").alias("n")).groupBy("resolution").agg(F.count("*").alias("n_communities"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons")))
+query("communities", None, lambda s, d: leiden.communities(graph(s, d), written))
+query("community_sweep", None, lambda s, d: structure.community_sizes(leiden.communities(graph(s, d), written, (0.5, 1.0, 1.5, 2.0))))
 query("rewired_null", None, lambda s, d: rewired(s, d))
 query("permuted_exposure", None, lambda s, d: permuted(s, d))
 query("poisson_null", None, lambda s, d: poisson(s, d))

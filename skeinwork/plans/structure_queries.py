@@ -53,7 +53,7 @@ query("structural_break", PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", x
 ), rc AS (SELECT e.era, count(*) AS m FROM x e JOIN x f ON f.era = e.era AND f.src = e.dst AND f.dst = e.src GROUP BY e.era){MARKS}
 SELECT x.era, sum(w)::BIGINT AS events, any_value(n) AS nodes, count(*) AS edges, round(count(*) / (any_value(n) * (any_value(n) - 1)), 6) AS density, round(coalesce(any_value(m), 0) / count(*), 6) AS reciprocity,
   round(coalesce(3 * any_value(t), 0) / any_value(p), 6) AS transitivity, round(any_value(g) / any_value(n), 6) AS giant_share, round(count(*) / any_value(n), 6) AS mean_out_degree, any_value(crowded_share) AS crowded_share, any_value(low_share) AS low_share, any_value(any_share) AS any_share
-FROM x JOIN nn ON nn.era = x.era LEFT JOIN tri ON tri.era = x.era JOIN tp ON tp.era = x.era JOIN gi ON gi.era = x.era LEFT JOIN rc ON rc.era = x.era JOIN mk ON mk.era = x.era GROUP BY x.era""", lambda s, d: eras(s, d).drop("max_core", "modularity"))
+FROM x JOIN nn ON nn.era = x.era LEFT JOIN tri ON tri.era = x.era JOIN tp ON tp.era = x.era JOIN gi ON gi.era = x.era LEFT JOIN rc ON rc.era = x.era JOIN mk ON mk.era = x.era GROUP BY x.era""", lambda s, d: eras(s, d, False).drop("max_core", "modularity"))
 query("structural_break_cores", None, lambda s, d: eras(s, d).select("era", "max_core", "modularity"))
 query("centrality_table", None, lambda s, d: structure.centrality_table(edges(s, d), written))
 # betweenness by layers of at most three hops: the SQL holds for networks of no longer shortest paths
@@ -148,9 +148,9 @@ query("split_names", "SELECT c_custkey AS id, split_part(c_name, '#', 1) AS wiki
 
 # nulls and verdicts
 query("share_null", None, lambda s, d: share_null(s, d))
-query("reciprocity_null", None, lambda s, d: ranks.compare_to_null(replicates.reciprocity_null(edges(s, d), 50), "reciprocity", handoff.reciprocity(edges(s, d)).first()["reciprocity"]))
+query("reciprocity_null", None, lambda s, d: ranks.compare_to_null(replicates.reciprocity_null(edges(s, d), 200), "reciprocity", handoff.reciprocity(edges(s, d)).first()["reciprocity"]))
 query("partition_null", None, lambda s, d: replicates.partition_test(table(s, d, "documents"), "lang", "source"))
-query("community_profile", None, lambda s, d: community_profile(s, d))
+query("community_profile", None, lambda s, d: structure.community_profile(undirected(s, d), written))
 query("community_evolution", None, lambda s, d: replicates.community_evolution(pairs(s, d).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.unix_micros("ts").alias("us"))))
 query("exposure_tests", None, lambda s, d: exposure_tests(s, d))
 query("test_p_values", None, lambda s, d: p_values(s, d))
@@ -165,9 +165,9 @@ def layer_report(s, d):
     return structure.layer_report({"handoff": (edges(s, d), True, False), "two kinds": (network.bipartite(saves, "actor", "place"), False, True)}, written)
 
 
-def eras(s, d):
+def eras(s, d, parts: bool = True):
     marks = event_log(s, d).where("kind = 'save'").select("ts", (F.col("place").cast("int") % 7 == 0).alias("crowded"), (F.col("place").cast("int") < 10).alias("low"))
-    return structure.structural_break(pairs(s, d), marks, activity.era_of(BOUNDARY), written)
+    return structure.structural_break(pairs(s, d), marks, activity.era_of(BOUNDARY), written, parts=parts)
 
 
 def membership(s, d):
@@ -191,27 +191,10 @@ def share_null(s, d, n: int = 2000):
     return ranks.compare_to_null(replicates.drawn_share(r.inside, r.n, r["first"], s, n), "difference", seen, "zero")
 
 
-def community_profile(s, d, resolutions=(0.5, 0.75, 1.0, 1.25, 1.5, 2.0), n: int = 20):
-    """resolution, n_communities, largest, singletons, modularity; at resolution one also z and p against rewired copies."""
-    g = undirected(s, d)
-    found = written(replicates.communities(g, resolutions), "communities")
-    sizes = found.groupBy("resolution", "c").agg(F.count("*").alias("n")).groupBy("resolution").agg(F.count("*").alias("n_communities"), F.max("n").alias("largest"), F.count_if(F.col("n") == 1).alias("singletons"))
-    scores = {r: network.modularity(g, found.where(F.col("resolution") == r).select("node", "c")).first()["modularity"] for r in resolutions}
-    q = F.create_map(*[F.lit(x) for r, v in scores.items() for x in (r, v)])
-    null = ranks.compare_to_null(replicates.modularity_null(g, replicates.null_budget(g.count(), False, n)), "modularity", scores[1.0])
-    return sizes.withColumn("modularity", q[F.col("resolution")]).join(null.select(F.lit(1.0).alias("resolution"), "null_mean", "z_score", "p_value"), "resolution", "left")
-
-
-def exposure_tests(s, d, items: int = 5, n: int = 100):
-    """The exposure test for the most widely adopted places: observed, z and p of exposed adoptions, of rank against hops and of
-    edges inside, and a verdict."""
-    firsts = written(diffusion.first_use(event_log(s, d).where("kind = 'save'"), "place", "actor"), "firsts")
-    g = written(undirected(s, d), "graph")
-    top = [r.place for r in firsts.groupBy("place").agg(F.count("*").alias("n")).where("n >= 10").orderBy(F.desc("n"), "place").limit(items).collect()]
-    out = [diffusion.exposure_test(firsts.where(F.col("place") == x).select("actor", "first_us"), g, n).select(F.lit(x).alias("item"), "*") for x in top]
-    for more in out[1:]:
-        out[0] = out[0].unionByName(more)
-    return out[0] if out else s.createDataFrame([], "item string, adopters long, verdict string")
+def exposure_tests(s, d, n: int = 200):
+    """The exposure test for every place that anyone saved."""
+    firsts = diffusion.first_use(event_log(s, d).where("kind = 'save'"), "place", "actor")
+    return diffusion.exposure_tests(firsts, "place", undirected(s, d), n)
 
 
 def p_values(s, d):

@@ -2,6 +2,7 @@ import pytest
 
 from skeinwork.operators import network
 from skeinwork.plans import network_queries, registry
+from skeinwork.sources.tables import event_log
 
 from .oracle import SF, assert_same
 
@@ -11,7 +12,7 @@ def test_query_equals_its_sql(spark, name):
     assert_same(spark, registry.QUERIES[name], registry.ORACLE_SQL[name])
 
 
-NULLS = {"rewired_null": 200, "permuted_exposure": 5000, "poisson_null": 200, "share_null": 2000, "reciprocity_null": 50, "partition_null": 200}
+NULLS = {"rewired_null": 200, "permuted_exposure": 5000, "poisson_null": 200, "share_null": 2000, "reciprocity_null": 200, "partition_null": 200}
 
 
 @pytest.mark.parametrize("name", sorted(NULLS))
@@ -46,7 +47,7 @@ def test_communities_are_better_than_none(spark):
     alone = network.modularity(g, found.selectExpr("node", "node as c")).first()["modularity"]
     assert best > max(0, alone)
     sweep = {r.resolution: r for r in registry.QUERIES["community_profile"](spark, SF).collect()}
-    assert abs(sweep[1.0].modularity - best) < 1e-6 and sweep[0.5].n_communities <= sweep[2.0].n_communities and 0 < sweep[1.0].p_value <= 1
+    assert abs(sweep[1.0].modularity - best) < 1e-6 and sweep[1.0].in_task is not None and sweep[0.5].n_communities <= sweep[2.0].n_communities and 0 < sweep[1.0].p_value <= 1
     assert {r.resolution for r in registry.QUERIES["community_sweep"](spark, SF).collect()} == {0.5, 1.0, 1.5, 2.0}
 
 
@@ -69,7 +70,8 @@ def test_break_of_cores_and_verdicts(spark):
     assert {r.era for r in registry.QUERIES["structural_break_cores"](spark, SF).collect()} == {"before", "after"}
     r = registry.QUERIES["power_law_verdict"](spark, SF).first()
     assert r.preferred in ("power_law", "lognormal", "indistinguishable") and 0 <= r.p_value <= 1
-    assert registry.QUERIES["exposure_tests"](spark, SF).count() == 0  # no place has ten adopters here
+    tests, places = registry.QUERIES["exposure_tests"](spark, SF).collect(), event_log(spark, SF).where("kind = 'save'").select("place").distinct().count()
+    assert len(tests) == places and all((r.adopters < 10) == (r.verdict == "insufficient_adopters") == (r.exposed_p is None) for r in tests)
     assert {r.test for r in registry.QUERIES["test_p_values"](spark, SF).collect()} == {"mann_whitney", "wilcoxon", "spearman"}
 
 

@@ -92,8 +92,7 @@ def test_eigenvector_equals_numpy(spark):
     m = np.triu(rng.integers(0, 4, (n, n)), 1)
     edges = spark.createDataFrame([(i, j, int(m[i, j])) for i in range(n) for j in range(n) if m[i, j]] + [(50, 51, 9)], "a long, b long, w long")
     want = np.abs(np.linalg.eigh(m + m.T)[1][:, -1])
-    for found in (replicates.eigenvector(edges), spectral.eigenvector(edges, written)):
-        assert {r.node: r.eigenvector for r in found.collect()} == {i: pytest.approx(want[i], abs=1e-5) for i in range(n)}
+    assert {r.node: r.eigenvector for r in spectral.eigenvector(edges, written).collect()} == {i: pytest.approx(want[i], abs=1e-5) for i in range(n)}
     star = spark.createDataFrame([(0, i, 2) for i in range(1, 5)], "a long, b long, w long")  # bipartite
     assert {r.node: r.eigenvector for r in spectral.eigenvector(star, written).collect()} == {i: pytest.approx(2**-0.5 if not i else 8**-0.5, abs=1e-6) for i in range(5)}
     assert {r.eigenvector for r in spectral.eigenvector(edges, written, rounds=1, loose=1e-12).collect()} == {None} and spectral.eigenvector(edges.limit(0), written).count() == 0
@@ -169,12 +168,32 @@ def test_agreement_of_shuffles(spark):
 def test_exposure_along_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(19)], "a long, b long")
     firsts = spark.createDataFrame([(i, i * 10) for i in range(12)], "actor long, first_us long")
-    seen = replicates.exposure_null(firsts, edges, 60).where("replicate < 0").first()
+    seen = diffusion.exposure_test(firsts, edges, 60).first()
     assert (seen.exposed, seen.inside) == (pytest.approx(11 / 12), 11) and seen.rho == pytest.approx(1)
     assert diffusion.exposure_test(firsts, edges, 60).first().verdict == "spread along network ties"
     assert diffusion.exposure_test(firsts.limit(5), edges, 10).first().verdict == "insufficient_adopters"
 
 
+def test_exposure_of_all_items_equals_a_plain_count(spark):
+    rng = np.random.default_rng(8)
+    arcs = sorted({tuple(sorted(map(int, rng.choice(40, 2, replace=False)))) for _ in range(70)} | {(50, 51)})
+    near = {}
+    for u, v in arcs:
+        near.setdefault(u, set()).add(v)
+        near.setdefault(v, set()).add(u)
+    uses = [(i, int(u), int(t)) for i in range(6) for u, t in zip(rng.choice(60, 4 + 4 * i, replace=False), rng.integers(0, 9, 4 + 4 * i), strict=True)]
+    got = {r.item: r for r in diffusion.exposure_tests(spark.createDataFrame(uses, "item long, actor long, first_us long"), "item", spark.createDataFrame(arcs, "a long, b long"), 50).collect()}
+    assert set(got) == set(range(6))
+    for i, r in got.items():
+        order = [u for _, u in sorted((t, u) for j, u, t in uses if j == i and u in near)]
+        assert r.adopters == len(order)
+        if len(order) < 10:
+            assert (r.exposed, r.rho, r.verdict) == (None, None, "insufficient_adopters")
+            continue
+        assert r.exposed == pytest.approx(sum(bool(near[u] & set(order[:k])) for k, u in enumerate(order)) / len(order))
+        assert r.inside == sum(u in order and v in order for u, v in arcs) and 0 < r.exposed_p <= 1 and 0 < r.inside_p <= 1
+
+
 def test_percolation_of_a_hand_built_log(spark):
     log = [("a", "b", 1), ("b", "a", 2), ("c", "d", 86_401), ("b", "c", 172_802), ("a", "d", 172_803)]
     pairs = spark.createDataFrame(log, "source string, target string, s long").select("source", "target", F.timestamp_seconds("s").alias("ts"))
