@@ -5,6 +5,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import swaps
+
 #: Edges that a replicate may hold in memory; larger graphs are refused, not sampled.
 MOST_EDGES = 5_000_000
 
@@ -70,8 +72,15 @@ def small_assortativity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.corrcoef(x, y)[0, 1]) if x.std() > 0 else 0.0
 
 
-def rewired_null(edges: DataFrame, n: int, seed: int = 1) -> DataFrame:
-    """replicate, transitivity, assortativity of n rewired copies of a < b."""
+#: Edges up to which each task makes whole copies of a network; beyond, all copies are made by joins.
+IN_A_TASK = 200_000
+
+
+def rewired_null(edges: DataFrame, n: int, keep, seed: int = 1) -> DataFrame:
+    """replicate, transitivity, assortativity of n rewired copies of a < b. Networks of up to IN_A_TASK edges are rewired in tasks, a copy a row;
+    larger ones, of any size, by rounds of joins over all copies."""
+    if edges.count() > IN_A_TASK:
+        return swaps.copies_statistics(swaps.swapped(edges, n, keep, seed=seed)[0])
     a, b = edge_arrays(edges, "a", "b")
     _, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
     held = edges.sparkSession.sparkContext.broadcast((codes[: len(a)], codes[len(a) :]))
