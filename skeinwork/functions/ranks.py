@@ -40,12 +40,12 @@ def rank_sums(df: DataFrame, value: str, first: str, *by: str) -> DataFrame:
     return sums.select(*by, "n1", "n2", u.alias("u"), "ties")
 
 
-def mann_whitney(df: DataFrame, value: str, first: str, *by: str) -> DataFrame:
+def mann_whitney(df: DataFrame, value: str, first: str, *by: str, ties: bool = False) -> DataFrame:
     """first: a boolean column. Returns n1, n2, u (of the rows where first holds), z by the normal approximation with
-    corrections for ties and continuity; z is null where all values are equal or a side is empty."""
+    corrections for ties and continuity; z is null where all values are equal or a side is empty. ties: with the sum of t**3 - t."""
     n = F.col("n1") + F.col("n2")
     sd = F.sqrt(F.col("n1") * F.col("n2") / 12.0 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1))))
-    return rank_sums(df, value, first, *by).select(*by, "n1", "n2", "u", F.round(F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2 - 0.5, sd), 4).alias("z"))
+    return rank_sums(df, value, first, *by).select(*by, "n1", "n2", "u", *(["ties"] if ties else []), F.round(F.try_divide(F.col("u") - F.col("n1") * F.col("n2") / 2 - 0.5, sd), 4).alias("z"))
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
@@ -69,13 +69,17 @@ def wilcoxon(df: DataFrame, difference: str) -> DataFrame:
 
 
 def p_values(found: DataFrame, kind: str) -> DataFrame:
-    """found, a table of few rows, with p_value: of mann_whitney (one-sided, greater, from z), wilcoxon (two-sided, exact up to 50
+    """found, a table of few rows, with p_value: of mann_whitney (one-sided, greater, from z; exact where ties
+    are given as none and a side has at most eight), wilcoxon (two-sided, exact up to 50
     differences without ties or zeros, else by the normal approximation, corrected for ties; null without differences) or
     spearman (two-sided, from n and rho)."""
     import pandas as pd
 
     def one(row) -> float | None:
         if kind == "mann_whitney":
+            n1, n2 = int(row.n1), int(row.n2)
+            if getattr(row, "ties", None) == 0 and 0 < min(n1, n2) <= 8:
+                return u_exact_tail(n1, n2, int(row.u))
             return None if row.z is None or math.isnan(row.z) else normal_tail(row.z)
         if kind == "wilcoxon":
             n, low = int(row.n), min(row.w_plus, row.w_minus)
@@ -98,6 +102,22 @@ def normal_tail(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def u_exact_tail(n1: int, n2: int, u: int) -> float:
+    """P(U >= u) of two groups without ties, by counting orders: the largest value is of the first group, above all of the second, or it
+    is of the second. Shares instead of counts, so no number is too large."""
+    import numpy as np
+
+    n, m = sorted((n1, n2))  # U has one distribution for both
+    size = n * m + 1
+    share = [np.eye(1, size)[0] for _ in range(n + 1)]  # of i and none
+    for j in range(1, m + 1):
+        for i in range(1, n + 1):
+            above = np.zeros(size)
+            above[j:] = share[i - 1][: size - j]
+            share[i] = (i * above + j * share[i]) / (i + j)
+    return float(share[n][max(0, u) :].sum())
+
+
 def wilcoxon_exact_tail(n: int, w: float) -> float:
     """P(W+ >= w) of n untied differences, by counting subsets of ranks."""
     ways = [1] + [0] * (n * (n + 1) // 2)

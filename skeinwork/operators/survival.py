@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.ranks import rank_sums
+from ..functions.ranks import mann_whitney, p_values, rank_sums
 
 
 def rewrites(events: DataFrame) -> DataFrame:
@@ -30,6 +30,54 @@ def multi_delete(events: DataFrame) -> DataFrame:
     return gone.groupBy("place").agg(F.count("*").alias("n_deletes"), F.min("gap").alias("fastest_us"), F.max("gap").alias("slowest_us")).where("n_deletes > 1")
 
 
+def removal_gaps(events: DataFrame, most: int = 20) -> DataFrame:
+    """For the most places that were removed most often, more than once (ties by place): place, removals, first_us, last_us, gaps_us (between its
+    removals, in order) and fastest_us."""
+    gone, us = events.where("kind = 'delete'"), F.unix_micros("ts")
+    top = gone.groupBy("place").agg(F.count("*").alias("removals")).where("removals > 1").orderBy(F.desc("removals"), "place").limit(most)
+    # only the removals of those places are listed
+    times = gone.join(F.broadcast(top), "place").groupBy("place", "removals").agg(F.sort_array(F.collect_list(us)).alias("at"))  # most rows
+    gaps = F.expr("transform(sequence(1, size(at) - 1), i -> at[i] - at[i - 1])")
+    return times.select("place", "removals", F.array_min("at").alias("first_us"), F.array_max("at").alias("last_us"), gaps.alias("gaps_us"), F.array_min(gaps).alias("fastest_us"))
+
+
+# A name's ending that is a time in seconds.
+EPOCH_SUFFIX = r"1[0-9]{9}$"
+
+
+def flagged(rows: DataFrame, names: DataFrame, boundary: str, home: str, letter: str = "Z", fragment: str = "zzz", epoch: str = EPOCH_SUFFIX) -> DataFrame:
+    """rows: of survival; names: place, wiki, name and obfuscated (whether its texts have an escaped host). Adds wiki, name and the marks of a
+    subject's name and birth: starts_with, contains, epoch_suffix, off_home, born_after, obfuscated."""
+    name = F.coalesce("name", F.lit(""))
+    both = rows.join(names.select("place", "wiki", "name", "obfuscated"), "place", "left")
+    return both.withColumns(
+        {
+            "starts_with": F.upper(name).startswith(letter.upper()), "contains": F.lower(name).contains(fragment.lower()), "epoch_suffix": name.rlike(epoch), "off_home": ~F.col("wiki").eqNullSafe(F.lit(home)),
+            "born_after": F.col("born_us") >= F.unix_micros(F.lit(boundary).cast("timestamp")), "obfuscated": F.coalesce("obfuscated", F.lit(False)),
+        }
+    )
+
+
+def by_tactic(rows: DataFrame, home: str) -> DataFrame:
+    """rows: of flagged. For each tactic: how many subjects have it, their share dead and median lifetime (to the log's end for those alive), over all and
+    over the home wiki alone (not for the tactic of being elsewhere)."""
+    tactics = {"all": F.lit(True), "starts_with": F.col("starts_with"), "contains": F.col("contains"), "epoch_suffix": F.col("epoch_suffix"), "obfuscated": F.col("obfuscated"), "off_home": F.col("off_home")}
+    own = (F.col("wiki") == home) & (F.col("tactic") != "off_home")
+    each = rows.select("wiki", "died_us", "lifetime_h", F.explode(F.array_compact(F.array(*[F.when(v, F.lit(k)) for k, v in tactics.items()]))).alias("tactic"))
+    dead = F.col("died_us").isNotNull().cast("int")
+    part = lambda cond, prefix: [F.count_if(cond).alias(f"{prefix}n"), F.round(F.avg(F.when(cond, dead)), 6).alias(f"{prefix}dead_share"), F.round(F.median(F.when(cond, F.col("lifetime_h"))), 4).alias(f"{prefix}median_h")]
+    found = each.groupBy("tactic").agg(*part(F.lit(True), ""), *part(F.coalesce(own, F.lit(False)), "home_"))
+    every = rows.sparkSession.createDataFrame([(k,) for k in tactics], "tactic string")
+    return every.join(F.broadcast(found), "tactic", "left").na.fill(0, ["n", "home_n"])  # six rows
+
+
+def week_tests(rows: DataFrame, marked, least: int = 5) -> DataFrame:
+    """For weeks with enough marked subjects: week, n_marked, n_rest, u (of the marked subjects' lifetimes, of the dead and the living, against the
+    others'), z and p_value (one-sided: the marked live longer; exact where a side has eight or fewer and no lifetimes are equal)."""
+    found = mann_whitney(rows.withColumn("g", marked), "lifetime_h", "g", "week", ties=True).where(F.col("n1") >= least)
+    return p_values(found, "mann_whitney").select("week", F.col("n1").alias("n_marked"), F.col("n2").alias("n_rest"), "u", "z", "p_value")
+
+
 def removal_totals(events: DataFrame) -> DataFrame:
     """One row: places removed once, places removed repeatedly, removals, the most of one place, distinct (time, place) groups."""
     gone = events.where("kind = 'delete'")
