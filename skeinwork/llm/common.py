@@ -31,19 +31,24 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def released(rows: Iterator) -> Iterator:
-    """rows; when they end, the worker gives memory that it no longer uses back to the system, as it waits for its next task with
-    what the last one took."""
+def give_back() -> None:
+    """Memory that this process no longer uses goes back to the system: the driver after it has fitted a model, a worker as it waits for
+    its next task."""
     import ctypes
 
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
+def released(rows: Iterator) -> Iterator:
+    """rows; when they end, the worker gives memory back."""
     try:
         yield from rows
     finally:
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (OSError, AttributeError):  # not every C library has it
-            pass
+        give_back()
 
 
 def in_arrow(df: DataFrame, run: Callable, schema, keeps: str | None = None) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import added, fold, map_texts
+from .common import added, fold, give_back, map_texts
 
 #: Rows that language models may learn from: those whose remainder is not this one.
 FOLDS, HELD_OUT = 4, 2
@@ -126,7 +126,7 @@ def decide(codes: np.ndarray, languages: list[str], sieves: list[np.ndarray], fa
 
 def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     """Up to about SAMPLE_TEXTS texts of each language, by a hash of doc_id and text, from the rows to learn from. Equal texts of
-    one doc_id (or none) count once; beyond twice ALL_TEXTS and SHORTEST a language, those of the highest hashes are left out."""
+    one doc_id (or none) count once."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(FOLDS) != HELD_OUT))
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
     if not counts:
@@ -138,7 +138,7 @@ def training_sample(docs: DataFrame) -> dict[str, list[str]]:
     most = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, int((1 << 20) * min(1.0, each / n)))])
     short = rows.where(F.length("text") <= SAMPLE_CHARS).withColumn("key", key)
     taken = short.where(F.pmod("key", F.lit(1 << 20)) < most[F.col("lang")]).dropDuplicates(["lang", "key"])
-    taken = taken.orderBy("key", "lang").limit(2 * ALL_TEXTS + SHORTEST * len(counts)).select("lang", "text")
+    taken = taken.select("lang", "text")
     out: dict[str, list[str]] = {k: [] for k in counts}
     for lang, text in sorted(zip(*[c.to_pylist() for c in taken.toArrow().columns], strict=True)):
         out[lang].append(text)
@@ -153,6 +153,7 @@ def training_sample(docs: DataFrame) -> dict[str, list[str]]:
 def predicted(docs: DataFrame, carry: bool = False) -> DataFrame:
     """lang_pred and score beside doc_id, or with carry (under added() names) beside all columns of docs."""
     held = docs.sparkSession.sparkContext.broadcast((*learn(training_sample(docs)), letter_table()))
+    give_back()
 
     def make():
         languages, sieves, false, table = held.value

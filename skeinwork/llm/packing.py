@@ -26,8 +26,8 @@ LENGTH, END = 4096, 2
 #: Tokens that a block holds at least, unless the input ends.
 BLOCK = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / LENGTH
-#: Words of each generation whose ids a task keeps.
-KEPT = 600_000
+#: Bytes of the words of each generation, and of the runs, whose ids a worker keeps; what an entry takes beside its bytes.
+KEPT_BYTES, ENTRY = 112 << 20, 170
 UNSPLIT, RUN, LETTERS = regex.compile(r"'|<[|]|İ"), regex.compile(r"\p{L}+|\P{L}+"), regex.compile(r"[\p{Ll}]+")
 ASCII_RUN = re.compile(r"[A-Za-z]+|[^A-Za-z]+")
 #: A task's sequences are numbered from its own number times this.
@@ -91,11 +91,13 @@ class Words(dict):
     vocabulary, and so do the borders between letters and others: a text's ids are its words' ids in a row, and a word's
     those of its runs, unless it has an apostrophe (which goes with letters), a special token's beginning or what normalization takes apart or joins."""
 
-    def __init__(self, description: str):
+    def __init__(self, description: str, most: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.most = most
         self.library, self.old, self.runs = Tokenizer.from_str(description), {}, {}
+        self.held = self.runs_held = 0
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -120,9 +122,10 @@ class Words(dict):
         ids = known[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], lengths) + np.arange(ends[-1])]
         edges = ends[np.concatenate([[0], np.cumsum(counts)])].tolist()
         out = [ids[a:b] for a, b in itertools.pairwise(edges)]
-        if len(self) >= KEPT:
+        if self.held >= self.most:
             self.old = dict(self)
             self.clear()
+            self.held = 0
         return out
 
     def learn(self, missing: set[bytes]) -> None:
@@ -137,15 +140,18 @@ class Words(dict):
             else:
                 text = w.decode()
                 parts[w] = RUN.findall(text) if not UNSPLIT.search(text) and unicodedata.is_normalized("NFC", text) else [text]
-        if len(self.runs) >= KEPT:
+        if self.runs_held >= self.most:
             self.runs.clear()
+            self.runs_held = 0
         letters, others = [], []
         for p in set().union(*parts.values()).difference(self.runs):
             (letters if LETTERS.fullmatch(p) else others).append(p)
         self.encode(letters, others)
         runs = self.runs
+        self.runs_held += sum(ENTRY + len(p) + len(runs[p]) for p in itertools.chain(letters, others))
         for w, own in parts.items():
             self[w] = runs[own[0]] if len(own) == 1 else b"".join([runs[p] for p in own])
+        self.held += sum(ENTRY + len(w) + len(self[w]) for w in missing)
 
     def encode(self, letters: list[str], others: list[str]) -> None:
         """Letters in one text each 10,000: every run is one token row with an end; others one by one."""
@@ -164,8 +170,9 @@ class Words(dict):
                 self.runs[p] = np.array(e.ids, np.uint32).tobytes()
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """docs: doc_id, text. Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, kept_bytes: int = KEPT_BYTES) -> DataFrame:
+    """docs: doc_id, text. Returns a row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. kept_bytes: of
+    words and of runs in a worker's memory (of words twice that, for a moment); fewer take more time."""
     with open(tokenizer_path) as file:
         held = docs.sparkSession.sparkContext.broadcast(file.read())  # a vocabulary: of fixed size
 
@@ -173,9 +180,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        return Words(held.value)
+        return Words(held.value, kept_bytes)
 
-    name = f"words {zlib.crc32(held.value.encode())} {len(held.value)}"
+    name = f"words {zlib.crc32(held.value.encode())} {len(held.value)} {kept_bytes}"
 
     def run(batches):
         import pyarrow as pa

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import added, fold, map_texts, words_of
+from .common import added, fold, give_back, map_texts, words_of
 
 #: Labelled rows that the machine may learn from: those whose remainder is not this one.
 FOLDS, HELD_OUT = 5, 0
@@ -123,7 +123,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray
     # chance alone gives a class a few rows more than its bound
     share = {k: min(1.0, b / r.n if r.n > 1.2 * b else 1.0, CLASS_BYTES / max(1, r["size"])) for k, b in bound.items() if (r := there.get(k))}
     labelled = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < by_class({k: int((1 << 20) * share.get(k, 1.0)) for k in bound})).dropDuplicates(["key", "toxic"])
-    labelled = labelled.orderBy("key").limit(2 * sum(bound.values())).select(F.col("toxic").alias("doc_id"), "text")
+    labelled = labelled.select(F.col("toxic").alias("doc_id"), "text")
     found = map_texts(labelled, "terms binary", lambda: lambda ts: [[terms(t).tobytes() for t in ts]]).toArrow()
     rows = sorted(zip(found.column("terms").to_pylist(), found.column("doc_id").to_pylist(), strict=True))
     return [np.frombuffer(t, np.uint64) for t, _ in rows], np.array([float(y) for _, y in rows])
@@ -132,6 +132,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> tuple[list[np.ndarray
 def scorer(docs: DataFrame, labels: DataFrame):
     """Fits a machine; returns what map_texts needs to score with it."""
     held = docs.sparkSession.sparkContext.broadcast(fit(*training_sample(docs, labels)).__dict__)
+    give_back()
 
     def make():
         machine = Machine.__new__(Machine)

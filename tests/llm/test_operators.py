@@ -555,12 +555,11 @@ def test_rows_with_maps_are_told_apart(spark):
     assert sorted(r.doc_id for r in kept) == [1, 3] and len(kept) == 2
 
 
-def test_word_cache_stays_in_its_bounds(monkeypatch):
+def test_word_cache_stays_in_its_bounds():
     from pathlib import Path
 
-    monkeypatch.setattr(packing, "KEPT_BYTES", 30_000)
-    cache = packing.Words(Path(queries.tokenizer_path("word_bpe_49k.json")).read_text())
-    fresh = lambda: packing.Words(Path(queries.tokenizer_path("word_bpe_49k.json")).read_text())
+    vocabulary = Path(queries.tokenizer_path("word_bpe_49k.json")).read_text()
+    cache, fresh = packing.Words(vocabulary, 30_000), lambda: packing.Words(vocabulary)
     rng = random.Random(9)
     for _ in range(30):
         text = " ".join("".join(rng.choices("abcdeé1'", k=rng.randint(1, 9))) for _ in range(60))
