@@ -1,4 +1,9 @@
-"""A corpus from raw documents to packed sequences: each stage is an operator of its own, its decisions take effect."""
+"""A corpus from raw documents to packed sequences: each stage is an operator of its own, its decisions take effect.
+
+Stages judge rows one by one but for near duplicates and substrings, and carry every column of documents, whatever else it is called.
+Null and empty texts, and texts without a letter, have no language and go. A null doc_id is a document of its own; of rows that
+repeat, or are alike, one stays: that with the smallest doc_id, those without one last, ties by hashes of text and row. A passage
+that an earlier document has goes. Very long texts are processed whole, as slices of their own. Empty tables give no rows."""
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -6,6 +11,9 @@ from skeinwork.llm import language, neardup, packing, substrings, toxicity
 from skeinwork.llm.common import documents, written
 from skeinwork.llm.queries import tokenizer_path
 
+#: Bytes of words that a packing worker keeps.
+WORD_BYTES = 24 << 20
+
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language go."""
@@ -28,8 +36,8 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
-    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"))
+    """Pieces of all documents in sequences. The workers of the stages before are still there: words take less of their memory."""
+    return packing.pack_documents(docs, tokenizer_path("word_bpe_49k.json"), WORD_BYTES)
 
 
 STAGES = [
