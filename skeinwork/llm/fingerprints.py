@@ -25,6 +25,8 @@ from pyspark.sql import Window as W
 BASE, ATTEMPTS = 8, (16, 32, 64, 128, 256)
 #: Digests that a part of a larger attempt has on average, rounds of peeling, most ranges of doc_id and parts of each.
 PART, ROUNDS, MOST_RANGES, SUBRANGES = 20, 12, 1024, 64
+#: Recovered digests: of which side, and the digest.
+FOUND = "array<struct<n: int, k: bigint>>"
 
 
 def let(value: str, name: str, body: str) -> str:
@@ -64,35 +66,60 @@ def minus(keys: str) -> str:
 
 
 def peeled(cells: str, wide: int, attempt: int) -> str:
-    """How many digests come out of a difference of sketches; null if some stay. Each step takes the digests of all cells that
-    hold a single one out of all their cells; when there is none, the steps that are left do nothing."""
+    """The digests that come out of a difference of sketches, as structs of digest (k) and side (n: 1 for the first document's, -1 for
+    the second's); null if some stay. Each step takes the digests of all cells that hold a single one out of all their cells;
+    when there is none, the steps that are left do nothing."""
     single = f"filter(st.cells, x -> abs(x.n) = 1 and x.c = {check_of('x.k')})"
     take = "named_struct('n', u.n - o.n, 'k', u.k ^ o.k, 'c', u.c ^ o.c)"
     rest = f"transform(st.cells, (x, i) -> aggregate(pure, x, (u, o) -> if(o.p = i or o.q = i or o.r = i, {take}, u)))"
     state = lambda cells, found, ended: f"named_struct('cells', {cells}, 'found', {found}, 'ended', {ended})"
-    out = f"if(size(pure) = 0, {state('st.cells', 'st.found', 'true')}, {state(rest, 'st.found + size(pure)', 'false')})"
+    out = f"if(size(pure) = 0, {state('st.cells', 'st.found', 'true')}, {state(rest, "concat(st.found, transform(pure, o -> named_struct('n', o.n, 'k', o.k)))", 'false')})"
     step = f"if(st.ended, st, {let(f'array_distinct({placed(single, wide, attempt)})', 'pure', out)})"
-    end = "if(exists(st.cells, x -> x.n <> 0 or x.k <> 0), cast(null as int), st.found)"
-    return f"aggregate(sequence(1, {ROUNDS}), {state(cells, '0', 'false')}, (st, t) -> {step}, st -> {end})"
+    end = f"if(exists(st.cells, x -> x.n <> 0 or x.k <> 0), cast(null as {FOUND}), st.found)"
+    return f"aggregate(sequence(1, {ROUNDS}), {state(cells, f'cast(array() as {FOUND})', 'false')}, (st, t) -> {step}, st -> {end})"
 
 
 def differing(keys_a: str, keys_b: str, cells_a: str, cells_b: str) -> str:
-    """Number of digests that only one of two documents has, by ever larger sketches. Lazily: coalesce stops at the first that
+    """The digests that only one of two documents has, with their side, by ever larger sketches. Lazily: coalesce stops at the first that
     peels. Parts are found in two steps, so a text of many paragraphs isn't passed over once for each part."""
     subtract = f"zip_with({cells_a}, {cells_b}, (a, b) -> named_struct('n', a.n - b.n, 'k', a.k ^ b.k, 'c', a.c ^ b.c))"
     both = f"concat({keys_a}, {minus(keys_b)})"
     side = f"cast(ceil(sqrt((1 + size(every)) / {PART}.0D)) as int)"
     tries = ", ".join(peeled(sketch("own", wide, k), wide, k) for k, wide in enumerate(ATTEMPTS, 1))
     part = let("filter(some, z -> pmod(shiftright(z.k, 30), side) = h)", "own", f"coalesce({tries})")
-    inner = f"aggregate(transform(sequence(0, side - 1), h -> {part}), 0, (s, x) -> s + x)"
+    inner = f"flatten(transform(sequence(0, side - 1), h -> {part}))"
     outer = let("filter(every, z -> pmod(z.k, side) = g)", "some", inner)
-    parts = f"aggregate(transform(sequence(0, side - 1), g -> {outer}), 0, (s, x) -> s + x)"  # null if one part is
+    parts = f"flatten(transform(sequence(0, side - 1), g -> {outer}))"  # null if one part is
     return f"coalesce({peeled(subtract, BASE, 0)}, {let(both, 'every', let(side, 'side', parts))})"
 
 
-def likeness(keys_a: str, keys_b: str, cells_a: str, cells_b: str) -> str:
+def likeness(keys_a: str, keys_b: str, found: str) -> str:
     total = f"(size({keys_a}) + size({keys_b}))"
-    return f"if({total} = 0, 1.0D, round(1 - {differing(keys_a, keys_b, cells_a, cells_b)} / cast({total} as double), 6))"
+    return f"if({total} = 0, 1.0D, round(1 - size({found}) / cast({total} as double), 6))"
+
+
+def side(found: str, n: int) -> str:
+    """Sorted digests of one side."""
+    return f"array_sort(transform(filter({found}, x -> x.n = {n}), x -> x.k))"
+
+
+def changes(pairs: DataFrame, old: str, new: str) -> DataFrame:
+    """pairs: two texts and whatever. Its columns with removed and added: the digests of paragraphs that only the old or only the new text has,
+    sorted, recovered from the difference of both texts' sketches; null if no sketch peels. digest_of() tells whose they are. removed and
+    added take the place of columns of these names."""
+    rows = pairs
+    for name, c in (("_a", old), ("_b", new)):
+        rows = rows.withColumn(name, F.expr(digests(f"coalesce(cast(`{c}` as string), '')"))).withColumn(f"{name}_cells", F.expr(sketch(name, BASE, 0)))
+    rows = rows.withColumn("_found", F.expr(differing("_a", "_b", "_a_cells", "_b_cells")))
+    keep = [c for c in pairs.columns if c.lower() not in ("removed", "added")]
+    return rows.select(*keep, F.expr(side("_found", 1)).alias("removed"), F.expr(side("_found", -1)).alias("added"))
+
+
+def digest_of(paragraph: str) -> int:
+    """The digest of a paragraph, as sketches hold it."""
+    import hashlib
+
+    return int(hashlib.md5(paragraph.encode()).hexdigest()[:15], 16)
 
 
 def shown(keys: str, cells: str) -> str:
@@ -131,18 +158,33 @@ def with_next(docs: DataFrame) -> DataFrame:
     return dealt.withColumn("next", F.lead(F.struct("text", "keys", "cells")).over(order)).where("guest = 0").select("doc_id", "text", "keys", "cells", "next")
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, text. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+def compared(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text. doc_id, text, edited (its edited text) and next_text; keys, e_keys, n_keys: digests of the paragraphs of the three;
+    cells, e_cells: sketches; edited_found, next_found: digests that only one of the text and the edited or next one has, with
+    their side (n: 1 for the text's own)."""
     rows = with_next(docs).withColumn("n", F.length("text"))
     half = "int(n div 2)"
     rows = rows.withColumn("edited", F.expr(f"concat(substring(text, 1, n - {half}), substring(next.text, 1, {half}))"))
     rows = rows.withColumn("e_keys", F.expr(digests("edited")))
     rows = rows.withColumn("e_cells", F.expr(sketch("e_keys", BASE, 0)))
     return rows.select(
+        "doc_id", "text", "n", "edited", F.col("next.text").alias("next_text"), "keys", "e_keys", F.col("next.keys").alias("n_keys"), "cells", "e_cells",
+        F.expr(differing("keys", "e_keys", "cells", "e_cells")).alias("edited_found"), F.expr(differing("keys", "next.keys", "cells", "next.cells")).alias("next_found"),
+    )
+
+
+def document_changes(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text. doc_id, and the paragraph digests that the edited and the next text remove and add (sorted; null if no
+    sketch peels): edited_removed, edited_added, next_removed, next_added."""
+    return compared(docs).select("doc_id", *[F.expr(side(f"{k}_found", n)).alias(f"{k}_{name}") for k in ("edited", "next") for n, name in ((1, "removed"), (-1, "added"))])
+
+
+def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    """docs: doc_id, text. Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
+    return compared(docs).select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
         F.expr(shown("keys", "cells")).alias("fingerprint"), F.expr(shown("e_keys", "e_cells")).alias("edited_fingerprint"),
-        F.expr(likeness("keys", "e_keys", "cells", "e_cells")).alias("near_edited"),
-        F.expr(likeness("keys", "next.keys", "cells", "next.cells")).alias("near_next"),
+        F.expr(likeness("keys", "e_keys", "edited_found")).alias("near_edited"), F.expr(likeness("keys", "n_keys", "next_found")).alias("near_next"),
     )
 
 

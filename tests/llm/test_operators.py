@@ -566,3 +566,22 @@ def test_word_cache_stays_in_its_bounds():
         assert (cache.look_up(pa.array([text]))[0] == fresh().look_up(pa.array([text]))[0]).all()
         size = lambda d: sum(packing.ENTRY + len(k) + len(v) for k, v in d.items())
         assert cache.held == size(cache) and size(cache.old) < 60_000 and size(cache.runs) < 60_000
+
+
+def test_peeling_recovers_the_paragraphs(spark):
+    """Both lists of digests are those of plain sets, for few and for many differing paragraphs."""
+    rng = random.Random(12)
+    texts = []
+    for n, changed in ((0, 0), (5, 0), (5, 2), (40, 3), (300, 90), (900, 900), (1, 1)):
+        old = [f"p{rng.randrange(10**9)}" for _ in range(n)]
+        new = [x for x in old[changed // 2 :]] + [f"q{rng.randrange(10**9)}" for _ in range(changed - changed // 2)]
+        texts.append(("\n".join(old), "\n".join(new + new[:3])))
+    texts += [(None, "a\n\nb"), ("a", None), ("a\na", "a")]
+    pairs = spark.createDataFrame([(i, *t, "x", 1) for i, t in enumerate(texts)], "id long, old string, new string, added string, n int")
+    got = {r.id: r for r in fingerprints.changes(pairs, "old", "new").collect()}
+    of = lambda t: {fingerprints.digest_of(p) for p in (t or "").split("\n") if p}
+    for i, (old, new) in enumerate(texts):
+        assert (got[i].removed, got[i].added) == (sorted(of(old) - of(new)), sorted(of(new) - of(old)))
+    docs = documents(spark, ["a\nb", "b\nc", None])
+    found = rows(fingerprints.document_changes(docs))
+    assert found[0].next_removed == [fingerprints.digest_of("a")] and found[0].next_added == [fingerprints.digest_of("c")] and found[2].next_removed == []
