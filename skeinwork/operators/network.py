@@ -33,14 +33,21 @@ def bipartite_nodes(events: DataFrame, left: str, right: str) -> DataFrame:
     return side(left, 0).unionByName(side(right, 1)).groupBy("node", "kind", "bipartite").agg(F.count("*").alias("n_events"), F.min("us").alias("first_us"), F.max("us").alias("last_us"))
 
 
-def newman_projection(members: DataFrame, group: str, member: str, most: int | None = None) -> DataFrame:
-    """members: distinct group, member. a < b, w: each shared group adds 1 / (k - 1), k its members; shared. most: groups with
-    more members are left out when asked for, as their pairs grow with the square."""
+def first_touch(events: DataFrame, key: str, *attributes: str) -> DataFrame:
+    """events: key, ts, id and attributes. key, and of each attribute the first value that isn't null: what is set once stays."""
+    first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("ts", "id"))).alias(c)
+    return events.where(F.col(key).isNotNull()).groupBy(key).agg(*[first(c) for c in attributes])
+
+
+def newman_projection(members: DataFrame, group: str, member: str, most: int | None = None, seen: str | None = None) -> DataFrame:
+    """members: distinct group, member (and seen, if named: when the group was last seen). a < b, w: each shared group adds 1 / (k - 1), k its
+    members; shared; first_seen, last_seen: of the shared groups, if seen is named. most: groups with more members are left out
+    when asked for, as their pairs grow with the square."""
     sized = members.withColumn("k", F.count("*").over(W.partitionBy(group))).where("k >= 2")
     sized = sized if most is None else sized.where(F.col("k") <= most)
     x, y = sized.alias("x"), sized.alias("y")
     pairs = x.join(y, (F.col(f"x.{group}") == F.col(f"y.{group}")) & (F.col(f"x.{member}") < F.col(f"y.{member}")))
-    return pairs.groupBy(F.col(f"x.{member}").alias("a"), F.col(f"y.{member}").alias("b")).agg(F.round(F.sum(1 / (F.col("x.k") - 1)), 6).alias("w"), F.count("*").alias("shared"))
+    return pairs.groupBy(F.col(f"x.{member}").alias("a"), F.col(f"y.{member}").alias("b")).agg(F.round(F.sum(1 / (F.col("x.k") - 1)), 6).alias("w"), F.count("*").alias("shared"), *([F.min(f"x.{seen}").alias("first_seen"), F.max(f"x.{seen}").alias("last_seen")] if seen else []))
 
 
 def projection_nodes(members: DataFrame, group: str, member: str, most: int | None = None) -> DataFrame:

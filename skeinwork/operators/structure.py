@@ -134,9 +134,22 @@ def graph_payload(edges: DataFrame, nodes: DataFrame, most: int) -> tuple[DataFr
     return nodes.join(nodes_of(links), "node", "left_semi").join(handoff.degrees(edges), "node", "left"), links
 
 
+#: Rewired copies and sources of betweenness of layers of two kinds, projections and the like.
+HEAVY_COPIES, HEAVY_SOURCES = 30, 300
+
+
+def layer_budget(edges: int, doubled: bool, nulls: int = 200, sources: int = 500) -> tuple[int, int, int]:
+    """How many rewired copies, sources of betweenness and copies for modularity a layer gets. doubled: of two kinds, or projected: such layers
+    get no more than HEAVY_COPIES and HEAVY_SOURCES, and after that all the rule of null_budget."""
+    asked = min(nulls, HEAVY_COPIES) if doubled else nulls
+    copies = replicates.null_budget(edges, doubled, asked)
+    return copies, min(sources, HEAVY_SOURCES) if doubled else sources, replicates.null_budget(edges, doubled, max(10, asked // 8))
+
+
 def layer_report(layers: dict[str, tuple[DataFrame, bool, bool]], keep: Keep, nulls: int = 200) -> DataFrame:
     """layers: (edges, directed, of two kinds or projected) by name. A row for each: layer, nodes, edges, density, reciprocity (null
-    where undirected), transitivity, components, giant_share, max_core and how many null copies it is worth."""
+    where undirected), transitivity, components, giant_share, max_core and what layer_budget gives it: null_copies, sources and
+    modularity_copies. A layer without edges has zeros."""
     out = None
     for name, (edges, directed, doubled) in layers.items():
         edges = keep(edges.select("src", "dst", "weight"), "layer")
@@ -147,7 +160,7 @@ def layer_report(layers: dict[str, tuple[DataFrame, bool, bool]], keep: Keep, nu
         row = handoff.describe(edges, directed).crossJoin(handoff.reciprocity(edges).select("reciprocity")).crossJoin(network.transitivity(g).select("transitivity")).crossJoin(weak).crossJoin(cores)  # one row each
         row = row.select(
             F.lit(name).alias("layer"), F.col("n_nodes").alias("nodes"), F.col("n_edges").alias("edges"), "density", (F.col("reciprocity") if directed else F.lit(None).cast("double")).alias("reciprocity"), "transitivity",
-            "components", F.round(F.coalesce(F.try_divide("giant", "n_nodes"), F.lit(0.0)), 6).alias("giant_share"), "max_core", F.lit(replicates.null_budget(g.count(), doubled, nulls)).alias("null_copies"),
+            "components", F.round(F.coalesce(F.try_divide("giant", "n_nodes"), F.lit(0.0)), 6).alias("giant_share"), "max_core", *[F.lit(n).alias(k) for k, n in zip(("null_copies", "sources", "modularity_copies"), layer_budget(g.count(), doubled, nulls), strict=True)],
         )
         out = row if out is None else out.unionByName(row)
     return out

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..functions import text as T
-from ..operators import activity, diffusion, handoff, network, populations, references, replicates, structure, survival
+from ..operators import activity, copies, diffusion, handoff, network, populations, references, replicates, structure, survival
 from ..sources.shared import written
 from ..sources.tables import BOUNDARY, EVENT_LOG_SQL, event_log, table
 from .event_queries import PAIRS, edges, pairs
@@ -32,9 +32,7 @@ query("component_profile", STRONG.replace("strong AS (SELECT x.a", "bw AS (SELEC
 SELECT (SELECT count(*) FROM n) AS nodes, (SELECT count(*) FROM ws) AS weak_components, (SELECT max(k) FROM ws) AS giant_weak, round((SELECT max(k) FROM ws) / (SELECT count(*) FROM n), 6) AS giant_weak_share,
   (SELECT count(*) FROM ss) AS strong_components, (SELECT max(k) FROM ss) AS giant_strong, round((SELECT max(k) FROM ss) / (SELECT count(*) FROM n), 6) AS giant_strong_share""",
       lambda s, d: structure.component_profile(edges(s, d), written))
-sparse_log = lambda s, d: handoff.handoff_edges(handoff.handoff_pairs(event_log(s, d), 600))
-SPARSE = PAIRS.replace("gap <= 21600", "gap <= 600")
-query("triad_census", SPARSE + """, p AS (SELECT src AS a, dst AS b FROM edges), n AS (SELECT a AS v FROM p UNION SELECT b FROM p
+query("triad_census", PAIRS + """, p AS (SELECT src AS a, dst AS b FROM edges), n AS (SELECT a AS v FROM p UNION SELECT b FROM p
 ), t AS (SELECT x.v AS x, y.v AS y, z.v AS z FROM n x JOIN n y ON x.v < y.v JOIN n z ON y.v < z.v
 ), c AS (SELECT (q1.a IS NOT NULL)::INT AS xy, (q2.a IS NOT NULL)::INT AS yx, (q3.a IS NOT NULL)::INT AS xz, (q4.a IS NOT NULL)::INT AS zx, (q5.a IS NOT NULL)::INT AS yz, (q6.a IS NOT NULL)::INT AS zy FROM t
   LEFT JOIN p q1 ON q1.a = x AND q1.b = y LEFT JOIN p q2 ON q2.a = y AND q2.b = x LEFT JOIN p q3 ON q3.a = x AND q3.b = z LEFT JOIN p q4 ON q4.a = z AND q4.b = x LEFT JOIN p q5 ON q5.a = y AND q5.b = z LEFT JOIN p q6 ON q6.a = z AND q6.b = y
@@ -43,7 +41,7 @@ query("triad_census", SPARSE + """, p AS (SELECT src AS a, dst AS b FROM edges),
   WHEN m = 1 AND w = 2 THEN CASE WHEN i = [0, 2, 2] THEN '120D' WHEN o = [0, 2, 2] THEN '120U' ELSE '120C' END WHEN m = 1 AND w = 1 THEN CASE WHEN i = [0, 1, 2] THEN '111D' ELSE '111U' END WHEN m = 1 THEN '102'
   WHEN w = 3 THEN CASE WHEN o = [1, 1, 1] THEN '030C' ELSE '030T' END WHEN w = 2 THEN CASE WHEN o = [0, 0, 2] THEN '021D' WHEN i = [0, 0, 2] THEN '021U' ELSE '021C' END WHEN w = 1 THEN '012' ELSE '003' END AS triad FROM d
 ), names AS (SELECT unnest(['003', '012', '102', '021D', '021U', '021C', '111D', '111U', '030T', '030C', '201', '120D', '120U', '120C', '210', '300']) AS triad)
-SELECT names.triad, count(k.triad) AS n FROM names LEFT JOIN k ON k.triad = names.triad GROUP BY names.triad""", lambda s, d: structure.triad_census(sparse_log(s, d), written))
+SELECT names.triad, count(k.triad) AS n FROM names LEFT JOIN k ON k.triad = names.triad GROUP BY names.triad""", lambda s, d: structure.triad_census(edges(s, d), written))
 MARKS = ", mk AS (SELECT era, round(avg(a::INT), 6) AS crowded_share, round(avg(b::INT), 6) AS low_share, round(avg((a OR b)::INT), 6) AS any_share FROM (SELECT " + ERA + " AS era, place::INTEGER % 7 = 0 AS a, place::INTEGER < 10 AS b FROM ev WHERE kind = 'save') GROUP BY era)"
 query("structural_break", PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + f""", x AS (SELECT {ERA} AS era, source AS src, target AS dst, count(*) AS w FROM pairs GROUP BY ALL
 ), n AS (SELECT era, src AS v FROM x UNION SELECT era, dst FROM x), nn AS (SELECT era, count(*) AS n FROM n GROUP BY era
@@ -94,6 +92,11 @@ query("label_prefix_edges", E + " SELECT 'label:' || actor AS src, 'prefix:' ||
       lambda s, d: network.bipartite(populations.agent_rows(event_log(s, d).where("kind = 'save'"), "actor", [0, 1, 2]).select(F.col("actor").alias("label"), F.substring("place", 1, 1).alias("prefix"), "ts"), "label", "prefix"))
 query("projection_nodes", "WITH m AS (SELECT DISTINCT l_partkey AS g, l_suppkey AS m FROM lineitem), k AS (SELECT *, count(*) OVER (PARTITION BY g) AS k FROM m) SELECT m AS node, sum(k - 1)::BIGINT AS touches, count(*) AS strength FROM k WHERE k >= 2 GROUP BY m",
       lambda s, d: network.projection_nodes(table(s, d, "lineitem").select(F.col("l_partkey").alias("g"), F.col("l_suppkey").alias("m")).distinct(), "g", "m"))
+query("projection_seen", E + """, m AS (SELECT place, actor, max(epoch_us(max(ts))) OVER (PARTITION BY place) AS seen FROM ev WHERE kind = 'save' GROUP BY place, actor), k AS (SELECT *, count(*) OVER (PARTITION BY place) AS k FROM m)
+SELECT x.actor AS a, y.actor AS b, round(sum(1 / (x.k - 1)), 6) AS w, count(*) AS shared, min(x.seen) AS first_seen, max(x.seen) AS last_seen FROM k x JOIN k y ON x.place = y.place AND x.actor < y.actor GROUP BY x.actor, y.actor""", lambda s, d: projection_seen(s, d))
+query("first_touch", E + """, r AS (SELECT place, kind, value, row_number() OVER (PARTITION BY place ORDER BY ts, id) AS k, row_number() OVER (PARTITION BY place, value > 50 ORDER BY ts, id) AS j FROM ev)
+SELECT place, max(kind) FILTER (k = 1) AS kind, max(value) FILTER (value > 50 AND j = 1) AS large FROM r GROUP BY place""", lambda s, d: network.first_touch(event_log(s, d).withColumn("large", F.when(F.col("value") > 50, F.col("value"))), "place", "kind", "large"))
+query("core_view", DEG.replace("deg AS (", "und AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst GROUP BY ALL), deg AS (") + ", ud AS (SELECT node, count(*) AS d FROM (SELECT a AS node FROM und UNION ALL SELECT b FROM und) GROUP BY node) SELECT node FROM ud ORDER BY d DESC, node LIMIT 12", lambda s, d: structure.inner_core(undirected(s, d), network.k_core(undirected(s, d), written), 1 << 30, 12))
 query("kind_counts", E + " SELECT 'actor' AS kind, count(DISTINCT actor) AS n FROM ev WHERE kind = 'save' UNION ALL SELECT 'place', count(DISTINCT place) FROM ev WHERE kind = 'save'", lambda s, d: network.bipartite_nodes(event_log(s, d).where("kind = 'save'"), "actor", "place").groupBy("kind").agg(F.count("*").alias("n")))
 query("layer_report", None, lambda s, d: layer_report(s, d))
 query("activity_prefixes", E + ", g AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), date_trunc('day', max(ts)), INTERVAL 1 day)) AS b FROM ev) SELECT epoch_us(b) AS bucket_us, count(DISTINCT left(place, 1)) FILTER (kind = 'save') AS prefix_values FROM g LEFT JOIN ev ON date_trunc('day', ts) = b GROUP BY b",
@@ -105,6 +108,8 @@ PAGEROWS = f"WITH p AS (SELECT page_id, page_id % 17 AS label, 'p' || page_id AS
 layer = lambda s, d, left: network.bipartite(references.host_mentions(page_rows(s, d), T.TEST_RULES).select(left, "host", "ts"), left, "host")
 query("page_host_edges", PAGEROWS + " SELECT 'page:' || page AS src, 'host:' || host AS dst, count(*) AS weight, min(us) AS first_us, max(us) AS last_us FROM p GROUP BY 1, 2", lambda s, d: layer(s, d, "page"))
 query("label_host_edges", PAGEROWS + " SELECT 'label:' || label AS src, 'host:' || host AS dst, count(*) AS weight, min(us) AS first_us, max(us) AS last_us FROM p GROUP BY 1, 2", lambda s, d: layer(s, d, "label"))
+query("label_host_agents", PAGEROWS + " SELECT 'label:' || label AS src, 'host:' || host AS dst, count(*) AS weight, min(us) AS first_us, max(us) AS last_us FROM p WHERE label NOT IN (0, 1, 2) GROUP BY 1, 2",
+      lambda s, d: network.bipartite(populations.agent_rows(references.host_mentions(page_rows(s, d), T.TEST_RULES), "label", [0, 1, 2]).select("label", "host", "ts"), "label", "host"))
 query("host_techniques", PAGEROWS + " SELECT CASE WHEN regexp_matches(host, '\\.example\\.(com|org|net)$') THEN 'example' WHEN regexp_matches(host, '^[0-9]+(\\.[0-9]+){3}$') THEN 'address' WHEN regexp_matches(host, '[0-9]') THEN 'numbered' ELSE 'other' END AS technique, count(*) AS n, count(DISTINCT host) AS hosts, false AS obfuscated FROM p GROUP BY 1",
       lambda s, d: references.host_mentions(page_rows(s, d), T.TEST_RULES).groupBy("technique").agg(F.count("*").alias("n"), F.countDistinct("host").alias("hosts"), F.max("obfuscated").alias("obfuscated")))
 ESCAPED = "CASE WHEN page_id % 3 = 0 THEN replace(url, '.', '%2e') WHEN page_id % 3 = 1 THEN replace(url, 'example', '%65xample') ELSE url END"
@@ -128,7 +133,13 @@ REFS = f"""WITH p AS (SELECT page_id AS id, url, {BODY} AS body, {PLAIN} AS host
 query("page_refs", REFS + " SELECT * FROM f", refs)
 query("page_links", REFS + """, x AS (SELECT 'w~P' || (id % 40) AS src, wiki || '~' || name AS dst, mechanism, id * 1000000 AS us, id FROM f), y AS (SELECT *, row_number() OVER (PARTITION BY src, dst ORDER BY us, id, mechanism) AS k FROM x WHERE src <> dst)
 SELECT src, dst, count(*) AS weight, min(us) AS first_us, max(us) AS last_us, max(mechanism) FILTER (k = 1) AS mechanism, dst IN (SELECT 'w~Nation' || n_nationkey || 'Word' FROM nation) AS in_corpus FROM y GROUP BY src, dst""",
-      lambda s, d: references.hyperlinks(refs(s, d), table(s, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("w~P"), (F.col("page_id") % 40).cast("string")).alias("page"), F.timestamp_seconds("page_id").alias("ts")), nations(s, d)))
+      lambda s, d: page_links(s, d))
+TECHNIQUE = "CASE WHEN regexp_matches(host, '\\.example\\.(com|org|net)$') THEN 'example' WHEN regexp_matches(host, '^[0-9]+(\\.[0-9]+){3}$') THEN 'address' WHEN regexp_matches(host, '[0-9]') THEN 'numbered' ELSE 'other' END"
+query("extraction_summary", REFS + f""", h AS (SELECT id, host FROM p), x(section, key, n) AS (
+SELECT 'total', 'texts', count(*) FROM p UNION ALL SELECT 'total', 'urls', count(*) FROM h UNION ALL SELECT 'total', 'distinct_hosts', count(DISTINCT host) FROM h UNION ALL SELECT 'total', 'texts_with_obfuscated_host', count(*) FROM p WHERE id % 3 = 0 AND contains(url, '.example.')
+UNION ALL SELECT 'total', 'obfuscated_mentions', count(*) FROM p WHERE id % 3 = 0 AND contains(url, '.example.') UNION ALL SELECT 'total', 'page_refs', count(*) FROM f UNION ALL SELECT 'technique', {TECHNIQUE}, count(*) FROM h GROUP BY 2
+UNION ALL SELECT 'mechanism', mechanism, count(*) FROM f GROUP BY 2 UNION ALL (SELECT 'host', host, count(*) AS k FROM h GROUP BY 2 ORDER BY k DESC, host LIMIT 40) UNION ALL SELECT 'motif', 'has_number', count(*) FROM p WHERE regexp_matches(url, '[0-9]') HAVING count(*) > 0)
+SELECT section, key, n::BIGINT AS n FROM x""", lambda s, d: summary(s, d))
 query("marked_names", f"WITH p AS (SELECT {PLAIN} AS host, url, page_id FROM pages) SELECT host, count(*) FILTER (regexp_matches(url, '[0-9]{{3}}')) AS marked, count(*) FILTER (regexp_matches(url, '[0-9]{{3}}') AND page_id % 2 = 0) AS marked_gone, count(*) AS n FROM p GROUP BY host",
       lambda s, d: references.marked_share(table(s, d, "pages").withColumn("host", T.plain_host(T.raw_host(F.col("url")))), "host", F.col("url").rlike("[0-9]{3}"), F.col("page_id") % 2 == 0))
 query("dominant_without_placeholder", "WITH c AS (SELECT source, lang, count(*) AS n FROM documents WHERE lang <> 'en' GROUP BY ALL) SELECT source, lang AS category, n FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1", lambda s, d: references.dominant_category(table(s, d, "documents"), "source", "lang", ("en",)))
@@ -156,13 +167,39 @@ query("exposure_tests", None, lambda s, d: exposure_tests(s, d))
 query("test_p_values", None, lambda s, d: p_values(s, d))
 
 
+def page_links(s, d):
+    return references.hyperlinks(refs(s, d), table(s, d, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("w~P"), (F.col("page_id") % 40).cast("string")).alias("page"), F.timestamp_seconds("page_id").alias("ts")), nations(s, d))
+
+
+def summary(s, d):
+    rows = bodies(s, d)
+    return references.extraction_summary(rows, references.host_mentions(rows.select("id", "body"), T.TEST_RULES), refs(s, d), table(s, d, "pages").select(F.col("url").alias("name")), {"has_number": "[0-9]"})
+
+
+def projection_seen(s, d):
+    saves = event_log(s, d).where("kind = 'save'")
+    seen = saves.groupBy("place").agg(F.max(F.unix_micros("ts")).alias("seen"))
+    return network.newman_projection(saves.select("place", "actor").distinct().join(seen, "place"), "place", "actor", seen="seen")
+
+
 def undirected(s, d):
     return network.undirected(edges(s, d), "weight")
 
 
 def layer_report(s, d):
     saves = event_log(s, d).where("kind = 'save'")
-    return structure.layer_report({"handoff": (edges(s, d), True, False), "two kinds": (network.bipartite(saves, "actor", "place"), False, True)}, written)
+    people = populations.agent_rows(saves, "actor", [0, 1, 2])
+    mentions = references.host_mentions(page_rows(s, d), T.TEST_RULES)
+    docs = table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    seen = saves.groupBy("place", "actor").agg(F.lit(1).alias("there"))
+    pairs_of = network.newman_projection(seen.select("place", "actor"), "place", "actor")
+    layers = {
+        "handoff": (edges(s, d), True, False), "two kinds": (network.bipartite(saves, "actor", "place"), False, True), "projection": (pairs_of.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.col("w").alias("weight")), False, True),
+        "links": (page_links(s, d), True, False), "page and host": (network.bipartite(mentions, "page", "host"), False, True), "label and host": (network.bipartite(mentions.where("label > 2"), "label", "host"), False, True),
+        "label and prefix": (network.bipartite(people.select(F.col("actor").alias("label"), F.substring("place", 1, 1).alias("prefix"), "ts"), "label", "prefix"), False, True),
+        "copies": (copies.exact_chain(docs, "digest", "doc_id", None).select("src", "dst", F.lit(1).alias("weight")), True, False),
+    }
+    return structure.layer_report(layers, written)
 
 
 def eras(s, d, parts: bool = True):

@@ -191,5 +191,22 @@ def write_payload(sections: dict[str, DataFrame], path: str) -> None:
         write_json(df, f"{path}/{name}")
 
 
+def inlined(template: str, sections: dict[str, DataFrame], token: str, most: int = 100_000) -> str:
+    """The template with its token replaced by the sections as one JSON object of lists of rows. Raises where the token is missing, or a section
+    has more than most rows: a page isn't the place for a table without a bound."""
+    import json
+
+    if token not in template:
+        raise ValueError(f"the template has no {token}")
+    found = {}
+    for name, df in sections.items():
+        rows = df.select(F.to_json(F.struct(*[plain(F.col(f.name), f.dataType).alias(f.name) for f in df.schema]), {"ignoreNullFields": "false"}).alias("row")).limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"section {name} has more than {most} rows")
+        found[name] = [json.loads(r.row) for r in rows]
+    # an end tag inside a text must not end the script that holds it
+    return template.replace(token, json.dumps(found, ensure_ascii=False, separators=(",", ":")).replace("</", "<\\/"))
+
+
 def read_graph(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return spark.read.parquet(f"{path}/nodes"), spark.read.parquet(f"{path}/edges").withColumn("weight", F.col("weight").cast("double"))
