@@ -198,28 +198,6 @@ def modularity_null(edges: DataFrame, n: int, seed: int = 3) -> tuple[float, Dat
     return float(rows.modularity[rows.replicate == 0].iloc[0]), edges.sparkSession.createDataFrame(null, "replicate long, modularity double")
 
 
-def community_evolution(meetings: DataFrame, unit_us: int = 86_400_000_000, least: int = 5) -> DataFrame:
-    """meetings: a < b, us, one row for each pair that meets. For each bucket of time with one: nodes, edges, n_communities,
-    modularity and largest of the network of all that met until a bucket after it began, if there are least meetings."""
-    a, b, names, us = coded(meetings, "a", "b", "us")
-    cuts = np.unique(us - us % unit_us)
-    held, spark = meetings.sparkSession.sparkContext.broadcast((a, b, us, cuts)), meetings.sparkSession
-
-    def one(i):
-        a, b, us, cuts = held.value
-        own = us <= cuts[i] + unit_us
-        if own.sum() < least:
-            return int(cuts[i]), None, None, None, None, None
-        pairs, w = np.unique(a[own] * (1 << 32) + b[own], return_counts=True)
-        x, y = pairs >> 32, pairs & ((1 << 32) - 1)
-        seen, codes = np.unique(np.concatenate((x, y)), return_inverse=True)
-        x, y, w = codes[: len(x)], codes[len(x) :], w.astype(float)
-        label = louvain(x, y, w)
-        return int(cuts[i]), len(seen), len(x), int(label.max()) + 1, small_modularity(x, y, w, label), int(np.bincount(label).max())
-
-    return over_rows(spark, len(cuts), "bucket_us long, nodes long, edges long, n_communities long, modularity double, largest long", one).where("nodes is not null")
-
-
 #: Labels that a shuffle may have on either side, and rows: numpy draws from fewer than a thousand million.
 MOST_LABELS, MOST_ROWS = 1_000_000, 999_999_999
 

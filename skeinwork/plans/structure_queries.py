@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ranks
 from ..functions import text as T
-from ..operators import activity, copies, diffusion, handoff, network, populations, references, replicates, structure, survival
+from ..operators import activity, copies, diffusion, handoff, leiden, network, paths, populations, references, replicates, structure, survival
 from ..sources.shared import written
 from ..sources.tables import BOUNDARY, EVENT_LOG_SQL, event_log, table
 from .event_queries import PAIRS, edges, pairs
@@ -85,6 +85,8 @@ SELECT any_value(n) AS n, round(any_value(alpha), 6) AS alpha, round(sum(p), 4)
       lambda s, d: network.power_law_or_lognormal(undirected(s, d)).drop("p_value", "preferred"))
 query("power_law_verdict", None, lambda s, d: network.power_law_or_lognormal(undirected(s, d)).select("n", "p_value", "preferred"))
 
+query("betweenness_by_joins", BETWEEN + " SELECT node, betweenness FROM bt", lambda s, d: paths.betweenness(undirected(s, d), written))
+
 # layers of two kinds, with nodes
 query("bipartite_nodes", E + """, f AS (SELECT 'actor:' || actor AS node, 'actor' AS kind, 0 AS bipartite, ts FROM ev WHERE kind = 'save' UNION ALL SELECT 'place:' || place, 'place', 1, ts FROM ev WHERE kind = 'save')
 SELECT node, kind, bipartite, count(*) AS n_events, min(epoch_us(ts)) AS first_us, max(epoch_us(ts)) AS last_us FROM f GROUP BY ALL""", lambda s, d: network.bipartite_nodes(event_log(s, d).where("kind = 'save'"), "actor", "place"))
@@ -162,7 +164,7 @@ query("share_null", None, lambda s, d: share_null(s, d))
 query("reciprocity_null", None, lambda s, d: ranks.compare_to_null(replicates.reciprocity_null(edges(s, d), 200), "reciprocity", handoff.reciprocity(edges(s, d)).first()["reciprocity"]))
 query("partition_null", None, lambda s, d: replicates.partition_test(table(s, d, "documents"), "lang", "source"))
 query("community_profile", None, lambda s, d: structure.community_profile(undirected(s, d), written))
-query("community_evolution", None, lambda s, d: replicates.community_evolution(pairs(s, d).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.unix_micros("ts").alias("us"))))
+query("community_evolution", None, lambda s, d: leiden.evolution(pairs(s, d).select(F.least("source", "target").alias("a"), F.greatest("source", "target").alias("b"), F.unix_micros("ts").alias("us")), written))
 query("exposure_tests", None, lambda s, d: exposure_tests(s, d))
 query("test_p_values", None, lambda s, d: p_values(s, d))
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import copies, diffusion, references
+from ..sources.shared import written
 from ..sources.tables import EVENT_LOG_SQL, event_log, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -51,6 +52,11 @@ query("near_copy_pairs", f"""WITH {GRAMS}, b AS (SELECT *, count(*) OVER (PARTIT
 ), e AS (SELECT doc_id, lang, source, digest, len(grams) AS n, unnest(grams) AS gram FROM b WHERE size >= 2
 ), p AS (SELECT x.doc_id AS src, y.doc_id AS dst, any_value(x.n) AS m, any_value(y.n) AS n, count(*) AS c FROM e x JOIN e y ON x.lang = y.lang AND x.source = y.source AND x.gram = y.gram AND x.doc_id < y.doc_id AND x.digest <> y.digest GROUP BY ALL)
 SELECT src, dst, round(c / (m + n - c), 6) AS score FROM p WHERE round(c / (m + n - c), 6) >= 0.5""", lambda s, d: copies.near_copies(table(s, d, "documents"), F.concat_ws("~", "lang", "source"), 0.5, most=None))
+CLASSES = f"""WITH {GRAMS}, t AS (SELECT lang, source, digest, min(doc_id) AS rep, any_value(grams) AS grams FROM g GROUP BY ALL), e AS (SELECT lang, source, rep, len(grams) AS n, unnest(grams) AS gram FROM t
+), l AS (SELECT x.rep AS src, y.rep AS dst, round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) AS score FROM e x JOIN e y ON x.lang = y.lang AND x.source = y.source AND x.gram = y.gram AND x.rep < y.rep GROUP BY x.rep, y.rep HAVING round(count(*) / (any_value(x.n) + any_value(y.n) - count(*)), 6) >= 0.8)"""
+near = lambda s, d: copies.near_copy_classes(table(s, d, "documents"), F.concat_ws("~", "lang", "source"), written)
+query("near_copy_links", CLASSES + " SELECT src, dst, score FROM l", lambda s, d: near(s, d)[0])
+query("near_copy_classes", CLASSES + ", x AS (SELECT rep, count(*) AS n_links FROM (SELECT src AS rep FROM l UNION ALL SELECT dst FROM l) GROUP BY rep) SELECT g.doc_id, t.rep, coalesce(n_links, 0) AS n_links FROM g JOIN t ON t.lang = g.lang AND t.source = g.source AND t.digest = g.digest LEFT JOIN x ON x.rep = t.rep", lambda s, d: near(s, d)[1])
 query("ngram_jaccard", f"""WITH {GRAMS}, n AS (SELECT doc_id, grams, lead(doc_id) OVER o AS other, lead(grams) OVER o AS og FROM g WINDOW o AS (PARTITION BY source ORDER BY doc_id))
 SELECT doc_id, other, round(CASE WHEN len(grams) = 0 AND len(og) = 0 THEN 1 ELSE len(list_intersect(grams, og)) / len(list_distinct(list_concat(grams, og))) END, 6) AS jaccard FROM n WHERE other IS NOT NULL""", lambda s, d: neighbours(s, d))
 query("sha256_text", "SELECT doc_id, sha256(text) AS digest FROM documents", lambda s, d: table(s, d, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest")))

@@ -154,6 +154,8 @@ def plain(c, kind: T.DataType):
         return F.date_format(F.to_utc_timestamp(c, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     if isinstance(kind, T.ArrayType):
         return F.transform(c, lambda x: plain(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, v: plain(v, kind.valueType))
     if isinstance(kind, T.StructType):
         return F.when(c.isNotNull(), F.struct(*[plain(c[f.name], f.dataType).alias(f.name) for f in kind]))
     return c

@@ -72,3 +72,23 @@ def test_networks_without_edges_and_of_one(spark):
     assert leiden.communities(none, written).count() == 0
     one = leiden.communities(spark.createDataFrame([(1, 2, 5)], "a long, b long, w long"), written).collect()
     assert {(r.node, r.c) for r in one} == {(1, 1), (2, 1)}
+
+
+def test_evolution_of_a_growing_network(spark):
+    rng = random.Random(5)
+    day = 86_400_000_000
+    rows = [(a, b, int((i // 40) * day + rng.randrange(day))) for i, (a, b, _) in enumerate(sorted(planted(2), key=lambda _: rng.random()))]
+    rows += [(1, 2, day), (3, 4, 2 * day)]  # at a border: in the bucket before, too
+    frame = spark.createDataFrame(rows, "a long, b long, us long")
+    got = {r.bucket_us: r for r in leiden.evolution(frame, written).collect()}
+    assert set(got) == {us - us % day for *_, us in rows}
+    for cut, r in got.items():
+        weight = {}
+        for a, b, us in rows:
+            if us <= cut + day:
+                weight[a, b] = weight.get((a, b), 0) + 1
+        arcs = [(a, b, w) for (a, b), w in weight.items()]
+        nodes = {x for a, b, _ in arcs for x in (a, b)}
+        assert (r.nodes, r.edges) == (len(nodes), len(arcs)) and 1 <= r.largest <= len(nodes)
+        assert r.modularity >= 0.99 * quality(arcs, louvain(arcs))  # as good as a fresh run of each bucket
+    assert leiden.evolution(frame.limit(0), written).count() == 0 and leiden.evolution(frame.limit(3), written).count() == 0

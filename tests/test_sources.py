@@ -54,6 +54,8 @@ def test_sinks(spark, tmp_path):
     files.write_json(df, str(tmp_path / "j"))
     assert spark.read.csv(str(tmp_path / "c"), header=True).first().c == "a|b"
     assert spark.read.json(str(tmp_path / "j")).first().b is None
+    files.write_json(spark.sql("select map('k', double('NaN'), 'l', 1d) as m"), str(tmp_path / "m"))
+    assert spark.read.schema("m map<string,double>").json(str(tmp_path / "m")).first().m == {"k": None, "l": 1.0}
 
 
 def test_streams_equal_batches(spark, tmp_path):
