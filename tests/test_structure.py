@@ -294,3 +294,20 @@ def test_tables_are_built_once_and_values_are_plain(spark, tmp_path):
     assert tuple(nodes.first()) == ("", "a|b") and edges.first().weight == 2.0
     (tmp_path / "r.jsonl").write_text('{"rev_id": "1", "body": "b", "time": "2024-01-01T00:00:00Z"}\n\n')
     assert "body" not in files.revisions(spark, f"{tmp_path}/r.jsonl").columns and files.revisions(spark, f"{tmp_path}/r.jsonl", True).first().body == "b"
+
+
+def test_ranks_when_ranges_merge_otherwise_for_each_use(spark):
+    """Ranges that are made twice have other bounds or other numbers as soon as exchanges of other widths are merged."""
+    rows = spark.range(20_000, numPartitions=4).select((F.xxhash64("id") % 20_000).alias("v"), (F.col("id") % 3 == 0).alias("g"))
+    seen = rows.toPandas()
+    r, g = seen.v.rank().to_numpy(), seen.g.to_numpy()
+    settings = {"spark.sql.shuffle.partitions": "48", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "100k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "20k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = ranks.mann_whitney(rows, "v", "g").first()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got.u == r[g].sum() - g.sum() * (g.sum() + 1) / 2
