@@ -13,6 +13,8 @@ from skeinwork.llm.queries import tokenizer_path
 
 #: Bytes of words that a packing worker keeps.
 WORD_BYTES = 24 << 20
+#: Bytes of text whose repeats a worker looks for at once: half of what the operator takes alone, as earlier stages have left their heaps.
+REPEAT_BYTES = 1 << 20
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +34,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go."""
-    return substrings.remove_repeats(docs, carry=True)
+    return substrings.remove_repeats(docs, carry=True, chunk_bytes=REPEAT_BYTES)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -64,7 +64,7 @@ class Powers:
 
     def reach(self, n: int) -> None:
         if n > len(self.up):
-            one, n = np.ones(1, np.uint64), max(n, 1 << 20)
+            one, n = np.ones(1, np.uint64), n + (n >> 3)  # a worker keeps them
             self.up = np.cumprod(np.concatenate([one, np.full(n - 1, self.base)]))
             self.down = np.cumprod(np.concatenate([one, np.full(n - 1, self.inverse)]))
 
@@ -257,9 +257,9 @@ def by_document(found: DataFrame) -> DataFrame:
     return found.groupBy(F.col("doc").alias("_key")).agg(F.collect_list(F.struct("x", "y", "gone")).alias("told")).hint("shuffle_hash")
 
 
-def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: bool = False, chunk_bytes: int = CHUNK) -> DataFrame:
     """docs: doc_id, text. Returns doc_id, n_words, n_removed, kept_sha256; with carry the columns of docs, the kept words as
-    text and their number of characters as n_chars (if there is such a column)."""
+    text and their number of characters as n_chars (if there is such a column). chunk_bytes: of text in a chunk; any gives the same result."""
     # other columns go along under names of our own, so theirs can be anything
     doc_id, others = F.col("doc_id").cast("long"), [c for c in docs.columns if carry and c not in ("doc_id", "text")]
     slim = docs.select(doc_id.alias("doc_id"), F.col("text").cast("string").alias("text"), *[F.col(c).alias(f"_x{i}") for i, c in enumerate(others)])
@@ -270,7 +270,7 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
 
     def chunks(batches):
         for batch in batches:
-            for part in slices(batch, 1, CHUNK):
+            for part in slices(batch, 1, chunk_bytes):
                 yield Chunk(part.column(0).to_pylist(), part.column(1)), part
 
     def told_of(chunk: Chunk, part):
@@ -313,7 +313,7 @@ def remove_repeats(docs: DataFrame, carry: bool = False) -> DataFrame:
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        for part in (part for batch in batches for part in slices(batch, 1, CHUNK)):
+        for part in (part for batch in batches for part in slices(batch, 1, chunk_bytes)):
             told = pc.greater(pc.fill_null(pc.list_value_length(part.column("told")), 0), 0)
             # a document that was told nothing keeps its words: where its stretches lie isn't asked
             quiet, part = part.filter(pc.invert(told)), part.filter(told)

@@ -200,6 +200,14 @@ def test_equal_windows_have_equal_anchors():
         assert len({int(substrings.anchors(row, np.zeros(len(row), np.int64))[20]) for row in rows}) == 1
 
 
+def test_substrings_are_the_same_in_chunks_of_any_size(spark, docs):
+    want = rows(substrings.remove_repeats(docs))
+    assert rows(substrings.remove_repeats(docs, chunk_bytes=20_000)) == want
+    powers = substrings.Powers(5)
+    powers.reach(1000)
+    assert 1000 <= len(powers.up) < 2000
+
+
 def test_substrings_with_doubled_edges(spark):
     rng = random.Random(5)
     word = lambda: f"w{rng.randrange(10**9)}"
