@@ -311,3 +311,31 @@ def test_ranks_when_ranges_merge_otherwise_for_each_use(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert got.u == r[g].sum() - g.sum() * (g.sum() + 1) / 2
+
+
+def test_betweenness_holds_arrays_only_and_follows_few_links():
+    """A hub, a ring and an island against plain counting; links in parts; few links are followed once all but a few are found."""
+    rng = np.random.default_rng(3)
+    links = sorted({(0, i) for i in range(1, 12)} | {(i, i % 30 + 1) for i in range(1, 31)} | {tuple(sorted(map(int, rng.choice(np.arange(1, 31), 2, replace=False)))) for _ in range(25)} | {(31, 32), (32, 33)})
+    a, b = (np.array(x, np.int32) for x in zip(*sorted({(min(e), max(e)) for e in links}), strict=True))
+    n = 34
+    net = replicates.rows_of(np.concatenate((a, b)), np.concatenate((b, a)), n)
+    turned = replicates.rows_of(a, b, n), replicates.rows_of(b, a, n)
+    for on, back in ((net, net), turned):
+        got, want = np.zeros(n), np.zeros(n)
+        near = [on[1][on[0][u] : on[0][u + 1]].tolist() for u in range(n)]
+        for s in range(n):
+            replicates.add_dependencies(on, back, s, got)
+            order, far, ways, part = [s], {s: 0}, {s: 1}, dict.fromkeys(range(n), 0.0)
+            for u in order:
+                for v in near[u]:
+                    if v not in far:
+                        far[v], ways[v] = far[u] + 1, 0
+                        order.append(v)
+                    ways[v] += ways[u] if far[v] == far[u] + 1 else 0
+            for u in reversed(order):
+                part[u] = sum(ways[u] / ways[v] * (1 + part[v]) for v in near[u] if far[v] == far[u] + 1)
+                want[u] += part[u] if u != s else 0
+        assert np.allclose(got, want)
+    pairs = [(int(u), int(v)) for at in replicates.steps_from(*net, np.arange(n)) for u, v in zip(*at, strict=True)]
+    assert len(pairs) == 2 * len(a) and set(pairs) == set(zip(a.tolist(), b.tolist(), strict=True)) | set(zip(b.tolist(), a.tolist(), strict=True))
