@@ -138,22 +138,46 @@ def drawn_share(inside: int, total: int, n_first: int, spark, n: int, seed: int
 
 
 def directed_swaps(a: np.ndarray, b: np.ndarray, seed: int, most_swaps: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of directed edges exchanged: all in- and out-degrees stay, no loops or repeated edges come about."""
+    """Ends of directed edges exchanged: all in- and out-degrees stay, no loops or repeated edges come about. Which edges are there at first
+    is asked of a sorted array; only what swaps make and undo is held as Python numbers."""
     rng, m, y = np.random.default_rng(seed), len(a), b.copy()
-    there, goal, done = set(zip(a.tolist(), y.tolist(), strict=True)), min(m, most_swaps) if m > 1 else 0, 0
+    goal, done = min(m, most_swaps) if m > 1 else 0, 0
+    n = int(max(a.max(), b.max())) + 1 if m else 1
+    first, made, undone = np.sort(a.astype(np.int64) * n + b), set(), set()
+
+    def there(u, v):
+        key = u * n + v
+        if key in made:
+            return True
+        at = int(first.searchsorted(key))
+        return at < m and first[at] == key and key not in undone
+
     for _ in range(20 * goal):
         if done == goal:
             break
         i, j = rng.integers(0, m, 2)
         u, v, s, t = int(a[i]), int(y[i]), int(a[j]), int(y[j])
-        if u == t or s == v or (u, t) in there or (s, v) in there:
+        if u == t or s == v or there(u, t) or there(s, v):
             continue
-        there ^= {(u, v), (s, t), (u, t), (s, v)}
+        for key in (u * n + v, s * n + t):
+            (made.remove if key in made else undone.add)(key)
+        for key in (u * n + t, s * n + v):
+            (undone.remove if key in undone else made.add)(key)
         y[i], y[j] = t, v
         done += 1
     return a, y
 
 
+def small_reciprocity(a: np.ndarray, b: np.ndarray) -> float:
+    """Share of the directed edges whose reverse is there too."""
+    if not len(a):
+        return 0.0
+    n = int(max(a.max(), b.max())) + 1
+    keys = np.unique(a.astype(np.int64) * n + b)
+    back = np.sort(keys % n * n + keys // n)
+    return float((keys[np.minimum(np.searchsorted(keys, back), len(keys) - 1)] == back).sum() / len(keys))
+
+
 def coded(edges: DataFrame, *columns: str):
     """Edge ends as numbers, further columns, and the nodes that the numbers stand for."""
     a, b, *more = edge_arrays(edges, *columns)
@@ -164,12 +188,10 @@ def coded(edges: DataFrame, *columns: str):
 def reciprocity_null(edges: DataFrame, n: int, seed: int = 2) -> DataFrame:
     """replicate, reciprocity of n copies of src, dst whose ends are exchanged."""
     a, b, _ = coded(edges.where("src <> dst").select("src", "dst").distinct(), "src", "dst")
-    held = edges.sparkSession.sparkContext.broadcast((a, b))
+    held = edges.sparkSession.sparkContext.broadcast((a.astype(np.int32), b.astype(np.int32)))  # MOST_EDGES at most
 
     def one(i):
-        x, y = directed_swaps(*held.value, seed * 1_000_003 + i)
-        there = set(zip(x.tolist(), y.tolist(), strict=True))
-        return i, sum((v, u) in there for u, v in there) / len(there) if there else 0.0
+        return i, small_reciprocity(*directed_swaps(*held.value, seed * 1_000_003 + i))
 
     return over_rows(edges.sparkSession, n, "replicate long, reciprocity double", one)
 

@@ -339,3 +339,17 @@ def test_betweenness_holds_arrays_only_and_follows_few_links():
         assert np.allclose(got, want)
     pairs = [(int(u), int(v)) for at in replicates.steps_from(*net, np.arange(n)) for u, v in zip(*at, strict=True)]
     assert len(pairs) == 2 * len(a) and set(pairs) == set(zip(a.tolist(), b.tolist(), strict=True)) | set(zip(b.tolist(), a.tolist(), strict=True))
+
+
+def test_directed_swaps_hold_no_set_of_all_edges():
+    """Degrees stay, no loops or repeated edges, the same reciprocity as by sets; arrays of four bytes an end are enough."""
+    rng = np.random.default_rng(4)
+    k = np.unique(rng.integers(0, 40, 300) * 40 + rng.integers(0, 40, 300))
+    k = k[k // 40 != k % 40]
+    a, b = (k // 40).astype(np.int32), (k % 40).astype(np.int32)
+    x, y = replicates.directed_swaps(a, b, 7)
+    there = set(zip(x.tolist(), y.tolist(), strict=True))
+    assert len(there) == len(a) and not (x == y).any() and (y != b).any()
+    assert (np.bincount(x, minlength=40) == np.bincount(a, minlength=40)).all() and (np.bincount(y, minlength=40) == np.bincount(b, minlength=40)).all()
+    assert replicates.small_reciprocity(x, y) == sum((v, u) in there for u, v in there) / len(there)
+    assert replicates.small_reciprocity(a[:0], b[:0]) == 0.0
