@@ -353,3 +353,23 @@ def test_directed_swaps_hold_no_set_of_all_edges():
     assert (np.bincount(x, minlength=40) == np.bincount(a, minlength=40)).all() and (np.bincount(y, minlength=40) == np.bincount(b, minlength=40)).all()
     assert replicates.small_reciprocity(x, y) == sum((v, u) in there for u, v in there) / len(there)
     assert replicates.small_reciprocity(a[:0], b[:0]) == 0.0
+
+
+def test_percolation_reads_its_meetings_batch_by_batch(spark):
+    """Meetings come in batches of seven, in order of time: the curve is that of all of them together."""
+    rng = np.random.default_rng(6)
+    met = [(int(u), int(v), "p", int(t)) for u, v, t in zip(rng.integers(0, 60, 300), rng.integers(60, 120, 300), rng.integers(0, 40 * 86_400, 300), strict=True)]
+    frame = spark.createDataFrame(met, "source long, target long, place string, s long").withColumn("ts", F.timestamp_seconds("s")).repartition(5)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plain = structure.Union()
+    want = {}
+    for u, v, _, t in sorted(met, key=lambda m: m[3]):
+        plain.join(u, v)
+        want[t // 86_400 * 86_400_000_000] = (plain.parts, plain.giant)
+    try:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+        got = {r.bucket_us: (r.components, r.giant) for r in structure.percolation(frame).collect()}
+        plan = structure.forest(structure.first_meetings(frame))._jdf.queryExecution().toString()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert got == {k: want[k] for k in got} and "Sort [us" in plan
