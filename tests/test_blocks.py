@@ -4,9 +4,11 @@ import random
 
 import pytest
 
-from skeinwork.operators import blocks, network
+from skeinwork.operators import blocks, leiden, network
 from skeinwork.sources.shared import written
 
+from .test_leiden import connected, louvain, planted, quality
+
 
 def cores_of(arcs):
     near = {}
@@ -42,3 +44,19 @@ def test_core_numbers_over_many_blocks_and_by_joins(spark, monkeypatch):
     with pytest.raises(RuntimeError):
         network.k_core(edges, written, most=1)
     assert network.k_core(edges.limit(0), written).count() == 0
+
+
+@pytest.mark.parametrize("size", [40, 1 << 20])
+def test_communities_over_blocks(spark, monkeypatch, size):
+    monkeypatch.setattr(blocks, "LINKS", size)
+    monkeypatch.setattr(leiden, "parted_by_joins", None)
+    arcs = planted(7) + [(100, 101, 1), (101, 102, 1)]
+    edges = spark.createDataFrame(arcs + [(200, 200, 4), (1, 1, 3)], "a long, b long, w long")
+    found = leiden.communities(edges, written, (1.0, 0.3)).collect()
+    assert len(found) == len({(x.resolution, x.node) for x in found})
+    for r in (1.0, 0.3):
+        c = {x.node: x.c for x in found if x.resolution == r}
+        assert c.pop(200) == 200 and set(c) == {x for a, b, _ in arcs for x in (a, b)}
+        members = {y: [x for x in c if c[x] == y] for y in set(c.values())}
+        assert all(y == min(m) and connected(arcs, m) for y, m in members.items())
+        assert quality(arcs, c, r) >= quality(arcs, louvain(arcs, r), r) - (1e-9 if size > 40 else 0.02)
