@@ -60,3 +60,24 @@ def test_communities_over_blocks(spark, monkeypatch, size):
         members = {y: [x for x in c if c[x] == y] for y in set(c.values())}
         assert all(y == min(m) and connected(arcs, m) for y, m in members.items())
         assert quality(arcs, c, r) >= quality(arcs, louvain(arcs, r), r) - (1e-9 if size > 40 else 0.02)
+
+
+@pytest.mark.parametrize("most", [20_000_000, 3])
+def test_triangles_over_blocks_and_by_joins(spark, monkeypatch, most):
+    arcs = some_arcs(5)
+    edges = spark.createDataFrame([(a, b, 1) for a, b in arcs], "a long, b long, w long")
+    monkeypatch.setattr(blocks, "LINKS", 50)
+    monkeypatch.setattr(blocks, "WEDGES", 7)
+    monkeypatch.setattr(blocks, "MOST_NODES", most)
+    near = {}
+    for a, b in arcs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = {(a, b, c) for a, b in arcs for c in near[a] & near[b] if c > b}
+    assert sorted(tuple(sorted((r.x, r.y, r.z))) for r in network.triangles(edges).collect()) == sorted(want)
+    got = {r.node: (r.degree, r.triangles) for r in network.local_clustering(edges).collect()}
+    assert got == {x: (len(near[x]), sum(x in t for t in want)) for x in near}
+    row = network.transitivity(edges).first()
+    assert (row.n_triangles, row.n_triples) == (len(want), sum(len(x) * (len(x) - 1) // 2 for x in near.values()))
+    none = network.transitivity(edges.limit(0)).first()
+    assert (none.n_triangles, none.n_triples, none.transitivity) == (0, 0, 0)
