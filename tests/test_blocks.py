@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from skeinwork.operators import blocks, leiden, network
+from skeinwork.operators import blocks, leiden, network, structure
 from skeinwork.sources.shared import written
 
 from .test_leiden import connected, louvain, planted, quality
@@ -81,3 +81,17 @@ def test_triangles_over_blocks_and_by_joins(spark, monkeypatch, most):
     assert (row.n_triangles, row.n_triples) == (len(want), sum(len(x) * (len(x) - 1) // 2 for x in near.values()))
     none = network.transitivity(edges.limit(0)).first()
     assert (none.n_triangles, none.n_triples, none.transitivity) == (0, 0, 0)
+
+
+def test_triads_over_blocks_equal_those_by_joins(spark, monkeypatch):
+    rng = random.Random(2)
+    edges = spark.createDataFrame(sorted({tuple(rng.sample(range(30), 2)) for _ in range(250)}), "src long, dst long")
+    monkeypatch.setattr(blocks, "LINKS", 60)
+    census = lambda: {r.triad: r.n for r in structure.triad_census(edges, written).collect()}
+    made = []
+    whole = blocks.triangles
+    monkeypatch.setattr(blocks, "triangles", lambda *a: made.append(a[0].count()) or whole(*a))
+    here = census()
+    assert made and made[0] > 2
+    monkeypatch.setattr(blocks, "MOST_NODES", 3)
+    assert census() == here and len(made) == 1 and here["300"] + here["210"] > 0
