@@ -114,3 +114,14 @@ def test_logistic_fit(spark, rate):
     rows = [("x", int(h * 3.6e9), float(100 / (1 + np.exp(-rate * (h - 30))))) for h in range(80)]
     got = replicates.fit_logistic(spark.createDataFrame(rows, "item string, hour_us long, adopters double"), "item").first()
     assert abs(got["top"] - 100) < 1 and abs(got.rate - rate) < 0.01 and got.r2 > 0.999
+
+
+def test_windows_share_one_row_for_each_two_actors(spark, monkeypatch):
+    """Rows once grew with the number of windows."""
+    rows, whole = [], handoff.written
+    monkeypatch.setattr(handoff, "written", lambda df, name: rows.append(whole(df, name)) or rows[-1])
+    log = [(i, 1000 * i, "abac"[i % 4], "p") for i in range(40)]
+    events = spark.createDataFrame(log, "id long, s long, actor string, place string").select("id", F.timestamp_seconds("s").alias("ts"), "actor", "place")
+    got = {r.window: (r.n_events, r.n_edges, r.n_nodes, r.reciprocity) for r in handoff.sensitivity(events, {"none": 10, "short": 1000, "long": 5000, "inf": None}).collect()}
+    assert got == {k: (39, 4, 3, 1.0) for k in ("short", "long", "inf")}
+    assert {(r.lo, r.hi) for r in rows[0].collect()} == {("a", "b"), ("a", "c")} and rows[0].count() == 2
