@@ -284,10 +284,8 @@ class Neighbours:
     """An undirected network of numbered nodes in CSR form: its neighbours by node, and the nodes of its largest component."""
 
     def __init__(self, a: np.ndarray, b: np.ndarray, n: int):
-        ends, self.others = np.concatenate((a, b)), np.concatenate((b, a))
-        order = np.argsort(ends, kind="stable")
-        self.others, self.starts, self.n = self.others[order], np.searchsorted(ends[order], np.arange(n + 1)), n
-        label, self.a, self.b = np.arange(n), a, b
+        self.starts, self.others = rows_of(np.concatenate((a, b)), np.concatenate((b, a)), n)
+        label, self.a, self.b, self.n = np.arange(n), a, b, n
         while True:  # the smallest number of a component, along edges and then by its own label
             new = label.copy()
             np.minimum.at(new, a, label[b])
@@ -298,23 +296,34 @@ class Neighbours:
             label = new
         self.giant = label == np.bincount(label).argmax() if n else np.zeros(0, bool)
 
-    def of(self, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All pairs of a place in nodes and a neighbour of the node there."""
-        counts = self.starts[nodes + 1] - self.starts[nodes]
-        at = np.repeat(np.arange(len(nodes)), counts)
-        return at, self.others[np.repeat(self.starts[nodes], counts) + np.arange(len(at)) - np.repeat(np.cumsum(counts) - counts, counts)]
-
     def hops_from(self, source: int) -> np.ndarray:
         """Steps from a node, -1 where there is no path."""
         far, front, step = np.full(self.n, -1), np.array([source]), 0
         far[source] = 0
         while len(front):
             step += 1
-            front = np.unique(self.of(front)[1])
-            front = front[far[front] < 0]
+            parts = [np.unique(v[far[v] < 0]) for _, v in steps_from(self.starts, self.others, front)]
+            front = np.unique(np.concatenate(parts)) if parts else front[:0]
             far[front] = step
         return far
 
+    def links_among(self, place: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """place: the place of each of nodes, -1 of all others. The places of the two ends of each link between them once, the smaller first."""
+        parts = []
+        for u, v in steps_from(self.starts, self.others, nodes):
+            x, y = place[u], place[v]
+            up = y > x
+            parts.append((x[up], y[up]))
+        return tuple(np.concatenate([p[i] for p in parts]) if parts else place[:0] for i in (0, 1))
+
+    def number_among(self, nodes: np.ndarray) -> int:
+        """How many links lie between so many nodes: asked of all links, or of theirs where these are far fewer."""
+        there = np.zeros(self.n, bool)
+        there[nodes] = True
+        if 4 * int((self.starts[nodes + 1] - self.starts[nodes]).sum()) < len(self.a):
+            return sum(int(there[v].sum()) for _, v in steps_from(self.starts, self.others, nodes)) // 2
+        return sum(int((there[self.a[i : i + LINKS_AT_ONCE]] & there[self.b[i : i + LINKS_AT_ONCE]]).sum()) for i in range(0, len(self.a), LINKS_AT_ONCE))
+
 
 def against(observed: float | None, null: list[float]) -> tuple[float | None, float | None, float | None]:
     """observed, z and p (two-sided, add-one, around the mean) against draws; all None without an observed value."""
@@ -331,10 +340,9 @@ def exposure_of(order: np.ndarray, near: Neighbours, n: int, rng: np.random.Gene
     had; the rank correlation of when and how far from the first adopter in the largest component (None for fewer than ten, or
     where all are as far); and the edges among adopters. The first two against shuffles of who adopted when, the last against
     as many nodes drawn at random."""
-    k, place = len(order), np.full(near.n, -1)
+    k, place = len(order), np.full(near.n, -1, np.int32)
     place[order] = np.arange(k)
-    at, other = near.of(order)
-    at, other = at[place[other] >= 0], place[other[place[other] >= 0]]
+    one, other = near.links_among(place, order)
     first = next((u for u in order.tolist() if near.giant[u]), None)
     far = near.hops_from(first)[order] if first is not None else np.full(k, -1)
     reached = np.flatnonzero(far > 0)
@@ -347,44 +355,80 @@ def exposure_of(order: np.ndarray, near: Neighbours, n: int, rng: np.random.Gene
     spread = len(reached) >= 10 and (hops != hops[0]).any()
 
     def measure(when):
-        exposed = len(np.unique(at[when[other] < when[at]])) / max(1, k)
-        return exposed, float(np.corrcoef(ranked(when[reached]), hops)[0, 1]) if spread else None
+        exposed = np.zeros(k, bool)
+        exposed[np.where(when[one] < when[other], other, one)] = True
+        return int(exposed.sum()) / max(1, k), float(np.corrcoef(ranked(when[reached]), hops)[0, 1]) if spread else None
 
-    seen, inside, null = measure(np.arange(k)), float(len(at) // 2), []
+    seen, inside, null = measure(np.arange(k, dtype=np.int32)), float(len(one)), []
     for _ in range(n):
-        drawn = np.zeros(near.n, bool)
-        drawn[rng.choice(near.n, k, replace=False)] = True
-        null.append((*measure(rng.permutation(k)), float((drawn[near.a] & drawn[near.b]).sum())))
+        drawn = near.number_among(rng.choice(near.n, k, replace=False))
+        null.append((*measure(rng.permutation(k).astype(np.int32)), float(drawn)))
     return tuple(x for i, v in enumerate((*seen, inside)) for x in against(v, [r[i] for r in null if r[i] is not None]))
 
 
+def over_items(firsts: DataFrame, item: str, edges: DataFrame, f, schema: str) -> DataFrame:
+    """firsts: item, actor, first_us; edges: a < b, distinct. A row of each item: item and f(network, item, codes, first_us) of its adopters by when they
+    adopted; codes are -1 of adopters outside the network, whose nodes are numbered in order. Items are dealt to tasks in turn, and each
+    gets the edges by an exchange, as eight bytes each: nothing goes through the driver."""
+    from ..sources.shared import written
+    from . import blocks
+
+    spark = edges.sparkSession
+    nodes = blocks.numbered(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    items = blocks.numbered(firsts.select(item).distinct(), item).select(F.col(item).alias("_item"), "code")
+    size, tasks = nodes.count(), max(1, min(items.count(), 2 * spark.sparkContext.defaultParallelism))
+    number = F.coalesce("_code", F.lit(-1)).cast("int").alias("code")
+    dealt = firsts.join(items, F.col(item).eqNullSafe(F.col("_item"))).select((F.col("code") % tasks).cast("int").alias("task"), item, "actor", "first_us")
+    dealt = dealt.join(nodes.select(F.col("node").alias("actor"), F.col("code").alias("_code")), "actor", "left").select("task", item, number, "first_us")
+    net = written(blocks.coded(edges.select("a", "b"), nodes, a="u", b="v").select(F.col("u").cast("int"), F.col("v").cast("int")), "network")
+    everywhere = net.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))))
+
+    def run(mine, network):
+        import pyarrow as pa
+
+        kinds = {c.split()[0]: {"long": pa.int64(), "double": pa.float64()}[c.split()[1]] for c in schema.split(", ")}
+        ends = np.sort(network.column("u").to_numpy().astype(np.int64) * max(1, size) + network.column("v").to_numpy())
+        near = Neighbours((ends // max(1, size)).astype(np.int32), (ends % max(1, size)).astype(np.int32), size)
+        coded = mine.column(item).combine_chunks().dictionary_encode(null_encoding="encode")
+        of, code, us = coded.indices.to_numpy(), mine.column("code").to_numpy(), mine.column("first_us").to_numpy()
+        order = np.lexsort((code, us, of))
+        edge = np.searchsorted(of[order], np.arange(len(coded.dictionary) + 1))
+        rows = [f(near, name.as_py(), code[order[i:j]], us[order[i:j]]) for name, i, j in zip(coded.dictionary, edge[:-1], edge[1:], strict=True)]
+        return pa.table([coded.dictionary, *[pa.array(c, t) for t, c in zip(kinds.values(), zip(*rows, strict=True), strict=True)]], names=[item, *kinds])
+
+    return dealt.groupBy("task").cogroup(everywhere.groupBy("task")).applyInArrow(run, f"{item} {dict(firsts.dtypes)[item]}, {schema}")
+
+
 def exposure_scores(firsts: DataFrame, item: str, edges: DataFrame, n: int, least: int = 10, seed: int = 5) -> DataFrame:
     """firsts: item, actor, first_us; edges: a < b. For each item: item, adopters (in the network), and exposed, rho and inside with their z and p
     (see exposure_of); null below least adopters. Items are dealt to tasks, each of which holds the network; an item's adopters are
     no more than its nodes."""
-    import pandas as pd
-
-    a, b, names = coded(edges, "a", "b")
-    spark = edges.sparkSession
-    held = spark.sparkContext.broadcast((a, b, names))  # MOST_EDGES at most
     columns = [f"{k}{x}" for k in ("exposed", "rho", "inside") for x in ("", "_z", "_p")]
-    made: dict = {}  # of a task: the network is built for its first item
 
-    def one(pdf):
+    def one(near, name, code, us):
         import zlib
 
-        a, b, names = held.value
-        if "near" not in made:
-            made["near"] = Neighbours(a, b, len(names))
-        near, rows = made["near"], pdf.sort_values(["first_us", "actor"])
-        at = np.minimum(np.searchsorted(names, rows.actor.to_numpy()), max(0, len(names) - 1)) if len(names) else np.zeros(0, np.int64)
-        order = at[names[at] == rows.actor.to_numpy()] if len(names) else at
-        out = {item: rows[item].iloc[0], "adopters": len(order)} | dict.fromkeys(columns)
-        if len(order) >= least:
-            out |= dict(zip(columns, exposure_of(order, near, n, np.random.default_rng([seed, zlib.crc32(str(out[item]).encode())])), strict=True))
-        return pd.DataFrame([out]).astype(dict.fromkeys(columns, float))
+        order = code[code >= 0]
+        if len(order) < least:
+            return len(order), *[None] * len(columns)
+        return len(order), *exposure_of(order, near, n, np.random.default_rng([seed, zlib.crc32(str(name).encode())]))
+
+    return over_items(firsts, item, edges.select("a", "b"), one, "adopters long, " + ", ".join(f"{c} double" for c in columns))
+
+
+def exposed_counts(firsts: DataFrame, item: str, edges: DataFrame) -> DataFrame:
+    """The same firsts and edges. item, adopters (all), exposed (those with a neighbour that adopted before them) and internal_edges (among them)."""
+
+    def one(near, name, code, us):
+        inside = code >= 0
+        nodes, place = code[inside], np.full(near.n, -1, np.int32)
+        place[nodes] = np.arange(len(nodes))
+        x, y = near.links_among(place, nodes)
+        exposed, when = np.zeros(len(nodes), bool), us[inside]
+        exposed[y[when[x] < when[y]]] = True  # adopters are in order of time
+        return len(code), int(exposed.sum()), len(x)
 
-    return firsts.select(item, "actor", "first_us").groupBy(item).applyInPandas(one, f"{item} {dict(firsts.dtypes)[item]}, adopters long, " + ", ".join(f"{c} double" for c in columns))
+    return over_items(firsts, item, edges.select("a", "b"), one, "adopters long, exposed long, internal_edges long")
 
 
 def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 1, directed: bool = False, keep=None) -> DataFrame:
@@ -426,8 +470,7 @@ def betweenness(edges: DataFrame, sources: int | None = None, seed: int = 1, dir
 
 def rows_of(ends: np.ndarray, others: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each node's links start, and where they lead."""
-    order = np.argsort(ends, kind="stable")
-    return np.searchsorted(ends[order], np.arange(n + 1)), others[order]
+    return np.concatenate(([0], np.cumsum(np.bincount(ends, minlength=n)))), others[np.argsort(ends, kind="stable")]
 
 
 #: Links that are followed at once.
