@@ -41,12 +41,10 @@ def token_diffusion(uses: DataFrame, top: int = 25) -> DataFrame:
 
 def exposed_share(firsts: DataFrame, edges: DataFrame, item: str, least: int = 10) -> DataFrame:
     """firsts: item, actor, first_us; edges: src, dst (either direction counts). For each item with enough adopters: adopters,
-    those with a neighbour that adopted before them, their share, and edges among adopters."""
-    near = edges.select(F.explode(F.array(F.struct(F.col("src").alias("actor"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("actor"), F.col("src").alias("other")))).alias("e")).select("e.*").where("actor <> other").distinct()
-    theirs = firsts.select(F.col(item), F.col("actor").alias("other"), F.col("first_us").alias("other_us"))
-    met = firsts.join(near, "actor").join(theirs, [item, "other"])
-    each = met.groupBy(item, "actor").agg(F.max((F.col("other_us") < F.col("first_us")).cast("int")).alias("exposed"), F.count("*").alias("ends"))
-    rows = firsts.join(each, [item, "actor"], "left").groupBy(item).agg(F.count("*").alias("adopters"), F.coalesce(F.sum("exposed"), F.lit(0)).alias("exposed"), (F.coalesce(F.sum("ends"), F.lit(0)) / 2).cast("long").alias("internal_edges"))
+    those with a neighbour that adopted before them, their share, and edges among adopters. Adopters are never joined with their
+    neighbours: each task holds the network and looks an item's links up."""
+    near = edges.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
+    rows = replicates.exposed_counts(firsts.select(item, "actor", "first_us"), item, near)
     return rows.where(F.col("adopters") >= least).withColumn("exposed_share", F.round(F.col("exposed") / F.col("adopters"), 6))
 
 

@@ -373,3 +373,22 @@ def test_percolation_reads_its_meetings_batch_by_batch(spark):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     assert got == {k: want[k] for k in got} and "Sort [us" in plan
+
+
+def test_exposure_of_networks_of_any_size(spark, monkeypatch):
+    """Networks of more edges than replicates hold were refused, and adopters were joined with all their neighbours."""
+    monkeypatch.setattr(replicates, "MOST_EDGES", 3)
+    monkeypatch.setattr(replicates, "LINKS_AT_ONCE", 5)
+    rng = np.random.default_rng(9)
+    arcs = [tuple(map(int, rng.choice(30, 2))) for _ in range(90)]
+    uses = [(f"p{i}", int(u), int(t)) for i in range(5) for u, t in zip(rng.choice(40, 12 + i, replace=False), rng.integers(0, 9, 12 + i), strict=True)] + [(None, 1, 3), (None, 2, 4)]
+    firsts, edges = spark.createDataFrame(uses, "item string, actor long, first_us long"), spark.createDataFrame(arcs, "src long, dst long")
+    near = {frozenset(e) for e in arcs if len(set(e)) == 2}
+    got = {r.item: (r.adopters, r.exposed, r.internal_edges) for r in diffusion.exposed_share(firsts, edges, "item", 1).collect()}
+    for item in {i for i, _, _ in uses}:
+        own = {u: t for i, u, t in uses if i == item}
+        want = sum(any(frozenset((u, v)) in near and s < t for v, s in own.items()) for u, t in own.items()), sum(e <= own.keys() for e in near)
+        assert got[item] == (len(own), *want)
+    pairs = edges.where("src <> dst").selectExpr("least(src, dst) AS a", "greatest(src, dst) AS b").distinct()
+    tests = {r.item: r for r in diffusion.exposure_tests(firsts, "item", pairs, 20).collect()}
+    assert len(got) == len(tests) == 6 and tests[None].verdict == "insufficient_adopters" and all(r.inside <= got[i][2] for i, r in tests.items() if r.inside is not None)
