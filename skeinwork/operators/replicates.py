@@ -72,15 +72,103 @@ def small_assortativity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.corrcoef(x, y)[0, 1]) if x.std() > 0 else 0.0
 
 
-#: Edges up to which each task makes whole copies of a network; beyond, all copies are made by joins.
-IN_A_TASK = 200_000
+#: Edges up to which copies are made swap by swap; larger ones are made in rounds over arrays, and by joins beyond MOST_IN_A_TASK.
+IN_A_TASK, MOST_IN_A_TASK = 200_000, 40_000_000
+
+
+def swapped_at_once(keys: np.ndarray, n: int, rng: np.random.Generator, per_edge: float = 1.0, rounds: int = 40) -> np.ndarray:
+    """keys: u * n + v of distinct links u < v, sorted. The same after double-edge swaps, as many as there are links (or as can be made in so
+    many rounds). In a round all links are in random pairs; a swap that would make a loop, a link that is there, or one that another swap
+    makes too is not done. Degrees stay."""
+    m, done = len(keys), 0
+    for _ in range(rounds):
+        if m < 2 or done >= per_edge * m:
+            break
+        order = rng.permutation(m)
+        p, q = order[: m // 2], order[m // 2 : m // 2 * 2]
+        u, v, s, t = keys[p] // n, keys[p] % n, keys[q] // n, keys[q] % n
+        turn = rng.random(len(p)) < 0.5
+        s, t = np.where(turn, t, s), np.where(turn, s, t)
+        first, second = np.minimum(u, t) * n + np.maximum(u, t), np.minimum(s, v) * n + np.maximum(s, v)
+        good = np.flatnonzero((u != t) & (s != v) & (first != second))
+        for wish in (first, second):
+            good = good[keys[np.minimum(np.searchsorted(keys, wish[good]), m - 1)] != wish[good]]
+        _, at, count = np.unique(np.concatenate((first[good], second[good])), return_inverse=True, return_counts=True)
+        alone = count[at] == 1
+        good = good[alone[: len(good)] & alone[len(good) :]]
+        keys = keys.copy()
+        keys[p[good]], keys[q[good]] = first[good], second[good]
+        keys.sort()
+        done += len(good)
+    return keys
+
+
+def array_statistics(keys: np.ndarray, n: int) -> tuple[float, float]:
+    """Transitivity and degree assortativity of such links. Links point to the end of higher degree, and the pairs of links from a node are
+    looked up some LINKS_AT_ONCE at a time."""
+    if not len(keys):
+        return 0.0, 0.0
+    a, b = keys // n, keys % n
+    d = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    place = np.empty(n, np.int64)
+    place[np.argsort(d, kind="stable")] = np.arange(n)
+    arcs = np.sort(np.minimum(place[a], place[b]) * n + np.maximum(place[a], place[b]))
+    x, y = arcs // n, arcs % n
+    starts = np.concatenate(([0], np.cumsum(np.bincount(x, minlength=n))))
+    links, triangles, low = starts[x + 1] - np.arange(len(x)) - 1, 0, 0  # from the same node, behind this one
+    upto = np.cumsum(links)
+    if n <= MARKS:  # links as bits: a row of them for each node
+        bits = np.zeros((n, -(-n // 8)), np.uint8)
+        np.bitwise_or.at(bits, (x, y >> 3), (1 << (y & 7)).astype(np.uint8))
+    while low < len(x):
+        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + LINKS_AT_ONCE, side="right")))
+        some = links[low:high]
+        own = np.repeat(np.arange(low, high), some)
+        z = y[own + 1 + np.arange(len(own)) - np.repeat(np.cumsum(some) - some, some)]
+        if n <= MARKS:
+            triangles += int((bits[y[own], z >> 3] >> (z & 7).astype(np.uint8) & 1).sum())
+        else:
+            wanted = y[own] * n + z
+            triangles += int((arcs[np.minimum(np.searchsorted(arcs, wanted), len(arcs) - 1)] == wanted).sum())
+        low = high
+    triples = int((d * (d - 1) // 2).sum())
+    da, db = d[a].astype(float), d[b].astype(float)
+    s, ss, xy, k = float((da + db).sum()), float((da * da + db * db).sum()), float(2 * (da * db).sum()), 2.0 * len(keys)
+    spread = k * ss - s * s
+    return 3 * triangles / triples if triples else 0.0, (k * xy - s * s) / spread if spread > 0 else 0.0
+
+
+#: Nodes up to which links are held as bits, a square of them: 200 MB.
+MARKS = 40_000
+
+
+def copies_in_tasks(edges: DataFrame, n: int, seed: int) -> DataFrame:
+    """replicate, transitivity, assortativity of n copies, each made in a task from arrays that it gets by an exchange: 8 bytes an edge and copy."""
+    from ..sources.shared import written
+    from . import blocks
+
+    nodes = blocks.numbered(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    size = max(1, nodes.count())
+    links = written(blocks.coded(edges.select("a", "b"), nodes, a="u", b="v").select(F.col("u").cast("int"), F.col("v").cast("int")), "links")
+
+    def one(table):
+        import pyarrow as pa
+
+        u, v, i = table.column("u").to_numpy().astype(np.int64), table.column("v").to_numpy(), table.column("replicate")[0].as_py()
+        found = array_statistics(swapped_at_once(np.sort(u * size + v), size, np.random.default_rng(seed * 1_000_003 + i)), size)
+        return pa.table({"replicate": [i], "transitivity": [found[0]], "assortativity": [found[1]]})
+
+    copies = links.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    return copies.groupBy("replicate").applyInArrow(one, "replicate long, transitivity double, assortativity double")
 
 
 def rewired_null(edges: DataFrame, n: int, keep, seed: int = 1) -> DataFrame:
-    """replicate, transitivity, assortativity of n rewired copies of a < b. Networks of up to IN_A_TASK edges are rewired in tasks, a copy a row;
-    larger ones, of any size, by rounds of joins over all copies."""
-    if edges.count() > IN_A_TASK:
+    """replicate, transitivity, assortativity of n rewired copies of a < b. Networks of up to IN_A_TASK edges are rewired swap by swap, up to
+    MOST_IN_A_TASK in rounds over a copy's arrays, a copy a task; larger ones, of any size, by rounds of joins over all copies."""
+    if (m := edges.count()) > MOST_IN_A_TASK:
         return swaps.copies_statistics(swaps.swapped(edges, n, keep, seed=seed)[0])
+    if m > IN_A_TASK:
+        return copies_in_tasks(edges, n, seed)
     a, b = edge_arrays(edges, "a", "b")
     _, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
     held = edges.sparkSession.sparkContext.broadcast((codes[: len(a)], codes[len(a) :]))

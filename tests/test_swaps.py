@@ -60,3 +60,24 @@ def test_networks_that_cannot_be_rewired(spark):
     none, _ = swaps.swapped(star.limit(0), 2, written)
     assert none.count() == 0 and swaps.copies_statistics(none).count() == 0
     assert swaps.kept_share(star, copies).where(F.col("kept") < 1).count() == 0
+
+
+def test_copies_over_arrays_equal_a_plain_count(spark, monkeypatch):
+    """Larger networks once went by rounds of joins over all copies."""
+    edges = network(5)
+    n = max(map(max, edges)) + 1
+    keys = np.sort(np.array([a * n + b for a, b in edges]))
+    degrees = lambda k: np.bincount(np.concatenate((k // n, k % n)), minlength=n).tolist()
+    for marks in (0, 1000):
+        monkeypatch.setattr(replicates, "MARKS", marks)
+        monkeypatch.setattr(replicates, "LINKS_AT_ONCE", 7)
+        for i in range(5):
+            new = replicates.swapped_at_once(keys, n, np.random.default_rng(i))
+            assert degrees(new) == degrees(keys) and (np.diff(new) > 0).all() and (new // n < new % n).all() and np.isin(new, keys).mean() < 0.5
+            x, y = new // n, new % n
+            assert replicates.array_statistics(new, n) == pytest.approx((replicates.small_transitivity(x, y), replicates.small_assortativity(x, y)))
+    star = np.arange(1, 6)
+    assert (replicates.swapped_at_once(star, 6, np.random.default_rng(1)) == star).all() and replicates.array_statistics(star[:0], 6) == (0.0, 0.0)
+    monkeypatch.setattr(replicates, "IN_A_TASK", 10)
+    monkeypatch.setattr(replicates.swaps, "swapped", None)
+    assert replicates.rewired_null(spark.createDataFrame(edges, "a long, b long"), 3, written).count() == 3
