@@ -74,3 +74,18 @@ def test_first_sightings_of_a_stream(spark, tmp_path):
 def test_rewrites_after_nothing(spark):
     empty = event_log(spark, SF).where("false")
     assert survival.removal_gaps(empty).count() == 0 and payload.meta(empty, empty).first().saves == 0 and handoff.handoff_pairs(empty).count() == 0
+
+
+def test_projections_by_squares_equal_those_by_joins(spark, monkeypatch):
+    """Members of crowded groups were joined with each other once for each group that they share."""
+    rows = [(f"g{g}", f"m{(7 * g * g + 5 * m * m + m * g) % 11}", g % 4) for g in range(9) for m in range(8)]
+    members = spark.createDataFrame(sorted(set(rows)), "g string, m string, seen long")
+    plain = lambda df: sorted(tuple(r) for r in df.collect())
+    monkeypatch.setattr(network, "CROWDED", 1 << 30)
+    want = {seen: plain(network.newman_projection(members, "g", "m", seen=seen)) for seen in ("seen", None)}
+    monkeypatch.setattr(network, "CROWDED", 0)
+    monkeypatch.setattr(network, "SIDE", 4)
+    for seen, pairs in want.items():
+        got = plain(network.newman_projection(members, "g", "m", seen=seen))
+        assert len(got) == len(pairs) > 20 and all(g[:2] == p[:2] and g[2] == pytest.approx(p[2], abs=1e-6) and g[3:] == p[3:] for g, p in zip(got, pairs, strict=True))
+    assert network.newman_projection(members.limit(0), "g", "m", seen="seen").count() == 0
