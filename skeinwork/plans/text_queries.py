@@ -103,11 +103,12 @@ def uses(s, d):
 
 
 def neighbours(s, d):
-    """Only ids go through the window; the sets join them behind it."""
+    """Only ids go through the window; the sets join them behind it. Sets are made once, and are hashes of the grams, not the grams, which
+    are five times as long as the text."""
     from pyspark.sql import Window as W
 
     docs = table(s, d, "documents")
-    sets = docs.select("doc_id", T.shingles(F.col("text")).alias("grams"))
+    sets = written(docs.select("doc_id", F.transform(T.shingles(F.col("text")), lambda g: F.xxhash64(g)).alias("grams")), "grams")
     pairs = docs.select("doc_id", F.lead("doc_id").over(W.partitionBy("source").orderBy("doc_id")).alias("other")).where("other is not null")
     both = pairs.join(sets, "doc_id").join(sets.toDF("other", "og"), "other")
     return both.select("doc_id", "other", F.round(T.jaccard(F.col("grams"), F.col("og")), 6).alias("jaccard"))
