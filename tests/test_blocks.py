@@ -95,3 +95,34 @@ def test_triads_over_blocks_equal_those_by_joins(spark, monkeypatch):
     assert made and made[0] > 2
     monkeypatch.setattr(blocks, "MOST_NODES", 3)
     assert census() == here and len(made) == 1 and here["300"] + here["210"] > 0
+
+
+@pytest.mark.parametrize("m", [240, 1700])
+def test_triangles_are_counted_not_listed(spark, monkeypatch, m):
+    arcs = some_arcs(3, m=m)
+    monkeypatch.setattr(blocks, "LINKS", 50)
+    monkeypatch.setattr(blocks, "triangles", None)  # as rows they grow with the cube of the nodes
+    near, there = {}, set(arcs)
+    for a, b in arcs:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    row = network.transitivity(spark.createDataFrame(arcs, "a long, b long")).first()
+    assert row.n_triangles == sum(len(near[a] & near[b]) for a, b in there) // 3
+    assert row.n_triples == sum(len(x) * (len(x) - 1) // 2 for x in near.values())
+    assert network.transitivity(spark.createDataFrame([], "a long, b long")).first().n_triangles == 0
+
+
+def test_bits_count_what_looking_up_does():
+    import numpy as np
+
+    n, rng = 700, np.random.default_rng(1)
+    links = np.triu(rng.random((n, n)) < 0.8, 1)
+    block = lambda low, high: (low, np.concatenate(([0], np.cumsum(links[low:high].sum(1)))), np.nonzero(links[low:high])[1].astype(np.int32), None)
+    square = links.astype(np.int64) @ links.T
+    monkey = lambda *a: pytest.fail("looked up")
+    kept, blocks.looked_up = blocks.looked_up, monkey
+    try:
+        assert blocks.counted(n, *block(0, 300), *block(300, 700)) == square[:300, 300:][links[:300, 300:]].sum()
+        assert blocks.counted(n, *block(0, 300), *block(0, 300)) == square[:300, :300][links[:300, :300]].sum()
+    finally:
+        blocks.looked_up = kept
