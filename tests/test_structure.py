@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from skeinwork.functions import ranks
 from skeinwork.functions import text as T
 from skeinwork.operators import diffusion, network, paths, populations, references, replicates, spectral, structure, survival
+from skeinwork.plans import registry, structure_queries
 from skeinwork.sources import files
 from skeinwork.sources.shared import written
 
@@ -392,3 +393,11 @@ def test_exposure_of_networks_of_any_size(spark, monkeypatch):
     pairs = edges.where("src <> dst").selectExpr("least(src, dst) AS a", "greatest(src, dst) AS b").distinct()
     tests = {r.item: r for r in diffusion.exposure_tests(firsts, "item", pairs, 20).collect()}
     assert len(got) == len(tests) == 6 and tests[None].verdict == "insufficient_adopters" and all(r.inside <= got[i][2] for i, r in tests.items() if r.inside is not None)
+
+
+def test_eras_without_core_numbers_make_none(spark, monkeypatch):
+    monkeypatch.setattr(network, "k_core", None)  # its rounds took time though the column was dropped
+    kept = []
+    monkeypatch.setattr(structure_queries, "written", lambda df, name, **options: kept.append(name) or written(df, name, **options))
+    rows = {r.era: r for r in registry.QUERIES["structural_break"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(rows) == {"before", "after"} and "max_core" not in rows["after"].asDict() and kept.count("eras") == 1
