@@ -89,3 +89,12 @@ def test_projections_by_squares_equal_those_by_joins(spark, monkeypatch):
         got = plain(network.newman_projection(members, "g", "m", seen=seen))
         assert len(got) == len(pairs) > 20 and all(g[:2] == p[:2] and g[2] == pytest.approx(p[2], abs=1e-6) and g[3:] == p[3:] for g, p in zip(got, pairs, strict=True))
     assert network.newman_projection(members.limit(0), "g", "m", seen="seen").count() == 0
+
+
+def test_groups_are_dealt_to_as_many_tasks_as_their_pairs_ask_for(spark, monkeypatch):
+    monkeypatch.setattr(network, "PAIRS_AT_ONCE", 10)
+    rows = [(g, 7 * g + m) for g in range(20) for m in range(6)]
+    found = network.newman_projection(spark.createDataFrame(rows, "g long, m long"), "g", "m")
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert ", 30), REPARTITION_BY_NUM" in plan  # 20 groups of 15 pairs
+    assert found.count() == 20 * 15 and {(r.w, r.shared) for r in found.collect()} == {(0.2, 1)}
