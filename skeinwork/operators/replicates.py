@@ -33,27 +33,12 @@ def over_rows(spark, n: int, schema: str, f) -> DataFrame:
     return spark.range(0, n, 1, max(1, min(n, spark.sparkContext.defaultParallelism))).mapInPandas(run, schema)
 
 
-def rewired(a: np.ndarray, b: np.ndarray, seed: int, most_swaps: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
-    """Double-edge swaps that keep all degrees and make neither loops nor repeated edges."""
-    rng, m = np.random.default_rng(seed), len(a)
-    x, y = a.copy(), b.copy()
-    key = lambda u, v: (u, v) if u < v else (v, u)
-    there = {key(u, v) for u, v in zip(x.tolist(), y.tolist(), strict=True)}
-    done = tries = 0
-    goal = min(m, most_swaps) if m > 1 else 0
-    while done < goal and tries < 20 * goal:
-        tries += 1
-        i, j = rng.integers(0, m, 2)
-        u, v, s, t = int(x[i]), int(y[i]), int(x[j]), int(y[j])
-        if rng.random() < 0.5:
-            s, t = t, s
-        if i == j or u == t or s == v or key(u, t) in there or key(s, v) in there:
-            continue
-        there -= {key(u, v), key(s, t)}
-        there |= {key(u, t), key(s, v)}
-        x[i], y[i], x[j], y[j] = u, t, s, v
-        done += 1
-    return x, y
+def rewired(a: np.ndarray, b: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Double-edge swaps, as many as there are edges, that keep all degrees and make neither loops nor repeated edges (see swapped_at_once)."""
+    n = int(max(a.max(), b.max())) + 1 if len(a) else 1
+    keys = np.sort(np.minimum(a, b).astype(np.int64) * n + np.maximum(a, b))
+    keys = swapped_at_once(keys, n, np.random.default_rng(seed))
+    return keys // n, keys % n
 
 
 def small_transitivity(a: np.ndarray, b: np.ndarray) -> float:
@@ -72,112 +57,151 @@ def small_assortativity(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.corrcoef(x, y)[0, 1]) if x.std() > 0 else 0.0
 
 
-#: Edges up to which copies are made swap by swap; larger ones are made in rounds over arrays, and by joins beyond MOST_IN_A_TASK.
+#: Edges up to which a network is sent to tasks as a broadcast value; larger ones go by an exchange, and copies are made by joins beyond MOST_IN_A_TASK.
 IN_A_TASK, MOST_IN_A_TASK = 200_000, 40_000_000
+#: Pairs of links that are swapped together, about.
+PAIRS_AT_ONCE = 1 << 21
 
 
-def swapped_at_once(keys: np.ndarray, n: int, rng: np.random.Generator, per_edge: float = 1.0, rounds: int = 40) -> np.ndarray:
-    """keys: u * n + v of distinct links u < v, sorted. The same after double-edge swaps, as many as there are links (or as can be made in so
-    many rounds). In a round all links are in random pairs; a swap that would make a loop, a link that is there, or one that another swap
-    makes too is not done. Degrees stay."""
-    m, done = len(keys), 0
+def swapped_at_once(keys: np.ndarray, n: int, rng: np.random.Generator, per_edge: float = 1.0, rounds: int = 40, directed: bool = False) -> np.ndarray:
+    """keys: u * n + v of distinct links (u < v unless directed), sorted. The same after double-edge swaps, as many as there are links (or as can be
+    made in so many rounds). In a round all links are in random pairs, PAIRS_AT_ONCE of which are swapped together; a swap that would make
+    a loop, a link that is there, or one that another swap makes too is not done. Degrees stay, of directed links those of both kinds."""
+    m, done, keys = len(keys), 0, keys.copy()
+    order = np.arange(m, dtype=np.int32 if m < 1 << 31 else np.int64)
     for _ in range(rounds):
         if m < 2 or done >= per_edge * m:
             break
-        order = rng.permutation(m)
-        p, q = order[: m // 2], order[m // 2 : m // 2 * 2]
-        u, v, s, t = keys[p] // n, keys[p] % n, keys[q] // n, keys[q] % n
-        turn = rng.random(len(p)) < 0.5
-        s, t = np.where(turn, t, s), np.where(turn, s, t)
-        first, second = np.minimum(u, t) * n + np.maximum(u, t), np.minimum(s, v) * n + np.maximum(s, v)
-        good = np.flatnonzero((u != t) & (s != v) & (first != second))
-        for wish in (first, second):
-            good = good[keys[np.minimum(np.searchsorted(keys, wish[good]), m - 1)] != wish[good]]
-        _, at, count = np.unique(np.concatenate((first[good], second[good])), return_inverse=True, return_counts=True)
-        alone = count[at] == 1
-        good = good[alone[: len(good)] & alone[len(good) :]]
-        keys = keys.copy()
-        keys[p[good]], keys[q[good]] = first[good], second[good]
-        keys.sort()
-        done += len(good)
+        rng.shuffle(order)
+        for low in range(0, m // 2, PAIRS_AT_ONCE):
+            if done >= per_edge * m:
+                break
+            p, q = order[2 * low : min(2 * (low + PAIRS_AT_ONCE), m // 2 * 2)].reshape(-1, 2).T
+            (u, v), (s, t) = np.divmod(keys[p], n), np.divmod(keys[q], n)
+            if directed:
+                first, second = u * n + t, s * n + v
+            else:
+                turn = rng.random(len(p)) < 0.5
+                s, t = np.where(turn, t, s), np.where(turn, s, t)
+                first, second = np.minimum(u, t) * n + np.maximum(u, t), np.minimum(s, v) * n + np.maximum(s, v)
+            good = np.flatnonzero((u != t) & (s != v) & (first != second))
+            p, q, wish = p[good], q[good], np.concatenate((first[good], second[good]))
+            at = np.argsort(wish)
+            there = wish[at]
+            bad = keys[np.minimum(np.searchsorted(keys, there), m - 1)] == there
+            twice = there[1:] == there[:-1]
+            bad[1:] |= twice
+            bad[:-1] |= twice
+            free = np.empty(len(wish), bool)
+            free[at] = ~bad
+            good = np.flatnonzero(free[: len(p)] & free[len(p) :])
+            keys[p[good]], keys[q[good]] = wish[good], wish[len(p) + good]
+            keys.sort()
+            done += len(good)
     return keys
 
 
+#: Bytes of marks: a byte for each node, for as many nodes at once as go in.
+MARKS = 4 << 20
+
+
 def array_statistics(keys: np.ndarray, n: int) -> tuple[float, float]:
-    """Transitivity and degree assortativity of such links. Links point to the end of higher degree, and the pairs of links from a node are
-    looked up some LINKS_AT_ONCE at a time."""
-    if not len(keys):
+    """Transitivity and degree assortativity of such links. Links point to the end of higher degree. For some nodes at a time it is marked where
+    their links lead, and the ends of the links from there are looked up among the marks, some LINKS_AT_ONCE together."""
+    m = len(keys)
+    if not m:
         return 0.0, 0.0
-    a, b = keys // n, keys % n
-    d = np.bincount(a, minlength=n) + np.bincount(b, minlength=n)
+    parts, d = range(0, m, LINKS_AT_ONCE), np.zeros(n, np.int64)
+    ends = lambda i: (keys[i : i + LINKS_AT_ONCE] // n, keys[i : i + LINKS_AT_ONCE] % n)
+    for i in parts:
+        for x in ends(i):
+            np.add.at(d, x, 1)
     place = np.empty(n, np.int64)
     place[np.argsort(d, kind="stable")] = np.arange(n)
-    arcs = np.sort(np.minimum(place[a], place[b]) * n + np.maximum(place[a], place[b]))
-    x, y = arcs // n, arcs % n
-    starts = np.concatenate(([0], np.cumsum(np.bincount(x, minlength=n))))
-    links, triangles, low = starts[x + 1] - np.arange(len(x)) - 1, 0, 0  # from the same node, behind this one
-    upto = np.cumsum(links)
-    if n <= MARKS:  # links as bits: a row of them for each node
-        bits = np.zeros((n, -(-n // 8)), np.uint8)
-        np.bitwise_or.at(bits, (x, y >> 3), (1 << (y & 7)).astype(np.uint8))
-    while low < len(x):
-        high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + LINKS_AT_ONCE, side="right")))
-        some = links[low:high]
-        own = np.repeat(np.arange(low, high), some)
-        z = y[own + 1 + np.arange(len(own)) - np.repeat(np.cumsum(some) - some, some)]
-        if n <= MARKS:
-            triangles += int((bits[y[own], z >> 3] >> (z & 7).astype(np.uint8) & 1).sum())
-        else:
-            wanted = y[own] * n + z
-            triangles += int((arcs[np.minimum(np.searchsorted(arcs, wanted), len(arcs) - 1)] == wanted).sum())
-        low = high
-    triples = int((d * (d - 1) // 2).sum())
-    da, db = d[a].astype(float), d[b].astype(float)
-    s, ss, xy, k = float((da + db).sum()), float((da * da + db * db).sum()), float(2 * (da * db).sum()), 2.0 * len(keys)
-    spread = k * ss - s * s
+    arcs, s, ss, xy, k = np.empty(m, np.int64), 0.0, 0.0, 0.0, 2.0 * m
+    for i in parts:
+        a, b = ends(i)
+        da, db = d[a].astype(float), d[b].astype(float)
+        s, ss, xy = s + float((da + db).sum()), ss + float((da * da + db * db).sum()), xy + float(2 * (da * db).sum())
+        arcs[i : i + len(a)] = np.minimum(place[a], place[b]) * n + np.maximum(place[a], place[b])
+    arcs.sort()
+    starts, y = np.searchsorted(arcs, np.arange(n + 1) * n), np.empty(m, np.int32)
+    for i in parts:
+        y[i : i + LINKS_AT_ONCE] = arcs[i : i + LINKS_AT_ONCE] % n
+    del arcs
+    out, triangles, together = np.diff(starts), 0, max(1, MARKS // n)
+    marks = np.zeros(together * n, bool)
+    for first in range(0, n, together):
+        last = min(n, first + together)
+        links = y[starts[first] : starts[last]]
+        row = np.repeat(np.arange(last - first) * n, out[first:last])
+        marks[row + links] = True
+        counts, low = out[links], 0
+        upto = np.cumsum(counts)
+        while low < len(links):
+            high = max(low + 1, int(np.searchsorted(upto, (upto[low - 1] if low else 0) + LINKS_AT_ONCE, side="right")))
+            some = counts[low:high]
+            at = np.repeat(starts[links[low:high]] - np.cumsum(some) + some, some) + np.arange(some.sum())
+            triangles += int(np.count_nonzero(marks[np.repeat(row[low:high], some) + y[at]]))
+            low = high
+        marks[row + links] = False
+    triples, spread = int((d * (d - 1) // 2).sum()), k * ss - s * s
     return 3 * triangles / triples if triples else 0.0, (k * xy - s * s) / spread if spread > 0 else 0.0
 
 
-#: Nodes up to which links are held as bits, a square of them: 200 MB.
-MARKS = 40_000
-
+def by_task(edges: DataFrame, tasks: int, f, schema: str) -> DataFrame:
+    """edges: a, b, distinct. Rows of f(task, keys, size), which yields lists of columns, for tasks 0 to tasks - 1. keys: u * size + v of all links by
+    the numbers of their nodes, sorted; size: how many nodes there are. Each task gets the links by an exchange, 8 bytes each, if there are
+    more than IN_A_TASK; what it finds doesn't hang on that."""
+    import pyarrow as pa
 
-def copies_in_tasks(edges: DataFrame, n: int, seed: int) -> DataFrame:
-    """replicate, transitivity, assortativity of n copies, each made in a task from arrays that it gets by an exchange: 8 bytes an edge and copy."""
     from ..sources.shared import written
     from . import blocks
 
+    spark = edges.sparkSession
     nodes = blocks.numbered(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    size = max(1, nodes.count())
-    links = written(blocks.coded(edges.select("a", "b"), nodes, a="u", b="v").select(F.col("u").cast("int"), F.col("v").cast("int")), "links")
+    size, columns = max(1, nodes.count()), [c.split() for c in schema.split(", ")]
+    links = written(blocks.coded(edges.select("a", "b"), nodes, a="u", b="v").select((F.col("u") * size + F.col("v")).cast("long").alias("key")), "links")
+    kinds = {"long": pa.int64(), "double": pa.float64()}
 
-    def one(table):
-        import pyarrow as pa
+    def told(task, keys):
+        for found in f(task, keys, size):
+            yield pa.RecordBatch.from_arrays([pa.array(x, kinds[t]) for x, (_, t) in zip(found, columns, strict=True)], names=[c for c, _ in columns])
 
-        u, v, i = table.column("u").to_numpy().astype(np.int64), table.column("v").to_numpy(), table.column("replicate")[0].as_py()
-        found = array_statistics(swapped_at_once(np.sort(u * size + v), size, np.random.default_rng(seed * 1_000_003 + i)), size)
-        return pa.table({"replicate": [i], "transitivity": [found[0]], "assortativity": [found[1]]})
+    if (m := links.count()) <= IN_A_TASK:
+        held = spark.sparkContext.broadcast(np.sort(links.toArrow().column("key").to_numpy()))
+        return spark.range(0, tasks, 1, tasks).mapInArrow(lambda batches: (r for b in batches for i in b.column(0).to_pylist() for r in told(i, held.value)), schema)
 
-    copies = links.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    return copies.groupBy("replicate").applyInArrow(one, "replicate long, transitivity double, assortativity double")
+    def packed(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(0).to_numpy().tobytes()], pa.binary())], names=["keys"])
 
+    def run(batches):
+        keys, n, task = np.empty(m, np.int64), 0, None
+        for batch in batches:
+            for row in batch.column(1):
+                part = np.frombuffer(row.as_buffer(), np.int64)
+                keys[n : n + len(part)], n, task = part, n + len(part), batch.column(0)[0].as_py()
+        if task is not None:
+            keys.sort()
+            yield from told(task, keys)
 
-def rewired_null(edges: DataFrame, n: int, keep, seed: int = 1) -> DataFrame:
-    """replicate, transitivity, assortativity of n rewired copies of a < b. Networks of up to IN_A_TASK edges are rewired swap by swap, up to
-    MOST_IN_A_TASK in rounds over a copy's arrays, a copy a task; larger ones, of any size, by rounds of joins over all copies."""
-    if (m := edges.count()) > MOST_IN_A_TASK:
-        return swaps.copies_statistics(swaps.swapped(edges, n, keep, seed=seed)[0])
-    if m > IN_A_TASK:
-        return copies_in_tasks(edges, n, seed)
-    a, b = edge_arrays(edges, "a", "b")
-    _, codes = np.unique(np.concatenate((a, b)), return_inverse=True)
-    held = edges.sparkSession.sparkContext.broadcast((codes[: len(a)], codes[len(a) :]))
+    everywhere = links.mapInArrow(packed, "keys binary").select(F.explode(F.sequence(F.lit(0), F.lit(tasks - 1))).alias("task"), "keys")
+    return everywhere.repartitionById(tasks, F.col("task")).mapInArrow(run, schema)
 
-    def one(i):
-        x, y = rewired(*held.value, seed * 1_000_003 + i)
-        return i, small_transitivity(x, y), small_assortativity(x, y)
 
-    return over_rows(edges.sparkSession, n, "replicate long, transitivity double, assortativity double", one)
+def over_copies(edges: DataFrame, n: int, schema: str, f) -> DataFrame:
+    """f(i, keys, size) for i from 0 to n - 1, one row each; keys and size as in by_task. Copies are dealt to tasks in turn."""
+    tasks = max(1, min(n, 2 * edges.sparkSession.sparkContext.defaultParallelism))
+    return by_task(edges, tasks, lambda task, keys, size: ([[x] for x in f(i, keys, size)] for i in range(task, n, tasks)), schema)
+
+
+def rewired_null(edges: DataFrame, n: int, keep, seed: int = 1) -> DataFrame:
+    """replicate, transitivity, assortativity of n rewired copies of a < b, made in tasks from arrays; of networks of more than MOST_IN_A_TASK edges by
+    rounds of joins over all copies."""
+    if edges.count() > MOST_IN_A_TASK:
+        return swaps.copies_statistics(swaps.swapped(edges, n, keep, seed=seed)[0])
+    return over_copies(edges, n, "replicate long, transitivity double, assortativity double", lambda i, keys, size: (i, *array_statistics(swapped_at_once(keys, size, np.random.default_rng(seed * 1_000_003 + i)), size)))
 
 
 def permuted_difference(values: np.ndarray, counts: np.ndarray, n_first: int, spark, n: int, seed: int = 1) -> DataFrame:
@@ -225,45 +249,27 @@ def drawn_share(inside: int, total: int, n_first: int, spark, n: int, seed: int
     return over_rows(spark, n, "replicate long, difference double", one)
 
 
-def directed_swaps(a: np.ndarray, b: np.ndarray, seed: int, most_swaps: int = 40_000) -> tuple[np.ndarray, np.ndarray]:
-    """Ends of directed edges exchanged: all in- and out-degrees stay, no loops or repeated edges come about. Which edges are there at first
-    is asked of a sorted array; only what swaps make and undo is held as Python numbers."""
-    rng, m, y = np.random.default_rng(seed), len(a), b.copy()
-    goal, done = min(m, most_swaps) if m > 1 else 0, 0
-    n = int(max(a.max(), b.max())) + 1 if m else 1
-    first, made, undone = np.sort(a.astype(np.int64) * n + b), set(), set()
+def directed_swaps(a: np.ndarray, b: np.ndarray, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ends of directed edges exchanged, as often as there are edges: all in- and out-degrees stay, no loops or repeated edges come about."""
+    n = int(max(a.max(), b.max())) + 1 if len(a) else 1
+    keys = swapped_at_once(np.sort(a.astype(np.int64) * n + b), n, np.random.default_rng(seed), directed=True)
+    return keys // n, keys % n
 
-    def there(u, v):
-        key = u * n + v
-        if key in made:
-            return True
-        at = int(first.searchsorted(key))
-        return at < m and first[at] == key and key not in undone
 
-    for _ in range(20 * goal):
-        if done == goal:
-            break
-        i, j = rng.integers(0, m, 2)
-        u, v, s, t = int(a[i]), int(y[i]), int(a[j]), int(y[j])
-        if u == t or s == v or there(u, t) or there(s, v):
-            continue
-        for key in (u * n + v, s * n + t):
-            (made.remove if key in made else undone.add)(key)
-        for key in (u * n + t, s * n + v):
-            (undone.remove if key in undone else made.add)(key)
-        y[i], y[j] = t, v
-        done += 1
-    return a, y
+def reciprocity_of(keys: np.ndarray, n: int) -> float:
+    """Share of the directed links u * n + v, distinct and sorted, whose reverse is there too."""
+    there = 0
+    for i in range(0, len(keys), LINKS_AT_ONCE):
+        part = keys[i : i + LINKS_AT_ONCE]
+        back = np.sort(part % n * n + part // n)
+        there += int((keys[np.minimum(np.searchsorted(keys, back), len(keys) - 1)] == back).sum())
+    return there / len(keys) if len(keys) else 0.0
 
 
 def small_reciprocity(a: np.ndarray, b: np.ndarray) -> float:
     """Share of the directed edges whose reverse is there too."""
-    if not len(a):
-        return 0.0
-    n = int(max(a.max(), b.max())) + 1
-    keys = np.unique(a.astype(np.int64) * n + b)
-    back = np.sort(keys % n * n + keys // n)
-    return float((keys[np.minimum(np.searchsorted(keys, back), len(keys) - 1)] == back).sum() / len(keys))
+    n = int(max(a.max(), b.max())) + 1 if len(a) else 1
+    return reciprocity_of(np.unique(a.astype(np.int64) * n + b), n)
 
 
 def coded(edges: DataFrame, *columns: str):
@@ -274,14 +280,9 @@ def coded(edges: DataFrame, *columns: str):
 
 
 def reciprocity_null(edges: DataFrame, n: int, seed: int = 2) -> DataFrame:
-    """replicate, reciprocity of n copies of src, dst whose ends are exchanged."""
-    a, b, _ = coded(edges.where("src <> dst").select("src", "dst").distinct(), "src", "dst")
-    held = edges.sparkSession.sparkContext.broadcast((a.astype(np.int32), b.astype(np.int32)))  # MOST_EDGES at most
-
-    def one(i):
-        return i, small_reciprocity(*directed_swaps(*held.value, seed * 1_000_003 + i))
-
-    return over_rows(edges.sparkSession, n, "replicate long, reciprocity double", one)
+    """replicate, reciprocity of n copies of src, dst whose ends are exchanged, made in tasks from arrays."""
+    arcs = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b")).distinct()
+    return over_copies(arcs, n, "replicate long, reciprocity double", lambda i, keys, size: (i, reciprocity_of(swapped_at_once(keys, size, np.random.default_rng(seed * 1_000_003 + i), directed=True), size)))
 
 
 def small_modularity(a: np.ndarray, b: np.ndarray, w: np.ndarray, label: np.ndarray) -> float:

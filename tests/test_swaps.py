@@ -81,3 +81,22 @@ def test_copies_over_arrays_equal_a_plain_count(spark, monkeypatch):
     monkeypatch.setattr(replicates, "IN_A_TASK", 10)
     monkeypatch.setattr(replicates.swaps, "swapped", None)
     assert replicates.rewired_null(spark.createDataFrame(edges, "a long, b long"), 3, written).count() == 3
+
+
+def test_directed_copies_mix_however_many_links(spark, monkeypatch):
+    """No more than 40,000 swaps were made, which left two of three of so many links as they were; more than MOST_EDGES links were refused."""
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 5000, 210_000) * 5000 + rng.integers(0, 5000, 210_000))
+    a, b = (x[keys // 5000 != keys % 5000] for x in (keys // 5000, keys % 5000))
+    x, y = replicates.directed_swaps(a, b, 1)
+    assert np.isin(x * 5000 + y, keys).mean() < 0.2
+    arcs = [tuple(map(int, rng.choice(30, 2))) for _ in range(150)]
+    edges = spark.createDataFrame(arcs, "src long, dst long")
+    monkeypatch.setattr(replicates, "MOST_EDGES", 3)
+    one = {r.replicate: r.reciprocity for r in replicates.reciprocity_null(edges, 20).collect()}
+    monkeypatch.setattr(replicates, "IN_A_TASK", 10)
+    monkeypatch.setattr(replicates, "PAIRS_AT_ONCE", 16)
+    other = {r.replicate: r.reciprocity for r in replicates.reciprocity_null(edges, 20).collect()}
+    assert set(one) == set(other) == set(range(20)) and len(set(one.values())) > 3
+    monkeypatch.setattr(replicates, "PAIRS_AT_ONCE", 1 << 21)
+    assert one == {r.replicate: r.reciprocity for r in replicates.reciprocity_null(edges, 20).collect()}
