@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skeinwork.operators import replicates, swaps
+from skeinwork.plans import network_queries
 from skeinwork.sources.shared import written
 
 
@@ -100,3 +101,13 @@ def test_directed_copies_mix_however_many_links(spark, monkeypatch):
     assert set(one) == set(other) == set(range(20)) and len(set(one.values())) > 3
     monkeypatch.setattr(replicates, "PAIRS_AT_ONCE", 1 << 21)
     assert one == {r.replicate: r.reciprocity for r in replicates.reciprocity_null(edges, 20).collect()}
+
+
+def test_large_networks_get_as_many_copies(spark, monkeypatch):
+    """Beyond 40,000 edges there were 25."""
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 3000, 90_000) * 3000 + rng.integers(0, 3000, 90_000))
+    keys = keys[keys // 3000 < keys % 3000][:41_000]
+    edges = spark.createDataFrame([(int(k // 3000), int(k % 3000), 1) for k in keys], "a long, b long, w long")
+    monkeypatch.setattr(network_queries, "graph", lambda s, d: edges)
+    assert len(keys) == 41_000 and [r.n_samples for r in network_queries.rewired(spark, None, 30).collect()] == [30, 30]
