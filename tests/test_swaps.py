@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from skeinwork.operators import replicates, swaps
+from skeinwork.operators import leiden, replicates, swaps
 from skeinwork.plans import network_queries
 from skeinwork.sources.shared import written
 
@@ -111,3 +111,26 @@ def test_large_networks_get_as_many_copies(spark, monkeypatch):
     edges = spark.createDataFrame([(int(k // 3000), int(k % 3000), 1) for k in keys], "a long, b long, w long")
     monkeypatch.setattr(network_queries, "graph", lambda s, d: edges)
     assert len(keys) == 41_000 and [r.n_samples for r in network_queries.rewired(spark, None, 30).collect()] == [30, 30]
+
+
+def test_communities_of_copies_of_networks_of_any_size(spark, monkeypatch):
+    """Copies got 40,000 swaps at most, and more than MOST_EDGES edges were refused."""
+    rng = np.random.default_rng(4)
+    keys = np.unique(rng.integers(0, 4000, 420_000) * 4000 + rng.integers(0, 4000, 420_000))
+    keys = keys[keys // 4000 < keys % 4000]
+    x, y = replicates.rewired(keys // 4000, keys % 4000, 1)
+    assert len(keys) > 200_000 and np.isin(x * 4000 + y, keys).mean() < 0.2
+    monkeypatch.setattr(replicates, "LINKS_AT_ONCE", 50_000)
+    starts, others = replicates.both_ways(keys, 4000)
+    rows = replicates.rows_of(np.concatenate((keys // 4000, keys % 4000)), np.concatenate((keys % 4000, keys // 4000)), 4000)
+    assert (starts == rows[0]).all() and all((others[starts[i] : starts[i + 1]] == np.sort(rows[1][starts[i] : starts[i + 1]])).all() for i in range(4000))
+    arcs = [(a, b) for a in range(60) for b in range(a + 1, 60) if rng.random() < (0.7 if a // 10 == b // 10 else 0.05)]
+    near = replicates.both_ways(np.sort(np.array([a * 60 + b for a, b in arcs])), 60)
+    label = leiden.parted_in_task(*near, np.ones(2 * len(arcs)))
+    assert all(len(set(label[i : i + 10])) == 1 for i in range(0, 60, 10)) and len(set(label)) == 6
+    monkeypatch.setattr(replicates, "MOST_EDGES", 3)
+    monkeypatch.setattr(replicates, "IN_A_TASK", 3)
+    seen, null = replicates.modularity_null(spark.createDataFrame(arcs, "a long, b long"), 8)
+    inside = sum(a // 10 == b // 10 for a, b in arcs) / len(arcs)
+    strength = np.bincount(np.array(arcs).ravel() // 10) / (2 * len(arcs))
+    assert seen == pytest.approx(inside - (strength**2).sum()) and null.count() == 8 and all(r.modularity < seen - 0.2 for r in null.collect())
